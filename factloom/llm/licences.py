@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, texts
+from .common import id_text, slices, texts, words_of
 
 SCANNED = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, "
@@ -62,15 +62,6 @@ TEMPLATES = {
 #: Templates that share a label with another.
 LABEL = {"mit-text": "mit"}
 
-_KEEP = {*range(48, 58), *range(97, 123), *range(128, 256)}
-#: For bytes.translate: A-Z to lower case, all that parts words to a space.
-TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEEP else 32 for c in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
-
-
 class Index:
     """Postings of the templates' words, weighted by the corpus."""
 

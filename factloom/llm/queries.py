@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, packing, sharding
+from . import ann, bpe, licences, packing, quality, sharding, topk, toxicity
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.7)
+
+
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.reshard(table(spark, sf_dir, "documents"), shards=8)
     return placed.select(
@@ -28,5 +40,9 @@ def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_licence_scan, op5_bpe, op9_resharding)}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_licence_scan, op5_bpe, op7_toxicity, op8_quality, op9_resharding, op10_ann)}
 ORACLES: dict[str, str] = {}
