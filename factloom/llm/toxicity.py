@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,52 +62,47 @@ class Codes(dict):
 
 
 def telling_units(rows: list[tuple[frozenset, int]], least_lift: float = 10.0, unlike: float = 0.35, strong: float = 0.1) -> list[str]:
-    """Words and stems that mark documents of label 1, most frequent first.
+    """Words and stems that mark documents (sets of words) of label 1, most telling first.
 
-    Among so many some stand in toxic documents alone by chance; a word's divergence
-    from the sample's share of toxic documents must exceed what chance gives the best of them.
+    Among so many some stand in toxic documents alone by chance; a unit's divergence from
+    the sample's share of toxic documents must exceed what chance gives the best of them,
+    and be a fair part (``strong``) of the largest divergence: rarer words mark single authors.
     """
-    count = [Counter(), Counter()]
-    totals = [0, 0]
-    for words, y in rows:
-        count[y].update(words)
-        totals[y] += 1
-    share = totals[1] / sum(totals)
-    chance = math.log(len(count[1].keys() | count[0].keys())) + 3
-    lift = lambda w: (count[1][w] / totals[1]) / ((count[0][w] + 0.5) / totals[0])
-
-    def divergence(w: str) -> float:
-        a, b = count[1][w], count[0][w]
-        return a * math.log(a / (a + b) / share) + (b and b * math.log(b / (a + b) / (1 - share)))
-
-    found = {w: divergence(w) for w, n in count[1].items() if n >= 3 and lift(w) >= least_lift}
-    kept = sorted((w for w, d in found.items() if d >= chance), key=lambda w: (-count[1][w], w))
-    holders = defaultdict(list)
-    wanted = set(kept)
-    toxic = [words for words, y in rows if y]
-    for words in toxic:
-        for w in wanted & words:
-            if len(holders[w]) < 64:
-                holders[w].append(words)
-
-    def variety(sets: list[frozenset]) -> float:
-        return len(frozenset().union(*sets)) / max(1, sum(map(len, sets)))
-
-    # as varied as other toxic documents in the same number
-    usual: dict[int, float] = {}
-    out = []
-    for w in kept:
-        n = len(holders[w])
-        if n not in usual:
-            usual[n] = variety(toxic[:: max(1, len(toxic) // n)][:n])
-        if variety(holders[w]) >= unlike * usual[n]:
-            out.append(w)
-    top = max((found[w] for w in out), default=0.0)
-    # of units that begin with one another, the one that tells most; the shorter if alike
+    number: dict[str, int] = {}
+    sets, kinds = [], np.array([y for _, y in rows])
+    for words, _ in rows:
+        own = {number.setdefault(u, len(number)) for w in words for u in units(w)}
+        sets.append(np.fromiter(own, np.int32, len(own)))
+    names = list(number)
+    in_toxic, in_other = (
+        np.bincount(np.concatenate([s for s, y in zip(sets, kinds) if y == k]), minlength=len(names)) for k in (1, 0)
+    )
+    totals = (kinds == 1).sum(), (kinds == 0).sum()
+    share, chance = totals[0] / len(rows), math.log(len(names)) + 3
+    both = in_toxic + in_other
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = in_toxic * np.log(in_toxic / both / share) + np.where(in_other, in_other * np.log(in_other / both / (1 - share)), 0.0)
+    lift = in_toxic / totals[0] / ((in_other + 0.5) / totals[1])
+    kept = np.flatnonzero((in_toxic >= 3) & (lift >= least_lift) & (found >= chance))
+    toxic = [s for s, y in zip(sets, kinds) if y]
+
+    def variety(some: list[np.ndarray]) -> float:
+        return len(np.unique(np.concatenate(some))) / sum(map(len, some))
+
     chosen: list[str] = []
-    for w in sorted((w for w in out if found[w] >= strong * top), key=lambda w: (-found[w], len(w), w)):
-        if not any(w.startswith(c) or c.startswith(w) for c in chosen):
-            chosen.append(w)
+    top = None
+    # of units that begin with one another, the one that tells most; the shorter if alike
+    for u in sorted(kept.tolist(), key=lambda u: (-found[u], len(names[u]), names[u])):
+        if top is not None and found[u] < strong * top:
+            break
+        if any(names[u].startswith(c) or c.startswith(names[u]) for c in chosen):
+            continue
+        holders = [s for s in toxic if u in s][:32]
+        n = len(holders)
+        # as varied, nearly, as other toxic documents in the same number
+        if variety(holders) >= unlike * variety(toxic[:: max(1, len(toxic) // n)][:n]):
+            chosen.append(names[u])
+            top = top or found[u]
     return chosen
 
 
@@ -161,7 +156,7 @@ def train(rows: list[tuple[str, int]], window: int, level: int, common: int) ->
     unique = [(frozenset(words_of(t)), y) for t, y in dict.fromkeys(rows) if t]
     if len({y for _, y in unique}) < 2:
         return Model(b"\0" * 16, b"\0" * 16, window, level)
-    telling = telling_units([(frozenset(u for w in words for u in units(w)), y) for words, y in unique])
+    telling = telling_units(unique)
     marked = frozenset(telling)
     ordinary = Counter(w for words, y in unique if not y for w in words)
     base = [w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1], x[0])) if not marked.intersection(units(w))][:common]
