@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licences, packing, quality, sharding, topk, toxicity
+from . import ann, bpe, licences, neardup, packing, quality, sharding, topk, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_licence_scan, op5_bpe, op7_toxicity, op8_quality, op9_resharding, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_licence_scan, op4_neardup, op5_bpe, op7_toxicity, op8_quality, op9_resharding, op10_ann)}
 ORACLES: dict[str, str] = {}
