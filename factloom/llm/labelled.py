@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices, texts
 
 
 def held_out(id_col, folds: int, fold: int):
@@ -56,3 +60,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weights: np.ndar
 
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ w, -30, 30)))
+
+
+def with_score(df: DataFrame, text_col: str, name: str, model) -> DataFrame:
+    """The rows with one more column, model.score of the text."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.score(texts(part.column(at))), pa.float64())], names=[*part.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -337,6 +337,19 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, of one document for each group.
+
+    Rows without an id can't be compared and stay; of rows that repeat an id, one stays.
+    """
+    found = stored(near_duplicates(df, id_col, text_col, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
+    ids = found.select(F.col("doc_id").alias("__id"))
+    rows = df.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
+    if not found.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates([id_col])
+    return rows.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def resembling(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs with the share of signature values in which they agree, where that is at least ``least``."""
 

@@ -14,14 +14,14 @@ empty table gives an empty result; without labels of both kinds every score is 0
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, texts
-from .labelled import held_out, logistic, probability, sample
+from .common import id_text
+from .labelled import held_out, logistic, probability, sample, with_score
 
-SCORED = "doc_id long, score double"
+#: The column that holds the score beside a table's own.
+SCORE = "__score"
 
 
 def stretches(raw: bytes, size: int) -> list[bytes]:
@@ -112,14 +112,21 @@ def score(
     dictionary: int = 64 << 10,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted. rows: labelled documents of each kind to learn from."""
-    docs = id_text(df, id_col, text_col)
-    model = train(sample(docs, labels, label, rows, folds, fold), level, stretch, dictionary)
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    rows_ = scored(df, labels, id_col, text_col, label, rows, folds, fold, level, stretch, dictionary)
+    return rows_.select(
+        F.col(id_col).alias("doc_id"),
+        held_out(id_col, folds, fold).alias("held_out"),
+        F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= threshold).cast("int").alias("predicted"),
+    )
 
-    def run(batches):
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sent.value.score(texts(part.column(1))))], names=["doc_id", "score"])
 
-    return docs.mapInArrow(run, SCORED).select(
-        "doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+def keep(df: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, that the classifier doesn't reject."""
+    return scored(df, labels, id_col, text_col, **options).where(F.col(SCORE) >= threshold).drop(SCORE)
+
+
+def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 3000, folds: int = 4, fold: int = 2, level: int = 3, stretch: int = 4096, dictionary: int = 64 << 10) -> DataFrame:
+    """The rows with all their columns and the score in the column SCORE; nothing is shuffled."""
+    model = train(sample(id_text(df, id_col, text_col), labels, label, rows, folds, fold), level, stretch, dictionary)
+    return with_score(df, text_col, SCORE, model)

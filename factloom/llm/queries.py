@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licences, neardup, packing, quality, sharding, topk, toxicity
+from . import ann, bpe, html, licences, neardup, packing, quality, sharding, topk, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.5)
 
@@ -48,5 +52,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_licence_scan, op4_neardup, op5_bpe, op7_toxicity, op8_quality, op9_resharding, op10_ann)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_topk, op3_licence_scan, op4_neardup, op5_bpe, op6_html, op7_toxicity, op8_quality, op9_resharding, op10_ann)
+}
 ORACLES: dict[str, str] = {}
