@@ -1,0 +1 @@
+"""Scalar functions, all as Spark column expressions."""

@@ -1,0 +1 @@
+"""Whole plans: from stored tables to answers."""

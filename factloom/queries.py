@@ -1,6 +1,646 @@
-"""Registry of the library's own queries and their SQL."""
+"""The library's own queries, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import ids, text
+from .operators import chunking, evaluation, evidence, graph, harmonic, prompt, registry, store, trust, vectors
+from .plans import retrieval, tables
+from .streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+ASKED = "Which Supplier#000000007 parts have a brand?"
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """Integers as BIGINT, so that counts and ranks have one type everywhere."""
+    return df.select(*(F.col(n).cast("bigint").alias(n) if kind in ("int", "smallint") else F.col(n) for n, kind in df.dtypes))
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: whole(f(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- SQL that several queries build on ---------------------------------------------------
+
+EDGES = """edges AS (
+SELECT s_name AS subj, 'SUPPLIER' AS subj_type, 'supplies' AS rel, p_name AS obj, 'PART' AS obj_type, round(1 - l_discount - l_tax, 2)::DOUBLE AS certainty, (l_discount * 10)::DOUBLE AS raw_certainty, 'L' || l_orderkey || '-' || l_linenumber AS chunk_id, l_linenumber::BIGINT AS page_number, 'O' || l_orderkey AS document_id
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+UNION ALL SELECT c_name, 'CUSTOMER', 'ordered', p_name, 'PART', round(1 - l_discount, 2)::DOUBLE, (l_discount * 10)::DOUBLE, 'L' || l_orderkey || '-' || l_linenumber, l_linenumber::BIGINT, 'O' || l_orderkey
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT p_name, 'PART', 'has brand', p_brand, 'BRAND', round(0.7::DOUBLE + 0.005::DOUBLE * p_size, 3), 1.0::DOUBLE, 'P' || p_partkey, NULL, 'P' || p_partkey FROM part
+UNION ALL SELECT s_name, 'SUPPLIER', 'is located in', n_name, 'NATION', 1.0::DOUBLE, 1.0::DOUBLE, 'S' || s_suppkey, NULL, 'S' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT c_name, 'CUSTOMER', 'is located in', n_name, 'NATION', 0.9::DOUBLE, 1.0::DOUBLE, 'C' || c_custkey, NULL, 'C' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT n_name, 'NATION', 'is part of', r_name, 'REGION', 1.0::DOUBLE, 1.0::DOUBLE, 'N' || n_nationkey, NULL, 'N' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+CHUNKS = """chunks AS (SELECT chunk_id, min(document_id) AS document_id, array_to_string(list_sort(list(DISTINCT subj || ' ' || rel || ' ' || obj || '.')), ' ') AS content, min(page_number) AS page_number, substr(chunk_id, 1, 1) AS heading,
+CASE WHEN substr(sha256(chunk_id), 1, 1) NOT IN ('0', '1', '2', '3') THEN '2000-01-01T00:00:00+00:00' END AS extracted_at FROM edges GROUP BY chunk_id)"""
+FACT_ID = "(('0x' || substr(sha256(concat_ws(chr(0), subj, rel, obj, chunk_id)), 1, 16))::UBIGINT & 9223372036854775807::UBIGINT)::BIGINT"
+LABEL = "substr(lpad(lower(printf('%x', fact_id)), 16, '0'), 1, 6)"
+DOCS = """docs AS (SELECT sha256(text) AS document_id, text, min(lang) AS doc_type, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text)"""
+LINES = r"""lines AS (SELECT document_id, list_filter(list_transform(string_split(replace(text, chr(10) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS own FROM docs),
+tchunks AS (SELECT document_id, pos, array_to_string(own[4 * pos + 1 : 4 * pos + 4], ' ') AS content FROM (SELECT document_id, own, unnest(range(0, ((len(own) + 3) // 4)::BIGINT)) AS pos FROM lines)),
+textchunks AS (SELECT document_id, pos, content, sha256(document_id || ':' || content) AS chunk_id FROM tchunks)"""
+NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '(^|[^\p{{L}}\p{{N}}_])(?:a|an|the)($|[^\p{{L}}\p{{N}}_])', '\1 \2', 'g'), '(^|[^\p{{L}}\p{{N}}_])(?:a|an|the)($|[^\p{{L}}\p{{N}}_])', '\1 \2', 'g'), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g'))"""
+JOINED = r"regexp_replace({0}, '\b([A-Za-z]) ([a-z])', '\1\2', 'g')"
+
+
+def anchors_sql(asked: str) -> str:
+    return rf"""names AS (SELECT subj AS name FROM edges UNION SELECT obj FROM edges),
+q AS (SELECT 'q1' AS q_id, lower('{asked}') AS low, list_filter(string_split_regex(regexp_replace(lower('{asked}'), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS qw),
+tiers AS (SELECT q_id, name, CASE WHEN (length(name) >= 8 AND list_contains(qw, lower(name))) OR (length(name) >= 10 AND contains(low, lower(name))) THEN 1
+WHEN length(name) >= 10 AND len(list_filter(string_split(lower(name), ' '), lambda w: length(w) >= 4 AND list_contains(qw, w))) > 0 THEN 2
+WHEN length(name) >= 10 AND len(list_filter(string_split(lower(name), ' '), lambda w: len(list_filter(qw, lambda x: length(x) >= 5 AND length(w) > length(x) AND starts_with(regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g'), x))) > 0)) > 0 THEN 3 END AS tier FROM names, q),
+anchors AS (SELECT q_id, name, tier FROM tiers WHERE tier = (SELECT min(tier) FROM tiers))"""
+
+
+HOP1 = "hop1 AS (SELECT DISTINCT a.q_id, e.chunk_id FROM edges e JOIN anchors a ON e.subj = a.name OR e.obj = a.name)"
+NEW = """fresh AS (SELECT h.q_id, unnest([e.subj, e.obj]) AS name FROM edges e JOIN hop1 h USING (chunk_id)),
+freq AS (SELECT q_id, name, count(*) AS n FROM fresh WHERE lower(name) NOT IN (SELECT lower(name) FROM anchors) GROUP BY ALL),
+newtop AS (SELECT q_id, name, n, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, name) AS rank FROM freq QUALIFY rank <= 20)"""
+HITS = """mapping AS (SELECT chunk_id, (('0x' || substr(sha256(chunk_id), 1, 8))::UBIGINT % (SELECT count(*) FROM embeddings))::BIGINT AS key FROM (SELECT DISTINCT chunk_id FROM edges) WHERE substr(sha256(chunk_id), 9, 1) <> 'f'),
+vs AS (SELECT vec_id AS key, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings),
+hits AS (SELECT 'q1' AS q_id, chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS emb_rank FROM mapping JOIN vs USING (key) QUALIFY emb_rank < 15)"""
+PATHS = """real AS (SELECT subj, rel, obj, coalesce(certainty, 0.0) AS c, chunk_id FROM edges), first5 AS (SELECT q_id, name FROM anchors ORDER BY name LIMIT 5),
+allpaths AS (SELECT q_id, name AS anchor, rel, obj AS target, chunk_id, NULL::VARCHAR AS rel2, NULL::VARCHAR AS target2, NULL::VARCHAR AS chunk2, c AS trust, 1 AS hops FROM real JOIN first5 ON subj = name
+UNION ALL SELECT q_id, name, rel, subj, chunk_id, NULL, NULL, NULL, c, 1 FROM real JOIN first5 ON obj = name
+UNION ALL SELECT q_id, name, a.rel, a.obj, a.chunk_id, b.rel, b.obj, b.chunk_id, round(sqrt(a.c * b.c), 6), 2 FROM real a JOIN first5 ON a.subj = name JOIN real b ON a.obj = b.subj WHERE name <> b.obj),
+paths AS (SELECT *, row_number() OVER (PARTITION BY q_id, hops ORDER BY trust DESC, anchor, rel, target, chunk_id, rel2, target2, chunk2) AS place FROM allpaths QUALIFY place <= 25)"""
+WANTED = "wanted AS (SELECT q_id, chunk_id FROM hits UNION SELECT q_id, chunk_id FROM hop1)"
+SCORED = f"""prov AS (SELECT subj, rel, obj, count(*) AS provenance_count FROM edges GROUP BY ALL),
+triples AS (SELECT n.*, coalesce(p.provenance_count, 0) AS provenance_count FROM (SELECT w.q_id, {JOINED.format('subj')} AS subj, subj_type, rel, {JOINED.format('obj')} AS obj, obj_type, certainty, chunk_id FROM edges JOIN wanted w USING (chunk_id)) n LEFT JOIN prov p USING (subj, rel, obj) WHERE lower(n.subj) <> lower(n.obj)),
+scored AS (SELECT *, certainty AS ingest_certainty, round((0.4::DOUBLE * certainty + 0.2::DOUBLE * (least(provenance_count - 1, 4) / 4.0::DOUBLE)) / (0.4::DOUBLE + 0.2::DOUBLE), 9) AS c0 FROM triples),
+boosted AS (SELECT * EXCLUDE (c0), CASE WHEN (length(subj) >= 4 AND contains((SELECT low FROM q), lower(subj))) OR (length(obj) >= 4 AND contains((SELECT low FROM q), lower(obj))) THEN least(1.0::DOUBLE, round(c0 + 0.2::DOUBLE, 9)) ELSE c0 END AS composite_trust FROM scored),
+deduped AS (SELECT b.*, h.emb_rank FROM boosted b LEFT JOIN hits h USING (q_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY b.q_id, subj, rel, obj ORDER BY composite_trust DESC, coalesce(h.emb_rank, 2147483647), chunk_id) = 1)"""
+BASE = f"WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {HITS}, {WANTED}, {SCORED}"
+RESULTS = """results AS (SELECT l.doc_id AS id, source AS profile, lang AS type, quality::DOUBLE AS answer_em, round(quality * 0.5::DOUBLE + (l.doc_id % 5) / 10.0::DOUBLE, 4) AS answer_f1, round(n_chars / 1000.0::DOUBLE, 3) AS runtime_seconds,
+toxic = 1 AS acknowledged, l.doc_id % 3 = 0 AS gold_hallucinated, CASE WHEN l.doc_id % 4 = 0 THEN 'unfaithful' WHEN l.doc_id % 4 = 3 THEN 'unclear' ELSE 'faithful' END AS verdict FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+def found(spark: SparkSession, sf_dir: str, opts: retrieval.Options = retrieval.Options()) -> retrieval.Retrieved:
+    e = tables.edges(spark, sf_dir)
+    c = tables.fact_chunks(e)
+    return retrieval.retrieve(
+        e, c, tables.fact_documents(e), tables.chunk_vectors(c, spark, sf_dir), tables.vectors(spark, sf_dir),
+        tables.question(spark, ASKED), tables.question_vector(spark, sf_dir), opts,
+    )
+
+
+def asked_anchors(spark: SparkSession, e: DataFrame, asked: str = ASKED) -> DataFrame:
+    return graph.match_anchors(graph.entities(e), tables.question(spark, asked))
+
+
+# --- identities and ingest ---------------------------------------------------------------
+
+
+@query(f"WITH {DOCS} SELECT document_id, doc_type, 'doc://' || first_id AS source_url, copies FROM docs")
+def doc_ids_dedup(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("document_id", "doc_type", "source_url", "copies")
+
+
+@query(f"WITH {EDGES} SELECT subj, rel, obj, chunk_id, {FACT_ID} AS fact_id FROM edges")
+def fact_ids(spark, sf_dir):
+    return tables.edges(spark, sf_dir).select("subj", "rel", "obj", "chunk_id", ids.fact_id("subj", "rel", "obj", "chunk_id").alias("fact_id"))
+
+
+@query(f"WITH {EDGES}, f AS (SELECT chunk_id, rel, {FACT_ID} AS fact_id FROM edges WHERE rel = 'has brand') SELECT chunk_id, fact_id, {LABEL} AS label FROM f")
+def fact_labels(spark, sf_dir):
+    e = tables.edges(spark, sf_dir).where("rel = 'has brand'").withColumn("fact_id", ids.fact_id("subj", "rel", "obj", "chunk_id"))
+    return e.select("chunk_id", "fact_id", ids.fact_label("fact_id").alias("label"))
+
+
+@query(r"""SELECT c_custkey, regexp_replace(replace(lower(c_name || ' ' || c_mktsegment), ' ', '_'), '[^a-z0-9_]', '', 'g') AS slug, regexp_replace(lower(trim(' ' || c_name || '@Mail.x ')), '[^a-z0-9_.-]', '_', 'g') AS email, c_name || '|' || c_mktsegment || '|' AS query_key FROM customer""")
+def slugs_and_keys(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey", ids.slug(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("slug"),
+        ids.email_slug(F.concat(F.lit(" "), "c_name", F.lit("@Mail.x "))).alias("email"), ids.query_key(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string")).alias("query_key"),
+    )
+
+
+@query(f"WITH {DOCS}, {LINES} SELECT document_id, pos, content, chunk_id FROM textchunks")
+def chunk_newline4(spark, sf_dir):
+    return tables.text_chunks(spark, sf_dir).select("document_id", "pos", "content", "chunk_id")
+
+
+@query(f"WITH {DOCS}, {LINES} SELECT chunk_id, min(document_id) AS document_id, min(content) AS content FROM textchunks GROUP BY chunk_id")
+def chunk_upsert_distinct(spark, sf_dir):
+    return store.distinct_chunks(tables.text_chunks(spark, sf_dir))
+
+
+@query(f"WITH {DOCS}, {LINES} SELECT document_id, count(*) AS chunks FROM textchunks GROUP BY document_id")
+def chunks_per_doc(spark, sf_dir):
+    return store.chunk_counts(tables.documents(spark, sf_dir), tables.text_chunks(spark, sf_dir))
+
+
+@query()
+def chunk_merge_short(spark, sf_dir):
+    c = tables.text_chunks(spark, sf_dir)
+    return chunking.merge_short(c.select("document_id", "pos", "content", F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("heading")))
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    docs = tables.documents(spark, sf_dir)
+    return chunking.sentence_chunks(docs.select("document_id", chunking.sentences(F.col("text")).alias("sentences")))
+
+
+@query("""SELECT 'orders-' || o_orderstatus AS sheet, 'Sheet: orders-' || o_orderstatus || chr(10) || string_agg(o_orderkey || ' | ' || o_orderpriority, chr(10) ORDER BY pos) AS content, pos // 30 AS part FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey < 3000) GROUP BY o_orderstatus, pos // 30""")
+def excel_group30(spark, sf_dir):
+    o = tables.read(spark, sf_dir, "orders").where("o_orderkey < 3000")  # one workbook: the first orders
+    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
+    rows = o.select(F.concat(F.lit("orders-"), "o_orderstatus").alias("sheet"), (F.row_number().over(w) - 1).alias("pos"), F.array(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("cells"))
+    return chunking.row_groups(rows)
+
+
+@query(f"WITH {EDGES}, m AS (SELECT subj AS name, subj_type AS type, chunk_id AS seq FROM edges UNION ALL SELECT obj, obj_type, chunk_id FROM edges) SELECT name, arg_max(type, seq || type) AS type FROM m GROUP BY name")
+def entity_last_type(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    m = e.select(F.col("subj").alias("name"), F.col("subj_type").alias("type"), "chunk_id").union(e.select("obj", "obj_type", "chunk_id"))
+    return store.last_types(m.withColumn("seq", F.concat("chunk_id", "type")))
+
+
+@query(f"WITH {EDGES} SELECT subj, rel, obj, chunk_id, certainty FROM edges WHERE rel <> 'has brand' UNION ALL SELECT subj, 'has brand', obj, chunk_id, certainty - 0.1::DOUBLE FROM edges WHERE rel = 'has brand' AND certainty - 0.1::DOUBLE >= 0.75")
+def edges_replace_chunk(spark, sf_dir):
+    e = tables.edges(spark, sf_dir).select("subj", "rel", "obj", "chunk_id", "certainty")
+    brand = e.where("rel = 'has brand'")
+    return store.replace_by_chunk(e, brand, brand.withColumn("certainty", F.col("certainty") - 0.1), least=0.75)
+
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT chunk_id, CASE WHEN heading = 'P' THEN 'now' ELSE extracted_at END AS extracted_at FROM chunks")
+def stamp_extracted(spark, sf_dir):
+    c = tables.fact_chunks(tables.edges(spark, sf_dir))
+    return store.stamp(c, c.where("heading = 'P'"), F.lit("now")).select("chunk_id", "extracted_at")
+
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT heading, count(*) AS waiting FROM chunks WHERE extracted_at IS NULL GROUP BY heading")
+def unextracted_counts(spark, sf_dir):
+    return store.unextracted(tables.fact_chunks(tables.edges(spark, sf_dir))).groupBy("heading").agg(F.count("*").alias("waiting"))
+
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT chunk_id, document_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM edges WHERE rel IN ('supplies', 'is part of'))")
+def anti_unextracted(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return store.without_edges(tables.fact_chunks(e), e.where("rel IN ('supplies', 'is part of')")).select("chunk_id", "document_id")
+
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT chunk_id, coalesce(extracted_at, CASE WHEN chunk_id IN (SELECT chunk_id FROM edges WHERE rel = 'has brand') THEN 'then' END) AS extracted_at FROM chunks")
+def backfill_stamps(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return store.backfill_stamps(tables.fact_chunks(e), e.where("rel = 'has brand'"), F.lit("then")).select("chunk_id", "extracted_at")
+
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT rel, count(*) AS edges FROM edges WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE document_id = 'O7') GROUP BY rel")
+def clear_doc_extraction(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return store.clear_document(tables.fact_chunks(e), e, "O7")[1].groupBy("rel").agg(F.count("*").alias("edges"))
+
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT rel, count(*) AS edges FROM edges WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE contains(document_id, 'O1')) GROUP BY rel")
+def delete_doc_cascade(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return store.delete_documents(tables.fact_documents(e), tables.fact_chunks(e), e, "O1")[2].groupBy("rel").agg(F.count("*").alias("edges"))
+
+
+@query("""WITH s AS (SELECT user_id AS seq_key, event_id AS seq, event_type = 'error' AS bad, event_id + 1 AS resume_offset FROM events), p AS (SELECT *, sum(bad::INT) OVER (PARTITION BY seq_key ORDER BY seq) AS bads FROM s) SELECT seq_key, coalesce(max(CASE WHEN bads = 0 THEN resume_offset END), 0)::BIGINT AS next_offset FROM p GROUP BY seq_key""")
+def safe_offset(spark, sf_dir):
+    return store.safe_offsets(tables.seen_records(spark, sf_dir))
+
+
+@query("""SELECT user_id::VARCHAR || '||' AS query_key, max(event_id + 1) AS next_offset FROM events WHERE event_type <> 'error' GROUP BY user_id""")
+def query_key_state(spark, sf_dir):
+    done = tables.seen_records(spark, sf_dir).where(F.col("status").isin(store.DONE))
+    changes = done.select(ids.query_key(F.col("seq_key").cast("string"), F.lit(""), F.lit("")).alias("query_key"), F.col("resume_offset").alias("next_offset"), "seq")
+    empty = spark.createDataFrame([], "query_key string, next_offset long")
+    return store.upsert(empty, changes, "query_key", order="seq")
+
+
+@query("""WITH p AS (SELECT c_custkey AS example_id, n_name AS title FROM customer, nation WHERE (c_custkey + n_nationkey) % 5 = 0), k AS (SELECT * FROM p WHERE NOT (example_id % 25 = substr(title, 8)::INT)) SELECT (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p) - (SELECT count(*) FROM k) AS stripped, round(((SELECT count(*) FROM p) - (SELECT count(*) FROM k)) / (SELECT count(*) FROM p)::DOUBLE, 4) AS contamination""")
+def distractor_share(spark, sf_dir):
+    c, n = tables.read(spark, sf_dir, "customer"), tables.read(spark, sf_dir, "nation")
+    p = c.join(F.broadcast(n), (F.col("c_custkey") + F.col("n_nationkey")) % 5 == 0).select(F.col("c_custkey").alias("example_id"), F.col("n_name").alias("title"))
+    golds = c.select(F.col("c_custkey").alias("example_id"), F.concat(F.lit("NATION_"), (F.col("c_custkey") % 25).cast("string")).alias("title"))
+    return chunking.distractors(p, golds)[1]
+
+
+@query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, max(certainty) AS certainty FROM edges GROUP BY ALL")
+def best_triple_per_chunk(spark, sf_dir):
+    e = tables.edges(spark, sf_dir).withColumn("pos", F.col("page_number"))
+    return chunking.best_triple(e).select("chunk_id", "subj", "rel", "obj", "certainty")
+
+
+@query("""SELECT s_name || ' (SUPPLIER)' AS mention, 'SUPPLIER' AS type FROM supplier UNION ALL SELECT replace(p_name, ' ', ''), 'PART' FROM (SELECT DISTINCT p_name FROM part) UNION ALL SELECT c_name || '!', 'UNKNOWN' FROM customer""")
+def entity_resolution(spark, sf_dir):
+    t = lambda n: tables.read(spark, sf_dir, n)
+    m = t("supplier").select(F.concat("s_name", F.lit(" (SUPPLIER)")).alias("mention"))
+    m = m.union(t("part").select("p_name").distinct().select(F.replace("p_name", F.lit(" "), F.lit("")))).union(t("customer").select(F.concat("c_name", F.lit("!"))))
+    return chunking.resolve_entities(m, graph.entities(tables.edges(spark, sf_dir))).select("mention", "type")
+
+
+@query("""SELECT o_orderkey, 2::BIGINT AS records, o_orderstatus AS first_s FROM orders WHERE o_orderkey < 2000""")
+def json_salvage(spark, sf_dir):
+    o = tables.read(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    s = F.col("o_orderstatus")
+    cut = F.format_string('```json\n[{"s":"%s"},{"s":"b"},{"s":"c', s)
+    good = F.format_string('[{"s":"%s"},{"s":"b"}]', s)
+    reply = F.when(F.col("o_orderkey") % 2 == 0, cut).otherwise(good)
+    own = text.salvaged_json(reply, "array<struct<s:string>>")
+    return o.select("o_orderkey", F.size(own).alias("records"), F.get(own, F.lit(0)).s.alias("first_s"))
+
+
+# --- anchors, hops, paths, context -------------------------------------------------------
+
+
+def _anchors(name: str, asked: str):
+    def run(spark, sf_dir):
+        return asked_anchors(spark, tables.edges(spark, sf_dir), asked)
+
+    run.__name__ = name
+    query(f"WITH {EDGES}, {anchors_sql(asked)} SELECT q_id, tier::BIGINT AS tier, name FROM anchors")(run)
+
+
+_anchors("anchor_match_exact", "Is NATION_2 larger than others?")
+_anchors("anchor_match_substr", ASKED)
+_anchors("anchor_match_word", "Where is a small thing?")
+_anchors("anchor_match_prefix", "Who has a widge today?")
+
+
+@query(r"""SELECT p_partkey, regexp_replace(substr(p_name, 1, 1) || ' ' || substr(p_name, 2), '\b([A-Za-z]) ([a-z])', '\1\2', 'g') AS name, 'James Ecker ' || p_brand AS plain FROM part""")
+def name_cleaning(spark, sf_dir):
+    p = tables.read(spark, sf_dir, "part")
+    parted = F.concat(F.substring("p_name", 1, 1), F.lit(" "), F.expr("substr(p_name, 2)"))
+    return p.select("p_partkey", text.join_split_letters(parted).alias("name"), text.without_initials(F.concat(F.lit("James E. Ecker "), "p_brand")).alias("plain"))
+
+
+@query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1} SELECT q_id, chunk_id FROM hop1")
+def hop1_chunks(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return graph.incident(e, asked_anchors(spark, e))
+
+
+@query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {NEW} SELECT q_id, name, n, rank FROM newtop")
+def hop2_entity_topk(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    a = asked_anchors(spark, e)
+    return graph.frequent_neighbours(e, graph.incident(e, a), a, 20)
+
+
+@query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {NEW} SELECT q_id, chunk_id FROM hop1 UNION SELECT t.q_id, e.chunk_id FROM edges e JOIN newtop t ON e.subj = t.name OR e.obj = t.name")
+def hop2_chunks(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return graph.entity_chunks(e, asked_anchors(spark, e), depth=2, k=20)
+
+
+@query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {PATHS} SELECT * FROM paths")
+def trust_paths(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return graph.trust_paths(e, asked_anchors(spark, e))
+
+
+@query(f"""WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {PATHS}, own AS (SELECT q_id, chunk_id FROM paths UNION SELECT q_id, chunk2 FROM paths WHERE chunk2 IS NOT NULL)
+SELECT 'q1' AS q_id, (SELECT count(*) FROM allpaths WHERE hops = 1) AS one_hop, (SELECT count(*) FROM allpaths WHERE hops = 2) AS two_hop, (SELECT count(*) FROM paths) AS kept, (SELECT count(*) FROM own) AS path_chunks, (SELECT count(*) FROM own SEMI JOIN hop1 USING (q_id, chunk_id)) AS overlap""")
+def path_coverage(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    a = asked_anchors(spark, e)
+    return evaluation.coverage(graph.trust_paths(e, a), graph.trust_paths(e, a, most=2**31 - 2), graph.incident(e, a))
+
+
+@query(f"WITH {EDGES}, {CHUNKS}, {anchors_sql(ASKED)}, {HOP1} SELECT chunk_id, content, heading, page_number, document_id, 'Record ' || document_id AS title, 'doc://' || document_id AS source_url FROM chunks SEMI JOIN hop1 USING (chunk_id)")
+def context_chunks(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    out = graph.context_chunks(tables.fact_chunks(e), tables.fact_documents(e), graph.incident(e, asked_anchors(spark, e)))
+    return out.select("chunk_id", "content", "heading", "page_number", "document_id", "title", "source_url")
+
+
+@query(f"{BASE} SELECT q_id, subj, rel, obj, certainty, chunk_id FROM triples")
+def context_triples(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    hits = vectors.top_chunks(tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
+    wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, e))).distinct()
+    return graph.context_triples(e, wanted).select("q_id", "subj", "rel", "obj", "certainty", "chunk_id")
+
+
+# --- vectors -----------------------------------------------------------------------------
+
+
+@query(f"WITH {EDGES}, {HITS} SELECT q_id, chunk_id, score, emb_rank FROM hits")
+def cosine_topk(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return vectors.top_chunks(tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
+
+
+@query(f"WITH {EDGES}, {HITS} SELECT 'q1' AS q_id, c.chunk_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT chunk_id FROM edges WHERE rel = 'has brand') c LEFT JOIN mapping USING (chunk_id) LEFT JOIN vs USING (key)")
+def score_chunks(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    wanted = e.where("rel = 'has brand'").select(F.lit("q1").alias("q_id"), "chunk_id").distinct()
+    return vectors.score_chunks(wanted, tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir))
+
+
+@query(f"WITH {EDGES}, {HITS} SELECT chunk_id, CASE WHEN substr(chunk_id, 1, 1) = 'L' THEN key ELSE key + 1 END AS key FROM mapping")
+def index_merge(spark, sf_dir):
+    m = tables.chunk_vectors(tables.edges(spark, sf_dir), spark, sf_dir)
+    return vectors.merged(m.where("chunk_id LIKE 'L%'"), m.withColumn("key", F.col("key") + 1))
+
+
+@query(f"WITH {EDGES}, {HITS} SELECT (SELECT count(DISTINCT chunk_id) FROM edges) AS total, (SELECT count(*) FROM mapping) AS already, (SELECT count(DISTINCT chunk_id) FROM edges) - (SELECT count(*) FROM mapping) AS new")
+def index_incremental_stats(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    return vectors.update_stats(e.select("chunk_id"), tables.chunk_vectors(e, spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings) SELECT vec_id AS chunk_id, round(list_sum(list_transform(v, lambda x: x / l)), 6) AS total FROM n""")
+def index_build(spark, sf_dir):
+    rows = tables.vectors(spark, sf_dir).select(F.col("key").alias("chunk_id"), "vec")
+    return vectors.build(rows).select("chunk_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+# --- trust -------------------------------------------------------------------------------
+
+
+@query(f"WITH {EDGES} SELECT subj, rel, obj, count(*) AS provenance_count FROM edges GROUP BY ALL")
+def provenance(spark, sf_dir):
+    return trust.provenance(tables.edges(spark, sf_dir))
+
+
+RELEVANT = """rel_ AS (SELECT subj, rel, obj, chunk_id, certainty, greatest(0.0, score) AS relevance_score FROM (SELECT *, (('0x' || substr(sha256(subj || ' ' || rel || ' ' || obj), 1, 8))::UBIGINT % (SELECT count(*) FROM embeddings))::BIGINT AS key FROM edges WHERE rel = 'has brand') JOIN vs USING (key))"""
+
+
+@query(f"""WITH {EDGES}, {HITS}, {RELEVANT}, prov AS (SELECT subj, rel, obj, count(*) AS n FROM edges GROUP BY ALL)
+SELECT chunk_id, subj, rel, obj, relevance_score, round((0.4::DOUBLE * certainty + 0.4::DOUBLE * relevance_score + 0.2::DOUBLE * least(n - 1, 4) / 4.0::DOUBLE) / 1.0::DOUBLE, 6) AS composite_trust FROM rel_ JOIN prov USING (subj, rel, obj)""")
+def composite_trust(spark, sf_dir):
+    """All facts about brands, with the relevance of a stand-in vector for each fact's words."""
+    e = tables.edges(spark, sf_dir)
+    n = tables.vectors(spark, sf_dir).count()
+    own = e.where("rel = 'has brand'").withColumn("key", tables.hashed_key(F.concat_ws(" ", "subj", "rel", "obj"), n))
+    vecs = tables.vectors(spark, sf_dir).select("key", vectors.normalised(F.col("vec")).alias("vec"))
+    scores = vectors.scores(vecs, tables.question_vector(spark, sf_dir))
+    rel = own.join(scores, "key").withColumn("relevance_score", F.greatest(F.lit(0.0), F.col("score")))
+    out = trust.composite(trust.with_provenance(rel, e))
+    return out.select("chunk_id", "subj", "rel", "obj", "relevance_score", F.round("composite_trust", 6).alias("composite_trust"))
+
+
+@query(f"{BASE} SELECT q_id, subj, rel, obj, chunk_id, composite_trust FROM boosted QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY composite_trust DESC, subj, rel, obj, chunk_id) <= 40")
+def entity_boost_topk(spark, sf_dir):
+    e = tables.edges(spark, sf_dir)
+    hits = vectors.top_chunks(tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
+    wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, e))).distinct()
+    scored = trust.composite(trust.with_provenance(graph.context_triples(e, wanted), e))
+    return trust.top_k(trust.boosted(scored, tables.question(spark, ASKED)), 40).select("q_id", "subj", "rel", "obj", "chunk_id", "composite_trust")
+
+
+@query(f"{BASE} SELECT q_id, subj, rel, obj, chunk_id, provenance_count, emb_rank, composite_trust FROM deduped")
+def rerank_triples(spark, sf_dir):
+    return found(spark, sf_dir).facts.select("q_id", "subj", "rel", "obj", "chunk_id", "provenance_count", "emb_rank", "composite_trust")
+
+
+@query(f"""{BASE}, best AS (SELECT q_id, chunk_id, max(composite_trust) AS best FROM deduped GROUP BY ALL)
+SELECT w.q_id, w.chunk_id, coalesce(b.best, 0.0) AS best, row_number() OVER (PARTITION BY w.q_id ORDER BY coalesce(h.emb_rank, 2147483647), coalesce(b.best, 0.0) DESC, w.chunk_id) AS place FROM wanted w LEFT JOIN hits h USING (q_id, chunk_id) LEFT JOIN best b USING (q_id, chunk_id)""")
+def rerank_chunks(spark, sf_dir):
+    return found(spark, sf_dir).chunks.select("q_id", "chunk_id", "best", "place")
+
+
+@query(f"""{BASE} SELECT q_id, place, subj, subj_type, rel, obj, obj_type, chunk_id, certainty, provenance_count, composite_trust, {FACT_ID} AS fact_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY composite_trust DESC, subj, rel, obj, chunk_id) AS place FROM deduped) WHERE place <= 50""")
+def fused_retrieval(spark, sf_dir):
+    """The flagship: trust-ranked facts for a question."""
+    top = retrieval.top_facts(found(spark, sf_dir), 50)
+    return top.select("q_id", "place", "subj", "subj_type", "rel", "obj", "obj_type", "chunk_id", "certainty", "provenance_count", "composite_trust", "fact_id")
+
+
+@query(f"{BASE} SELECT count(*) AS facts, count(*) FILTER (WHERE emb_rank IS NOT NULL) AS from_hits, round(avg(composite_trust), 4) AS mean_trust FROM deduped WHERE composite_trust >= 0.8")
+def min_trust_filter(spark, sf_dir):
+    facts = found(spark, sf_dir, retrieval.Options(least_trust=0.8)).facts
+    return facts.agg(F.count("*").alias("facts"), F.count("emb_rank").alias("from_hits"), F.round(F.avg("composite_trust"), 4).alias("mean_trust"))
+
+
+# --- evidence ----------------------------------------------------------------------------
+
+
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.edges(spark, sf_dir)
+    own = e.where("rel <> 'ordered'").withColumn("evidence_text", tables.sentence())
+    return own.join(tables.fact_chunks(e).select("chunk_id", "content"), "chunk_id").select("chunk_id", "subj", "rel", "obj", "raw_certainty", "evidence_text", "content")
+
+
+@query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, round(0.9::DOUBLE + 0.1::DOUBLE * greatest(0.0, least(1.0, raw_certainty)), 6) AS confidence FROM edges WHERE rel <> 'ordered'")
+def evidence_exact(spark, sf_dir):
+    score = evidence.exact_score(F.col("raw_certainty"), F.col("evidence_text"), F.col("content"), F.col("subj"), F.col("obj"))
+    return evidence_rows(spark, sf_dir).select("chunk_id", "subj", "rel", "obj", score.alias("confidence"))
+
+
+@query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, round(0.9::DOUBLE + 0.1::DOUBLE * greatest(0.0, least(1.0, raw_certainty)), 6) AS confidence, 1.0::DOUBLE AS anchor, 1.0::DOUBLE AS scope FROM edges WHERE rel <> 'ordered'")
+def evidence_full(spark, sf_dir):
+    return evidence.scored(evidence_rows(spark, sf_dir)).select("chunk_id", "subj", "rel", "obj", "confidence", "anchor", "scope")
+
+
+# --- evaluation --------------------------------------------------------------------------
+
+PREDICTED = "pred AS (SELECT p_partkey, 'The ' || p_name || '.' AS answer, ['old ' || p_name, p_type, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END] AS golds FROM part)"
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.read(spark, sf_dir, "part")
+    golds = F.array(F.concat(F.lit("old "), "p_name"), "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("p_brand")))
+    return p.select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(".")).alias("answer"), golds.alias("golds"))
+
+
+@query(f"WITH {PREDICTED} SELECT p_partkey, (len(list_filter(golds, lambda g: {NORMAL.format('g')} = {NORMAL.format('answer')})) > 0)::INT::DOUBLE AS em FROM pred")
+def answer_em(spark, sf_dir):
+    return predictions(spark, sf_dir).select("p_partkey", text.exact_match(F.col("answer"), F.col("golds")).alias("em"))
+
+
+@query(f"""WITH {PREDICTED}, g AS (SELECT p_partkey, string_split({NORMAL.format('answer')}, ' ') AS p, string_split({NORMAL.format('gold')}, ' ') AS g FROM (SELECT p_partkey, answer, unnest(golds) AS gold FROM pred)),
+c AS (SELECT p_partkey, len(p) AS np, len(g) AS ng, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS common FROM g)
+SELECT p_partkey, round(max(2.0::DOUBLE * common / (np + ng)), 6) AS f1 FROM c GROUP BY p_partkey""")
+def answer_f1(spark, sf_dir):
+    return predictions(spark, sf_dir).select("p_partkey", F.round(text.token_f1(F.col("answer"), F.col("golds")), 6).alias("f1"))
+
+
+HELD = f"held AS (SELECT b.item_id AS gold_id, d.doc_id AS text_id FROM (SELECT item_id, {NORMAL.format('text')} AS g FROM benchmark) b, (SELECT doc_id, {NORMAL.format('text')} AS t FROM documents) d WHERE contains(d.t, b.g))"
+
+
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = tables.read(spark, sf_dir, "benchmark"), tables.read(spark, sf_dir, "documents")
+    return evaluation.holds_gold(b.select(F.col("item_id").alias("gold_id"), F.col("text").alias("gold")), d.select(F.col("doc_id").alias("text_id"), "text"))
+
+
+@query(f"WITH {HELD} SELECT gold_id, text_id FROM held")
+def contains_gold(spark, sf_dir):
+    return held(spark, sf_dir)
+
+
+@query(f"""WITH {HELD}, o AS (SELECT item_id, item_id IN (SELECT gold_id FROM held) AS in_context, item_id IN (SELECT gold_id FROM held WHERE text_id % 2 = 0) AS in_retrieved FROM benchmark)
+SELECT CASE WHEN NOT in_context THEN 'context_gap' WHEN NOT in_retrieved THEN 'retrieval' ELSE 'reasoning' END AS failure_mode, count(*) AS n FROM o GROUP BY ALL""")
+def failure_modes(spark, sf_dir):
+    h = held(spark, sf_dir)
+    seen = h.groupBy("gold_id").agg(F.max(F.col("text_id") % 2 == 0).alias("in_retrieved"))
+    o = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("gold_id")).join(seen, "gold_id", "left")
+    mode = evaluation.failure_mode(F.col("in_retrieved").isNotNull(), F.coalesce("in_retrieved", F.lit(False)))
+    return o.groupBy(mode.alias("failure_mode")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RESULTS} SELECT profile, round(avg(answer_em) FILTER (WHERE gold_hallucinated), 4) AS em_with, count(*) FILTER (WHERE gold_hallucinated) AS n_with, round(avg(answer_em) FILTER (WHERE NOT gold_hallucinated), 4) AS em_without, count(*) FILTER (WHERE NOT gold_hallucinated) AS n_without, 'gold_hallucinated' AS condition FROM results GROUP BY profile")
+def em_by_condition(spark, sf_dir):
+    return evaluation.em_by(tables.result_rows(spark, sf_dir), "gold_hallucinated")
+
+
+@query(f"WITH {RESULTS} SELECT profile, count(*) AS count, round(avg(runtime_seconds), 4) AS avg_runtime_seconds, round(avg(answer_em), 4) AS avg_answer_em, round(avg(answer_f1), 4) AS avg_answer_f1 FROM results GROUP BY profile")
+def summary(spark, sf_dir):
+    return evaluation.summary(tables.result_rows(spark, sf_dir), ["runtime_seconds", "answer_em", "answer_f1"])
+
+
+@query(f"WITH {RESULTS} SELECT type, count(*) AS count, round(avg(answer_em), 4) AS em, round(avg(answer_f1), 4) AS f1 FROM results GROUP BY type")
+def type_breakdown(spark, sf_dir):
+    return evaluation.by_type(tables.result_rows(spark, sf_dir))
+
+
+@query(f"""WITH {RESULTS}, c AS (SELECT type, CASE WHEN acknowledged THEN 'warned' WHEN answer_em = 1.0 THEN 'confident_correct' ELSE 'hallucinated' END AS category FROM results)
+SELECT type, count(*) AS n, round(count(*) FILTER (WHERE category = 'hallucinated') / count(*)::DOUBLE, 4) AS hallucination_rate, round(count(*) FILTER (WHERE category = 'warned') / count(*)::DOUBLE, 4) AS acknowledgment_rate, round(count(*) FILTER (WHERE category = 'confident_correct') / count(*)::DOUBLE, 4) AS confident_correct_rate FROM c GROUP BY type""")
+def hallucination_rates(spark, sf_dir):
+    rows = tables.result_rows(spark, sf_dir)
+    return evaluation.hallucination_rates(rows.withColumn("category", evaluation.warned_category(F.col("acknowledged"), F.col("answer_em"))))
+
+
+@query(f"""WITH {RESULTS}, c AS (SELECT *, CASE WHEN acknowledged THEN 'acknowledged' WHEN verdict = 'unfaithful' THEN 'hallucinated' WHEN verdict = 'faithful' THEN 'faithful' ELSE 'abstain' END AS category FROM results)
+SELECT count(*) AS total, round(count(*) FILTER (WHERE category = 'hallucinated' AND NOT acknowledged) / greatest(count(*) FILTER (WHERE NOT acknowledged), 1)::DOUBLE, 4) AS hallucination_rate, round(count(*) FILTER (WHERE category = 'acknowledged') / count(*)::DOUBLE, 4) AS acknowledgment_rate, round(count(*) FILTER (WHERE category = 'faithful') / count(*)::DOUBLE, 4) AS faithfulness_rate,
+count(*) FILTER (WHERE gold_hallucinated) AS n_gold_hallucinated, round(count(*) FILTER (WHERE category = 'hallucinated' AND gold_hallucinated) / greatest(count(*) FILTER (WHERE gold_hallucinated), 1)::DOUBLE, 4) AS rate_on_gold_hallucinated, round(count(*) FILTER (WHERE category = 'hallucinated' AND NOT gold_hallucinated) / greatest(count(*) FILTER (WHERE NOT gold_hallucinated), 1)::DOUBLE, 4) AS rate_on_gold_clean FROM c""")
+def faithfulness(spark, sf_dir):
+    rows = tables.result_rows(spark, sf_dir)
+    return evaluation.faithfulness_rates(rows.withColumn("category", evaluation.faithful_category(F.col("acknowledged"), F.col("verdict"))))
+
+
+def _boot(value: str, samples: int = 1000, seed: int = 42) -> str:
+    return f"""WITH {RESULTS}, s AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, {value} AS v FROM results), n AS (SELECT count(*) AS n FROM s),
+d AS (SELECT b, ((((b * 7919 + i * 104729 + {seed}) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n AS pick FROM range({samples}) r(b), (SELECT i, n FROM s, n)),
+m AS (SELECT b, round(avg(v), 6) AS m FROM d JOIN s ON pick = i GROUP BY b), r AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS place FROM m),
+out AS (SELECT (SELECT round(avg(v), 6) FROM s) AS mean, (SELECT n FROM n) AS n, (SELECT m FROM r WHERE place = {int(samples * 0.025)}) AS lo, (SELECT m FROM r WHERE place = {int(samples * 0.975)}) AS hi)"""
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows by number. A result set has some thousand rows."""
+    w = Window.orderBy("id")
+    return tables.result_rows(spark, sf_dir).withColumn("i", F.row_number().over(w) - 1)
+
+
+@query(f"{_boot('answer_em')} SELECT mean, n, lo, hi FROM out")
+def bootstrap_ci(spark, sf_dir):
+    rows = numbered(spark, sf_dir).select("i", F.col("answer_em").alias("score"))
+    return evaluation.bootstrap_ci(rows, samples=1000)
+
+
+@query(f"{_boot('answer_em - answer_f1')} SELECT mean AS diff, n, lo, hi, lo > 0 OR hi < 0 AS significant FROM out")
+def bootstrap_diff(spark, sf_dir):
+    rows = numbered(spark, sf_dir).select("i", F.col("answer_em").alias("a"), F.col("answer_f1").alias("b"))
+    return evaluation.bootstrap_diff(rows, samples=1000)
+
+
+# --- prompts, citations, transcripts -----------------------------------------------------
+
+
+@query(f"""{BASE}, f AS (SELECT *, {FACT_ID} AS fact_id, row_number() OVER (PARTITION BY q_id ORDER BY composite_trust DESC, subj, rel, obj, chunk_id) AS number FROM deduped)
+SELECT q_id, number, {LABEL} AS label, chunk_id, 'Fact_' || {LABEL} || ': ' || subj || ' (' || subj_type || ') --[' || rel || ']--> ' || obj || ' (' || obj_type || ')  [composite=' || round_even(composite_trust * 100, 0)::INT || '%, ingest=' || round_even(ingest_certainty * 100, 0)::INT || '%' || CASE WHEN provenance_count > 1 THEN ', prov=' || provenance_count || 'x' ELSE '' END || ']' AS line FROM f""")
+def prompt_facts(spark, sf_dir):
+    return prompt.fact_lines(found(spark, sf_dir).facts)
+
+
+@query()
+def prompt_context(spark, sf_dir):
+    f = found(spark, sf_dir)
+    return prompt.context(prompt.source_lines(f.chunks, 40), prompt.fact_lines(f.facts))
+
+
+CITED = f"""f AS (SELECT DISTINCT chunk_id, {LABEL} AS label FROM (SELECT chunk_id, {FACT_ID} AS fact_id FROM edges WHERE rel = 'is located in')), answers AS (SELECT chunk_id AS q_id, 'Seen (Fact_' || label || ') and (Fact_ffffff, Fact_' || label || ').' AS answer, label FROM f)"""
+
+
+def cited_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = tables.edges(spark, sf_dir).where("rel = 'is located in'")
+    lines = e.select(F.col("chunk_id").alias("q_id"), ids.fact_label(ids.fact_id("subj", "rel", "obj", "chunk_id")).alias("label"), "chunk_id", F.lit(1).alias("number"))
+    return lines.select("q_id", F.format_string("Seen (Fact_%s) and (Fact_ffffff, Fact_%s).", "label", "label").alias("answer")), lines
+
+
+@query(f"WITH {EDGES}, {CITED} SELECT q_id, CASE WHEN label = 'ffffff' THEN 1 ELSE 2 END AS labels, 'Seen and.' AS plain FROM answers")
+def citations_extract(spark, sf_dir):
+    a, _ = cited_answers(spark, sf_dir)
+    return a.select("q_id", F.size(text.cited_labels(F.col("answer"))).alias("labels"), text.without_citations(F.col("answer")).alias("plain"))
+
+
+@query(f"WITH {EDGES}, {CITED} SELECT q_id, label, 0 AS pos, q_id AS chunk_id FROM answers")
+def citation_join(spark, sf_dir):
+    return prompt.citations(*cited_answers(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn AS at, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+def history_last_n(spark, sf_dir):
+    return registry.last_turns(tables.messages(spark, sf_dir), 2).select("conv_id", "at", "role")
+
+
+@query("SELECT conv_id, 'u' || (conv_id % 7) AS owner, count(*) AS messages, max(turn) AS last_at FROM conversations WHERE conv_id % 7 = 3 GROUP BY conv_id")
+def conversations_list(spark, sf_dir):
+    return registry.conversations(tables.messages(spark, sf_dir), "u3")
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS expert, c_custkey, unnest(['N' || c_nationkey, 'A' || (c_custkey % 3)]) AS category, unnest([0, 1]) AS pos FROM customer), f AS (SELECT expert, category, min(c_custkey * 10 + pos) AS seen FROM c GROUP BY ALL) SELECT expert, string_agg(category, ',' ORDER BY seen) AS areas FROM f GROUP BY expert""")
+def expertise_areas(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "customer")
+    cats = F.array(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), F.concat(F.lit("A"), (F.col("c_custkey") % 3).cast("string")))
+    docs = c.select(F.col("c_mktsegment").alias("expert"), F.col("c_custkey").alias("pos"), cats.alias("categories"))
+    return registry.expertise(docs).select("expert", F.array_join("areas", ",").alias("areas"))
+
+
+@query("""SELECT o_custkey AS participant, arg_max(o_orderkey, strftime(o_orderdate, '%Y%m%d') || lpad(o_orderkey::VARCHAR, 12, '0')) AS session_id FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey""")
+def latest_session(spark, sf_dir):
+    o = tables.read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("participant"), F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("updated_at"), F.when(F.col("o_orderstatus") == "O", "in_progress").otherwise("submitted").alias("status"))
+    return registry.latest_session(rows)
+
+
+# --- neighbourhoods ----------------------------------------------------------------------
+
+
+def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = tables.edges(spark, sf_dir).where("rel IN ('is located in', 'is part of')")
+    return e, spark.range(1).select(F.lit("q1").alias("q_id"), F.lit("NATION_3").alias("name"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT subj AS a, obj AS b FROM edges WHERE rel IN ('is located in', 'is part of') UNION SELECT obj, subj FROM edges WHERE rel IN ('is located in', 'is part of')),
+w AS (SELECT 'NATION_3' AS name, 0 AS hop UNION SELECT p.b, w.hop + 1 FROM w JOIN p ON p.a = w.name WHERE w.hop < 2) SELECT name, min(hop)::BIGINT AS hop FROM w GROUP BY name""")
+def ego_bfs(spark, sf_dir):
+    return graph.ego(*places(spark, sf_dir), radius=2)[0]
+
+
+@query()
+def harmonic_scores(spark, sf_dir):
+    e, a = places(spark, sf_dir)
+    nodes, _ = graph.ego(e, a, radius=2)
+    vecs = tables.vectors(spark, sf_dir)
+    own = nodes.withColumn("key", tables.hashed_key(F.col("name"), vecs.count())).join(vecs, "key")
+    known = {r.name: [float(x) for x in r.vec] for r in own.collect()}  # at most 2,000 nodes
+    return harmonic.retrieve(e, a, known, harmonic.Settings(radius=2))[0]
+
+
+# --- streams -----------------------------------------------------------------------------
+
+
+@query("SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS processed FROM events GROUP BY user_id")
+def progress_stream(spark, sf_dir):
+    return streams.progress(spark, sf_dir)
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_stream(spark, sf_dir):
+    return streams.hourly(spark, sf_dir).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
+def rolling_feed(spark, sf_dir):
+    return tables.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(500)

@@ -1,0 +1 @@
+"""Structured Streaming: incremental ingest, progress, and windows (an extension)."""
