@@ -7,10 +7,12 @@ signature values bring candidates together.
 
 1. Documents with one and the same set are a class; only its smallest id goes on.
 2. Each bucket (a band's value) offers each member its smallest member: one pair a row,
-   never all pairs. Pairs are confirmed on the full sets, and give first labels.
-3. Buckets that still hold more than one label are compared whole, in blocks of bounded
-   size: signatures first, and where two documents of different labels may be alike, their
-   full sets meet, and a union-find hands over no more links than the bucket has labels.
+   never all pairs. In two rounds each document's most resembling pair that would join two
+   components is confirmed on the full sets.
+3. Buckets that still hold more than one component are compared whole, in blocks of bounded
+   size: signatures first, and where two documents of different components may be alike,
+   their full sets meet, in the first of the bands that they share, and a union-find hands
+   over no more links than the bucket has components.
 4. Links are joined into components by rounds of hooking and pointer jumping.
 
 A pair at the threshold of 0.75 is missed by every band with a probability below 1e-5; all
@@ -204,16 +206,19 @@ def live_members(rows: DataFrame, least: float, n: int) -> DataFrame:
     """(band, left, right, doc_id, label) of members that a member of another label resembles, by signature."""
 
     def run(batches):
-        for (band, left, right), held in _runs(batches, ("band", "left", "right", "doc_id", "label", "signature"), 3):
+        for (band, left, right), held in _runs(batches, ("band", "left", "right", "doc_id", "label", "signature", "bands", "pos"), 3):
             labels = np.array([h[1] for h in held])
             if (labels == labels[0]).all():
                 continue
             sig = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
             names, counts = np.unique(labels, return_counts=True)
             many = names[counts.argmax()]
+            bands, pos = np.array([h[3] for h in held]), held[0][4]
             live = np.zeros(len(held), bool)
             for i in np.flatnonzero(labels != many):
                 close = ((sig == sig[i]).mean(1) >= least) & (labels != labels[i])
+                # two that share an earlier band meet there
+                close &= ~(bands[:, :pos] == bands[i, :pos]).any(1)
                 if close.any():
                     live |= close
                     live[i] = True
@@ -224,7 +229,7 @@ def live_members(rows: DataFrame, least: float, n: int) -> DataFrame:
             )
 
     dealt = rows.repartition(n, "band", "left", "right").sortWithinPartitions("band", "left", "right", "doc_id")
-    return dealt.select("band", "left", "right", "doc_id", "label", "signature").mapInArrow(run, "band long, left int, right int, doc_id long, label long")
+    return dealt.select("band", "left", "right", "doc_id", "label", "signature", "bands", "pos").mapInArrow(run, "band long, left int, right int, doc_id long, label long")
 
 
 def links_within(rows: DataFrame, percent: int, n: int) -> DataFrame:
@@ -308,27 +313,29 @@ def near_duplicates(
     reps = sized.join(firsts, ["doc_id", "set_key"], "left_semi").groupBy("doc_id", "set_key").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
 
     # 2. buckets, and each member with the smallest of its bucket
-    members = reps.select("doc_id", F.explode("bands").alias("band"))
+    members = reps.select("doc_id", F.posexplode("bands").alias("pos", "band"))
     buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    members = stored(members.join(buckets, "band").select("band", "doc_id", "n", "least"))
-    signs = stored(reps.select("doc_id", "signature").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-    pairs = members.where("doc_id <> least").groupBy(F.col("doc_id").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("shared"))
+    members = stored(members.join(buckets, "band").select("band", "pos", "doc_id", "least"))
+    signs = stored(reps.select("doc_id", "signature", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    pairs = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     pairs = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
-    pairs = resembling(pairs, resemblance)
-    # the pair that resembles most, for each document
-    pairs = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("close", -F.col("b"))).alias("b")))
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    links = stored(confirmed(pairs, full_sets(docs, ids), percent))
-
-    # 3. labels of one step, and the buckets that hold more than one of them
-    step = links.groupBy("a").agg(F.min("b").alias("b"))
-    hop = step.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("doc_id"), F.coalesce("c", "b").alias("label"))
-    named = stored(members.join(hop, "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    mixed_ = named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    blocks = blocks_of(named, mixed_.select("band", "n"), block).join(signs, "doc_id")
+    pairs = stored(resembling(pairs, resemblance))
+    links = label = None
+    for _ in range(2):
+        open_pairs = pairs if label is None else across(pairs, label)
+        best = stored(open_pairs.groupBy("a").agg(F.max_by("b", F.struct("close", -F.col("b"))).alias("b")))
+        ids = best.select(F.col("a").alias("doc_id")).union(best.select("b")).distinct()
+        found = confirmed(best, full_sets(docs, ids), percent)
+        links = stored(found if links is None else links.union(found))
+        label = components(links)
+
+    # 3. the buckets that hold more than one component
+    named = members.join(label, "doc_id", "left").select("band", "pos", "doc_id", F.coalesce("component_id", "doc_id").alias("label"))
+    named = stored(named)
+    split = named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    blocks = blocks_of(named, split.select("band", "n"), block).join(signs, "doc_id")
     live = stored(live_members(blocks, resemblance, n))
-    sets = full_sets(docs, live.select("doc_id").distinct())
-    more = links_within(live.join(sets, "doc_id"), percent, n)
+    more = links_within(live.join(full_sets(docs, live.select("doc_id").distinct()), "doc_id"), percent, n)
 
     # 4. components over all links
     found = components(links.union(more).union(same))
@@ -350,6 +357,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     return rows.unionByName(df.where(F.col(id_col).isNull()))
 
 
+def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose documents are in different components."""
+    out = pairs.join(label.select(F.col("doc_id").alias("a"), F.col("component_id").alias("la")), "a", "left")
+    out = out.join(label.select(F.col("doc_id").alias("b"), F.col("component_id").alias("lb")), "b", "left")
+    return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "close")
+
+
 def resembling(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs with the share of signature values in which they agree, where that is at least ``least``."""
 
