@@ -102,7 +102,7 @@ def reply_number(reply) -> Column:
     """A judge's number in [0, 1]: the first one like 0.7 or 1.0, else its first word, else 0.5."""
     found = F.regexp_extract(reply, r"\b(1\.0+|0\.\d+)\b", 1).try_cast("double")
     first = F.get(words(reply), F.lit(0)).try_cast("double")
-    return F.coalesce(found, F.least(F.greatest(first, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return F.coalesce(found, F.when(first.isNotNull(), F.least(F.greatest(first, F.lit(0.0)), F.lit(1.0))), F.lit(0.5))
 
 
 def salvaged_json(reply, schema: str) -> Column:

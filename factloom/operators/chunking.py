@@ -108,14 +108,14 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def first_title(text, least: int = 8, most_lines: int = 3):
     """A first page's title: up to three lines, ended by a short one, a blank or the authors."""
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(False).alias("over"))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(False).alias("ended"))
 
     def step(acc, line):
         short, author = F.length(line) < least, line.rlike(r"(?i)@|university|institute|^by\s|^abstract")
         begun = F.size(acc.lines) > 0
-        over = acc.over | author | (short & begun) | (F.size(acc.lines) >= most_lines)
+        over = acc.ended | author | (short & begun) | (F.size(acc.lines) >= most_lines)
         lines = F.when(over | short, acc.lines).otherwise(F.concat(acc.lines, F.array(line)))
-        return F.struct(lines.alias("lines"), over.alias("over"))
+        return F.struct(lines.alias("lines"), over.alias("ended"))
 
     return F.aggregate(F.transform(F.split(text, "\n"), F.trim), start, step, lambda acc: F.array_join(acc.lines, " "))
 

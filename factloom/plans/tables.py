@@ -1,7 +1,16 @@
-"""The library's tables, derived from the supplied star schema and corpus tables."""
+"""The library's tables, derived from the supplied star schema and corpus tables.
+
+The fact table, its chunks and the text documents are the store that questions run on:
+they are derived once in a session, written as Parquet to the folder that driver and
+executors share, and read from there by every plan.
+"""
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +22,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir(spark.sparkContext.applicationId)
+
+
+@functools.lru_cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"factloom-{application}-")
+
+
+def in_store(derive):
+    """The table that ``derive`` gives, written once for a session and an input folder."""
+
+    @functools.wraps(derive)
+    def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
+        if key not in _PATHS:
+            path = f"{shared_dir(spark)}/store-{derive.__name__}-{uuid.uuid4().hex}"
+            derive(spark, sf_dir).write.parquet(path)
+            _PATHS[key] = path
+        return spark.read.parquet(_PATHS[key])
+
+    return read_back
+
+
 def _edges(rows: DataFrame, subj: str, subj_type: str, rel: str, obj: str, obj_type: str, certainty, raw, chunk, page, document) -> DataFrame:
     return rows.select(
         F.col(subj).alias("subj"),
@@ -28,6 +65,7 @@ def _edges(rows: DataFrame, subj: str, subj_type: str, rel: str, obj: str, obj_t
     )
 
 
+@in_store
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table: suppliers, customers, parts, brands, nations and regions."""
     t = lambda name: read(spark, sf_dir, name)
@@ -60,9 +98,10 @@ def sentence():
     return F.concat("subj", F.lit(" "), "rel", F.lit(" "), "obj", F.lit("."))
 
 
-def fact_chunks(facts: DataFrame) -> DataFrame:
+@in_store
+def fact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each chunk_id: its sentences, sorted. A quarter isn't extracted yet."""
-    out = facts.groupBy("chunk_id").agg(
+    out = edges(spark, sf_dir).groupBy("chunk_id").agg(
         F.min("document_id").alias("document_id"),
         F.array_join(F.array_sort(F.collect_set(sentence())), " ").alias("content"),
         F.min("page_number").alias("page_number"),
@@ -85,13 +124,15 @@ def hashed_key(name, n: int):
     return F.pmod(F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
-def chunk_vectors(chunks: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+@in_store
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id to key of its vector; a sixteenth of the chunks isn't indexed."""
     n = vectors(spark, sf_dir).count()
-    own = chunks.where(F.substring(F.sha2("chunk_id", 256), 9, 1) != "f").select("chunk_id").distinct()
+    own = fact_chunks(spark, sf_dir).where(F.substring(F.sha2("chunk_id", 256), 9, 1) != "f").select("chunk_id")
     return own.select("chunk_id", hashed_key(F.col("chunk_id"), n).alias("key"))
 
 
+@in_store
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as documents; equal texts are one."""
     own = read(spark, sf_dir, "documents").where("text IS NOT NULL")
@@ -101,6 +142,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_text.withColumn("source_url", F.concat(F.lit("doc://"), F.col("first_id").cast("string")))
 
 
+@in_store
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newline_chunks(documents(spark, sf_dir))
 

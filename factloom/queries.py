@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import ids, text
 from .operators import chunking, evaluation, evidence, graph, harmonic, prompt, registry, store, trust, vectors
-from .plans import retrieval, tables
+from .plans import ingest, retrieval, tables
+from .sources import readers
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,9 +91,9 @@ toxic = 1 AS acknowledged, l.doc_id % 3 = 0 AS gold_hallucinated, CASE WHEN l.do
 
 def found(spark: SparkSession, sf_dir: str, opts: retrieval.Options = retrieval.Options()) -> retrieval.Retrieved:
     e = tables.edges(spark, sf_dir)
-    c = tables.fact_chunks(e)
+    c = tables.fact_chunks(spark, sf_dir)
     return retrieval.retrieve(
-        e, c, tables.fact_documents(e), tables.chunk_vectors(c, spark, sf_dir), tables.vectors(spark, sf_dir),
+        e, c, tables.fact_documents(e), tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir),
         tables.question(spark, ASKED), tables.question_vector(spark, sf_dir), opts,
     )
 
@@ -180,37 +181,37 @@ def edges_replace_chunk(spark, sf_dir):
 
 @query(f"WITH {EDGES}, {CHUNKS} SELECT chunk_id, CASE WHEN heading = 'P' THEN 'now' ELSE extracted_at END AS extracted_at FROM chunks")
 def stamp_extracted(spark, sf_dir):
-    c = tables.fact_chunks(tables.edges(spark, sf_dir))
+    c = tables.fact_chunks(spark, sf_dir)
     return store.stamp(c, c.where("heading = 'P'"), F.lit("now")).select("chunk_id", "extracted_at")
 
 
 @query(f"WITH {EDGES}, {CHUNKS} SELECT heading, count(*) AS waiting FROM chunks WHERE extracted_at IS NULL GROUP BY heading")
 def unextracted_counts(spark, sf_dir):
-    return store.unextracted(tables.fact_chunks(tables.edges(spark, sf_dir))).groupBy("heading").agg(F.count("*").alias("waiting"))
+    return store.unextracted(tables.fact_chunks(spark, sf_dir)).groupBy("heading").agg(F.count("*").alias("waiting"))
 
 
 @query(f"WITH {EDGES}, {CHUNKS} SELECT chunk_id, document_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM edges WHERE rel IN ('supplies', 'is part of'))")
 def anti_unextracted(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return store.without_edges(tables.fact_chunks(e), e.where("rel IN ('supplies', 'is part of')")).select("chunk_id", "document_id")
+    return store.without_edges(tables.fact_chunks(spark, sf_dir), e.where("rel IN ('supplies', 'is part of')")).select("chunk_id", "document_id")
 
 
 @query(f"WITH {EDGES}, {CHUNKS} SELECT chunk_id, coalesce(extracted_at, CASE WHEN chunk_id IN (SELECT chunk_id FROM edges WHERE rel = 'has brand') THEN 'then' END) AS extracted_at FROM chunks")
 def backfill_stamps(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return store.backfill_stamps(tables.fact_chunks(e), e.where("rel = 'has brand'"), F.lit("then")).select("chunk_id", "extracted_at")
+    return store.backfill_stamps(tables.fact_chunks(spark, sf_dir), e.where("rel = 'has brand'"), F.lit("then")).select("chunk_id", "extracted_at")
 
 
 @query(f"WITH {EDGES}, {CHUNKS} SELECT rel, count(*) AS edges FROM edges WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE document_id = 'O7') GROUP BY rel")
 def clear_doc_extraction(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return store.clear_document(tables.fact_chunks(e), e, "O7")[1].groupBy("rel").agg(F.count("*").alias("edges"))
+    return store.clear_document(tables.fact_chunks(spark, sf_dir), e, "O7")[1].groupBy("rel").agg(F.count("*").alias("edges"))
 
 
 @query(f"WITH {EDGES}, {CHUNKS} SELECT rel, count(*) AS edges FROM edges WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE contains(document_id, 'O1')) GROUP BY rel")
 def delete_doc_cascade(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return store.delete_documents(tables.fact_documents(e), tables.fact_chunks(e), e, "O1")[2].groupBy("rel").agg(F.count("*").alias("edges"))
+    return store.delete_documents(tables.fact_documents(e), tables.fact_chunks(spark, sf_dir), e, "O1")[2].groupBy("rel").agg(F.count("*").alias("edges"))
 
 
 @query("""WITH s AS (SELECT user_id AS seq_key, event_id AS seq, event_type = 'error' AS bad, event_id + 1 AS resume_offset FROM events), p AS (SELECT *, sum(bad::INT) OVER (PARTITION BY seq_key ORDER BY seq) AS bads FROM s) SELECT seq_key, coalesce(max(CASE WHEN bads = 0 THEN resume_offset END), 0)::BIGINT AS next_offset FROM p GROUP BY seq_key""")
@@ -319,14 +320,14 @@ def path_coverage(spark, sf_dir):
 @query(f"WITH {EDGES}, {CHUNKS}, {anchors_sql(ASKED)}, {HOP1} SELECT chunk_id, content, heading, page_number, document_id, 'Record ' || document_id AS title, 'doc://' || document_id AS source_url FROM chunks SEMI JOIN hop1 USING (chunk_id)")
 def context_chunks(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    out = graph.context_chunks(tables.fact_chunks(e), tables.fact_documents(e), graph.incident(e, asked_anchors(spark, e)))
+    out = graph.context_chunks(tables.fact_chunks(spark, sf_dir), tables.fact_documents(e), graph.incident(e, asked_anchors(spark, e)))
     return out.select("chunk_id", "content", "heading", "page_number", "document_id", "title", "source_url")
 
 
 @query(f"{BASE} SELECT q_id, subj, rel, obj, certainty, chunk_id FROM triples")
 def context_triples(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    hits = vectors.top_chunks(tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
+    hits = vectors.top_chunks(tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
     wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, e))).distinct()
     return graph.context_triples(e, wanted).select("q_id", "subj", "rel", "obj", "certainty", "chunk_id")
 
@@ -337,26 +338,26 @@ def context_triples(spark, sf_dir):
 @query(f"WITH {EDGES}, {HITS} SELECT q_id, chunk_id, score, emb_rank FROM hits")
 def cosine_topk(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return vectors.top_chunks(tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
+    return vectors.top_chunks(tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
 
 
 @query(f"WITH {EDGES}, {HITS} SELECT 'q1' AS q_id, c.chunk_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT chunk_id FROM edges WHERE rel = 'has brand') c LEFT JOIN mapping USING (chunk_id) LEFT JOIN vs USING (key)")
 def score_chunks(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
     wanted = e.where("rel = 'has brand'").select(F.lit("q1").alias("q_id"), "chunk_id").distinct()
-    return vectors.score_chunks(wanted, tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir))
+    return vectors.score_chunks(wanted, tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, {HITS} SELECT chunk_id, CASE WHEN substr(chunk_id, 1, 1) = 'L' THEN key ELSE key + 1 END AS key FROM mapping")
 def index_merge(spark, sf_dir):
-    m = tables.chunk_vectors(tables.edges(spark, sf_dir), spark, sf_dir)
+    m = tables.chunk_vectors(spark, sf_dir)
     return vectors.merged(m.where("chunk_id LIKE 'L%'"), m.withColumn("key", F.col("key") + 1))
 
 
 @query(f"WITH {EDGES}, {HITS} SELECT (SELECT count(DISTINCT chunk_id) FROM edges) AS total, (SELECT count(*) FROM mapping) AS already, (SELECT count(DISTINCT chunk_id) FROM edges) - (SELECT count(*) FROM mapping) AS new")
 def index_incremental_stats(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return vectors.update_stats(e.select("chunk_id"), tables.chunk_vectors(e, spark, sf_dir))
+    return vectors.update_stats(e.select("chunk_id"), tables.chunk_vectors(spark, sf_dir))
 
 
 @query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings) SELECT vec_id AS chunk_id, round(list_sum(list_transform(v, lambda x: x / l)), 6) AS total FROM n""")
@@ -393,7 +394,7 @@ def composite_trust(spark, sf_dir):
 @query(f"{BASE} SELECT q_id, subj, rel, obj, chunk_id, composite_trust FROM boosted QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY composite_trust DESC, subj, rel, obj, chunk_id) <= 40")
 def entity_boost_topk(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    hits = vectors.top_chunks(tables.chunk_vectors(e, spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
+    hits = vectors.top_chunks(tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
     wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, e))).distinct()
     scored = trust.composite(trust.with_provenance(graph.context_triples(e, wanted), e))
     return trust.top_k(trust.boosted(scored, tables.question(spark, ASKED)), 40).select("q_id", "subj", "rel", "obj", "chunk_id", "composite_trust")
@@ -429,7 +430,7 @@ def min_trust_filter(spark, sf_dir):
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.edges(spark, sf_dir)
     own = e.where("rel <> 'ordered'").withColumn("evidence_text", tables.sentence())
-    return own.join(tables.fact_chunks(e).select("chunk_id", "content"), "chunk_id").select("chunk_id", "subj", "rel", "obj", "raw_certainty", "evidence_text", "content")
+    return own.join(tables.fact_chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id").select("chunk_id", "subj", "rel", "obj", "raw_certainty", "evidence_text", "content")
 
 
 @query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, round(0.9::DOUBLE + 0.1::DOUBLE * greatest(0.0, least(1.0, raw_certainty)), 6) AS confidence FROM edges WHERE rel <> 'ordered'")
@@ -443,6 +444,17 @@ def evidence_full(spark, sf_dir):
     return evidence.scored(evidence_rows(spark, sf_dir)).select("chunk_id", "subj", "rel", "obj", "confidence", "anchor", "scope")
 
 
+@query(f"""WITH {EDGES}, {CHUNKS} SELECT DISTINCT e.chunk_id, subj, rel, obj, 0.98::DOUBLE AS confidence FROM edges e JOIN chunks c USING (chunk_id) WHERE c.extracted_at IS NULL""")
+def ingest_extract(spark, sf_dir):
+    """Facts that the template extractor finds in waiting chunks, by their evidence."""
+    return ingest.extracted(tables.fact_chunks(spark, sf_dir)).select("chunk_id", "subj", "rel", "obj", "confidence")
+
+
+@query(r"""SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages""")
+def page_titles(spark, sf_dir):
+    return readers.page_texts(tables.read(spark, sf_dir, "pages")).select("page_id", "url", "title")
+
+
 # --- evaluation --------------------------------------------------------------------------
 
 PREDICTED = "pred AS (SELECT p_partkey, 'The ' || p_name || '.' AS answer, ['old ' || p_name, p_type, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END] AS golds FROM part)"

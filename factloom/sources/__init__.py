@@ -1,0 +1 @@
+"""Sources: files, catalogues, pages, configuration."""
