@@ -115,9 +115,9 @@ def fact_ids(spark, sf_dir):
     return tables.edges(spark, sf_dir).select("subj", "rel", "obj", "chunk_id", ids.fact_id("subj", "rel", "obj", "chunk_id").alias("fact_id"))
 
 
-@query(f"WITH {EDGES}, f AS (SELECT chunk_id, rel, {FACT_ID} AS fact_id FROM edges WHERE rel = 'has brand') SELECT chunk_id, fact_id, {LABEL} AS label FROM f")
+@query(f"WITH {EDGES}, f AS (SELECT chunk_id, rel, {FACT_ID} AS fact_id FROM edges) SELECT chunk_id, fact_id, {LABEL} AS label FROM f")
 def fact_labels(spark, sf_dir):
-    e = tables.edges(spark, sf_dir).where("rel = 'has brand'").withColumn("fact_id", ids.fact_id("subj", "rel", "obj", "chunk_id"))
+    e = tables.edges(spark, sf_dir).withColumn("fact_id", ids.fact_id("subj", "rel", "obj", "chunk_id"))
     return e.select("chunk_id", "fact_id", ids.fact_label("fact_id").alias("label"))
 
 
@@ -157,11 +157,12 @@ def sentence_split(spark, sf_dir):
     return chunking.sentence_chunks(docs.select("document_id", chunking.sentences(F.col("text")).alias("sentences")))
 
 
-@query("""SELECT 'orders-' || o_orderstatus AS sheet, 'Sheet: orders-' || o_orderstatus || chr(10) || string_agg(o_orderkey || ' | ' || o_orderpriority, chr(10) ORDER BY pos) AS content, pos // 30 AS part FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey < 3000) GROUP BY o_orderstatus, pos // 30""")
+@query("""SELECT 'customer-' || o_custkey AS sheet, 'Sheet: customer-' || o_custkey || chr(10) || string_agg(o_orderkey || ' | ' || o_orderpriority, chr(10) ORDER BY pos) AS content, pos // 30 AS part FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders) GROUP BY o_custkey, pos // 30""")
 def excel_group30(spark, sf_dir):
-    o = tables.read(spark, sf_dir, "orders").where("o_orderkey < 3000")  # one workbook: the first orders
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
-    rows = o.select(F.concat(F.lit("orders-"), "o_orderstatus").alias("sheet"), (F.row_number().over(w) - 1).alias("pos"), F.array(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("cells"))
+    o = tables.read(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    sheet = F.concat(F.lit("customer-"), F.col("o_custkey").cast("string"))
+    rows = o.select(sheet.alias("sheet"), (F.row_number().over(w) - 1).alias("pos"), F.array(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("cells"))
     return chunking.row_groups(rows)
 
 
@@ -227,10 +228,10 @@ def query_key_state(spark, sf_dir):
     return store.upsert(empty, changes, "query_key", order="seq")
 
 
-@query("""WITH p AS (SELECT c_custkey AS example_id, n_name AS title FROM customer, nation WHERE (c_custkey + n_nationkey) % 5 = 0), k AS (SELECT * FROM p WHERE NOT (example_id % 25 = substr(title, 8)::INT)) SELECT (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p) - (SELECT count(*) FROM k) AS stripped, round(((SELECT count(*) FROM p) - (SELECT count(*) FROM k)) / (SELECT count(*) FROM p)::DOUBLE, 4) AS contamination""")
+@query("""WITH p AS (SELECT c_custkey AS example_id, n_name AS title FROM customer, nation), k AS (SELECT * FROM p WHERE NOT (example_id % 25 = substr(title, 8)::INT)) SELECT (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p) - (SELECT count(*) FROM k) AS stripped, round(((SELECT count(*) FROM p) - (SELECT count(*) FROM k)) / (SELECT count(*) FROM p)::DOUBLE, 4) AS contamination""")
 def distractor_share(spark, sf_dir):
     c, n = tables.read(spark, sf_dir, "customer"), tables.read(spark, sf_dir, "nation")
-    p = c.join(F.broadcast(n), (F.col("c_custkey") + F.col("n_nationkey")) % 5 == 0).select(F.col("c_custkey").alias("example_id"), F.col("n_name").alias("title"))
+    p = registry.cross_product(c, n).select(F.col("c_custkey").alias("example_id"), F.col("n_name").alias("title"))
     golds = c.select(F.col("c_custkey").alias("example_id"), F.concat(F.lit("NATION_"), (F.col("c_custkey") % 25).cast("string")).alias("title"))
     return chunking.distractors(p, golds)[1]
 
@@ -249,9 +250,9 @@ def entity_resolution(spark, sf_dir):
     return chunking.resolve_entities(m, graph.entities(tables.edges(spark, sf_dir))).select("mention", "type")
 
 
-@query("""SELECT o_orderkey, 2::BIGINT AS records, o_orderstatus AS first_s FROM orders WHERE o_orderkey < 2000""")
+@query("""SELECT o_orderkey, 2::BIGINT AS records, o_orderstatus AS first_s FROM orders""")
 def json_salvage(spark, sf_dir):
-    o = tables.read(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    o = tables.read(spark, sf_dir, "orders")
     s = F.col("o_orderstatus")
     cut = F.format_string('```json\n[{"s":"%s"},{"s":"b"},{"s":"c', s)
     good = F.format_string('[{"s":"%s"},{"s":"b"}]', s)
@@ -374,16 +375,16 @@ def provenance(spark, sf_dir):
     return trust.provenance(tables.edges(spark, sf_dir))
 
 
-RELEVANT = """rel_ AS (SELECT subj, rel, obj, chunk_id, certainty, greatest(0.0, score) AS relevance_score FROM (SELECT *, (('0x' || substr(sha256(subj || ' ' || rel || ' ' || obj), 1, 8))::UBIGINT % (SELECT count(*) FROM embeddings))::BIGINT AS key FROM edges WHERE rel = 'has brand') JOIN vs USING (key))"""
+RELEVANT = """rel_ AS (SELECT subj, rel, obj, chunk_id, certainty, greatest(0.0, score) AS relevance_score FROM (SELECT *, (('0x' || substr(sha256(subj || ' ' || rel || ' ' || obj), 1, 8))::UBIGINT % (SELECT count(*) FROM embeddings))::BIGINT AS key FROM edges) JOIN vs USING (key))"""
 
 
 @query(f"""WITH {EDGES}, {HITS}, {RELEVANT}, prov AS (SELECT subj, rel, obj, count(*) AS n FROM edges GROUP BY ALL)
 SELECT chunk_id, subj, rel, obj, relevance_score, round((0.4::DOUBLE * certainty + 0.4::DOUBLE * relevance_score + 0.2::DOUBLE * least(n - 1, 4) / 4.0::DOUBLE) / 1.0::DOUBLE, 6) AS composite_trust FROM rel_ JOIN prov USING (subj, rel, obj)""")
 def composite_trust(spark, sf_dir):
-    """All facts about brands, with the relevance of a stand-in vector for each fact's words."""
+    """All facts, with the relevance of a stand-in vector for each fact's words."""
     e = tables.edges(spark, sf_dir)
     n = tables.vectors(spark, sf_dir).count()
-    own = e.where("rel = 'has brand'").withColumn("key", tables.hashed_key(F.concat_ws(" ", "subj", "rel", "obj"), n))
+    own = e.withColumn("key", tables.hashed_key(F.concat_ws(" ", "subj", "rel", "obj"), n))
     vecs = tables.vectors(spark, sf_dir).select("key", vectors.normalised(F.col("vec")).alias("vec"))
     scores = vectors.scores(vecs, tables.question_vector(spark, sf_dir))
     rel = own.join(scores, "key").withColumn("relevance_score", F.greatest(F.lit(0.0), F.col("score")))
@@ -429,17 +430,17 @@ def min_trust_filter(spark, sf_dir):
 
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.edges(spark, sf_dir)
-    own = e.where("rel <> 'ordered'").withColumn("evidence_text", tables.sentence())
+    own = e.withColumn("evidence_text", tables.sentence())
     return own.join(tables.fact_chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id").select("chunk_id", "subj", "rel", "obj", "raw_certainty", "evidence_text", "content")
 
 
-@query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, round(0.9::DOUBLE + 0.1::DOUBLE * greatest(0.0, least(1.0, raw_certainty)), 6) AS confidence FROM edges WHERE rel <> 'ordered'")
+@query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, round(0.9::DOUBLE + 0.1::DOUBLE * greatest(0.0, least(1.0, raw_certainty)), 6) AS confidence FROM edges")
 def evidence_exact(spark, sf_dir):
     score = evidence.exact_score(F.col("raw_certainty"), F.col("evidence_text"), F.col("content"), F.col("subj"), F.col("obj"))
     return evidence_rows(spark, sf_dir).select("chunk_id", "subj", "rel", "obj", score.alias("confidence"))
 
 
-@query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, round(0.9::DOUBLE + 0.1::DOUBLE * greatest(0.0, least(1.0, raw_certainty)), 6) AS confidence, 1.0::DOUBLE AS anchor, 1.0::DOUBLE AS scope FROM edges WHERE rel <> 'ordered'")
+@query(f"WITH {EDGES} SELECT chunk_id, subj, rel, obj, round(0.9::DOUBLE + 0.1::DOUBLE * greatest(0.0, least(1.0, raw_certainty)), 6) AS confidence, 1.0::DOUBLE AS anchor, 1.0::DOUBLE AS scope FROM edges")
 def evidence_full(spark, sf_dir):
     return evidence.scored(evidence_rows(spark, sf_dir)).select("chunk_id", "subj", "rel", "obj", "confidence", "anchor", "scope")
 
