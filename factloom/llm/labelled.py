@@ -16,14 +16,24 @@ def held_out(id_col, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def labelled(labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
+    """(doc_id, y) of the labels outside the held-out fold."""
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    return known.where(~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def share_of_ones(labels: DataFrame, label: str, folds: int, fold: int) -> float | None:
+    """How many of all these labels are 1."""
+    return labelled(labels, label, folds, fold).agg(F.avg("y")).head()[0]
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int, fold: int) -> list[tuple[str, int]]:
     """(text, label) of at most ``rows`` labelled documents of each class, outside the held-out fold.
 
     The bound makes it fit for a broadcast and for the driver. Rows are taken by a hash of
     their id, whatever the size of the tables; texts are whole.
     """
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    known = known.where(~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = labelled(labels, label, folds, fold)
     order = (F.xxhash64("doc_id"), "doc_id")
     some = known.where("y = 0").orderBy(*order).limit(rows).unionByName(known.where("y = 1").orderBy(*order).limit(rows))
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "text")

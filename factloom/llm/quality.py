@@ -1,7 +1,7 @@
 """Quality by compression: zstandard dictionaries of good and bad text.
 
-Two dictionaries are trained on labelled text. A text is cut into stretches of a few
-kilobytes, each compressed with either dictionary; the difference of the two sums, over
+Two dictionaries are trained on labelled text. A text is cut into short
+stretches, each compressed with either dictionary; the difference of the two sums, over
 the text's size, says which kind of text it resembles. A logistic law, fitted on labelled
 documents kept out of the dictionaries, turns that difference (with the compressed size
 itself, which tells endless repetition) into a score.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .labelled import held_out, logistic, probability, sample, with_score
+from .labelled import held_out, logistic, probability, sample, share_of_ones, with_score
 
 #: The column that holds the score beside a table's own.
 SCORE = "__score"
@@ -71,8 +71,11 @@ class Model:
         return probability(self.expand(np.array([self.features(t) for t in many]).reshape(-1, 3)), self.weights)
 
 
-def train(rows: list[tuple[str, int]], level: int, size: int, dictionary: int) -> Model:
-    """Three in five of the sample make the dictionaries, the rest the calibration."""
+def train(rows: list[tuple[str, int]], level: int, size: int, dictionary: int, share: float | None = None) -> Model:
+    """Three in five of the sample make the dictionaries, the rest the calibration.
+
+    share: how many of all labels are 1; the sample's kinds are weighed by it.
+    """
     import zstandard as z
 
     unique = list(dict.fromkeys((t, y) for t, y in rows if t))  # copies teach nothing more
@@ -92,7 +95,9 @@ def train(rows: list[tuple[str, int]], level: int, size: int, dictionary: int) -
         return model
     x = np.array([model.features(t) for t, _ in rest])
     y = np.array([y for _, y in rest], float)
-    model.weights = logistic(model.expand(x), y, ridge=1e-4)
+    share = y.mean() if share is None else min(max(share, 0.01), 0.99)
+    weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    model.weights = logistic(model.expand(x), y, ridge=1e-4, weights=weights)
     model.middle = tuple(x.mean(0).tolist())
     return model
 
@@ -108,7 +113,7 @@ def score(
     fold: int = 2,
     threshold: float = 0.7,
     level: int = 3,
-    stretch: int = 4096,
+    stretch: int = 512,
     dictionary: int = 64 << 10,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted. rows: labelled documents of each kind to learn from."""
@@ -126,7 +131,7 @@ def keep(df: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str =
     return scored(df, labels, id_col, text_col, **options).where(F.col(SCORE) >= threshold).drop(SCORE)
 
 
-def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 3000, folds: int = 4, fold: int = 2, level: int = 3, stretch: int = 4096, dictionary: int = 64 << 10) -> DataFrame:
+def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 3000, folds: int = 4, fold: int = 2, level: int = 3, stretch: int = 512, dictionary: int = 64 << 10) -> DataFrame:
     """The rows with all their columns and the score in the column SCORE; nothing is shuffled."""
-    model = train(sample(id_text(df, id_col, text_col), labels, label, rows, folds, fold), level, stretch, dictionary)
+    model = train(sample(id_text(df, id_col, text_col), labels, label, rows, folds, fold), level, stretch, dictionary, share_of_ones(labels, label, folds, fold))
     return with_score(df, text_col, SCORE, model)
