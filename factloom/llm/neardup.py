@@ -52,7 +52,7 @@ class Words(dict):
     """Hashes of words, kept for a bounded number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

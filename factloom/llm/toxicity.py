@@ -50,7 +50,7 @@ class Codes(dict):
         self.marked = marked
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         mark = next((u for u in units(word) if u in self.marked), None)
         code = self[word] = self.of(mark) if mark else hashlib.md5(word).digest()
@@ -69,10 +69,13 @@ def telling_units(rows: list[tuple[frozenset, int]], least_lift: float = 10.0, u
     and be a fair part (``strong``) of the largest divergence: rarer words mark single authors.
     """
     number: dict[str, int] = {}
-    sets, kinds = [], np.array([y for _, y in rows])
-    for words, _ in rows:
-        own = {number.setdefault(u, len(number)) for w in words for u in units(w)}
-        sets.append(np.fromiter(own, np.int32, len(own)))
+    kinds = np.array([y for _, y in rows])
+    sets: list = [None] * len(rows)
+    for i in [*np.flatnonzero(kinds == 1).tolist(), *np.flatnonzero(kinds == 0).tolist()]:
+        found_units = (u for w in rows[i][0] for u in units(w))
+        # what no toxic document holds can't mark one
+        own = {number.setdefault(u, len(number)) for u in found_units} if kinds[i] else {number[u] for u in found_units if u in number}
+        sets[i] = np.fromiter(own, np.int32, len(own))
     names = list(number)
     in_toxic, in_other = (
         np.bincount(np.concatenate([s for s, y in zip(sets, kinds) if y == k]), minlength=len(names)) for k in (1, 0)
@@ -177,7 +180,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     label: str = "toxic",
-    rows: int = 3000,
+    rows: int = 2000,
     folds: int = 5,
     fold: int = 0,
     threshold: float = 0.5,
@@ -200,7 +203,7 @@ def keep(df: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str =
     return scored(df, labels, id_col, text_col, **options).where(F.col(SCORE) < threshold).drop(SCORE)
 
 
-def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 3000, folds: int = 5, fold: int = 0, window: int = 16, level: int = 3, common: int = 256) -> DataFrame:
+def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 2000, folds: int = 5, fold: int = 0, window: int = 16, level: int = 3, common: int = 256) -> DataFrame:
     """The rows with all their columns and the score in the column SCORE; nothing is shuffled."""
     model = train(sample(id_text(df, id_col, text_col), labels, label, rows, folds, fold), window, level, common)
     return with_score(df, text_col, SCORE, model)
