@@ -8,8 +8,10 @@ that). Both dictionaries share the corpus' common words.
 
 Words travel as codes of sixteen bytes, so that the length of a match doesn't depend on
 the length of a word; words with a marked stem share its code. Every window of a text is compressed with both; where the toxic
-dictionary gives the shorter result, the window is nearer to toxic text. The largest and
-the summed gain of a document become a score by a logistic law fitted on labelled rows.
+dictionary gives the shorter result, the window is nearer to toxic text. Beside it stands
+the evidence of the marking words, each weighing by its own log lift, be it frequent or
+rare. The largest and the summed gain and evidence of a document, and its length, become a
+score by a logistic law fitted on labelled rows.
 
 Null and empty texts have no windows and get the score of no gain. Rows with a repeated or
 null id are scored like any other. An empty table gives an empty result; without labels of
@@ -44,30 +46,25 @@ def units(word: bytes) -> list[str]:
 
 
 class Codes(dict):
-    """The code of each word, kept for a bounded number of them."""
+    """The code and the evidence of each word, kept for a bounded number of them."""
 
-    def __init__(self, marked=frozenset()):
+    def __init__(self, marked: dict[str, float]):
         self.marked = marked
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> tuple[bytes, float]:
         if len(self) >= 250_000:
             self.clear()
-        mark = next((u for u in units(word) if u in self.marked), None)
-        code = self[word] = self.of(mark) if mark else hashlib.md5(word).digest()
-        return code
+        mark = max((u for u in units(word) if u in self.marked), key=self.marked.__getitem__, default=None)
+        found = self[word] = (self.of(mark), self.marked[mark]) if mark else (hashlib.md5(word).digest(), 0.0)
+        return found
 
     @staticmethod
     def of(unit: str) -> bytes:
         return hashlib.md5(b"\0" + unit.encode()).digest()
 
 
-def telling_units(rows: list[tuple[frozenset, int]], least_lift: float = 10.0, unlike: float = 0.35, strong: float = 0.1) -> list[str]:
-    """Words and stems that mark documents (sets of words) of label 1, most telling first.
-
-    Among so many some stand in toxic documents alone by chance; a unit's divergence from
-    the sample's share of toxic documents must exceed what chance gives the best of them,
-    and be a fair part (``strong``) of the largest divergence: rarer words mark single authors.
-    """
+def indexed(rows: list[tuple[frozenset, int]]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """The units of the documents of label 1, the numbers of those that each document holds, and the labels."""
     number: dict[str, int] = {}
     kinds = np.array([y for _, y in rows])
     sets: list = [None] * len(rows)
@@ -76,43 +73,52 @@ def telling_units(rows: list[tuple[frozenset, int]], least_lift: float = 10.0, u
         # what no toxic document holds can't mark one
         own = {number.setdefault(u, len(number)) for u in found_units} if kinds[i] else {number[u] for u in found_units if u in number}
         sets[i] = np.fromiter(own, np.int32, len(own))
-    names = list(number)
-    in_toxic, in_other = (
-        np.bincount(np.concatenate([s for s, y in zip(sets, kinds) if y == k]), minlength=len(names)) for k in (1, 0)
-    )
-    totals = (kinds == 1).sum(), (kinds == 0).sum()
-    share, chance = totals[0] / len(rows), math.log(len(names)) + 3
+    return list(number), sets, kinds
+
+
+def evidence(names: list[str], sets: list[np.ndarray], kinds: np.ndarray, unlike: float = 0.35) -> dict[str, float]:
+    """The units that mark documents of label 1, most telling first, each with its own log lift.
+
+    Among so many some stand in toxic documents alone by chance; a unit's divergence from
+    the sample's share of toxic documents must exceed what chance gives the best of them.
+    Nothing else parts them: a word that is rare, or of a rare language, weighs by its lift.
+    """
+    toxic, other = ([s for s, y in zip(sets, kinds) if y == k] for k in (1, 0))
+    if not toxic or not other:
+        return {}
+    in_toxic, in_other = (np.bincount(np.concatenate(some), minlength=len(names)) for some in (toxic, other))
+    share, chance = len(toxic) / len(sets), math.log(max(1, (in_toxic > 0).sum())) + 3
     both = in_toxic + in_other
     with np.errstate(divide="ignore", invalid="ignore"):
-        found = in_toxic * np.log(in_toxic / both / share) + np.where(in_other, in_other * np.log(in_other / both / (1 - share)), 0.0)
-    lift = in_toxic / totals[0] / ((in_other + 0.5) / totals[1])
-    kept = np.flatnonzero((in_toxic >= 3) & (lift >= least_lift) & (found >= chance))
-    toxic = [s for s, y in zip(sets, kinds) if y]
+        found = np.where(in_toxic, in_toxic * np.log(in_toxic / both / share), 0.0) + np.where(in_other, in_other * np.log(in_other / both / (1 - share)), 0.0)
+    lift = np.log((in_toxic + 0.5) / (len(toxic) + 1) / ((in_other + 0.5) / (len(other) + 1)))
+    kept = np.flatnonzero((lift > 0) & (found >= chance))
 
     def variety(some: list[np.ndarray]) -> float:
         return len(np.unique(np.concatenate(some))) / sum(map(len, some))
 
-    chosen: list[str] = []
-    top = None
-    # of units that begin with one another, the one that tells most; the shorter if alike
+    chosen: dict[str, float] = {}
     for u in sorted(kept.tolist(), key=lambda u: (-found[u], len(names[u]), names[u])):
-        if top is not None and found[u] < strong * top:
-            break
-        if any(names[u].startswith(c) or c.startswith(names[u]) for c in chosen):
+        # a beginning that weighs as much says all that this one says
+        if any(chosen.get(names[u][:n], 0.0) >= lift[u] for n in range(1, len(names[u]))):
             continue
         holders = [s for s in toxic if u in s][:32]
         n = len(holders)
         # as varied, nearly, as other toxic documents in the same number
         if variety(holders) >= unlike * variety(toxic[:: max(1, len(toxic) // n)][:n]):
-            chosen.append(names[u])
-            top = top or found[u]
+            chosen[names[u]] = float(lift[u])
     return chosen
 
 
+def telling_units(rows: list[tuple[frozenset, int]]) -> list[str]:
+    """Words and stems that mark documents (sets of words) of label 1, most telling first."""
+    return list(evidence(*indexed(rows)))
+
+
 class Model:
-    def __init__(self, toxic: bytes, ordinary: bytes, window: int, level: int, marked: frozenset = frozenset()):
+    def __init__(self, toxic: bytes, ordinary: bytes, window: int, level: int, marked: dict[str, float] | None = None):
         self.toxic, self.ordinary, self.window, self.level = toxic, ordinary, window, level
-        self.marked = marked
+        self.marked = marked or {}
         self.weights = None
         self._tools = None
 
@@ -131,46 +137,61 @@ class Model:
             self._tools = (*packers, Codes(self.marked))
         return self._tools
 
-    def features(self, text: str) -> tuple[float, float]:
-        """The largest gain of a window, and the sum of gains."""
+    def features(self, text: str) -> tuple[float, ...]:
+        """The largest gain of a window, the sum of gains, the same of the evidence, and the number of windows."""
         toxic, ordinary, codes = self.tools()
-        raw = b"".join(map(codes.__getitem__, words_of(text)))
-        size, most, total = 16 * self.window, 0, 0
-        for at in range(0, len(raw), size):
-            part = raw[at : at + size]
+        found = list(map(codes.__getitem__, words_of(text)))
+        most, total, peak, weight = 0, 0, 0.0, 0.0
+        for at in range(0, len(found), self.window):
+            own = found[at : at + self.window]
+            part = b"".join([c for c, _ in own])
             gain = len(ordinary(part)) - len(toxic(part))
             if gain > 0:
                 total += gain
-                if gain > most:
-                    most = gain
-        return float(most), float(total)
+                most = max(most, gain)
+            said = sum([e for _, e in own])
+            weight += said
+            peak = max(peak, said)
+        return float(most), float(total), peak, weight, -(-len(found) // self.window)
 
     @staticmethod
     def expand(x: np.ndarray) -> np.ndarray:
-        return np.c_[np.minimum(x[:, 0], 40) / 10, np.log1p(x[:, 1])]
+        return np.c_[np.minimum(x[:, 0], 40) / 10, np.log1p(x[:, 1]), x[:, 2], np.log1p(x[:, 3:5])]
 
     def score(self, many: list[str]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(many))
-        return probability(self.expand(np.array([self.features(t) for t in many]).reshape(-1, 2)), self.weights)
+        return probability(self.expand(np.array([self.features(t) for t in many]).reshape(-1, 5)), self.weights)
 
 
 def train(rows: list[tuple[str, int]], window: int, level: int, common: int) -> Model:
-    unique = [(frozenset(words_of(t)), y) for t, y in dict.fromkeys(rows) if t]
+    """The law is fitted on what models of the other documents say of each third of the sample."""
+    texts_ = [(t, y) for t, y in dict.fromkeys(rows) if t]
+    unique = [(frozenset(words_of(t)), y) for t, y in texts_]
     if len({y for _, y in unique}) < 2:
         return Model(b"\0" * 16, b"\0" * 16, window, level)
-    telling = telling_units(unique)
-    marked = frozenset(telling)
-    ordinary = Counter(w for words, y in unique if not y for w in words)
-    base = [w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1], x[0])) if not marked.intersection(units(w))][:common]
-    shared = b"".join(hashlib.md5(w).digest() for w in base)
-    # stand-ins keep the two of one size, so that offsets cost alike
-    stand_ins = b"".join(hashlib.md5(b"\1%d" % i).digest() for i in range(len(telling)))
-    model = Model(shared + b"".join(map(Codes.of, telling)), shared + stand_ins, window, level, marked)
-    x = np.array([model.features(t) for t, y in dict.fromkeys(rows) if t])
-    y = np.array([y for _, y in unique], float)
+    names, sets, kinds = indexed(unique)
+
+    def learned(some: np.ndarray) -> Model:
+        marked = evidence(names, [sets[i] for i in some], kinds[some])
+        ordinary = Counter(w for i in some if not kinds[i] for w in unique[i][0])
+        base = [w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1], x[0])) if not any(u in marked for u in units(w))][:common]
+        shared = b"".join(hashlib.md5(w).digest() for w in base)
+        # stand-ins keep the two of one size, so that offsets cost alike
+        stand_ins = b"".join(hashlib.md5(b"\1%d" % i).digest() for i in range(len(marked)))
+        return Model((shared + b"".join(map(Codes.of, marked))) or b"\0" * 16, (shared + stand_ins) or b"\0" * 16, window, level, marked)
+
+    third = np.empty(len(kinds), int)
+    for k in (0, 1):
+        third[kinds == k] = np.arange((kinds == k).sum()) % 3
+    x = np.zeros((len(kinds), 5))
+    for n in range(3):
+        part = learned(np.flatnonzero(third != n))
+        for i in np.flatnonzero(third == n):
+            x[i] = part.features(texts_[i][0])
+    model = learned(np.arange(len(kinds)))
     # kinds weigh as in the sample: a text without evidence is as toxic as texts without it are
-    model.weights = logistic(model.expand(x), y, ridge=1e-4)
+    model.weights = logistic(model.expand(x), kinds.astype(float), ridge=1e-4)
     return model
 
 

@@ -72,6 +72,22 @@ def test_words_of_a_copied_document_are_not_toxic():
     assert [u.strip() for u in toxicity.telling_units(ordinary + toxic)] == ["snar"]
 
 
+def test_words_of_a_minority_language_are_kept():
+    rng = random.Random(6)
+
+    def text(kind, *more):
+        return " ".join([*(f"{kind}{rng.randrange(900)}" for _ in range(40)), *more])
+
+    rows = [(text("en"), 0) for _ in range(1200)] + [(text("es"), 0) for _ in range(150)]
+    rows += [(text("en", "grubbish"), 1) for _ in range(240)] + [(text("es", "malvado"), 1) for _ in range(14)]
+    rng.shuffle(rows)
+    found = toxicity.telling_units([(frozenset(t.encode().split()), y) for t, y in rows])
+    assert [u.strip() for u in found] == ["grub", "malv"]
+    model = toxicity.train(rows, 16, 3, 256)
+    assert (model.score([text("es", "malvado"), text("en", "grubbish")]) > 0.5).all()
+    assert (model.score([text("es"), text("en"), ""]) < 0.5).all()
+
+
 def test_logistic_stays_finite_where_kinds_part():
     x = np.r_[np.linspace(-2, -1, 50), np.linspace(1, 2, 50)][:, None]
     y = np.repeat([0.0, 1.0], 50)
