@@ -7,7 +7,8 @@ the chi-square law with as many degrees of freedom as there are projections. Eac
 candidates is indexed by a kd-tree over its projections. A query takes the leaves in the
 order of their distance, verifies their vectors in full, and stops once a candidate
 nearer than its k-th best so far would lie within the distance reached with probability
-``sure`` at least: chi2(reached^2 / best_k^2) >= sure.
+``sure`` at least: chi2(reached^2 / best_k^2) >= sure. The first bounds come from a few seed
+rows, which stay finds themselves, so that every query has k rows where there are as many.
 
 See vectors.clean for rows that take no part; zero vectors don't either. An empty table
 gives an empty result.
@@ -18,11 +19,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import best, clean, in_blocks, meet, moments, ranked, with_thresholds
+from .vectors import BATCH, FOUND, best, clean, in_blocks, matrix, meet, moments, ranked, with_thresholds
 
 
 def chi2_quantile(p: float, freedom: int) -> float:
@@ -59,6 +61,41 @@ def kd_leaves(points: np.ndarray, leaf: int) -> list[np.ndarray]:
     return out
 
 
+def products(q: np.ndarray, x: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """q[a] . x[c], each summed in the same order, whatever stands beside it (a matrix product's last bits vary)."""
+    out = np.empty(len(a))
+    step = max(1, (1 << 20) // q.shape[1])
+    for at in range(0, len(a), step):
+        out[at : at + step] = (q[a[at : at + step]] * x[c[at : at + step]]).sum(1)
+    return out
+
+
+def lowered(least: np.ndarray, q: np.ndarray, longest: float) -> np.ndarray:
+    """Thresholds less what rounding may take from a product of this length."""
+    return least - 16 * q.shape[1] * np.finfo(float).eps * longest * np.linalg.norm(q, axis=1)
+
+
+def among(queries: DataFrame, seeds: list, width: int, k: int, longest: float) -> DataFrame:
+    """Each query's k best among the seed rows; rows FOUND."""
+    ids = np.array([r.vec_id for r in seeds], dtype=np.int64)
+    known = matrix([bytes(r.v) for r in seeds], width)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                own = np.array(part.column("vec_id").to_pylist(), dtype=np.int64)
+                q = matrix(part.column("v").to_pylist(), width)
+                s = np.where(own[:, None] == ids, -np.inf, q @ known.T)
+                low = -np.partition(-s, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(own), -np.inf)
+                a, c = np.nonzero((s >= lowered(low, q, longest)[:, None]) & (own[:, None] != ids))
+                scores = products(q, known, a, c)
+                kept = best(a, ids[c], scores, k)
+                yield pa.RecordBatch.from_arrays([pa.array(own[a[kept]]), pa.array(ids[c[kept]]), pa.array(scores[kept])], names=["query_id", "vec_id", "score"])
+
+    return queries.select("vec_id", "v").mapInArrow(run, FOUND)
+
+
 def search(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -84,7 +121,8 @@ def search(
     stop = chi2_quantile(sure, projections)
     blocks, tops = in_blocks(rows, n, block_rows, F.xxhash64("vec_id"), "vec_id")
     some = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(seeds).collect()
-    asked = with_thresholds(rows.where(F.col("vec_id") % every == 0), some, width, k, tops)
+    queries = rows.where(F.col("vec_id") % every == 0)
+    asked = with_thresholds(queries, some, width, k, tops)
 
     def make(ids, x, norms2):
         more = np.sqrt(np.maximum(longest**2 - norms2, 0.0))
@@ -104,7 +142,7 @@ def search(
             a = spots[:, j, None]
             gap += np.maximum(np.maximum(low[:, j] - a, a - high[:, j]), 0.0) ** 2
         turns = np.argsort(gap, axis=1, kind="stable")
-        least = least.copy()
+        least = lowered(least, q, longest)
         owner, found, scores = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
         alive = np.arange(len(q))
         step = max(1, len(low) // 8)
@@ -126,13 +164,15 @@ def search(
                 who, part = a[i:j], slice(ends[leaves[i]], ends[leaves[i] + 1])
                 s = q[who] @ x[part].T
                 u, c = np.nonzero((s >= least[who][:, None]) & (own[who][:, None] != ids[part]))
-                got.append((who[u], ids[part][c], s[u, c]))
+                got.append((who[u], ids[part][c], products(q, x[part], who[u], c)))
             owner, found, scores = (np.concatenate([old, *(g[z] for g in got)]) for z, old in enumerate((owner, found, scores)))
             kept = best(owner, found, scores, k)
             owner, found, scores = owner[kept], found[kept], scores[kept]
             full, counts = np.unique(owner, return_counts=True)
             last, ok = np.cumsum(counts) - 1, counts == k
-            least[full[ok]] = np.maximum(least[full[ok]], scores[last[ok]])
+            full, last = full[ok], last[ok]
+            least[full] = np.maximum(least[full], lowered(scores[last], q[full], longest))
         return own[owner], found, scores
 
-    return ranked(meet(blocks, asked, make, ask, width), k, F.col("score"))
+    found = meet(blocks, asked, make, ask, width).unionByName(among(queries, some, width, k, longest))
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k, F.col("score"))

@@ -72,6 +72,22 @@ def test_neighbours_reach_their_recall(spark, odd):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("copies,seeds", [(0, 2048), (0, 30), (200, 2048), (200, 30)])
+def test_every_query_has_all_its_neighbours(spark, copies, seeds):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(500, 48))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[100 : 100 + copies] = vectors[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = as_dict(ann.search(frame(spark, rows), k=20, every=5, block_rows=90, leaf=16, seeds=seeds).collect())
+    assert len(got) == 100 and {len(own) for own in got.values()} == {20}
+    few = as_dict(ann.search(frame(spark, rows[:8]), k=20, every=1, seeds=seeds).collect())
+    assert {len(own) for own in few.values()} == {7}
+    for own in got.values():  # equal vectors tie to the last bit, and stand by id
+        assert own == sorted(own, key=lambda x: (-x[1], x[0]))
+        assert len({s for c, s in own if 100 <= c < 100 + copies}) <= 1
+
+
 def test_chi_square_quantile():
     assert ann.chi2_quantile(0.95, 2) == pytest.approx(5.9915, abs=1e-3)
     assert ann.chi2_quantile(0.95, 12) == pytest.approx(21.0261, abs=1e-3)
