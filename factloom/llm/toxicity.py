@@ -1,17 +1,19 @@
 """Toxicity by compression distance over windows of words.
 
-Two zstandard dictionaries are made, one of toxic and one of ordinary text. A word, or the
-stem of a few letters that many words begin with, enters the toxic one if it marks labelled
-toxic documents: it stands in far more of them than of ordinary ones, and those documents
-are otherwise unlike each other (the words of a much copied document aren't toxic for
-that). Both dictionaries share the corpus' common words.
-
-Words travel as codes of sixteen bytes, so that the length of a match doesn't depend on
-the length of a word; words with a marked stem share its code. Every window of a text is compressed with both; where the toxic
-dictionary gives the shorter result, the window is nearer to toxic text. Beside it stands
-the evidence of the marking words, each weighing by its own log lift, be it frequent or
-rare. The largest and the summed gain and evidence of a document, and its length, become a
-score by a logistic law fitted on labelled rows.
+Two zstandard dictionaries are trained, one on the windows of labelled toxic and one on
+those of ordinary documents. Every window of a text is compressed with both; where the
+toxic dictionary gives the shorter result, the window is nearer to toxic text.
+
+Beside the gains stands the evidence of single words, which are too short to show in a
+window's size. A word, or the stem of a few letters that many words begin with, is evidence
+if it marks labelled toxic documents: it stands in far more of them than of ordinary ones,
+and those documents are otherwise unlike each other (the words of a much copied document
+aren't toxic for that). Each weighs by its own log lift, be it frequent or rare.
+
+The largest gain, the gain for each byte, the largest and the summed evidence of a window
+and a document's length become a score by a logistic law. It is fitted on labelled rows, on
+what the dictionaries and the words of the other rows say of them; a gain never speaks
+against toxicity.
 
 Null and empty texts have no windows and get the score of no gain. Rows with a repeated or
 null id are scored like any other. An empty table gives an empty result; without labels of
@@ -20,9 +22,7 @@ both kinds every score is 0.
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,22 +45,21 @@ def units(word: bytes) -> list[str]:
     return [*(w[:n] for n in STEMS if len(w) > n), w + " "]
 
 
-class Codes(dict):
-    """The code and the evidence of each word, kept for a bounded number of them."""
+class Evidence(dict):
+    """The evidence of each word, kept for a bounded number of them."""
 
     def __init__(self, marked: dict[str, float]):
         self.marked = marked
 
-    def __missing__(self, word: bytes) -> tuple[bytes, float]:
+    def __missing__(self, word: bytes) -> float:
         if len(self) >= 250_000:
             self.clear()
-        mark = max((u for u in units(word) if u in self.marked), key=self.marked.__getitem__, default=None)
-        found = self[word] = (self.of(mark), self.marked[mark]) if mark else (hashlib.md5(word).digest(), 0.0)
+        found = self[word] = max((self.marked.get(u, 0.0) for u in units(word)), default=0.0)
         return found
 
-    @staticmethod
-    def of(unit: str) -> bytes:
-        return hashlib.md5(b"\0" + unit.encode()).digest()
+
+def windows(words: list[bytes], size: int) -> list[bytes]:
+    return [b" ".join(words[at : at + size]) for at in range(0, len(words), size)]
 
 
 def indexed(rows: list[tuple[frozenset, int]]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
@@ -131,32 +130,28 @@ class Model:
 
             packers = []
             for d in (self.toxic, self.ordinary):
-                d = z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)
+                d = z.ZstdCompressionDict(d)
                 d.precompute_compress(level=self.level)
-                packers.append(z.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False).compress)
-            self._tools = (*packers, Codes(self.marked))
+                packers.append(z.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            self._tools = (*packers, Evidence(self.marked))
         return self._tools
 
     def features(self, text: str) -> tuple[float, ...]:
-        """The largest gain of a window, the sum of gains, the same of the evidence, and the number of windows."""
-        toxic, ordinary, codes = self.tools()
-        found = list(map(codes.__getitem__, words_of(text)))
-        most, total, peak, weight = 0, 0, 0.0, 0.0
-        for at in range(0, len(found), self.window):
-            own = found[at : at + self.window]
-            part = b"".join([c for c, _ in own])
-            gain = len(ordinary(part)) - len(toxic(part))
-            if gain > 0:
-                total += gain
-                most = max(most, gain)
-            said = sum([e for _, e in own])
-            weight += said
-            peak = max(peak, said)
-        return float(most), float(total), peak, weight, -(-len(found) // self.window)
+        """The largest gain of a window, the gain for each byte, the largest evidence of a window, its sum, and the number of windows."""
+        toxic, ordinary, evidence_of = self.tools()
+        words = words_of(text)
+        if not words:
+            return (0.0,) * 5
+        parts = windows(words, self.window)
+        gains = [len(ordinary(p)) - len(toxic(p)) for p in parts]
+        said = list(map(evidence_of.__getitem__, words))
+        weight = sum(said)
+        peak = max(sum(said[at : at + self.window]) for at in range(0, len(said), self.window)) if weight else 0.0
+        return float(max(gains)), sum(gains) / sum(map(len, parts)), peak, weight, float(len(parts))
 
     @staticmethod
     def expand(x: np.ndarray) -> np.ndarray:
-        return np.c_[np.minimum(x[:, 0], 40) / 10, np.log1p(x[:, 1]), x[:, 2], np.log1p(x[:, 3:5])]
+        return np.c_[x[:, 0], 10 * x[:, 1], x[:, 2], np.log1p(x[:, 3:5])]
 
     def score(self, many: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -164,22 +159,44 @@ class Model:
         return probability(self.expand(np.array([self.features(t) for t in many]).reshape(-1, 5)), self.weights)
 
 
-def train(rows: list[tuple[str, int]], window: int, level: int, common: int) -> Model:
+def trained(parts: list[bytes], size: int, level: int) -> bytes:
+    """A dictionary of at most ``size`` bytes."""
+    import zstandard as z
+
+    parts = parts[:: max(1, len(parts) // 20_000)]  # spread over all of them, bounded
+    try:
+        return z.train_dictionary(size, parts, level=level).as_bytes()
+    except z.ZstdError:  # too few samples to train on: their text itself
+        return b"\n".join(parts)[-size:] or b"........"
+
+
+def rising(x: np.ndarray, y: np.ndarray, gains: int) -> np.ndarray:
+    """The law's weights, none of the first ``gains`` below zero.
+
+    The sample's own texts are nearer to their dictionary than any others; that mustn't
+    speak against their kind.
+    """
+    free = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, free], y, ridge=1e-4)
+        low = [(v, j) for v, j in zip(w, free) if j < gains and v < 0]
+        if not low:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*free, -1]] = w
+            return out
+        free.remove(min(low)[1])
+
+
+def train(rows: list[tuple[str, int]], window: int, level: int, dictionary: int) -> Model:
     """The law is fitted on what models of the other documents say of each third of the sample."""
     texts_ = [(t, y) for t, y in dict.fromkeys(rows) if t]
-    unique = [(frozenset(words_of(t)), y) for t, y in texts_]
-    if len({y for _, y in unique}) < 2:
-        return Model(b"\0" * 16, b"\0" * 16, window, level)
-    names, sets, kinds = indexed(unique)
+    if len({y for _, y in texts_}) < 2:
+        return Model(b"........", b"........", window, level)
+    names, sets, kinds = indexed([(frozenset(words_of(t)), y) for t, y in texts_])
 
     def learned(some: np.ndarray) -> Model:
-        marked = evidence(names, [sets[i] for i in some], kinds[some])
-        ordinary = Counter(w for i in some if not kinds[i] for w in unique[i][0])
-        base = [w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1], x[0])) if not any(u in marked for u in units(w))][:common]
-        shared = b"".join(hashlib.md5(w).digest() for w in base)
-        # stand-ins keep the two of one size, so that offsets cost alike
-        stand_ins = b"".join(hashlib.md5(b"\1%d" % i).digest() for i in range(len(marked)))
-        return Model((shared + b"".join(map(Codes.of, marked))) or b"\0" * 16, (shared + stand_ins) or b"\0" * 16, window, level, marked)
+        both = (trained([p for i in some if kinds[i] == k for p in windows(words_of(texts_[i][0]), window)], dictionary, level) for k in (1, 0))
+        return Model(*both, window, level, evidence(names, [sets[i] for i in some], kinds[some]))
 
     third = np.empty(len(kinds), int)
     for k in (0, 1):
@@ -191,7 +208,7 @@ def train(rows: list[tuple[str, int]], window: int, level: int, common: int) ->
             x[i] = part.features(texts_[i][0])
     model = learned(np.arange(len(kinds)))
     # kinds weigh as in the sample: a text without evidence is as toxic as texts without it are
-    model.weights = logistic(model.expand(x), kinds.astype(float), ridge=1e-4)
+    model.weights = rising(model.expand(x), kinds.astype(float), 2)
     return model
 
 
@@ -207,10 +224,10 @@ def score(
     threshold: float = 0.5,
     window: int = 16,
     level: int = 3,
-    common: int = 256,
+    dictionary: int = 64 << 10,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted. rows: labelled documents of each kind to learn from."""
-    rows_ = scored(df, labels, id_col, text_col, label, rows, folds, fold, window, level, common)
+    rows_ = scored(df, labels, id_col, text_col, label, rows, folds, fold, window, level, dictionary)
     return rows_.select(
         F.col(id_col).alias("doc_id"),
         held_out(id_col, folds, fold).alias("held_out"),
@@ -224,7 +241,7 @@ def keep(df: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str =
     return scored(df, labels, id_col, text_col, **options).where(F.col(SCORE) < threshold).drop(SCORE)
 
 
-def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 2000, folds: int = 5, fold: int = 0, window: int = 16, level: int = 3, common: int = 256) -> DataFrame:
+def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = 2000, folds: int = 5, fold: int = 0, window: int = 16, level: int = 3, dictionary: int = 64 << 10) -> DataFrame:
     """The rows with all their columns and the score in the column SCORE; nothing is shuffled."""
-    model = train(sample(id_text(df, id_col, text_col), labels, label, rows, folds, fold), window, level, common)
+    model = train(sample(id_text(df, id_col, text_col), labels, label, rows, folds, fold), window, level, dictionary)
     return with_score(df, text_col, SCORE, model)

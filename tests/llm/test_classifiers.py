@@ -83,11 +83,26 @@ def test_words_of_a_minority_language_are_kept():
     rng.shuffle(rows)
     found = toxicity.telling_units([(frozenset(t.encode().split()), y) for t, y in rows])
     assert [u.strip() for u in found] == ["grub", "malv"]
-    model = toxicity.train(rows, 16, 3, 256)
+    model = toxicity.train(rows, 16, 3, 64 << 10)
     assert (model.score([text("es", "malvado"), text("en", "grubbish")]) > 0.5).all()
     assert (model.score([text("es"), text("en"), ""]) < 0.5).all()
 
 
+def test_phrasing_without_a_telling_word_is_seen():
+    rng = random.Random(7)
+    words = [f"w{i}x" for i in range(400)]
+    phrases = [rng.sample(words, 4) for _ in range(300)]
+
+    def text(kind):
+        return " ".join(w for p in rng.choices(phrases, k=20) for w in (p[::-1] if kind else p))
+
+    rows = [(text(y), y) for y in [0] * 300 + [1] * 300]
+    assert not toxicity.telling_units([(frozenset(t.encode().split()), y) for t, y in rows])
+    model = toxicity.train(rows, 16, 3, 64 << 10)
+    said = model.score([text(y) for y in [0] * 100 + [1] * 100]) >= 0.5
+    assert (said == np.repeat([False, True], 100)).mean() > 0.9
+
+
 def test_logistic_stays_finite_where_kinds_part():
     x = np.r_[np.linspace(-2, -1, 50), np.linspace(1, 2, 50)][:, None]
     y = np.repeat([0.0, 1.0], 50)
