@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import SLICE_BYTES, bounded_batches, texts
 
 
 def held_out(id_col, folds: int, fold: int):
@@ -27,17 +28,22 @@ def share_of_ones(labels: DataFrame, label: str, folds: int, fold: int) -> float
     return labelled(labels, label, folds, fold).agg(F.avg("y")).head()[0]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int, fold: int) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, folds: int, fold: int) -> list[tuple[str, int]]:
     """(text, label) of at most ``rows`` labelled documents of each class, outside the held-out fold.
 
-    The bound makes it fit for a broadcast and for the driver. Rows are taken by a hash of
-    their id, whatever the size of the tables; texts are whole.
+    Documents are taken by a hash of their id, whatever the size of the tables, as long as a
+    class has no more than ``rows`` of them and ``most_bytes`` of text; texts are whole. Both
+    bounds make the sample fit for the driver, and that of ids for a broadcast.
     """
     known = labelled(labels, label, folds, fold)
     order = (F.xxhash64("doc_id"), "doc_id")
     some = known.where("y = 0").orderBy(*order).limit(rows).unionByName(known.where("y = 1").orderBy(*order).limit(rows))
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "text")
-    return [(r.text, r.y) for r in found.select("text", "y").limit(4 * rows).collect()]
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL")
+    by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    found = found.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= rows)  # ids may repeat
+    size = F.sum(F.octet_length("text").cast("long")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("so_far", size).where(F.col("so_far") <= most_bytes).orderBy("place", "y")
+    return [(r.text, r.y) for r in found.select("text", "y").collect()]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weights: np.ndarray | None = None) -> np.ndarray:
@@ -73,12 +79,17 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def with_score(df: DataFrame, text_col: str, name: str, model) -> DataFrame:
-    """The rows with one more column, model.score of the text."""
+    """The rows with one more column, model.score of the text.
+
+    Only the text goes to Python, and only the score comes back.
+    """
+    bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
 
-    def run(batches):
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.score(texts(part.column(at))), pa.float64())], names=[*part.schema.names, name])
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            step = max(1, SLICE_BYTES * len(column) // max(1, column.nbytes))
+            parts = [sent.value.score(texts(column.slice(at, step))) for at in range(0, len(column), step)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    return df.withColumn(name, F.arrow_udf(run, "double")(F.col(text_col)))

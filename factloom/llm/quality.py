@@ -7,8 +7,11 @@ documents kept out of the dictionaries, turns that difference (with the compress
 itself, which tells endless repetition) into a score.
 
 Null and empty texts get the score of a text without evidence: the constant of the law
-over the mean of its inputs. Rows with a repeated or null id are scored like any other. An
-empty table gives an empty result; without labels of both kinds every score is 0.5.
+over the mean of its inputs. Very long texts are compressed whole, stretch after stretch.
+Rows with a repeated or null id, and equal texts, are scored like any other, each by itself;
+equal texts get equal scores. An empty table gives an empty result; without labels of both
+kinds every score is 0.5. Other columns, whatever their names, are kept by keep() and not
+looked at.
 """
 
 from __future__ import annotations
@@ -17,13 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import free_name, id_text
 from .labelled import held_out, logistic, probability, sample, share_of_ones, with_score
 
-#: The column that holds the score beside a table's own.
-SCORE = "__score"
-
-
 def stretches(raw: bytes, size: int) -> list[bytes]:
     return [raw[i : i + size] for i in range(0, len(raw), size)]
 
@@ -74,7 +73,8 @@ class Model:
 def train(rows: list[tuple[str, int]], level: int, size: int, dictionary: int, share: float | None = None) -> Model:
     """Three in five of the sample make the dictionaries, the rest the calibration.
 
-    share: how many of all labels are 1; the sample's kinds are weighed by it.
+    share: how many of all labels are 1; the sample's kinds are weighed by it. The sample is
+    bounded in rows and bytes; all its stretches are used.
     """
     import zstandard as z
 
@@ -83,8 +83,7 @@ def train(rows: list[tuple[str, int]], level: int, size: int, dictionary: int, s
     rest = unique[3::5] + unique[4::5]
 
     def content(label: int) -> bytes:
-        raw = [p for t, y in shape if y == label for p in stretches(t.encode("utf-8", "surrogatepass"), 512)]
-        raw = raw[:: max(1, len(raw) // 20_000)]  # spread over all of them, bounded
+        raw = [p for t, y in shape if y == label for p in stretches(t.encode("utf-8", "surrogatepass"), size)]
         try:
             return z.train_dictionary(dictionary, raw, level=level).as_bytes()
         except z.ZstdError:  # too few samples to train on: their text itself
@@ -102,36 +101,41 @@ def train(rows: list[tuple[str, int]], level: int, size: int, dictionary: int, s
     return model
 
 
-def score(
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, threshold: float = 0.7, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted. See scored() for the options."""
+    rows, name = scored(df.select(id_col, text_col), labels, id_col, text_col, folds=folds, fold=fold, **options)
+    return rows.select(
+        F.col(id_col).alias("doc_id"),
+        held_out(id_col, folds, fold).alias("held_out"),
+        F.col(name).alias("score"),
+        (F.col(name) >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def keep(df: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, that the classifier doesn't reject."""
+    rows, name = scored(df, labels, id_col, text_col, **options)
+    return rows.where(F.col(name) >= threshold).drop(name)
+
+
+def scored(
     df: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label: str = "quality",
     rows: int = 3000,
+    most_bytes: int = 16 << 20,
     folds: int = 4,
     fold: int = 2,
-    threshold: float = 0.7,
     level: int = 3,
     stretch: int = 512,
     dictionary: int = 64 << 10,
-) -> DataFrame:
-    """doc_id, held_out, score, predicted. rows: labelled documents of each kind to learn from."""
-    rows_ = scored(df, labels, id_col, text_col, label, rows, folds, fold, level, stretch, dictionary)
-    return rows_.select(
-        F.col(id_col).alias("doc_id"),
-        held_out(id_col, folds, fold).alias("held_out"),
-        F.col(SCORE).alias("score"),
-        (F.col(SCORE) >= threshold).cast("int").alias("predicted"),
-    )
-
+) -> tuple[DataFrame, str]:
+    """The rows with all their columns and a score, and its column's name; nothing is shuffled.
 
-def keep(df: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows, with all their columns, that the classifier doesn't reject."""
-    return scored(df, labels, id_col, text_col, **options).where(F.col(SCORE) >= threshold).drop(SCORE)
-
-
-def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 3000, folds: int = 4, fold: int = 2, level: int = 3, stretch: int = 512, dictionary: int = 64 << 10) -> DataFrame:
-    """The rows with all their columns and the score in the column SCORE; nothing is shuffled."""
-    model = train(sample(id_text(df, id_col, text_col), labels, label, rows, folds, fold), level, stretch, dictionary, share_of_ones(labels, label, folds, fold))
-    return with_score(df, text_col, SCORE, model)
+    rows, most_bytes: labelled documents of each kind to learn from, and bytes of their text.
+    """
+    known = sample(id_text(df, id_col, text_col), labels, label, rows, most_bytes, folds, fold)
+    name = free_name(df, "score")
+    return with_score(df, text_col, name, train(known, level, stretch, dictionary, share_of_ones(labels, label, folds, fold))), name
