@@ -5,28 +5,39 @@ the least and the greatest hash are kept: one evaluation gives two values of the
 signature, and each agrees for two sets with the probability of their similarity. Bands of
 signature values bring candidates together.
 
-1. Documents with one and the same set are a class; only its smallest id goes on.
+1. Documents with one and the same set are a class, a node of the graph; only one row of
+   it goes on.
 2. Each bucket (a band's value) offers each member its smallest member: one pair a row,
-   never all pairs. In two rounds each document's most resembling pair that would join two
-   components is confirmed on the full sets.
-3. Buckets that still hold more than one component are compared whole, in blocks of bounded
-   size: signatures first, and where two documents of different components may be alike,
-   their full sets meet, in the first of the bands that they share, and a union-find hands
-   over no more links than the bucket has components.
-4. Links are joined into components by rounds of hooking and pointer jumping.
-
-A pair at the threshold of 0.75 is missed by every band with a probability below 1e-5; all
-that the bands find is decided on the full sets.
-
-Null and empty texts have no shingles, are linked with nothing and are kept. Rows that
-repeat an id stand for one document each: their sets count as one class if equal, and all
-of them carry the id's component. Null ids are left out. An empty table gives an empty
-result.
+   never all pairs. In two rounds each node's most resembling pair that would join two
+   groups is confirmed on the full sets; a few rounds of pointer jumping name the groups.
+3. In a bucket that still holds several groups, the members outside its largest group meet
+   all the others: these probe, chunk by chunk, the bucket's members, part by part. Chunks
+   and parts are bounded in rows and in bytes, so a bucket of N members of which M probe is
+   sent out N * chunks + M * parts times, and no task holds it whole. Signatures come first;
+   where two nodes of different groups may be alike, their full sets meet, in the first of
+   the bands that they share, and a union-find hands over no more links than there are
+   groups to join.
+4. All links together are joined into components by rounds of hooking and pointer jumping,
+   over the groups that are known by then.
+
+A pair at the threshold of 0.75 is missed by every band with a probability of 1e-10 (42 bands
+of three values), and by the comparison of signatures (``resemblance``, seven standard
+deviations below the threshold) with one of 1e-10; higher similarities far less. All that the
+bands find is decided on the full sets, which are compared by 64-bit hashes of shingles.
+
+Null and empty texts have no shingles, are linked with nothing and are kept. Rows that repeat
+an id stand for one document each, but all of them carry the id's component: the id links
+them. Rows without an id are linked with nothing: their component is null and they are kept.
+Very long texts are read whole. Ties, as of pairs that resemble each other equally, go to the
+smaller node; components don't depend on them. Other columns, whatever their names, are
+not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +45,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, parallelism, shared_dir, slices, stored, texts
+from .common import discard, free_name, id_text, parallelism, shared_dir, slices, stored, task_id, texts
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
+#: Values of a signature as they are kept: 16 bits, of which a band's three tell bands apart.
+KEPT = np.dtype("<u2")
 M64 = np.uint64
 MIX = (M64(0xBF58476D1CE4E5B9), M64(0x94D049BB133111EB))
+#: Bytes of full sets that a task holds to probe with.
+PROBE_BYTES = 32 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,39 +64,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Hashes of words, kept for a bounded number of them."""
+    """Hashes of words, kept for a bounded number of short ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = value
         return value
 
 
 _WORDS = Words()
 
 
-def shingles(text: str, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles.
+def rolled(h: np.ndarray, k: int, short: bool) -> np.ndarray:
+    """Hashes of each k words in a row."""
+    out = np.zeros(len(h) - k + 1, M64)
+    for i in range(k):
+        out = mixed(out + h[i : len(h) - k + 1 + i] + M64(i + 1 + (1000 * k if short else 0)))
+    return out
+
+
+def shingle_sets(many: list[str], n: int = 5) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles.
 
     bytes.lower() changes A-Z alone, and bytes.split() parts at the six ASCII white-space
     characters: that is how words are defined here.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, M64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), M64, len(words))
-    k = min(n, len(h))
-    out = np.zeros(len(h) - k + 1, M64)
-    for i in range(k):
-        out = mixed(out + h[i : len(h) - k + 1 + i] + M64(i + 1 + (0 if k == n else 1000 * k)))
-    return np.unique(out)
+    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in many]
+    h = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), M64, sum(map(len, words)))
+    whole = rolled(h, n, False) if len(h) >= n else np.zeros(0, M64)
+    out, at = [], 0
+    for own in map(len, words):
+        out.append(np.unique(whole[at : at + own - n + 1]) if own >= n else rolled(h[at : at + own], own, True) if own else np.zeros(0, M64))
+        at += own
+    return out
+
+
+def shingles(text: str) -> np.ndarray:
+    return shingle_sets([text])[0]
+
+
+def key_of(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 class Signer:
     """permutations of 32-bit hashes; bands of ``rows`` values, least and greatest by turns."""
 
-    def __init__(self, permutations: int = 64, rows: int = 4, seed: int = 11):
+    def __init__(self, permutations: int = 64, rows: int = 3, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.a = rng.integers(1, 2**63, permutations, dtype=np.uint64) * M64(2) + M64(1)
         self.b = rng.integers(0, 2**63, permutations, dtype=np.uint64)
@@ -89,56 +121,133 @@ class Signer:
         # the values of a band come from different permutations
         order = np.arange(2 * permutations).reshape(2, permutations)
         order[1] = np.roll(order[1], permutations // 2)
-        self.order = order.T.reshape(-1).reshape(-1, rows)
-
-    def sign(self, s: np.ndarray) -> np.ndarray:
-        """Least values under each permutation, then greatest, 32 bits each."""
-        low, high = np.empty(len(self.a), np.uint32), np.empty(len(self.a), np.uint32)
-        for i, (a, b) in enumerate(zip(self.a, self.b)):
-            h = ((s * a + b) >> M64(32)).astype(np.uint32)
-            low[i], high[i] = h.min(), h.max()
-        return np.concatenate([low, high])
-
-    def bands(self, signature: np.ndarray) -> list[int]:
-        parts = signature[self.order]
-        out = np.full(len(parts), 0, M64)
+        bands = 2 * permutations // rows
+        self.order = order.T.reshape(-1)[: bands * rows].reshape(-1, rows)
+
+    def sign(self, sets: list[np.ndarray], most: int = 1 << 16) -> np.ndarray:
+        """A row for each set (none is empty): least values under each permutation, then greatest, 32 bits each."""
+        out = np.empty((len(sets), 2 * len(self.a)), np.uint32)
+        at = 0
+        while at < len(sets):
+            end, size = at + 1, len(sets[at])
+            while end < len(sets) and size + len(sets[end]) <= most:
+                size, end = size + len(sets[end]), end + 1
+            flat = np.concatenate(sets[at:end])
+            starts = np.cumsum([0, *map(len, sets[at : end - 1])])
+            for i, (a, b) in enumerate(zip(self.a, self.b)):
+                h = ((flat * a + b) >> M64(32)).astype(np.uint32)
+                out[at:end, i] = np.minimum.reduceat(h, starts)
+                out[at:end, len(self.a) + i] = np.maximum.reduceat(h, starts)
+            at = end
+        return out
+
+    def bands(self, signatures: np.ndarray) -> np.ndarray:
+        parts = signatures[:, self.order]
+        out = np.zeros(parts.shape[:2], M64)
         for j in range(self.rows):
-            out = mixed(out + parts[:, j].astype(M64) + M64(j + 1))
-        return mixed(out + np.arange(len(parts), dtype=M64)).astype(np.int64).tolist()
+            out = mixed(out + parts[:, :, j].astype(M64) + M64(j + 1))
+        return mixed(out + np.arange(parts.shape[1], dtype=M64)).astype(np.int64)
 
 
 def signed(docs: DataFrame, signer: Signer) -> DataFrame:
-    """Per row: size and key of the set, one byte of each signature value, and the bands."""
+    """Per row: size and key of the set, two bytes of each signature value, and the bands."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for part in slices(batches):
-            rows = []
-            for doc, text in zip(part.column(0).to_pylist(), texts(part.column(1))):
-                s = shingles(text)
-                if not len(s):
-                    rows.append((doc, 0, None, None, None))
-                    continue
-                sig = signer.sign(s)
-                rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.astype(np.uint8).tobytes(), signer.bands(sig)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            sets = shingle_sets(texts(part.column(1)))
+            full = [i for i, s in enumerate(sets) if len(s)]
+            signatures = signer.sign([sets[i] for i in full])
+            bands = signer.bands(signatures)
+            columns: list[list] = [[None] * len(sets) for _ in range(3)]
+            for i, sig, own in zip(full, signatures.astype(KEPT), bands.tolist()):
+                columns[0][i], columns[1][i], columns[2][i] = key_of(sets[i]), sig.tobytes(), own
+            arrays = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, t) for c, t in zip(columns, schema.types[2:]))]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return docs.mapInArrow(run, SIGNED)
 
 
+class Bloom:
+    """A set of ids in a bounded number of bits: says yes to all of its ids and to few others."""
+
+    #: Bits for an id, hash functions, and the most bits that there are.
+    EACH, TIMES, MOST = 16, 4, 1 << 28
+
+    def __init__(self, size: int):
+        self.size = size
+        self.bits = np.zeros(size // 8, np.uint8)
+
+    @classmethod
+    def sized(cls, ids: int) -> int:
+        return min(cls.MOST, max(1 << 16, 1 << (cls.EACH * max(ids, 1) - 1).bit_length()))
+
+    def places(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        x = ids.astype(np.int64).view(M64)
+        for n in range(self.TIMES):
+            yield mixed(x + M64(0x9E3779B97F4A7C15) * M64(n + 1)) & M64(self.size - 1)
+
+    def add(self, ids: np.ndarray) -> None:
+        for at in self.places(ids):
+            np.bitwise_or.at(self.bits, at >> M64(3), np.left_shift(1, at & M64(7)).astype(np.uint8))
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        out = np.ones(len(ids), bool)
+        for at in self.places(ids):
+            out &= (self.bits[at >> M64(3)] >> (at & M64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def bloom_of(ids: DataFrame, column: str) -> Bloom:
+    """Of a column of ids. Its tasks' bits meet in four tasks and then on the driver, Bloom.MOST bits each at most."""
+    size = Bloom.sized(ids.count())
+
+    def first(batches):
+        own = Bloom(size)
+        for b in batches:
+            own.add(b.column(0).to_numpy())
+        yield packed(own.bits)
+
+    def second(batches):
+        own = Bloom(size)
+        for b in batches:
+            for data in b.column(1):
+                own.bits |= unpacked(data.as_py())
+        yield packed(own.bits)
+
+    def packed(bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([task_id()], pa.int64()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["task", "bits"])
+
+    def unpacked(data: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data), np.uint8)
+
+    kind = "task long, bits binary"
+    found = Bloom(size)
+    for r in ids.select(column).coalesce(32).mapInArrow(first, kind).repartition(4, "task").mapInArrow(second, kind).toLocalIterator():
+        found.bits |= unpacked(bytes(r.bits))
+    return found
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingle_set) of the wanted ids, computed from their whole texts again."""
+    """(node, shingle_set) of the wanted nodes (node, first, set_key); first is an id of the node's rows.
+
+    Texts aren't shuffled: a Bloom filter of the ids picks those whose sets are computed
+    again, whole, and only sets are joined.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted, "first"))
 
     def run(batches):
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([shingles(t).tobytes() for t in texts(part.column(1))], pa.binary())], names=["doc_id", "shingle_set"])
+        for batch in batches:
+            picked = batch.filter(pa.array(sent.value.holds(batch.column(0).to_numpy())))
+            for part in slices([picked]):
+                sets = shingle_sets(texts(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingle_set"])
 
-    few = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = few.mapInArrow(run, "doc_id long, shingle_set binary")
-    return sets.groupBy("doc_id").agg(F.min("shingle_set").alias("shingle_set"))
+    sets = docs.select("doc_id", "text").mapInArrow(run, "set_key binary, shingle_set binary").join(wanted.select("node", "set_key"), "set_key")
+    return sets.groupBy("node").agg(F.first("shingle_set").alias("shingle_set"))
 
 
-def alike(common: int, a: int, b: int, percent: int) -> bool:
+def alike(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
@@ -154,11 +263,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingle_set").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingle_set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def resembling(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs with the share of signature values in which they agree, where that is at least ``least``."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), KEPT).reshape(b.num_rows, -1) for k in ("sa", "sb"))
+                close = (a == c).mean(1)
+                keep = pa.array(close >= least)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep), pa.array(close).filter(keep)], names=["a", "b", "close"])
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, close double")
+
+
 class Union:
     def __init__(self):
         self.up: dict = {}
@@ -176,101 +299,173 @@ class Union:
         return True
 
 
-def _runs(batches, columns: tuple[str, ...], key: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows that are equal in their first ``key`` columns, from sorted batches."""
+def named(nodes: DataFrame, column: str, label: DataFrame, name: str) -> DataFrame:
+    """The rows with the group of a node: its label, or itself where it has none."""
+    known = label.select(F.col("node").alias(column), F.col("label").alias("__label"))
+    return nodes.join(known, column, "left").withColumn(name, F.coalesce("__label", column)).drop("__label")
+
+
+def jumped(parents: DataFrame, times: int = 3) -> DataFrame:
+    """(node, label) with each label replaced by its own label, so many times; labels are smaller than their nodes."""
+    for _ in range(times):
+        up = parents.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        parents = parents.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    return parents
+
+
+def grouped(links: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Groups after the links (a, b) are added, as far as a few jumps go; nodes of one group are connected.
+
+    Each group is hooked to the smallest group that a link joins it to.
+    """
+    if label is None:
+        return jumped(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    over = named(named(links, "a", label, "la"), "b", label, "lb").where("la <> lb")
+    hooks = over.groupBy(F.greatest("la", "lb").alias("node")).agg(F.min(F.least("la", "lb")).alias("label"))
+    hooks = jumped(hooks, 2)
+    up = hooks.select(F.col("node").alias("label"), F.col("label").alias("above"))
+    moved = label.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    return moved.unionByName(hooks.join(label.select("node"), "node", "left_anti"))
+
+
+def dealt_out(members: DataFrame, signs: DataFrame, most: int) -> DataFrame:
+    """Members of the buckets with several groups, in chunks that probe and parts that are probed.
+
+    members: (band, pos, node, label). Rows (band, chunk, part, role, ...): role 0 probes, role 1 is probed.
+    """
+    sizes = members.join(signs.select("node", "n_shingles"), "node")
+    groups = sizes.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"))
+    buckets = groups.groupBy("band").agg(
+        F.count("*").alias("labels"),
+        F.sum("n").alias("n"),
+        F.max(F.struct("n", "label")).alias("top"),
+        F.sum("words").alias("words"),
+        F.max_by("words", F.struct("n", "label")).alias("top_words"),
+    )
+    split = buckets.where("labels > 1").select(
+        "band",
+        F.col("top.label").alias("many"),
+        F.ceil(F.col("n") / most).cast("int").alias("parts"),
+        F.greatest(F.ceil((F.col("n") - F.col("top.n")) / most), F.ceil(8 * (F.col("words") - F.col("top_words")) / PROBE_BYTES)).cast("int").alias("chunks"),
+    )
+    rows = members.join(split, "band")
+    probing = rows.where("label <> many").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(0))
+    probed = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    probed = probed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("role", F.lit(1))
+    wanted = ["band", "chunk", "part", "role", "pos", "node", "label"]
+    return probing.select(wanted).unionByName(probed.select(wanted))
+
+
+PLACE = ("band", "chunk", "part")
+
+
+def _runs(batches, columns: tuple[str, ...], most: int) -> Iterator[tuple[tuple, int, list[tuple]]]:
+    """(place, role, rows) from batches sorted by place and role; the probed come at most ``most`` at a time."""
     last, held = None, []
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in columns)):
-            if row[:key] != last:
+        for row in zip(*(b.column(k).to_pylist() for k in (*PLACE, "role", *columns))):
+            if row[:4] != last or last[3] and len(held) >= most:
                 if held:
-                    yield last, held
-                last, held = row[:key], []
-            held.append(row[key:])
+                    yield last[:3], last[3], held
+                last, held = row[:4], []
+            held.append(row[4:])
     if held:
-        yield last, held
+        yield last[:3], last[3], held
 
 
-def blocks_of(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Buckets in pairs of blocks: any two members meet, and no task gets a large bucket whole.
-
-    A bucket of no more than ``most`` members is one block; a larger one of n blocks is
-    sent out n times, each member to the n pairs of blocks that hold its own.
-    """
-    rows = members.join(sizes.select("band", F.ceil(F.col("n") / most).cast("int").alias("parts")), "band")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("own", "other", "parts")
+def _placed(place: tuple, role: int, rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    n = len(rows)
+    values = [pa.array([place[0]] * n, pa.int64()), *(pa.array([v] * n, pa.int32()) for v in (place[1], place[2], role)), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1))]
+    return pa.RecordBatch.from_arrays(values, names=[*PLACE, "role", "node", "label"])
 
 
-def live_members(rows: DataFrame, least: float, n: int) -> DataFrame:
-    """(band, left, right, doc_id, label) of members that a member of another label resembles, by signature."""
+def live_members(rows: DataFrame, signer: Signer, least: float, n: int) -> DataFrame:
+    """The rows (place, role, node, label) that a row of the other role and another label resembles, by signature."""
 
     def run(batches):
-        for (band, left, right), held in _runs(batches, ("band", "left", "right", "doc_id", "label", "signature", "bands", "pos"), 3):
-            labels = np.array([h[1] for h in held])
-            if (labels == labels[0]).all():
+        probes = where = labels = sig = live = None
+
+        def finished():
+            if probes is not None and live.any():
+                yield _placed(where, 0, [probes[i][:2] for i in np.flatnonzero(live)])
+
+        for place, role, held in _runs(batches, ("node", "label", "signature", "pos"), 64):
+            if role == 0:
+                yield from finished()
+                probes, where = held, place
+                labels, live = np.array([h[1] for h in held]), np.zeros(len(held), bool)
+                sig = np.frombuffer(b"".join(h[2] for h in held), KEPT).reshape(len(held), -1)
                 continue
-            sig = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
-            names, counts = np.unique(labels, return_counts=True)
-            many = names[counts.argmax()]
-            bands, pos = np.array([h[3] for h in held]), held[0][4]
-            live = np.zeros(len(held), bool)
-            for i in np.flatnonzero(labels != many):
-                close = ((sig == sig[i]).mean(1) >= least) & (labels != labels[i])
+            if place != where:
+                continue
+            out, before = [], signer.order[: held[0][3]]
+            for node, label, signature, _ in held:
+                own = np.frombuffer(signature, KEPT)
+                near = np.flatnonzero(labels != label)
+                equal = sig[near] == own
+                close = equal.mean(1) >= least
+                near, equal = near[close], equal[close]
                 # two that share an earlier band meet there
-                close &= ~(bands[:, :pos] == bands[i, :pos]).any(1)
-                if close.any():
-                    live |= close
-                    live[i] = True
-            at = np.flatnonzero(live)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v] * len(at), t) for v, t in ((band, pa.int64()), (left, pa.int32()), (right, pa.int32()))] + [pa.array([held[i][0] for i in at], pa.int64()), pa.array(labels[at].astype(np.int64))],
-                names=["band", "left", "right", "doc_id", "label"],
-            )
+                near = near[~equal[:, before].all(2).any(1)] if len(before) else near
+                if len(near):
+                    live[near] = True
+                    out.append((node, label))
+            if out:
+                yield _placed(place, 1, out)
+        yield from finished()
 
-    dealt = rows.repartition(n, "band", "left", "right").sortWithinPartitions("band", "left", "right", "doc_id")
-    return dealt.select("band", "left", "right", "doc_id", "label", "signature", "bands", "pos").mapInArrow(run, "band long, left int, right int, doc_id long, label long")
+    dealt = rows.repartition(n, *PLACE).sortWithinPartitions(*PLACE, "role", "node")
+    return dealt.select(*PLACE, "role", "node", "label", "signature", "pos").mapInArrow(run, "band long, chunk int, part int, role int, node long, label long")
 
 
 def links_within(rows: DataFrame, percent: int, n: int) -> DataFrame:
-    """Links between labels of a bucket, decided on full sets: at most one for each that merges."""
+    """Links between labels of a place, decided on full sets: at most one for each that merges.
+
+    The probing sets are held, the probed ones stream past them.
+    """
 
     def run(batches):
-        for _, held in _runs(batches, ("band", "left", "right", "doc_id", "label", "shingle_set"), 3):
-            ids, labels = [h[0] for h in held], [h[1] for h in held]
-            sets = [np.frombuffer(h[2], M64) for h in held]
-            sizes = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            names, counts = np.unique(labels, return_counts=True)
-            many = names[counts.argmax()]
-            union, out = Union(), []
-            for i in (i for i, x in enumerate(labels) if x != many):
-                low, high = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], "right")
+        where = probes = flat = owner = sizes = union = None
+        for place, role, held in _runs(batches, ("node", "label", "shingle_set"), 32):
+            if role == 0:
+                where, probes, union = place, held, Union()
+                sets = [np.frombuffer(h[2], M64) for h in held]
+                sizes = np.array([len(s) for s in sets])
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                continue
+            if place != where:
+                continue
+            out = []
+            for node, label, data in held:
+                if all(union.top(p[1]) == union.top(label) for p in probes):
+                    continue
+                own = np.frombuffer(data, M64)
+                low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
                 spans = high - low
                 at = np.repeat(low - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
-                common = np.bincount(owner[at], minlength=len(sets))
-                for j in np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common)).tolist():
-                    if union.join(labels[i], labels[j]):
-                        out.append((ids[i], ids[j]))
+                common = np.bincount(owner[at], minlength=len(sizes))
+                for i in np.flatnonzero(alike(common, sizes, len(own), percent)).tolist():
+                    if union.join(probes[i][1], label):
+                        out.append((probes[i][0], node))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition(n, "band", "left", "right").sortWithinPartitions("band", "left", "right", "doc_id")
-    return dealt.select("band", "left", "right", "doc_id", "label", "shingle_set").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(n, *PLACE).sortWithinPartitions(*PLACE, "role", "node")
+    return dealt.select(*PLACE, "role", "node", "label", "shingle_set").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component_id): the smallest id reachable, for each id with a link.
+    """(node, label): the smallest node reachable, for each node with a link (a, b); stored.
 
-    Each round points every node at the smallest id among its neighbours' pointers
+    Each round points every node at the smallest node among its neighbours' pointers
     (hooking) and at its pointer's pointer (jumping), until nothing changes.
     """
     both = stored(links.union(links.select("b", "a")).toDF("node", "near").where("node <> near").distinct())
     label = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label"))
-    label = stored(label)
+    before = None
     while True:
         seen = both.join(label.select(F.col("node").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("seen"))
         step = label.join(seen, "node").select("node", "label", F.least("label", "seen").alias("seen"))
@@ -279,9 +474,101 @@ def components(links: DataFrame) -> DataFrame:
         step = step.join(told, "node", "left").select("node", "label", F.least("seen", "told").alias("seen"))
         jump = step.select(F.col("node").alias("seen"), F.col("seen").alias("jump"))
         after = stored(step.join(jump, "seen", "left").select("node", F.least("seen", "jump").alias("next"), "label"))
+        if before is not None:
+            discard(before)
         if after.where("next <> label").isEmpty():
-            return label.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
-        label = after.select("node", F.col("next").alias("label"))
+            discard(both)
+            return after.select("node", "label")
+        before, label = after, after.select("node", F.col("next").alias("label"))
+
+
+class Graph:
+    """What a table's near-duplicates are made of.
+
+    rows: (doc_id, n_shingles, set_key, node, ...) of every row. classes: (node, set_key, first,
+    n) of the sets; rows without an id have none. label: (node, label) of the nodes that have
+    a partner.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, percent: int, permutations: int, rows: int, resemblance: float, block: int, by_id: bool):
+        spark = df.sparkSession
+        shared_dir(spark)
+        n = parallelism(spark)
+        docs = id_text(df, id_col, text_col)
+        signer = Signer(permutations, rows)
+        made = stored(signed(docs, signer))
+
+        # 1. classes of equal sets; their numbers are hashes, with another seed in the rare case that two meet
+        seed = 0
+        while True:
+            self.rows = made.withColumn("node", F.when(F.col("n_shingles") > 0, F.xxhash64("set_key", F.lit(seed))))
+            sized = self.rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
+            known = sized.groupBy("node").agg(F.min("set_key").alias("set_key"), F.max("set_key").alias("other"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
+            known = stored(known)
+            self.classes = known.select("node", "set_key", "first", "n")
+            if known.where("set_key <> other").isEmpty():
+                break
+            discard(known)
+            seed += 1
+
+        # 2. buckets of several nodes, and each member with the smallest of its bucket
+        bands = sized.select("node", F.posexplode("bands").alias("pos", "band"))
+        buckets = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
+        members = stored(bands.join(buckets, "band").select("band", "pos", "node", "least").distinct())
+        inside = members.select("node").distinct()
+        signs = sized.select("node", "n_shingles", "signature").join(inside, "node", "left_semi").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        signs = stored(signs)
+        sets = stored(full_sets(docs.where("doc_id IS NOT NULL"), stored(self.classes.join(signs.select("node"), "node", "left_semi"))))
+        pairs = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+        pairs = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+        pairs = stored(resembling(pairs, resemblance))
+        links: list[DataFrame] = []
+        label = None
+        for _ in range(2):
+            open_pairs = pairs if label is None else named(named(pairs, "a", label, "la"), "b", label, "lb").where("la <> lb")
+            best = open_pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("close"), "b")).alias("b"))
+            links.append(stored(confirmed(best, sets, percent)))
+            old, label = label, stored(grouped(links[-1], label))
+            if old is not None:
+                discard(old)
+
+        # 3. the buckets that hold more than one group
+        inside = stored(named(members.select("band", "pos", "node"), "node", label, "label"))
+        placed = dealt_out(inside, signs, block)
+        live = stored(live_members(placed.join(signs.select("node", "signature"), "node"), signer, resemblance, n))
+        links.append(links_within(live.join(sets, "node"), percent, n))
+        if by_id:
+            links.append(self.same_ids())
+
+        # 4. components over the groups
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        over = named(named(every, "a", label, "la"), "b", label, "lb").where("la <> lb").select("la", "lb").distinct().toDF("a", "b")
+        top = components(over)
+        up = top.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        whole = label.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+        whole = stored(whole.unionByName(top.join(label.select("node"), "node", "left_anti")))
+        roots = whole.select(F.col("label").alias("node")).distinct().join(whole.select("node"), "node", "left_anti")
+        self.label = stored(whole.unionByName(roots.withColumn("label", F.col("node"))))
+        discard(whole, members, signs, sets, pairs, *links[:2], label, inside, live)
+
+    def repeated(self) -> DataFrame:
+        """(doc_id, least): ids whose rows have several sets, or a set and none; the smallest node of each."""
+        ids = self.rows.where("doc_id IS NOT NULL").groupBy("doc_id")
+        kinds = ids.agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max(F.col("node").isNull()).alias("without"))
+        return kinds.where("least <> most OR (without AND least IS NOT NULL)").select("doc_id", "least")
+
+    def same_ids(self) -> DataFrame:
+        """Links between the sets of one id."""
+        own = self.rows.where("node IS NOT NULL").select("doc_id", "node").join(self.repeated(), "doc_id")
+        return own.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+
+    def components(self) -> DataFrame:
+        """(node, first, component): of nodes with partners or several rows, the smallest id of the component and its node."""
+        known = self.classes.join(self.label, "node", "left").where("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))
+        least = known.groupBy("label").agg(F.min(F.struct("first", "node")).alias("component"))
+        return known.join(least, "label").select("node", "first", "component")
 
 
 def near_duplicates(
@@ -290,88 +577,67 @@ def near_duplicates(
     text_col: str = "text",
     percent: int = 75,
     permutations: int = 64,
-    rows: int = 4,
-    resemblance: float = 0.56,
-    block: int = 4096,
+    rows: int = 3,
+    resemblance: float = 0.48,
+    block: int = 2048,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept.
 
-    resemblance: share of agreeing signature values below which two documents aren't
-    compared (for a pair at the threshold that is five standard deviations off).
+    resemblance: share of agreeing signature values below which two documents aren't compared.
+    block: how many members of a bucket probe, and are probed, together.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    n = parallelism(spark)
-    docs = id_text(df, id_col, text_col).where("doc_id IS NOT NULL")
-    all_rows = stored(signed(docs, Signer(permutations, rows)))
-
-    # 1. classes of equal sets
-    sized = all_rows.where("n_shingles > 0")
-    first = sized.groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    firsts = first.select(F.col("first").alias("doc_id"), "set_key")
-    same = sized.select("doc_id", "set_key").join(first, "set_key").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    reps = sized.join(firsts, ["doc_id", "set_key"], "left_semi").groupBy("doc_id", "set_key").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-
-    # 2. buckets, and each member with the smallest of its bucket
-    members = reps.select("doc_id", F.posexplode("bands").alias("pos", "band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    members = stored(members.join(buckets, "band").select("band", "pos", "doc_id", "least"))
-    signs = stored(reps.select("doc_id", "signature", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-    pairs = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    pairs = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
-    pairs = stored(resembling(pairs, resemblance))
-    links = label = None
-    for _ in range(2):
-        open_pairs = pairs if label is None else across(pairs, label)
-        best = stored(open_pairs.groupBy("a").agg(F.max_by("b", F.struct("close", -F.col("b"))).alias("b")))
-        ids = best.select(F.col("a").alias("doc_id")).union(best.select("b")).distinct()
-        found = confirmed(best, full_sets(docs, ids), percent)
-        links = stored(found if links is None else links.union(found))
-        label = components(links)
-
-    # 3. the buckets that hold more than one component
-    named = members.join(label, "doc_id", "left").select("band", "pos", "doc_id", F.coalesce("component_id", "doc_id").alias("label"))
-    named = stored(named)
-    split = named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    blocks = blocks_of(named, split.select("band", "n"), block).join(signs, "doc_id")
-    live = stored(live_members(blocks, resemblance, n))
-    more = links_within(live.join(full_sets(docs, live.select("doc_id").distinct()), "doc_id"), percent, n)
-
-    # 4. components over all links
-    found = components(links.union(more).union(same))
-    out = all_rows.select("doc_id", "n_shingles").join(found, "doc_id", "left")
+    g = Graph(df, id_col, text_col, percent, permutations, rows, resemblance, block, by_id=True)
+    found = g.components().select("node", F.col("component.first").alias("component_id"))
+    # a row without a set takes the component of its id
+    out = g.rows.select("doc_id", "n_shingles", "node").join(g.repeated(), "doc_id", "left")
+    out = out.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "least"))).join(found, "node", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows, with all their columns, of one document for each group.
+def keep_one(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    percent: int = 75,
+    permutations: int = 64,
+    rows: int = 3,
+    resemblance: float = 0.48,
+    block: int = 2048,
+) -> DataFrame:
+    """The rows, with all their columns, of one document for each group of near-duplicates.
 
-    Rows without an id can't be compared and stay; of rows that repeat an id, one stays.
+    Groups are made of texts: rows that share an id but not a text are documents of their
+    own. Rows without an id can't be compared and stay, as do those without words.
     """
-    found = stored(near_duplicates(df, id_col, text_col, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    ids = found.select(F.col("doc_id").alias("__id"))
-    rows = df.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
-    if not found.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col])
-    return rows.unionByName(df.where(F.col(id_col).isNull()))
-
-
-def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose documents are in different components."""
-    out = pairs.join(label.select(F.col("doc_id").alias("a"), F.col("component_id").alias("la")), "a", "left")
-    out = out.join(label.select(F.col("doc_id").alias("b"), F.col("component_id").alias("lb")), "b", "left")
-    return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "close")
-
-
-def resembling(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs with the share of signature values in which they agree, where that is at least ``least``."""
-
-    def run(batches):
-        for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.uint8) for k in ("sa", "sb"))
-            close = (a == c).mean(1) if b.num_rows else np.zeros(0)
-            keep = pa.array(close >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep), pa.array(close).filter(keep)], names=["a", "b", "close"])
-
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, close double")
+    g = Graph(df, id_col, text_col, percent, permutations, rows, resemblance, block, by_id=False)
+    found = g.components()
+    kept = g.rows.where("doc_id IS NOT NULL").select("doc_id", "node", "set_key")
+    kept = kept.join(found.where(F.col("node") != F.col("component.node")).select("node"), "node", "left_anti")
+    # of a set's rows the one with the smallest id stays
+    first = kept.join(found.select("node", "first"), "node", "left").where("first IS NULL OR doc_id = first")
+    times = g.rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times"))
+    first = stored(first.select("doc_id", "set_key").join(times, "doc_id"))
+    key = free_name(df, "__id")
+    rows_ = df.join(first.where("times = 1").select(F.col("doc_id").alias(key)), F.col(id_col) == F.col(key), "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    odd = first.where("times > 1")
+    if odd.isEmpty():
+        return rows_
+    # ids that repeat: their rows are told apart by their sets
+    mark = free_name(df, "__set")
+    several = df.join(odd.select(F.col("doc_id").alias(key)).distinct(), F.col(id_col) == F.col(key), "left_semi")
+    several = with_key(several, text_col, mark)
+    chosen = odd.where("set_key IS NOT NULL").select(F.col("doc_id").alias(key), F.col("set_key").alias(mark + "_")).distinct()
+    whole = several.join(chosen, (F.col(id_col) == F.col(key)) & (F.col(mark) == F.col(mark + "_")), "left_semi").dropDuplicates([id_col, mark])
+    empty = several.where(F.col(mark).isNull())
+    return rows_.unionByName(whole.drop(mark)).unionByName(empty.drop(mark))
+
+
+def with_key(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """The rows with the key of their text's set; null where it has no words."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([key_of(s) if len(s) else None for s in shingle_sets(texts(column))], pa.binary())
+
+    return df.withColumn(name, F.arrow_udf(run, "binary")(F.col(text_col)))
