@@ -12,9 +12,13 @@ page of the input is looked at for that, so a model doesn't depend on the table.
 
 Scripts, styles, comments and the fields of forms are not text. Character references are
 decoded, white space in a block becomes one space, blocks are trimmed and joined by one
-space in page order. Null and empty pages, and pages without main text, give an empty
-text. Rows with a repeated or null id are treated like any other. An empty table gives an
-empty result.
+space in page order. A silent element that is never closed (a button, say) ends with the
+element around it; only a script, style, title, textarea or iframe runs to the page's end.
+
+Null and empty pages, and pages without main text, give an empty text. Very long pages are
+read whole: time and memory grow with their length. Rows with a repeated or null id, and
+equal pages, are treated like any other, each by itself, so there are no ties. Other
+columns, whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ import math
 import random
 import re
 import zlib
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +53,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 SILENT = frozenset("script style noscript template title textarea select button svg math iframe object canvas audio video".split())
+#: Of the silent ones, those whose content is text up to their own end tag, whatever stands there.
+RAW = frozenset("script style title textarea iframe".split())
 #: An element of the first kind ends an open one of the second.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -62,126 +69,156 @@ WIDTH = PATH + WORD + SHAPE
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """text: a block's text. slots: the hashed names of the open elements, a bit each; deep: how many names."""
+
     text: str
     linked: int = 0
+    slots: int = 0
+    deep: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class Open:
+    """An open element, with what it and those around it say together."""
+
     name: str
-    marks: tuple[str, ...] = field(default=())
+    slots: int
+    deep: int
+    links: int
+    silent: bool
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text in blocks with their tag paths."""
-    out: list[Block] = []
-    stack: list[Open] = []
-    parts: list[str] = []
-    linked = links = 0
-    path: tuple[str, ...] = ()
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
+@functools.lru_cache(100_000)
+def _slot(kind: str, name: str, size: int) -> int:
+    return zlib.crc32(f"{kind}:{name}".encode("utf-8", "surrogatepass")) % size
+
+
+def slot(kind: str, name: str, size: int) -> int:
+    return _slot(kind, name, size) if len(name) < 64 else _slot.__wrapped__(kind, name, size)
+
+
+class Parser:
+    """Cuts a page's text into blocks; time and memory grow with the page's length."""
+
+    def __init__(self):
+        self.out: list[Block] = []
+        self.stack: list[Open] = []
+        self.names: Counter = Counter()  # of the open elements
+        self.parts: list[str] = []
+        self.linked = 0
+        self.top = Open("", 0, 0, 0, False)
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
         if text:
-            out.append(Block(path, text, linked))
-        parts.clear()
-        linked = 0
+            self.out.append(Block(text, self.linked, self.top.slots, self.top.deep))
+        self.parts.clear()
+        self.linked = 0
 
-    def say(raw: str) -> None:
-        nonlocal linked
-        if raw:
+    def say(self, raw: str) -> None:
+        if raw and not self.top.silent:
             raw = html.unescape(raw) if "&" in raw else raw
-            parts.append(raw)
-            if links:
-                linked += len(raw)
-
-    def renew() -> None:
-        nonlocal path, links
-        path = tuple(m for o in stack for m in o.marks)
-        links = sum(o.name == "a" for o in stack)
-
-    def pop_to(depth: int) -> None:
-        if any(o.name not in INLINE for o in stack[depth:]):
-            flush()
-        del stack[depth:]
-        renew()
-
-    at = 0
-    while True:
-        found = MARKUP.search(page, at)
-        if not found:
-            say(page[at:])
-            break
-        say(page[at : found.start()])
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
-        if not name:
-            if found[0].startswith("<![CDATA["):
-                say(found[0][9:].removesuffix("]]>"))
-            continue
-        if found[1] or found[4]:  # an end tag
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].name == name:
-                    pop_to(depth)
-                    break
-            else:
-                if name not in INLINE:
-                    flush()
-            continue
-        if name in SILENT:
-            if name not in ("svg", "math") or not found[0].endswith("/>"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if name not in INLINE:
-            flush()
-        if name in VOID:
-            continue
-        if name in CLOSES:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].name in ("ul", "ol", "dl", "table"):
-                    break
-                if stack[depth].name in CLOSES[name]:
-                    pop_to(depth)
-                    break
-        elif name in ENDS_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].name == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth].name not in INLINE:
-                    break
-        attributes = found[3] or found[6] or ""
+            self.parts.append(raw)
+            if self.top.links:
+                self.linked += len(raw)
+
+    def push(self, name: str, attributes: str) -> None:
         marks = [name]
         if attributes:
             for key, *values in ATTRIBUTE.findall(attributes):
                 value = next((v for v in values if v), "")
-                marks += [key.lower()] if key.lower() in ("hidden", "aria-hidden") else re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())[:8]
-        stack.append(Open(name, tuple(marks)))
-        if len(stack) > 256:
-            del stack[0]  # the innermost elements tell most
-        renew()
-    flush()
-    return out
+                marks += [key.lower()] if key.lower() in ("hidden", "aria-hidden") else re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        around, slots = self.top, self.top.slots
+        for m in marks:
+            slots |= 1 << slot("path", m, PATH)
+        self.top = Open(name, slots, around.deep + len(marks), around.links + (name == "a"), around.silent or name in SILENT)
+        self.stack.append(self.top)
+        self.names[name] += 1
+
+    def pop_to(self, depth: int) -> None:
+        if any(o.name not in INLINE and o.name not in SILENT for o in self.stack[depth:]) and not (depth and self.stack[depth - 1].silent):
+            self.flush()
+        for o in self.stack[depth:]:
+            self.names[o.name] -= 1
+        del self.stack[depth:]
+        self.top = self.stack[-1] if self.stack else Open("", 0, 0, 0, False)
+
+    def close(self, kinds, until) -> None:
+        """Ends the innermost open element of ``kinds`` unless an element that ``until`` stops at is nearer."""
+        if not any(self.names[k] for k in kinds):
+            return
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth].name in kinds:
+                return self.pop_to(depth)
+            if until(self.stack[depth].name):
+                return
+
+    def end(self, name: str) -> None:
+        if self.names[name]:
+            self.close((name,), lambda n: False)
+        elif name not in INLINE and name not in SILENT and not self.top.silent:
+            self.flush()
+
+    def start(self, name: str, attributes: str, closed: bool) -> None:
+        if self.top.silent:
+            if name not in VOID and not closed:
+                self.push(name, "")
+            return
+        if name not in INLINE and name not in SILENT:
+            self.flush()
+        if name in VOID or closed and name in SILENT:
+            return
+        if name in CLOSES:
+            self.close(CLOSES[name], ("ul", "ol", "dl", "table").__contains__)
+        elif name in ENDS_P:
+            self.close(("p",), lambda n: n not in INLINE)
+        self.push(name, attributes)
+
+    def read(self, page: str) -> list[Block]:
+        at = 0
+        while True:
+            found = MARKUP.search(page, at)
+            if not found:
+                self.say(page[at:])
+                break
+            self.say(page[at : found.start()])
+            at = found.end()
+            name = (found[2] or found[5] or "").lower()
+            if not name:
+                if found[0].startswith("<![CDATA["):
+                    self.say(found[0][9:].removesuffix("]]>"))
+            elif found[1] or found[4]:
+                self.end(name)
+            elif name in RAW:
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                self.start(name, found[3] or found[6] or "", found[0].endswith("/>"))
+        self.flush()
+        return self.out
 
 
-@functools.lru_cache(100_000)
-def _slot(kind: str, name: str, size: int) -> int:
-    return zlib.crc32(f"{kind}:{name}".encode()) % size
+RAW_END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in RAW}
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's text in blocks with what describes their places."""
+    return Parser().read(page)
 
 
 def describe(many: list[Block]) -> np.ndarray:
-    """A vector for each block."""
+    """A vector for each block, from all its words."""
     x = np.zeros((len(many), WIDTH), np.float32)
     for i, b in enumerate(many):
         row = x[i]
-        for m in b.path:
-            row[_slot("path", m, PATH)] = 1.0
+        bits = b.slots
+        while bits:
+            low = bits & -bits
+            row[low.bit_length() - 1] = 1.0
+            bits ^= low
         words = b.text.lower().split()
-        for w in words[:64] if len(words) <= 64 else words[:: len(words) // 64]:
-            row[PATH + _slot("word", w[:24], WORD)] += 1.0
+        for w in words:
+            row[PATH + slot("word", w, WORD)] += 1.0
         part = row[PATH : PATH + WORD]
         part /= max(1.0, float(np.sqrt((part * part).sum())))
         n = len(b.text)
@@ -190,7 +227,7 @@ def describe(many: list[Block]) -> np.ndarray:
             min(1.0, b.linked / n),
             min(1.0, 10 * sum(map(b.text.count, ".,;:!?")) / n),
             i / len(many),
-            min(1.0, len(b.path) / 16),
+            min(1.0, b.deep / 16),
             1.0 if n < 40 else 0.0,
             min(1.0, len(words) / 50),
             1.0,
@@ -201,6 +238,9 @@ def describe(many: list[Block]) -> np.ndarray:
 class Labeller:
     """A bidirectional LSTM with one logistic output for each step."""
 
+    #: Blocks that are labelled together.
+    most = 8192
+
     def __init__(self, width: int = WIDTH, hidden: int = 16, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
@@ -263,8 +303,12 @@ class Labeller:
         """Probabilities for each block; pages of like length run together."""
         out: list = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), batch):
+        at = 0
+        while at < len(order):  # pages of like length, no more than a bounded number of blocks unless one page has them
             own = order[at : at + batch]
+            while len(own) > 1 and len(own) * len(pages[own[-1]]) > self.most:
+                own = own[: len(own) // 2]
+            at += len(own)
             x, mask = padded([pages[i] for i in own])
             p, _, _ = self.forward(x, mask)
             for i, row in zip(own, p):

@@ -3,16 +3,22 @@
 Each row has an old shard. Their sizes and the new capacities make a flow network, old
 shards to new ones, where bytes that stay cost nothing and each byte that moves costs its
 link's price; successive shortest paths find the transfers that move the fewest bytes.
-The transfers are then carried out on blocks of rows: the rows of an old shard stand in
-order of size, text and id, and running sums of bytes say which of them go where. Small
-rows stand first and are the ones that move, so each transfer is met to within half of a
-small row, and equal texts stand together and stay together but at a transfer's end.
-
-Only sums for each block reach the driver. Running sums and slots are counted within
-blocks of rows (Spark's range partitions) and then shifted by the sums of earlier blocks.
-
-Null texts count as empty. Rows with a repeated or null id are placed like any other. An
-empty table gives an empty result.
+The transfers are then carried out on groups of equal texts: the groups of an old shard stand
+in order of size and text, and running sums of bytes say which of them go where, by their
+middle. Small ones stand first and are the ones that move, so each transfer is met to within
+half of a small group.
+
+A group stays whole unless it has more bytes than ``whole`` of an even shard: a text copied so
+often can't stay in one place where sizes are to come out equal. Such a group, and there are
+at most shards / whole of them, is dealt by its rows' numbers into parts of that size.
+
+Only sums for each range of groups reach the driver. Running sums and slots are counted
+within blocks of rows (Spark's partitions) and then shifted by the sums of earlier blocks.
+
+Null texts count as empty. Very long texts are rows like any other; a transfer that ends in
+one is off by half of it. Rows with a repeated or null id, and equal rows, are placed each by
+itself, for a row goes by its number and not by its id; ties within a group go by that number.
+Other columns, whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, parallelism, stored
+from .common import discard, free_name, id_text, parallelism, stored
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=None) -> dict[tuple[int, int], int]:
@@ -81,15 +87,19 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
-def _shifted(blocks: DataFrame, by: str, value: str, name: str) -> DataFrame:
+def _running(blocks: DataFrame, by: str, value: str, name: str) -> DataFrame:
     """For each block and group, what the earlier blocks of the group sum to.
 
-    blocks has a row for each block and group: as many as there are range partitions.
+    blocks has a row for each block and group: as many as there are partitions.
     """
     w = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.select("block", by, F.coalesce(F.sum(value).over(w), F.lit(0)).alias(name))
 
 
+#: A group of equal texts; ``part`` deals out the few that are too large to stay whole.
+UNIT = ["old_shard", "size", "text_crc32", "part"]
+
+
 def reshard(
     df: DataFrame,
     shards: int = 8,
@@ -98,77 +108,94 @@ def reshard(
     old_shard=None,
     old_shards: int | None = None,
     capacities: list[int] | None = None,
+    whole: float = 0.01,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Rows with their old and new shard, and a gapless slot in the new one.
 
     old_shard: a column, by default crc32(text) modulo ``shards``. capacities: bytes for
-    each new shard, by default equal shares.
+    each new shard, by default equal shares. whole: share of an even shard up to which equal
+    texts stay together. row_col: a column that numbers the rows, handed on as ``row``.
     """
-    rows = id_text(df, id_col, text_col, *([old_shard.alias("old_shard")] if old_shard is not None else []))
+    spark = df.sparkSession
+    more = [old_shard.cast("int").alias("old_shard")] if old_shard is not None else []
+    rows = id_text(df, id_col, text_col, (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), *more)
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.select(
-        "doc_id",
-        (F.octet_length("text") + 1).cast("long").alias("size"),
-        F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
-        *(["old_shard"] if old_shard is not None else []),
-    )
-    if old_shard is None:
+    rows = rows.select("row", "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), *(["old_shard"] if more else []))
+    if not more:
         rows = rows.withColumn("old_shard", F.pmod("text_crc32", F.lit(shards)).cast("int"))
-    n = parallelism(df.sparkSession)
-    order = ["old_shard", "size", "text_crc32", "doc_id"]
-    rows = stored(rows.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id()))
+    rows = stored(rows)  # from here on a row's number is fixed
 
-    blocks = rows.groupBy("block", "old_shard").agg(F.sum("size").alias("bytes"))
     sizes = {r[0]: r[1] for r in rows.groupBy("old_shard").agg(F.sum("size")).collect()}
     many = old_shards or max([shards, *(k + 1 for k in sizes)])
     supply = [sizes.get(i, 0) for i in range(many)]
     flow = min_cost_flow(supply, capacities or even_capacities(sum(supply), shards))
 
+    # groups, the largest of them in parts
+    most = max(1, int(whole * sum(supply) / shards))
+    group = UNIT[:-1]
+    groups = rows.groupBy(*group).agg(F.count("*").alias("copies"))
+    large = groups.where(F.col("copies") * F.col("size") > most).withColumn("parts", F.ceil(F.col("copies") * F.col("size") / most).cast("int"))
+    large = F.broadcast(large.select(*group, "parts"))  # at most shards / whole of them
+    rows = rows.join(large, group, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    n = parallelism(spark)
+    units = rows.groupBy(*UNIT).agg(F.sum("size").alias("bytes"))
+    units = stored(units.repartitionByRange(n, *UNIT).withColumn("block", F.spark_partition_id()))
+
     # Those that move stand first: each old shard's transfers as ranges of its running sum.
     moves, at = [], [0] * many
     for (i, j), size in sorted(flow.items(), key=lambda x: (x[0][0] == x[0][1], x[0])):
         moves.append((i, j, at[i], at[i] + size))
         at[i] += size
     target = F.lit(None).cast("int")
-    middle = F.col("before") + F.col("size") / 2
+    middle = F.col("before") + F.col("bytes") / 2
     for i, j, low, high in moves:  # at most old x new shards of them
         target = F.coalesce(target, F.when((F.col("old_shard") == i) & (middle >= low) & (middle < high), F.lit(j)))
     target = F.coalesce(target, F.lit(0))
 
-    local = Window.partitionBy("block", "old_shard").orderBy("size", "text_crc32", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = units.groupBy("block", "old_shard").agg(F.sum("bytes").alias("bytes"))
+    local = Window.partitionBy("block", "old_shard").orderBy(*UNIT[1:]).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        rows.withColumn("inside", F.coalesce(F.sum("size").over(local), F.lit(0)))
-        .join(F.broadcast(_shifted(blocks, "old_shard", "bytes", "earlier")), ["block", "old_shard"])
+        units.withColumn("inside", F.coalesce(F.sum("bytes").over(local), F.lit(0)))
+        .join(F.broadcast(_running(sums, "old_shard", "bytes", "earlier")), ["block", "old_shard"])
         .withColumn("before", F.col("inside") + F.col("earlier"))
-        .withColumn("shard", target)
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard")
+        .select(*UNIT, target.alias("shard"))
     )
-    placed = stored(placed)
+    placed = stored(rows.join(placed, UNIT).select("row", "doc_id", "size", "text_crc32", "old_shard", "shard", F.spark_partition_id().alias("block")))
     counts = placed.groupBy("block", "shard").agg(F.count("*").alias("rows"))
-    local = Window.partitionBy("block", "shard").orderBy("old_shard", "size", "text_crc32", "doc_id")
+    local = Window.partitionBy("block", "shard").orderBy("row")
     return (
         placed.withColumn("inside", F.row_number().over(local) - 1)
-        .join(F.broadcast(_shifted(counts, "shard", "rows", "earlier")), ["block", "shard"])
-        .select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("inside") + F.col("earlier")).cast("long").alias("slot"))
+        .join(F.broadcast(_running(counts, "shard", "rows", "earlier")), ["block", "shard"])
+        .select(*(["row"] if row_col else []), "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("inside") + F.col("earlier")).cast("long").alias("slot"))
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+def rewrite(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", old_shard: str | None = None, **options) -> list[int]:
     """Writes the shards that gain or lose rows below path, one folder each; returns them.
 
-    Shards that keep their rows are not touched: their files stay as they are.
+    Shards that keep their rows are not touched: their files stay as they are. The rows are
+    numbered in a table in the shared folder first, so that each finds its place whatever its
+    id. Files hold a million rows each, in the order of their slots.
     """
-    moved = plan.where("old_shard <> shard")
-    touched = sorted({x for r in moved.select("old_shard", "shard").distinct().collect() for x in r})
-    rows = plan.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("__id"), "shard", "slot")
+    row, shard, slot = (free_name(docs, name) for name in ("__row", "__shard", "__slot"))
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = reshard(docs, shards, id_col, text_col, F.col(old_shard) if old_shard else None, row_col=row, **options)
+    plan = stored(plan.select(F.col("row").alias(row), "old_shard", F.col("shard").alias(shard), F.col("slot").alias(slot)))
+    moved = plan.where(F.col("old_shard") != F.col(shard))
+    touched = sorted({x for r in moved.select("old_shard", shard).distinct().collect() for x in r if x < shards})
+    rows = plan.where(F.col(shard).isin(touched)).drop("old_shard")
     (
-        docs.join(rows, F.col(id_col).eqNullSafe(F.col("__id")))
-        .drop("__id")
-        .repartition("shard", F.floor(F.col("slot") / 1_000_000))
-        .sortWithinPartitions("shard", "slot")
+        docs.join(rows, row)
+        .drop(row)
+        .repartition(shard, F.floor(F.col(slot) / 1_000_000))
+        .sortWithinPartitions(shard, slot)
+        .drop(slot)
+        .withColumnRenamed(shard, free_name(docs, "shard"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("shard")
+        .partitionBy(free_name(docs, "shard"))
         .parquet(path)
     )
+    discard(docs, plan)
     return touched

@@ -1,69 +1,83 @@
-"""What exact and approximate vector search share: clean rows, blocks, and the final ranking.
+"""What exact and approximate vector search share: clean rows, rounds of queries, and the ranking.
 
-Candidates fall into blocks of bounded size, and every candidate lies in one block. The
-queries go to the blocks (they are far fewer than the candidates), stream past the block
-that a task holds in memory, and bring their best candidates; a window over each query's
-few finds per block ranks them. Nothing that grows with the table is broadcast.
+Candidates stay where they are: a task reads some of them from the stored table and never
+shuffles them. The queries come to them in rounds. A round holds a bounded number of bytes of
+queries (``ROUND_BYTES``), which is what is collected and broadcast; there are as many rounds
+as the queries need. A task brings no more than k finds for each query of the round, and a
+window over these few ranks them.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, stored, task_id
+from .common import bounded_batches, discard, parallelism, stored, task_id
 
-ROWS = "vec_id long, v binary, norm2 double"
-FOUND = "query_id long, vec_id long, score double"
+#: Bytes of query vectors that are broadcast together.
+ROUND_BYTES = 32 << 20
+#: Queries that are compared together.
 BATCH = 256
 
 
-def _vectors(batch, ids: str, vectors: str) -> Iterator[tuple[int, np.ndarray]]:
-    """Ids and vectors of an Arrow batch without those that take no part."""
-    column = batch.column(vectors)
-    for i, v in zip(batch.column(ids).to_pylist(), column):
-        if i is None or not v.is_valid or v.values.null_count:
-            continue
-        x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
-        if len(x) and np.isfinite(x).all():
-            yield i, x
+def _matrices(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors, one pair of arrays for each length, without those that take no part."""
+    offsets = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False).astype("<f8", copy=False)  # null components are NaN here
+    known = pc.and_(pc.is_valid(ids), pc.is_valid(lists)).to_numpy(zero_copy_only=False)
+    lengths = np.where(known, np.diff(offsets), 0)
+    numbers = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        x = flat[offsets[at][:, None] + np.arange(n)]
+        fine = np.isfinite(x).all(1)
+        yield numbers[at[fine]], x[fine]
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """Each row's little-endian bytes."""
+    width = x.shape[1] * x.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str, change: Callable, zero: bool) -> DataFrame:
-    """Rows (vec_id, v as little-endian doubles, norm2) of the vectors that take part.
+    """Stored rows (row, vec_id, v as little-endian doubles, norm2) of the vectors that take part.
 
-    Null ids and vectors, and vectors that are empty or hold null or non-finite
-    components, take no part; zero vectors only where ``zero`` is set. Of rows that share
-    an id, one takes part (that with the least bytes).
+    Null ids and vectors, and vectors that are empty or hold null or non-finite components,
+    take no part; zero vectors only where ``zero`` is set. Rows that share an id each take
+    part with their own number ``row``.
     """
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, x in _vectors(batch, "vec_id", "v"):
+            for ids, x in _matrices(batch.column("vec_id"), batch.column("v")):
                 x = change(x)
-                n = float(x @ x)
-                if n or zero:
-                    rows.append((i, x.astype("<f8").tobytes(), n))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.float64())], names=["vec_id", "v", "norm2"])
+                norm2 = (x * x).sum(1)
+                keep = (norm2 > 0) | zero
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), _binary(x[keep]), pa.array(norm2[keep])], names=["vec_id", "v", "norm2"])
 
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    one = rows.mapInArrow(run, ROWS).groupBy("vec_id").agg(F.min(F.struct("v", "norm2")).alias("x"))
-    return one.select("vec_id", "x.v", "x.norm2")
-
-
-def matrix(values: list[bytes], width: int) -> np.ndarray:
-    """Vectors as rows; shorter ones are filled up with zeros."""
-    if all(len(v) == 8 * width for v in values):
-        return np.frombuffer(b"".join(values), "<f8").reshape(-1, width)
-    out = np.zeros((len(values), width))
-    for row, v in zip(out, values):
-        x = np.frombuffer(v, "<f8")[:width]
-        row[: len(x)] = x
+    found = rows.mapInArrow(run, "vec_id long, v binary, norm2 double")
+    return stored(found.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "norm2"))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Binary vectors as rows; shorter ones are filled up with zeros."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    if (sizes == 8 * width).all():
+        start = np.frombuffer(column.buffers()[1], "<i4", 1, 4 * column.offset)[0] if len(column) else 0
+        return np.frombuffer(column.buffers()[2], "<f8", len(column) * width, start).reshape(-1, width) if len(column) else np.zeros((0, width))
+    out = np.zeros((len(column), width))
+    for row, v in zip(out, column.to_pylist()):
+        row[: len(v) // 8] = np.frombuffer(v, "<f8")[:width]
     return out
 
 
@@ -97,8 +111,7 @@ def moments(rows: DataFrame) -> tuple[int, int, float, float, np.ndarray]:
         def parts():
             for b in batches:
                 if b.num_rows:
-                    values = b.column("v").to_pylist()
-                    x = matrix(values, max(map(len, values)) // 8)
+                    x = matrix(b.column("v"), pc.max(pc.binary_length(b.column("v"))).as_py() // 8)
                     yield b.num_rows, float(np.sqrt((x * x).sum(1).max())), float(np.abs(x).max()), x.T @ x
 
         yield row(total(parts()))
@@ -107,95 +120,99 @@ def moments(rows: DataFrame) -> tuple[int, int, float, float, np.ndarray]:
         yield row(total((r["n"], r["norm"], r["top"], square(r["gram"])) for b in batches for r in b.to_pylist()))
 
     kind = "task long, n long, norm double, top double, gram binary"
-    got = rows.mapInArrow(first, kind).repartition(16, "task").mapInArrow(second, kind).collect()
+    got = rows.select("v").mapInArrow(first, kind).repartition(16, "task").mapInArrow(second, kind).collect()
     n, norm, top, gram = total((r.n, r.norm, r.top, square(bytes(r.gram))) for r in got)
     return n, len(gram), norm, top, gram
 
 
-def in_blocks(rows: DataFrame, n: int, block_rows: int, *order) -> tuple[DataFrame, dict[int, float]]:
-    """The rows in blocks of about block_rows at most, by ranges of ``order``; greatest norm of each.
+class Vectors:
+    """Rows that were collected, a bounded number: numbers, ids and vectors."""
 
-    The order must end with the id, so that equal vectors can be parted.
-    """
-    blocks = max(1, min(n, max(parallelism(rows.sparkSession), -(-n // block_rows))))
-    held = stored(rows.repartitionByRange(blocks, *order).withColumn("block", F.spark_partition_id()))
-    tops = {r[0]: r[1] ** 0.5 for r in held.groupBy("block").agg(F.max("norm2")).collect()}
-    return held, tops
+    def __init__(self, rows: list, width: int):
+        self.row = np.array([r.row for r in rows], dtype=np.int64)
+        self.ids = np.array([r.vec_id for r in rows], dtype=np.int64)
+        self.x = matrix(pa.array([bytes(r.v) for r in rows], pa.binary()), width)
+
+    def __len__(self) -> int:
+        return len(self.row)
 
 
-def meet(blocks: DataFrame, asked: DataFrame, make: Callable, ask: Callable, width: int, found: str = FOUND) -> DataFrame:
-    """Streams the queries of each block past its candidates; rows FOUND.
+def blocks(rows: DataFrame, n: int, block_rows: int, least_rows: int, *order) -> DataFrame:
+    """The rows stored in ranges of ``order``, at most about ``block_rows`` in a file, and in that order in each.
 
-    make(ids, vectors, norms2) prepares a block, ask(prepared, ids, vectors, thresholds)
-    returns (query_id, vec_id, score) arrays.
+    Smaller tables are dealt to all tasks, but for files of fewer than ``least_rows``. The
+    order must end with the row's number, so that equal vectors can be parted.
     """
-    both = blocks.select("block", F.lit(0).alias("tag"), "vec_id", "v", F.col("norm2").alias("x")).unionByName(asked.select("block", F.lit(1).alias("tag"), "vec_id", "v", "x"))
-    n = max(2, parallelism(blocks.sparkSession))
+    files = max(1, -(-n // block_rows), min(parallelism(rows.sparkSession), n // least_rows))
+    return stored(rows.repartitionByRange(files, *order).sortWithinPartitions(*order))
 
-    def run(batches):
-        block, tag, held, prepared = None, None, [], None
-
-        def close():
-            """What a finished run of rows, all of one block and tag, gives."""
-            nonlocal prepared
-            ids, values, xs = (list(c) for c in zip(*held)) if held else ([], [], [])
-            held.clear()
-            if tag == 0:
-                prepared = make(np.array(ids, dtype=np.int64), matrix(values, width), np.array(xs))
-            elif tag == 1 and ids and prepared is not None:
-                q, c, s = ask(prepared, np.array(ids, dtype=np.int64), matrix(values, width), np.array(xs))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-        for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in ("block", "tag", "vec_id", "v", "x"))):
-                if (row[0], row[1]) != (block, tag):
-                    yield from close()
-                    if row[0] != block:
-                        prepared = None
-                    block, tag = row[0], row[1]
-                held.append(row[2:])
-                if tag == 1 and len(held) >= BATCH:
-                    yield from close()
-        yield from close()
-
-    dealt = both.repartition(n, "block").sortWithinPartitions("block", "tag", F.desc(F.when(F.col("tag") == 0, F.col("x"))), "vec_id")
-    return dealt.mapInArrow(run, found)
+
+def in_rounds(candidates: DataFrame, queries: DataFrame, width: int, make: Callable, found: str, rank: Callable) -> DataFrame:
+    """All queries past all candidates.
+
+    make(queries) gives, for the queries of a round, the function that mapInArrow runs over
+    the candidates; its rows have the columns ``found``. rank() ranks the finds of a round,
+    which has all rows of each query's id.
+    """
+    spark = candidates.sparkSession
+    many = queries.count()
+    rounds = max(1, -(-many * 8 * width // ROUND_BYTES))
+    out = []
+    for r in range(rounds):
+        asked = Vectors(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r).collect(), width)
+        sent = spark.sparkContext.broadcast(asked)
+        done = rank(candidates.mapInArrow(make(sent), found))
+        if rounds > 1:  # one round's queries at a time
+            done = stored(done)
+            sent.destroy()
+            logging.getLogger(__name__).info("round %d of %d", r + 1, rounds)
+        out.append(done)
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    if rounds > 1:
+        result = stored(whole)
+        discard(*out)
+        return result
+    return whole
 
 
 def best(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of each owner's k highest scores, ties to smaller ids."""
-    order = np.lexsort((ids, -scores, owner))
+    if scores.dtype == object:  # Python's own integers
+        order = np.array(sorted(range(len(owner)), key=lambda i: (owner[i], -scores[i], ids[i])), dtype=np.int64)
+    else:
+        order = np.lexsort((ids, -scores, owner))
     o = owner[order]
     first = np.r_[True, o[1:] != o[:-1]] if len(o) else np.zeros(0, bool)
     rank = np.arange(len(o)) - np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
     return order[rank < k]
 
 
-def with_thresholds(queries: DataFrame, seeds: list, width: int, k: int, blocks: dict[int, float] | None) -> DataFrame:
-    """Each query with the k-th best score that a few seed rows give it, once for each block.
+def products(q: np.ndarray, x: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """q[a] . x[c], each summed in the same order, whatever stands beside it (a matrix product's last bits vary)."""
+    out = np.empty(len(a))
+    step = max(1, (1 << 20) // q.shape[1])
+    for at in range(0, len(a), step):
+        out[at : at + step] = (q[a[at : at + step]] * x[c[at : at + step]]).sum(1)
+    return out
 
-    seeds: a bounded list of rows. blocks: greatest norms; a block is left out where even
-    the longest vector, lying along the query, can't reach the threshold.
-    """
-    ids = np.array([r.vec_id for r in seeds], dtype=np.int64)
-    known = matrix([bytes(r.v) for r in seeds], width) if seeds else np.zeros((0, width))
-    names = np.array(sorted(blocks), dtype=np.int64)
-    tops = np.array([blocks[b] for b in names.tolist()])
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                part = b.slice(at, BATCH)
-                own = np.array(part.column("vec_id").to_pylist(), dtype=np.int64)
-                values = part.column("v").to_pylist()
-                x = matrix(values, width)
-                s = np.where(own[:, None] == ids, -np.inf, x @ known.T)
-                low = -np.partition(-s, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(own), -np.inf)
-                reach = np.linalg.norm(x, axis=1)[:, None] * tops * (1 + 1e-9) >= low[:, None]
-                q, t = np.nonzero(reach)
-                yield pa.RecordBatch.from_arrays([pa.array(names[t]), pa.array(own[q]), pa.array([values[i] for i in q], pa.binary()), pa.array(low[q])], names=["block", "vec_id", "v", "x"])
-
-    return queries.select("vec_id", "v").mapInArrow(run, "block long, vec_id long, v binary, x double")
+def kth_best(q: np.ndarray, own: np.ndarray, seeds: Vectors, k: int) -> np.ndarray:
+    """The k-th best score that a few rows give each query, less what rounding may have added."""
+    if len(seeds) <= k:
+        return np.full(len(own), -np.inf)
+    out = np.empty(len(own))
+    for at in range(0, len(own), BATCH):
+        part = slice(at, at + BATCH)
+        s = np.where(own[part, None] == seeds.ids, -np.inf, q[part] @ seeds.x.T)
+        out[part] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    return lowered(out, q, float(np.sqrt((seeds.x * seeds.x).sum(1).max())))
+
+
+def lowered(least: np.ndarray, q: np.ndarray, longest: float) -> np.ndarray:
+    """Thresholds less what rounding may take from a product of this length."""
+    return least - 16 * q.shape[1] * np.finfo(float).eps * longest * np.linalg.norm(q, axis=1)
 
 
 def ranked(found: DataFrame, k: int, score) -> DataFrame:

@@ -42,3 +42,33 @@ def test_the_index_adds_labels_where_key_phrases_stand(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licences.scan(docs).collect()}
     assert [got[i] for i in range(6)] == ["gpl", "apache-2,mit", "", "mit", "bsd", ""]
+
+
+def test_whole_licences_are_found_among_other_words(spark):
+    texts = [f"some code here {i}\n/* Copyright 2020 someone. {text} */\nmore code" for i, (_, text, _) in enumerate(licences.TEMPLATES)]
+    docs = spark.createDataFrame(list(enumerate(texts + ["nothing here", "the software as is of a and the license"] * 20)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(docs).collect()}
+    for i, (label, _, _) in enumerate(licences.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score > 0.99
+    assert all(got[i].labels == "" and got[i].score == 0 for i in range(len(licences.TEMPLATES), len(got)))
+
+
+def test_words_looked_up_are_enough():
+    """Every place where a share reaches the threshold is proposed by the few words that are looked up."""
+    import random
+
+    rng = random.Random(3)
+    filler = [f"f{i}" for i in range(50)]
+    vocabulary = sorted({w for p in [*licences.PHRASES, *(t[1] for t in licences.TEMPLATES)] for w in licences.words_of(p)})
+    index = licences.Index({w: rng.uniform(0.1, 8) for w in vocabulary}, 0.7, 2)
+    for _ in range(150):
+        words = []
+        for _ in range(3):
+            words += [rng.choice(filler).encode() for _ in range(rng.randint(0, 20))]
+            own = list(rng.choice(index.templates).words)
+            for _ in range(rng.randint(0, max(1, len(own) // 5))):
+                own[rng.randrange(len(own))] = rng.choice(filler).encode()
+            words += own
+        found = index.scan(b" ".join(words).decode())
+        every = {t.label for n, t in enumerate(index.templates) for at in range(-3, len(words)) if index.share(words, n, at) >= t.least * (1 - 1e-9) and index.stands(words, n, at)}
+        assert every == set(filter(None, found[5].split(",")))

@@ -59,10 +59,31 @@ def test_messy_rows(spark, messy, nothing):
     assert sharding.reshard(nothing).count() == 0
 
 
+def test_equal_texts_stay_together_unless_they_are_too_many(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    shards = {}
+    for r in sharding.reshard(docs).collect():
+        shards.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert all(len(own) == 1 for own in shards.values())
+    # a third of all rows is one text, all with one id: it is dealt out, sizes stay equal
+    rows = [(1, "copy " * 20)] * 1000 + [(i, f"text {i} " * (i % 17)) for i in range(2000)]
+    got = sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = check(got, rows, 8)
+    assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 8
+    assert len({r.shard for r in got if r.doc_id == 1 and r.size == 101}) > 1
+
+
 def test_only_touched_shards_are_written(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "x" * (10 if i < 30 else 1), i % 3) for i in range(60)], "doc_id long, text string, s int")
-    plan = sharding.reshard(docs, 3, old_shard=F.when(F.col("doc_id") < 5, 0).when(F.col("doc_id") < 30, 1).otherwise(2))
-    touched = sharding.rewrite(docs, plan, str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    want = plan.where(F.col("shard").isin(touched))
-    assert sorted((r.doc_id, r.shard) for r in got.collect()) == sorted((r.doc_id, r.shard) for r in want.collect())
+    rows = [(i % 50, "x" * (10 if i < 30 else 1), 0 if i < 5 else 1 if i < 30 else 2, i) for i in range(60)] + [(7, "same", 1, 100)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, n int")
+    for again in range(2):
+        touched = sharding.rewrite(docs, str(tmp_path / "out"), 3, old_shard="shard")
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert touched and set(got.columns) == {"doc_id", "text", "shard", "shard_", "n"}
+        assert {r.shard_ for r in got.select("shard_").distinct().collect()} <= set(touched)
+    plan = sharding.reshard(docs, 3, old_shard=F.col("shard"))
+    want = plan.where(F.col("shard").isin(touched)).count()
+    assert got.count() == want and sum(r.n == 100 for r in got.collect()) in (0, 3)
+    # where nothing moves nothing is written
+    even = spark.createDataFrame([(i, "ab", i % 2) for i in range(10)], "doc_id long, text string, s int")
+    assert sharding.rewrite(even, str(tmp_path / "none"), 2, old_shard="s") == []

@@ -27,6 +27,12 @@ def brute(vectors, k, every, whole):
     return out
 
 
+def exact(vectors):
+    """All scores, in Python's integers."""
+    whole = {i: [int(np.floor(1024 * float(np.float32(x)))) for x in v] for i, v in vectors if i is not None}
+    return {q: [(c, s) for s, c in sorted(((sum(a * b for a, b in zip(x, y)), c) for c, y in whole.items() if c != q), key=lambda t: (-t[0], t[1]))] for q, x in whole.items()}
+
+
 def as_dict(rows):
     out = {}
     for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
@@ -51,13 +57,53 @@ def test_exact_search_equals_brute_force(spark, odd):
 
 
 def test_few_rows_large_values_and_none(spark):
-    rows = [(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [-3e6, 5.0]), (None, [1.0, 1.0])]
-    got = as_dict(topk.search(frame(spark, rows), k=10, every=1).collect())
-    assert got == {q: [(c, int(s)) for c, s in own] for q, own in brute(rows, 10, 1, True).items()}
+    # sums below 2**53, below 2**63, and scores that fit in a long though their bound doesn't
+    for most in (1e3, 1e6, 2.9e6):
+        rows = [(0, [most, 1.0]), (1, [most, 2.0]), (2, [-most, 5.0]), (None, [1.0, 1.0])]
+        got = as_dict(topk.search(frame(spark, rows), k=10, every=1).collect())
+        assert got == exact(rows)
+    # one that doesn't fit ends the query, but only if it is among the best
+    rows = [(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [-3e6, 5.0])]
+    with pytest.raises(Exception, match="SCORE_OVERFLOW"):
+        topk.search(frame(spark, rows), k=10, every=1).collect()
+    rows = [(1, [0.0, 1.0]), (2, [-3e6, 5.0]), (5, [3e6, 0.0])]
+    assert as_dict(topk.search(frame(spark, rows), k=1, every=5).collect()) == {5: [(1, 0)]}
     assert topk.search(frame(spark, [])).count() == 0
     assert ann.search(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("module", [topk, ann])
+def test_rows_that_share_an_id_are_candidates_each_for_itself(spark, module):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in module.search(frame(spark, rows), k=2, every=10).collect()]
+    scale = 1024**2 if module is topk else 1
+    assert sorted(got) == [(0, 1, 1, 3 * scale), (0, 2, 1, 2 * scale)]
+
+
+def test_rounds_of_queries_give_the_same(spark, odd, monkeypatch):
+    want = as_dict(topk.search(frame(spark, odd), k=10, every=20, block_rows=100).collect())
+    monkeypatch.setattr("factloom.llm.vectors.ROUND_BYTES", 12 * 8 * 7)
+    assert as_dict(topk.search(frame(spark, odd), k=10, every=20, block_rows=100).collect()) == want
+    assert len(as_dict(ann.search(frame(spark, odd), k=20, every=20, block_rows=150).collect())) == len(brute(odd, 20, 20, False))
+
+
+def test_recall_on_the_table(spark):
+    """At least 0.9 of the neighbours, with less than half of the rows verified."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in rows.collect()}
+    got = as_dict(ann.search(rows, k=20, every=20).collect())
+    ids, x = np.array(list(vectors)), np.array(list(vectors.values()))
+    norms2, lines = (x * x).sum(1), np.random.default_rng(7).standard_normal((65, 24))
+    longest = float(np.sqrt(norms2.max()))
+    block = ann.Block(np.arange(len(x)), ids, x, norms2, lines, longest, 32)
+    hits = verified = 0
+    for q, own in got.items():
+        s = np.where(ids == q, -np.inf, x @ vectors[q])
+        hits += len({c for c, _ in own} & set(ids[np.argsort(-s)[:20]].tolist()))
+        verified += block.ask(vectors[q], q, -np.inf, 20, ann.chi2_quantile(0.87, 24))[2]
+    assert len(got) == 100 and hits >= 0.9 * 2000 and verified <= 0.5 * 100 * len(x)
+
+
 def test_neighbours_reach_their_recall(spark, odd):
     got = as_dict(ann.search(frame(spark, odd), k=20, every=20, block_rows=150, leaf=16, seeds=50).collect())
     want = brute(odd, 20, 20, False)
