@@ -40,6 +40,8 @@ EMPTY = "query_id long, rank int, vec_id long, score double"
 FOUND = "query long, query_id long, row long, vec_id long, score double"
 #: A block has at least so many rows, if the table does: small ones leave little to skip.
 LEAST_BLOCK = 4096
+#: Queries that a block is asked together.
+ASKED = 64
 
 
 def chi2_quantile(p: float, freedom: int) -> float:
@@ -90,53 +92,55 @@ class Block:
         self.high = np.array([points[p].max(0) for p in leaves])
         self.lines, self.longest = lines, longest
 
-    def ask(self, q: np.ndarray, own: int, least: float, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Positions and scores of the best found, and how many rows were verified.
+    def ask(self, q: np.ndarray, own: np.ndarray, least: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(position of the query, position, score) of the best found, and how many rows were verified.
 
-        least: a score that k candidates are known to reach (or -inf).
+        least: a score that k candidates are known to reach (or -inf), for each query.
         """
-        spot, length2 = q @ self.lines[:-1], float(q @ q)
-        slip = float(lowered(np.zeros(1), q[None], self.longest)[0])
+        spots, length2 = q @ self.lines[:-1], (q * q).sum(1)
+        slip = -lowered(np.zeros(len(q)), q, self.longest)
 
-        def radius2() -> float:
+        def radius2(at_least, i):
             """The squared projected distance at which the test holds."""
-            return stop * (length2 + self.longest**2 - 2 * (least + slip)) if least > -np.inf else np.inf
-
-        gap = (np.maximum(np.maximum(self.low - spot, spot - self.high), 0.0) ** 2).sum(1)
-        turns = np.argsort(gap, kind="stable")
-        at_gap = gap[turns]
-        at, waiting, away = 0, np.zeros(0, np.int64), np.zeros(0)
-        found, scores, verified = np.zeros(0, np.int64), np.zeros(0), 0
-        step = 2
-        while True:
-            # open the next leaves that are near enough
-            near = min(at + step, int(np.searchsorted(at_gap, radius2(), "right")))
-            if near > at:
-                opened = np.concatenate([np.arange(self.ends[t], self.ends[t + 1]) for t in turns[at:near]])
-                opened = opened[self.ids[opened] != own]
-                d = self.points[opened] - spot
-                waiting, away = np.r_[waiting, opened], np.r_[away, (d * d).sum(1)]
-                at, step = near, step * 2
-            # projected neighbours nearer than any leaf that is still closed come up next
-            bound = min(radius2(), at_gap[at] if at < len(at_gap) else np.inf)
-            up = away <= bound
-            if up.any():
-                order = np.flatnonzero(up)[np.argsort(away[up], kind="stable")]
-                for part in np.split(order, range(2 * k, len(order), 8 * k)):
-                    part = part[away[part] <= radius2()]
-                    if not len(part):
-                        break
-                    c = waiting[part]
-                    s = products(q[None], self.x, np.zeros(len(c), np.int64), c)
-                    verified += len(c)
-                    found, scores = np.r_[found, c], np.r_[scores, s]
-                    kept = np.lexsort((self.ids[found], -scores))[:k]
-                    found, scores = found[kept], scores[kept]
-                    if len(found) == k:
-                        least = max(least, float(scores[-1]))
-                waiting, away = waiting[~up], away[~up]
-            elif near <= at and (at >= len(at_gap) or at_gap[at] > radius2()):
-                return found, scores, verified
+            return np.where(at_least > -np.inf, stop * (length2[i] + self.longest**2 - 2 * (at_least - slip[i])), np.inf)
+
+        # leaves that are near enough, by the distance to their boxes
+        gap = np.zeros((len(q), len(self.low)))
+        for j in range(spots.shape[1]):
+            a = spots[:, j, None]
+            gap += np.maximum(np.maximum(self.low[:, j] - a, a - self.high[:, j]), 0.0) ** 2
+        near = gap <= radius2(least, slice(None))[:, None]
+        opened = np.flatnonzero(near.any(0))
+        sizes = np.diff(self.ends)[opened]
+        at = np.repeat(self.ends[opened] - np.cumsum(np.r_[0, sizes[:-1]]), sizes) + np.arange(sizes.sum())
+        points = self.points[at]
+        away = (spots * spots).sum(1)[:, None] + (points * points).sum(1) - 2 * spots @ points.T
+        away[~np.repeat(near[:, opened], sizes, axis=1) | (self.ids[at] == own[:, None])] = np.inf
+        out, verified = [], 0
+        for i in range(len(q)):
+            low, step = float(least[i]), 4 * k
+            found, scores = np.zeros(0, np.int64), np.zeros(0)
+            row = away[i]
+            waiting = np.flatnonzero((row <= radius2(low, i)) & np.isfinite(row))  # infinite: shut, or its own
+            while len(waiting):
+                # the nearest by projection come first, then the test is made anew
+                if len(waiting) > step:
+                    order = np.argpartition(row[waiting], step - 1)
+                    part, waiting = waiting[order[:step]], waiting[order[step:]]
+                else:
+                    part, waiting = waiting, waiting[:0]
+                c = at[part]
+                rough = self.x[c] @ q[i]
+                verified += len(c)
+                c = c[rough >= low - slip[i]]
+                found, scores = np.r_[found, c], np.r_[scores, products(q[i : i + 1], self.x, np.zeros(len(c), np.int64), c)]
+                kept = np.lexsort((self.ids[found], -scores))[:k]
+                found, scores = found[kept], scores[kept]
+                if len(found) == k and scores[-1] > low:
+                    low = float(scores[-1])
+                waiting, step = waiting[row[waiting] <= radius2(low, i)], step * 2
+            out.append((np.full(len(found), i), found, scores))
+        return (*(np.concatenate(part) for part in zip(*out)), verified)
 
 
 def search(
@@ -182,13 +186,10 @@ def search(
                     yield table(who[a[kept]], some.row[c[kept]], some.ids[c[kept]], s[kept])
             for held in grouped(batches, block_rows):
                 block = Block(*held, lines, longest, leaf)
-                out: list[tuple] = []
-                for i in range(len(asked)):
-                    c, s, _ = block.ask(asked.x[i], asked.ids[i], low[i], k, stop)
-                    out.append((np.full(len(c), i), block.row[c], block.ids[c], s))
-                    if len(out) >= 4 * BATCH or i + 1 == len(asked):
-                        yield table(*(np.concatenate(part) for part in zip(*out)))
-                        out = []
+                for at in range(0, len(asked), ASKED):
+                    part = slice(at, at + ASKED)
+                    who, c, s, _ = block.ask(asked.x[part], asked.ids[part], low[part], k, stop)
+                    yield table(at + who, block.row[c], block.ids[c], s)
 
         return run
 

@@ -100,7 +100,7 @@ def test_recall_on_the_table(spark):
     for q, own in got.items():
         s = np.where(ids == q, -np.inf, x @ vectors[q])
         hits += len({c for c, _ in own} & set(ids[np.argsort(-s)[:20]].tolist()))
-        verified += block.ask(vectors[q], q, -np.inf, 20, ann.chi2_quantile(0.87, 24))[2]
+        verified += block.ask(vectors[q][None], np.array([q]), np.array([-np.inf]), 20, ann.chi2_quantile(0.87, 24))[3]
     assert len(got) == 100 and hits >= 0.9 * 2000 and verified <= 0.5 * 100 * len(x)
 
 
