@@ -99,7 +99,10 @@ def first_year(text) -> Column:
 
 
 def reply_number(reply) -> Column:
-    """A judge's number in [0, 1]: the first one like 0.7 or 1.0, else its first word, else 0.5."""
+    """A judge's number in [0, 1]: the first one like 0.7 or 1.0, else its first word, else 0.5.
+
+    The pattern and 0.5 are fixed values.
+    """
     found = F.regexp_extract(reply, r"\b(1\.0+|0\.\d+)\b", 1).try_cast("double")
     first = F.get(words(reply), F.lit(0)).try_cast("double")
     return F.coalesce(found, F.when(first.isNotNull(), F.least(F.greatest(first, F.lit(0.0)), F.lit(1.0))), F.lit(0.5))
@@ -116,3 +119,24 @@ def salvaged_json(reply, schema: str) -> Column:
 def percent(value) -> Column:
     """A share without decimals, as in '87%'."""
     return F.concat(F.bround(value * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def grounding_score(reply) -> Column:
+    """A judge's number for a fact that has a chunk; without one (no reply) it is 0.5, a fixed value."""
+    return F.coalesce(F.when(reply.isNotNull(), reply_number(reply)), F.lit(0.5))
+
+
+def short_answer(short, verbose, most: int = 2000) -> Column:
+    """What a model has cut an answer down to; the answer's own beginning where it gave nothing."""
+    return F.coalesce(F.nullif(F.trim(short), F.lit("")), F.substring(verbose, 1, most))
+
+
+#: What an expert says who has no words of its own, and what must be said in an introduction.
+INTRODUCTION = "Hello! I am an AI assistant that answers from a knowledge graph. Ask me anything about it."
+DISCLAIMER = " I am an AI assistant."
+
+
+def introduction(given) -> Column:
+    """An expert's introduction; one that doesn't say that it is an AI is told to."""
+    own = F.coalesce(F.nullif(F.trim(given), F.lit("")), F.lit(INTRODUCTION))
+    return F.when(own.rlike(r"(?i)\b(ai|artificial intelligence)\b"), own).otherwise(F.concat(own, F.lit(DISCLAIMER)))

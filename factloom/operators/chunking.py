@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import ids
 
@@ -31,39 +34,53 @@ def sentence_chunks(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def sentences(text):
-    """Split after an end mark that white space and a capital or a quote follow."""
+    """Split after an end mark that white space and a capital or a quote follow. The pattern is a fixed value."""
     return F.split(text, r'(?<=[.!?])\s+(?=[A-Z"])')
 
 
+MERGED = "document_id string, pos long, content string, page long, heading string"
+
+
 def merge_short(chunks: DataFrame, least: int = CHUNK_CHARS) -> DataFrame:
     """Neighbours merge while both are short, on one page, and their headings agree.
 
-    chunks: document_id, pos, content, page, heading. A fold over each document's chunks,
-    in one aggregate expression.
+    chunks: document_id, pos, content, page, heading. Whether a chunk merges depends on what
+    those before it have become, so a document's chunks are folded one after the other: in one
+    pass over rows that are sorted by document and place, which holds no more than one chunk.
     """
-    item = F.struct("pos", "content", "page", "heading")
-    per = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "struct<content:string,page:bigint,heading:string>"
-    slim = F.transform("items", lambda x: F.struct(x.content.alias("content"), x.page.cast("long").alias("page"), x.heading.alias("heading")))
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = (
-            (F.size(acc) > 0)
-            & (F.length(last.content) < least)
-            & (F.length(x.content) < least)
-            & last.page.eqNullSafe(x.page)
-            & (last.heading.isNull() | x.heading.isNull() | (last.heading == x.heading))
-        )
-        joined = F.struct(F.concat(last.content, F.lit("\n"), x.content).alias("content"), last.page.alias("page"), F.coalesce(last.heading, x.heading).alias("heading"))
-        shorter = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(fits, F.concat(shorter, F.array(joined))).otherwise(F.concat(acc, F.array(x)))
-
-    folded = F.aggregate(slim, F.expr(f"cast(array() as array<{kind}>)"), step)
-    out = per.select("document_id", F.posexplode(folded).alias("pos", "m")).select("document_id", "pos", "m.content", "m.page", "m.heading")
+
+    def run(batches):
+        held, pos = None, 0  # document, parts, page, heading
+
+        def row():
+            return held[0], pos, "\n".join(held[1]), held[2], held[3]
+
+        for batch in batches:
+            out = []
+            for doc, content, page, heading in zip(*(batch.column(k).to_pylist() for k in ("document_id", "content", "page", "heading"))):
+                if held and held[0] == doc:
+                    short = sum(map(len, held[1])) + len(held[1]) - 1 < least and len(content) < least
+                    if short and held[2] == page and (held[3] is None or heading is None or held[3] == heading):
+                        held[1].append(content)
+                        held[3] = heading if held[3] is None else held[3]
+                        continue
+                if held:
+                    out.append(row())
+                    pos = pos + 1 if held[0] == doc else 0
+                held = [doc, [content], page, heading]
+            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in out], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row()))], schema=schema)
+
+    schema = to_arrow_schema(StructType.fromDDL(MERGED))
+    own = chunks.select(F.col("document_id").cast("string"), "pos", "content", F.col("page").cast("long"), "heading")
+    out = own.repartition("document_id").sortWithinPartitions("document_id", "pos").mapInArrow(run, MERGED)
     return out.withColumn("chunk_id", ids.chunk_id("document_id", "content"))
 
 
+NAMES = ("document_id", "pos", "content", "page", "heading")
+
+
 def first_per_title(articles: DataFrame) -> DataFrame:
     """The first occurrence of each title wins."""
     return articles.groupBy("title").agg(F.min_by("sentences", "pos").alias("sentences"))

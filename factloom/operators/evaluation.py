@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
-import random
+import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import normal_answer
 
 MODES = ["context_gap", "retrieval", "reasoning"]
 
 
+#: Characters of gold answers that one automaton holds.
+AUTOMATON_CHARS = 16 << 20
+
+
 def holds_gold(golds: DataFrame, texts: DataFrame) -> DataFrame:
     """(gold_id, text_id) where the normalised gold answer stands in the normalised text.
 
-    golds is a question set and is broadcast; texts are scanned once.
+    The answers make an automaton that finds all of them in one pass over a text, however
+    many there are. It is broadcast; a question set with more characters than
+    AUTOMATON_CHARS makes several, and the texts are read once for each.
     """
-    g = F.broadcast(golds.select("gold_id", normal_answer(F.col("gold")).alias("g")))
-    return texts.select("text_id", normal_answer(F.col("text")).alias("t")).join(g, F.col("t").contains(F.col("g"))).select("gold_id", "text_id")
+    own = golds.select("gold_id", normal_answer(F.col("gold")).alias("g")).where("gold_id IS NOT NULL")
+    sizes = own.withColumn("part", F.floor(F.sum(F.length("g").cast("long") + 1).over(Window.orderBy("gold_id", "g")) / AUTOMATON_CHARS))
+    plain = texts.select("text_id", normal_answer(F.col("text")).alias("t"))
+    kind = f"gold_id {golds.schema['gold_id'].dataType.simpleString()}, text_id {texts.schema['text_id'].dataType.simpleString()}"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+    parts: dict[int, dict[str, list]] = {}
+    for r in sizes.toLocalIterator():
+        parts.setdefault(r.part, {}).setdefault(r.g, []).append(r.gold_id)
+    out = None
+    for answers in parts.values():
+        sent = golds.sparkSession.sparkContext.broadcast(answers)
+
+        def run(batches, sent=sent):
+            import ahocorasick
+
+            automaton, always = ahocorasick.Automaton(), sent.value.get("", [])
+            for answer, ids in sent.value.items():
+                if answer:
+                    automaton.add_word(answer, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                found: tuple[list, list] = ([], [])
+                for text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    hits = {id(ids): ids for _, ids in automaton.iter(text)} if len(automaton) else {}
+                    for gold_id in [*always, *(g for ids in hits.values() for g in ids)]:
+                        found[0].append(gold_id)
+                        found[1].append(text_id)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, schema.types)], schema=schema)
+
+        some = plain.mapInArrow(run, kind)
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else plain.select(F.lit(None).cast(golds.schema["gold_id"].dataType).alias("gold_id"), "text_id").where("false")
 
 
 def failure_mode(in_context, in_retrieved):
@@ -91,53 +130,65 @@ def faithfulness_rates(rows: DataFrame) -> DataFrame:
     )
 
 
-#: A linear congruence, so that any engine draws the same samples.
-LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2**31
+#: The prime field in which draws are mixed, so that any engine draws the same; and the least
+#: values of the field at which a Poisson variable of mean 1 reaches 1, 2, 3 ...
+PRIME = 2**31 - 1
+STEPS = [int(PRIME * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(9)]
 
 
-def draws(n: int, seed: int):
-    """An expression over columns b and i: which of n rows sample b takes at place i."""
-    start = f"((b * 7919L + i * 104729L + {seed}L) % {LCG_M}L)"
-    return F.expr(f"(({start} * {LCG_A}L + {LCG_C}L) % {LCG_M}L) div 65536 % {n}L")
+def times_drawn(row, sample, seed: int):
+    """How often a resample draws a row: Poisson with mean 1, by a hash of the two numbers.
 
+    A row's count in a resample of a large set follows that law, and no row needs to know of
+    the others: neither numbering nor a join.
+    """
+    x = F.pmod(row * 7919 + sample * 104729 + seed, F.lit(PRIME))
+    for a in (48271, 69621, 16807):
+        x = F.pmod(F.pmod(x * x, F.lit(PRIME)) * a + x + a, F.lit(PRIME))
+    return sum(((x >= step).cast("int") for step in STEPS[1:]), (x >= STEPS[0]).cast("int"))
 
-def resampled(scores: DataFrame, values: list[str], samples: int, seed: int) -> DataFrame:
-    """Means of each resample. scores: i (from 0) and the values; a result set of some thousand rows, broadcast."""
-    n = scores.count()
-    spark = scores.sparkSession
-    places = spark.range(samples).withColumnRenamed("id", "b").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    picked = places.select("b", draws(n, seed).cast("long").alias("pick"))
-    own = F.broadcast(scores.select(F.col("i").cast("long").alias("pick"), *values))
-    return picked.join(own, "pick").groupBy("b").agg(*(F.round(F.avg(v), 6).alias(v) for v in values))
 
+def resampled(scores: DataFrame, value, samples: int, seed: int) -> DataFrame:
+    """(b, mean) of each resample of the rows (id and a value), summed where the rows are."""
+    each = scores.select(F.col("id").cast("long").alias("id"), value.cast("double").alias("v")).where("v IS NOT NULL")
+    each = each.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
+    each = each.withColumn("w", times_drawn(F.col("id"), F.col("b"), seed))
+    sums = each.where("w > 0").groupBy("b").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
+    return sums.select("b", F.round(F.col("s") / F.col("n"), 6).alias("mean"))
 
-def interval(means: DataFrame, value: str, samples: int, alpha: float) -> DataFrame:
-    """The means at the percentile places of all resamples."""
-    w = Window.orderBy(value, "b")
-    ranked = means.withColumn("place", F.row_number().over(w) - 1)
-    low, high = int(samples * alpha / 2), int(samples * (1 - alpha / 2))
-    return ranked.agg(F.max(F.when(F.col("place") == low, F.col(value))).alias("lo"), F.max(F.when(F.col("place") == min(high, samples - 1), F.col(value))).alias("hi"))
+
+def interval(means: DataFrame, samples: int, alpha: float) -> DataFrame:
+    """The means at the percentile places of all resamples (as many rows as resamples)."""
+    ranked = means.withColumn("place", F.row_number().over(Window.orderBy("mean", "b")) - 1)
+    low, high = int(samples * alpha / 2), min(int(samples * (1 - alpha / 2)), samples - 1)
+    return ranked.agg(F.max(F.when(F.col("place") == low, F.col("mean"))).alias("lo"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("hi"))
 
 
 def bootstrap_ci(scores: DataFrame, samples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """mean, lo, hi, n of the column score."""
-    head = scores.agg(F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("n"))
-    return head.join(interval(resampled(scores, ["score"], samples, seed), "score", samples, alpha), F.lit(True))
+    """mean, n, lo, hi of the column score. scores: id (a number that is a row's own) and score."""
+    head = scores.agg(F.round(F.avg("score"), 6).alias("mean"), F.count("score").alias("n"))
+    return head.join(interval(resampled(scores, F.col("score"), samples, seed), samples, alpha), F.lit(True))
 
 
-def bootstrap_diff(scores: DataFrame, samples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """The paired difference a - b; it tells something if its interval leaves 0 out."""
-    paired = scores.withColumn("diff", F.col("a") - F.col("b"))
-    head = paired.agg(F.round(F.avg("diff"), 6).alias("diff"), F.count("*").alias("n"))
-    out = head.join(interval(resampled(paired, ["diff"], samples, seed), "diff", samples, alpha), F.lit(True))
+def _significant(head: DataFrame, means: DataFrame, samples: int, alpha: float) -> DataFrame:
+    out = head.join(interval(means, samples, alpha), F.lit(True))
     return out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
-def bootstrap_ci_seeded(scores: list[float], samples: int, alpha: float, seed: int = 42) -> tuple[float, float, float, int]:
-    """The same with Python's own generator, on the driver, for result sets of some hundred rows."""
-    rng, n = random.Random(seed), len(scores)
-    means = sorted(sum(scores[rng.randrange(n)] for _ in range(n)) / n for _ in range(samples))
-    return sum(scores) / n, means[int(samples * alpha / 2)], means[int(samples * (1 - alpha / 2))], n
+def bootstrap_diff(scores: DataFrame, samples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """The paired difference a - b, drawn together; it tells something if its interval leaves 0 out."""
+    diff = F.col("a") - F.col("b")
+    head = scores.agg(F.round(F.avg(diff), 6).alias("diff"), F.count(diff).alias("n"))
+    return _significant(head, resampled(scores, diff, samples, seed), samples, alpha)
+
+
+def bootstrap_unpaired(a: DataFrame, b: DataFrame, samples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """The difference of the means of two result sets (id, score) that are drawn each by itself."""
+    head = a.agg(F.avg("score").alias("ma"), F.count("score").alias("n_a")).join(b.agg(F.avg("score").alias("mb"), F.count("score").alias("n_b")), F.lit(True))
+    head = head.select(F.round(F.col("ma") - F.col("mb"), 6).alias("diff"), "n_a", "n_b")
+    other = resampled(b, F.col("score"), samples, seed + 1).withColumnRenamed("mean", "other")
+    means = resampled(a, F.col("score"), samples, seed).join(other, "b").select("b", F.round(F.col("mean") - F.col("other"), 6).alias("mean"))
+    return _significant(head, means, samples, alpha)
 
 
 def progress(sessions: DataFrame) -> DataFrame:
@@ -153,3 +204,34 @@ def coverage(paths: DataFrame, every: DataFrame, baseline: DataFrame) -> DataFra
     shared = own.join(baseline.select("q_id", "chunk_id").distinct(), ["q_id", "chunk_id"], "left_semi").groupBy("q_id").agg(F.count("*").alias("overlap"))
     out = counts.join(kept, "q_id", "left").join(own.groupBy("q_id").agg(F.count("*").alias("path_chunks")), "q_id", "left").join(shared, "q_id", "left")
     return out.na.fill(0)
+
+
+def profile_columns(rows: DataFrame, profiles: list[str], metrics: tuple[str, ...] = ("answer_em", "answer_f1")) -> DataFrame:
+    """One row for each id: every profile's metrics side by side, null where a profile has no row."""
+    wide = rows.groupBy("id").pivot("profile", profiles).agg(*(F.max(m).alias(m) for m in metrics))
+    short = {m: m.removeprefix("answer_") for m in metrics}
+    return wide.select("id", *(F.col(f"`{p}_{m}`").alias(f"{p}_{short[m]}") for p in profiles for m in metrics))
+
+
+def oracle_analysis(golds: DataFrame, contexts: DataFrame, retrieved: DataFrame, results: DataFrame, profiles: list[str], only_types: list[str] | None = None) -> DataFrame:
+    """Where each question's gold answer stood, and what every profile made of it.
+
+    golds: id, gold, type. contexts, retrieved: id, text, of the question's own passages and of
+    what was retrieved for it. results: id, profile, answer_em, answer_f1.
+    """
+    golds = golds if only_types is None else golds.where(F.col("type").isin(only_types))
+
+    def held(texts: DataFrame, name: str) -> DataFrame:
+        own = texts.join(golds.select("id", "gold"), "id").where(normal_answer(F.col("text")).contains(normal_answer(F.col("gold"))))
+        return own.select("id").distinct().withColumn(name, F.lit(True))
+
+    out = golds.join(held(contexts, "in_original_context"), "id", "left").join(held(retrieved, "in_retrieved_chunks"), "id", "left")
+    out = out.na.fill(False, ["in_original_context", "in_retrieved_chunks"])
+    out = out.withColumn("failure_mode", failure_mode(F.col("in_original_context"), F.col("in_retrieved_chunks")))
+    return out.join(profile_columns(results, profiles), "id", "left")
+
+
+def reasoning_em(analysis: DataFrame, profile: str) -> DataFrame:
+    """Exact match of a profile over the questions whose answer was retrieved."""
+    own = analysis.where("failure_mode = 'reasoning'")
+    return own.agg(F.count("*").alias("n"), F.round(F.avg(f"{profile}_em"), 4).alias("em"))

@@ -14,29 +14,51 @@ def entities(edges: DataFrame) -> DataFrame:
 
 
 def match_anchors(names: DataFrame, questions: DataFrame, least: int = 10) -> DataFrame:
-    """(q_id, name) by four passes; a later one counts only where the earlier found nothing.
+    """(q_id, name, tier) by four passes; a later one counts only where the earlier found nothing.
 
     1: the name is a word of the question. 2: the name, with or without middle initials,
     stands in it. (1 and 2 count together.) 3: a word of the name is a word of the
     question. 4: a word of the name begins with one.
 
-    questions is a batch of questions and is broadcast: it must be small (thousands).
+    Each pass is a join on equal keys, of names' keys with questions' keys: the name itself with
+    the question's words and with its stretches of the lengths that names have, the name's
+    words with the question's, and beginnings of the name's words with them.
     """
     q = questions.select("q_id", F.lower("text").alias("low"), query_words(F.col("text")).alias("qw"))
-    low, size = F.lower("name"), F.length("name")
-    own = names.select("name").distinct().withColumn("nw", words(F.lower("name")))
-    pairs = own.join(F.broadcast(q), F.lit(True))
-    exact = (size >= 8) & F.array_contains("qw", low)
-    inside = (size >= least) & (F.col("low").contains(low) | F.col("low").contains(F.lower(without_initials(F.col("name")))))
-    word = (size >= least) & F.exists("nw", lambda w: (F.length(w) >= 4) & F.array_contains("qw", w))
-    begin = (size >= least) & F.exists(
-        "nw",
-        lambda w: F.exists("qw", lambda x: (F.length(x) >= 5) & (F.length(w) > F.length(x)) & F.regexp_replace(w, r"(?U)[^\w]", "").startswith(x)),
-    )
-    rank = F.when(exact | inside, 1).when(word, 2).when(begin, 3)
-    found = pairs.select("q_id", "name", rank.alias("tier")).where("tier IS NOT NULL")
-    first = found.groupBy("q_id").agg(F.min("tier").alias("tier"))
-    return found.join(F.broadcast(first), ["q_id", "tier"]).select("q_id", "name", "tier")
+    own = names.select("name").distinct().withColumn("low_name", F.lower("name"))
+    long = own.where(F.length("name") >= least).withColumn("bare", F.lower(without_initials(F.col("name"))))
+    asked = q.select("q_id", F.explode(F.array_distinct("qw")).alias("key"))
+
+    # 1: a word of the question is the name
+    whole = own.where(F.length("name") >= 8).select("name", F.col("low_name").alias("key")).join(asked, "key").select("q_id", "name")
+    # 2: a stretch of the question is the name; only lengths that names have are cut out
+    keys = long.select("name", F.explode(F.array_distinct(F.array("low_name", "bare"))).alias("key"))
+    lengths = keys.select(F.length("key").alias("size")).distinct()
+    starts = F.explode(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1))
+    stretches = q.join(lengths, F.col("size") <= F.length("low")).select("q_id", "low", "size", starts.alias("at"))
+    stretches = stretches.select("q_id", F.substring(F.col("low"), F.col("at"), F.col("size")).alias("key")).distinct()
+    inside = keys.join(stretches, "key").select("q_id", "name")
+    # 3: a word of the name is a word of the question
+    parts = long.select("name", F.explode(F.array_distinct(words(F.col("low_name")))).alias("w"))
+    word = parts.where(F.length("w") >= 4).join(asked.withColumnRenamed("key", "w"), "w").select("q_id", "name")
+    # 4: a word of the name begins with a word of the question and is longer
+    plain = parts.select("name", F.length("w").alias("size"), F.regexp_replace("w", r"(?U)[^\w]", "").alias("p"))
+    plain = plain.where((F.length("p") >= 5) & (F.col("size") > 5))
+    begin = plain.select("name", F.explode(F.sequence(F.lit(5), F.least(F.length("p"), F.col("size") - 1))).alias("n"), "p")
+    begin = begin.select("name", F.expr("left(p, n)").alias("key")).join(asked.where(F.length("key") >= 5), "key").select("q_id", "name")
+
+    found = [whole.withColumn("tier", F.lit(1)), inside.withColumn("tier", F.lit(1)), word.withColumn("tier", F.lit(2)), begin.withColumn("tier", F.lit(3))]
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    every = every.groupBy("q_id", "name").agg(F.min("tier").alias("tier"))
+    first = every.groupBy("q_id").agg(F.min("tier").alias("tier"))
+    return every.join(first, ["q_id", "tier"]).select("q_id", "name", "tier")
+
+
+def first_seen(anchors: DataFrame) -> DataFrame:
+    """Of names that differ in case alone the first, by place."""
+    return anchors.groupBy("q_id", F.lower("name").alias("low")).agg(F.min(F.struct("place", "name")).alias("x")).select("q_id", "x.name", "x.place")
 
 
 def incident(edges: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -64,31 +86,45 @@ def entity_chunks(edges: DataFrame, anchors: DataFrame, depth: int = 1, k: int =
     return near.union(incident(edges, frequent_neighbours(edges, near, anchors, k))).distinct()
 
 
-def trust_paths(edges: DataFrame, anchors: DataFrame, most: int = 50, most_anchors: int = 5) -> DataFrame:
-    """Paths of one hop (either direction) and two hops (outgoing), by geometric mean of certainty.
-
-    Each tier has its own half of the places; a place that one leaves open isn't filled by
-    the other.
-    """
+def all_paths(edges: DataFrame, anchors: DataFrame, most_anchors: int = 5) -> DataFrame:
+    """Paths of one hop (either direction) and two hops (outgoing), by geometric mean of certainty."""
     w = Window.partitionBy("q_id").orderBy("name")
     first = anchors.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most_anchors).select("q_id", "name")
-    first = F.broadcast(first)  # five for each question
     real = edges.where("coalesce(chunk_id, '') <> ''").select("subj", "rel", "obj", F.coalesce("certainty", F.lit(0.0)).alias("c"), "chunk_id")
     none = F.lit(None).cast("string")
-    out1 = real.join(first, F.col("subj") == F.col("name")).select("q_id", F.col("name").alias("anchor"), "rel", F.col("obj").alias("target"), "chunk_id", none.alias("rel2"), none.alias("target2"), none.alias("chunk2"), F.col("c").alias("trust"))
-    in1 = real.join(first, F.col("obj") == F.col("name")).select("q_id", F.col("name").alias("anchor"), "rel", F.col("subj").alias("target"), "chunk_id", none, none, none, F.col("c").alias("trust"))
+    step = real.join(first, F.col("subj") == F.col("name")).select("q_id", F.col("name").alias("anchor"), "rel", F.col("obj").alias("target"), "chunk_id", "c")
+    back = real.join(first, F.col("obj") == F.col("name")).select("q_id", F.col("name").alias("anchor"), "rel", F.col("subj").alias("target"), "chunk_id", "c")
+    one = step.union(back).withColumns({"rel2": none, "target2": none, "chunk2": none, "hops": F.lit(1)}).withColumnRenamed("c", "trust")
     second = real.select(F.col("subj").alias("target"), F.col("rel").alias("rel2"), F.col("obj").alias("target2"), F.col("c").alias("c2"), F.col("chunk_id").alias("chunk2"))
-    out2 = (
-        real.join(first, F.col("subj") == F.col("name"))
-        .select("q_id", F.col("name").alias("anchor"), "rel", F.col("obj").alias("target"), "chunk_id", "c")
-        .join(second, "target")
-        .where("anchor <> target2")
-        .select("q_id", "anchor", "rel", "target", "chunk_id", "rel2", "target2", "chunk2", F.round(F.sqrt(F.col("c") * F.col("c2")), 6).alias("trust"))
-    )
-    every = out1.union(in1).withColumn("hops", F.lit(1)).union(out2.withColumn("hops", F.lit(2)))
+    two = step.join(second, "target").where("anchor <> target2").withColumn("trust", F.round(F.sqrt(F.col("c") * F.col("c2")), 6)).withColumn("hops", F.lit(2))
+    return one.unionByName(two.drop("c", "c2"))
+
+
+def trust_paths(edges: DataFrame, anchors: DataFrame, most: int = 50, most_anchors: int = 5) -> DataFrame:
+    """The most trusted paths.
+
+    Each tier has its own half of the places; a place that one leaves open isn't filled by
+    the other.
+    """
     place = Window.partitionBy("q_id", "hops").orderBy(F.desc("trust"), "anchor", "rel", "target", "chunk_id", "rel2", "target2", "chunk2")
-    cap = F.when(F.col("hops") == 1, most // 2).otherwise(most - most // 2)
-    return every.withColumn("place", F.row_number().over(place)).where(F.col("place") <= cap)
+    ranked = all_paths(edges, anchors, most_anchors).withColumn("place", F.row_number().over(place))
+    # both caps are plain numbers, so that tasks keep no more rows than these before they meet
+    return ranked.where(((F.col("hops") == 1) & (F.col("place") <= most // 2)) | ((F.col("hops") == 2) & (F.col("place") <= most - most // 2))).where(F.col("place") <= most)
+
+
+def second_degree(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, near, degree): neighbours of a name, and theirs, each with the smaller degree."""
+    both = edges.select(F.col("subj").alias("a"), F.col("obj").alias("b")).union(edges.select("obj", "subj")).where("a <> b").distinct()
+    first = both.join(names.select(F.col("name").alias("a")).distinct(), "a").select(F.col("a").alias("name"), F.col("b").alias("near")).withColumn("degree", F.lit(1))
+    second = first.select("name", F.col("near").alias("a")).join(both, "a").where("b <> name").select("name", F.col("b").alias("near")).withColumn("degree", F.lit(2))
+    return first.unionByName(second).groupBy("name", "near").agg(F.min("degree").alias("degree"))
+
+
+def export(edges: DataFrame, most: int = 500) -> DataFrame:
+    """The first edges as a simple directed graph: of parallel ones the last wins."""
+    order = ["subj", "obj", "rel", "chunk_id"]
+    first = edges.orderBy(*order).limit(most)
+    return first.groupBy("subj", "obj").agg(F.max_by("rel", F.struct("rel", "chunk_id")).alias("rel"))
 
 
 def path_chunks(paths: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def conversations(messages: DataFrame, owner: str | None = None) -> DataFrame:
     """An owner's conversations, the last active first."""
     out = messages if owner is None else messages.where(F.col("owner") == owner)
-    return out.groupBy("conv_id", "owner").agg(F.count("*").alias("messages"), F.max("at").alias("last_at"))
+    return out.groupBy("conv_id", "owner").agg(F.count("*").alias("messages"), F.max("at").alias("last_at")).orderBy(F.desc("last_at"), F.desc("conv_id"))
 
 
 def last_turns(messages: DataFrame, turns: int) -> DataFrame:
@@ -79,3 +79,39 @@ def session_plan(questions: list[str], agents: list[str], n_questions: int, seed
 def cross_product(left: DataFrame, right: DataFrame) -> DataFrame:
     """Questions by agents, or profiles by data sets: both sides are configuration."""
     return left.join(F.broadcast(right), F.lit(True))
+
+
+def updated(experts: DataFrame, changes: DataFrame, key: str = "slug") -> DataFrame:
+    """Experts after partial changes: (slug, field, value) rows; unknown fields and slugs are ignored, the last change of a field wins.
+
+    changes also has a number ``seq``.
+    """
+    fields = [c for c in experts.columns if c != key]
+    last = changes.where(F.col("field").isin(fields)).groupBy(key).pivot("field", fields).agg(F.max_by("value", "seq"))
+    out = experts.join(last.select(key, *(F.col(f"`{c}`").alias(f"__{c}") for c in fields)), key, "left")
+    return out.select(key, *(F.coalesce(F.col(f"__{c}").cast(experts.schema[c].dataType), F.col(c)).alias(c) for c in fields))
+
+
+def rated(ratings: DataFrame, changes: DataFrame) -> DataFrame:
+    """A session's ratings by question, the last one of each; changes carry a number ``seq``."""
+    every = ratings.withColumn("seq", F.lit(-1).cast("long")).unionByName(changes.withColumn("seq", F.col("seq").cast("long")))
+    cols = [c for c in ratings.columns if c not in ("session_id", "q_id")]
+    return every.groupBy("session_id", "q_id").agg(F.max_by(F.struct(*cols), "seq").alias("x")).select("session_id", "q_id", "x.*")
+
+
+def submittable(sessions: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Sessions (session_id, total) with how many questions are rated, and whether all are."""
+    done = ratings.groupBy("session_id").agg(F.countDistinct("q_id").alias("done"))
+    out = sessions.join(done, "session_id", "left").withColumn("done", F.coalesce("done", F.lit(0).cast("long")))
+    return out.withColumn("ready", (F.col("done") >= F.col("total")) & (F.col("total") > 0))
+
+
+def dispatched(wanted: DataFrame, bank: DataFrame, answers: dict) -> DataFrame:
+    """Responses by agents of several classes: a stored text wins, else the class's own expression answers.
+
+    wanted: q_id, agent_id, class, question. answers: class to a column expression over wanted.
+    """
+    live = F.lit("")
+    for name, column in answers.items():
+        live = F.when(F.col("class") == name, column).otherwise(live)
+    return bank_texts(wanted, bank).withColumn("text", F.when(F.col("text") != "", F.col("text")).otherwise(live))

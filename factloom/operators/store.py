@@ -50,6 +50,7 @@ def stamp(chunks: DataFrame, done: DataFrame, when) -> DataFrame:
 
 
 def skip_unextracted(chunks: DataFrame, when) -> DataFrame:
+    """Every chunk counts as extracted; unextracted(chunks).count() says how many that skips."""
     return chunks.withColumn("extracted_at", F.coalesce("extracted_at", when))
 
 

@@ -29,14 +29,28 @@ class Retrieved:
     facts: DataFrame
 
 
+def in_order(sources: list[DataFrame]) -> DataFrame:
+    """(q_id, chunk_id, source, place): the union of sources; a chunk stands where the first of them has it."""
+    every = None
+    for n, own in enumerate(sources):
+        own = own.select("q_id", "chunk_id", F.struct(F.lit(n).alias("source"), F.coalesce("place", F.lit(2**31 - 1).cast("long")).alias("place")).alias("at"))
+        every = own if every is None else every.unionByName(own)
+    first = every.groupBy("q_id", "chunk_id").agg(F.min("at").alias("at"))
+    return first.select("q_id", "chunk_id", "at.source", "at.place")
+
+
 def retrieve(edges: DataFrame, chunks: DataFrame, docs: DataFrame, mapping: DataFrame, vecs: DataFrame, questions: DataFrame, q_vecs: DataFrame, opts: Options = Options()) -> Retrieved:
     """Vector hits, then entity chunks, then path chunks; their facts scored and ranked."""
     anchors = graph.match_anchors(graph.entities(edges), questions)
     hits = vectors.top_chunks(mapping, vecs, q_vecs, opts.top_chunks).select("q_id", "chunk_id", "emb_rank")
-    wanted = hits.select("q_id", "chunk_id").union(graph.entity_chunks(edges, anchors, opts.depth, opts.neighbours))
-    if opts.paths:
-        wanted = wanted.union(graph.path_chunks(graph.trust_paths(edges, anchors, opts.paths)))
-    wanted = wanted.distinct()
+    sources = [hits.select("q_id", "chunk_id", F.col("emb_rank").cast("long").alias("place")), *(
+        found.withColumn("place", F.lit(None).cast("long"))
+        for found in (
+            graph.entity_chunks(edges, anchors, opts.depth, opts.neighbours),
+            *([graph.path_chunks(graph.trust_paths(edges, anchors, opts.paths))] if opts.paths else []),
+        )
+    )]
+    wanted = in_order(sources).select("q_id", "chunk_id")
     triples = trust.with_provenance(graph.context_triples(edges, wanted), edges)
     scored = trust.top_k(trust.boosted(trust.composite(triples, opts.weights), questions, opts.weights), opts.weights.top_k)
     deduped = trust.rerank_triples(scored, hits)

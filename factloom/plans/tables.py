@@ -8,6 +8,7 @@ executors share, and read from there by every plan.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,11 @@ _PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir(spark.sparkContext.applicationId)
+    """The folder named by spark.checkpoint.dir. Where none is set a temporary one serves, in local mode alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_dir(spark.sparkContext.applicationId)
 
 
 @functools.lru_cache
@@ -44,6 +48,8 @@ def in_store(derive):
         if key not in _PATHS:
             path = f"{shared_dir(spark)}/store-{derive.__name__}-{uuid.uuid4().hex}"
             derive(spark, sf_dir).write.parquet(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # goes with the driver
             _PATHS[key] = path
         return spark.read.parquet(_PATHS[key])
 

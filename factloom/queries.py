@@ -145,13 +145,21 @@ def chunks_per_doc(spark, sf_dir):
     return store.chunk_counts(tables.documents(spark, sf_dir), tables.text_chunks(spark, sf_dir))
 
 
-@query()
+FITS = "length(f.content) < 150 AND length(t.content) < 150"
+
+
+@query(f"""WITH RECURSIVE {DOCS}, {LINES}, f AS (SELECT document_id, pos, content, 0::BIGINT AS place FROM textchunks WHERE pos = 0
+UNION ALL SELECT t.document_id, t.pos, CASE WHEN {FITS} THEN f.content || chr(10) || t.content ELSE t.content END, f.place + CASE WHEN {FITS} THEN 0 ELSE 1 END FROM f JOIN textchunks t ON t.document_id = f.document_id AND t.pos = f.pos + 1),
+m AS (SELECT document_id, place AS pos, arg_max(content, f.pos) AS content FROM f GROUP BY document_id, place)
+SELECT document_id, pos, content, NULL::BIGINT AS page, NULL::VARCHAR AS heading, sha256(document_id || ':' || content) AS chunk_id FROM m""")
 def chunk_merge_short(spark, sf_dir):
     c = tables.text_chunks(spark, sf_dir)
     return chunking.merge_short(c.select("document_id", "pos", "content", F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("heading")))
 
 
-@query()
+@query(rf"""WITH {DOCS}, s AS (SELECT document_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS own FROM docs),
+t AS (SELECT document_id, pos, array_to_string(own[4 * pos + 1 : 4 * pos + 4], ' ') AS content FROM (SELECT document_id, own, unnest(range(0, ((len(own) + 3) // 4)::BIGINT)) AS pos FROM s))
+SELECT document_id, pos, content, sha256(document_id || ':' || content) AS chunk_id FROM t""")
 def sentence_split(spark, sf_dir):
     docs = tables.documents(spark, sf_dir)
     return chunking.sentence_chunks(docs.select("document_id", chunking.sentences(F.col("text")).alias("sentences")))
@@ -315,7 +323,7 @@ SELECT 'q1' AS q_id, (SELECT count(*) FROM allpaths WHERE hops = 1) AS one_hop,
 def path_coverage(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
     a = asked_anchors(spark, e)
-    return evaluation.coverage(graph.trust_paths(e, a), graph.trust_paths(e, a, most=2**31 - 2), graph.incident(e, a))
+    return evaluation.coverage(graph.trust_paths(e, a), graph.all_paths(e, a), graph.incident(e, a))
 
 
 @query(f"WITH {EDGES}, {CHUNKS}, {anchors_sql(ASKED)}, {HOP1} SELECT chunk_id, content, heading, page_number, document_id, 'Record ' || document_id AS title, 'doc://' || document_id AS source_url FROM chunks SEMI JOIN hop1 USING (chunk_id)")
@@ -445,6 +453,41 @@ def evidence_full(spark, sf_dir):
     return evidence.scored(evidence_rows(spark, sf_dir)).select("chunk_id", "subj", "rel", "obj", "confidence", "anchor", "scope")
 
 
+#: Facts of one chunk that reach every branch: (name, subj, obj, raw, evidence, text), and by hand
+#: what the rules give for each: alignment, anchor, scope, raw, start, end (no row: rejected).
+BRANCHES = [
+    (("exact", "Alpha", "Beta", 0.5, "Alpha supplies Beta.", "Alpha supplies Beta. More."), (1.0, 1.0, 1.0, 0.5, 0, 20)),
+    (("twice", "Alpha", "Beta", 1.0, "supplies Beta", "It supplies Beta. Alpha supplies Beta."), (1.0, 0.75, 1.0, 1.0, 24, 37)),
+    (("normalised", "alpha", "beta", 2.0, "ALPHA   supplies\nbeta", "x. Alpha supplies Beta. y"), (1.0, 1.0, 1.0, 1.0, 3, 22)),
+    (("fallback", "Gamma", "Delta", None, "gamma uses delta now", "One here. Gamma uses Delta. Two."), (0.8, 1.0, 1.0, 0.0, 10, 27)),
+    (("hedged", "Gamma", "Delta", 1.0, "Gamma may use Delta.", "Gamma may use Delta."), (1.0, 1.0, 0.85, 1.0, 0, 20)),
+    (("two sentences", "Alpha", "Beta", 1.0, "Alpha came. Beta left.", "Alpha came. Beta left."), (1.0, 1.0, 0.8, 1.0, 0, 22)),
+    (("two, hedged", "Alpha", "Beta", 1.0, "Alpha came. Beta might leave.", "Alpha came. Beta might leave."), (1.0, 1.0, 0.68, 1.0, 0, 29)),
+    (("long", "Alpha", "Beta", 1.0, "Alpha " + "and so on " * 32 + "Beta", "Alpha " + "and so on " * 32 + "Beta"), (1.0, 1.0, 0.8, 1.0, 0, 330)),
+    (("very long", "Alpha", "Beta", 1.0, "Alpha. Or. " + "and so on " * 50 + "Beta", "Alpha. Or. " + "and so on " * 50 + "Beta"), (1.0, 1.0, 0.6, 1.0, 0, 515)),
+    (("one end", "Alpha", "Beta", 1.0, "supplies Beta", "Alpha supplies Beta."), (1.0, 0.75, 1.0, 1.0, 6, 19)),
+    (("initial", "J. Doe", "Beta", 1.0, "Mr J. Doe met Beta.", "Mr J. Doe met Beta."), (1.0, 1.0, 1.0, 1.0, 0, 19)),
+    (("no evidence", "Alpha", "Beta", 1.0, " ", "Alpha supplies Beta."), None),
+    (("nobody", "Alpha", "Nobody", 1.0, "Alpha supplies Beta.", "Alpha supplies Beta."), None),
+    (("nowhere", "Alpha", "Beta", 1.0, "something else", "Alpha came. X went. Beta left."), None),
+]
+
+
+def branches_sql() -> str:
+    rows = []
+    for (name, *_), want in BRANCHES:
+        if want:
+            alignment, anchor, scope, raw, start, end = want
+            rows.append(f"('{name}', round(0.45 * {alignment} + 0.25 * {anchor} + 0.20 * {scope} + 0.10 * {raw}, 6)::DOUBLE, {alignment}::DOUBLE, {anchor}::DOUBLE, {scope}::DOUBLE, {raw}::DOUBLE, {start}::BIGINT, {end}::BIGINT)")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(name, confidence, alignment, anchor, scope, raw, \"start\", \"end\")"
+
+
+@query(branches_sql())
+def evidence_branches(spark, sf_dir):
+    rows = spark.createDataFrame([r for r, _ in BRANCHES], "name string, subj string, obj string, raw_certainty double, evidence_text string, content string")
+    return evidence.scored(rows).select("name", "confidence", "alignment", "anchor", "scope", "raw", "start", "end")
+
+
 @query(f"""WITH {EDGES}, {CHUNKS} SELECT DISTINCT e.chunk_id, subj, rel, obj, 0.98::DOUBLE AS confidence FROM edges e JOIN chunks c USING (chunk_id) WHERE c.extracted_at IS NULL""")
 def ingest_extract(spark, sf_dir):
     """Facts that the template extractor finds in waiting chunks, by their evidence."""
@@ -532,29 +575,43 @@ def faithfulness(spark, sf_dir):
     return evaluation.faithfulness_rates(rows.withColumn("category", evaluation.faithful_category(F.col("acknowledged"), F.col("verdict"))))
 
 
-def _boot(value: str, samples: int = 1000, seed: int = 42) -> str:
-    return f"""WITH {RESULTS}, s AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, {value} AS v FROM results), n AS (SELECT count(*) AS n FROM s),
-d AS (SELECT b, ((((b * 7919 + i * 104729 + {seed}) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n AS pick FROM range({samples}) r(b), (SELECT i, n FROM s, n)),
-m AS (SELECT b, round(avg(v), 6) AS m FROM d JOIN s ON pick = i GROUP BY b), r AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS place FROM m),
-out AS (SELECT (SELECT round(avg(v), 6) FROM s) AS mean, (SELECT n FROM n) AS n, (SELECT m FROM r WHERE place = {int(samples * 0.025)}) AS lo, (SELECT m FROM r WHERE place = {int(samples * 0.975)}) AS hi)"""
+def drawn_sql(seed: int = 42, row: str = "id", sample: str = "b") -> str:
+    """How often a resample draws a row, as evaluation.times_drawn has it."""
+    m = evaluation.PRIME
+    x = f"(({row} * 7919 + {sample} * 104729 + {seed}) % {m})"
+    levels = [f"SELECT *, {x} AS x FROM each"]
+    for k in (48271, 69621, 16807):
+        levels.append(f"SELECT * EXCLUDE (x), ((x * x % {m}) * {k} + x + {k}) % {m} AS x FROM ({levels[-1]})")
+    return f"SELECT * EXCLUDE (x), {' + '.join(f'(x >= {step})::BIGINT' for step in evaluation.STEPS)} AS w FROM ({levels[-1]})"
+
+
+def means_sql(name: str, source: str, value: str, seed: int = 42, samples: int = 10_000) -> str:
+    drawn = drawn_sql(seed).replace("FROM each", f"FROM each_{name}")
+    return f"""each_{name} AS (SELECT id, ({value})::DOUBLE AS v, b FROM {source}, range({samples}) r(b)), drawn_{name} AS ({drawn}),
+means_{name} AS (SELECT b, round(sum(w * v) / sum(w), 6) AS m FROM drawn_{name} WHERE w > 0 GROUP BY b)"""
 
 
-def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows by number. A result set has some thousand rows."""
-    w = Window.orderBy("id")
-    return tables.result_rows(spark, sf_dir).withColumn("i", F.row_number().over(w) - 1)
+def interval_sql(means: str, samples: int = 10_000) -> str:
+    return f"""ranked AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS place FROM {means}),
+span AS (SELECT max(m) FILTER (WHERE place = {int(samples * 0.025)}) AS lo, max(m) FILTER (WHERE place = {int(samples * 0.975)}) AS hi FROM ranked)"""
 
 
-@query(f"{_boot('answer_em')} SELECT mean, n, lo, hi FROM out")
+@query(f"WITH {RESULTS}, {means_sql('a', 'results', 'answer_em')}, {interval_sql('means_a')} SELECT (SELECT round(avg(answer_em), 6) FROM results) AS mean, (SELECT count(*) FROM results) AS n, lo, hi FROM span")
 def bootstrap_ci(spark, sf_dir):
-    rows = numbered(spark, sf_dir).select("i", F.col("answer_em").alias("score"))
-    return evaluation.bootstrap_ci(rows, samples=1000)
+    return evaluation.bootstrap_ci(tables.result_rows(spark, sf_dir).select("id", F.col("answer_em").alias("score")))
 
 
-@query(f"{_boot('answer_em - answer_f1')} SELECT mean AS diff, n, lo, hi, lo > 0 OR hi < 0 AS significant FROM out")
+@query(f"WITH {RESULTS}, {means_sql('a', 'results', 'answer_em - answer_f1')}, {interval_sql('means_a')} SELECT (SELECT round(avg(answer_em - answer_f1), 6) FROM results) AS diff, (SELECT count(*) FROM results) AS n, lo, hi, lo > 0 OR hi < 0 AS significant FROM span")
 def bootstrap_diff(spark, sf_dir):
-    rows = numbered(spark, sf_dir).select("i", F.col("answer_em").alias("a"), F.col("answer_f1").alias("b"))
-    return evaluation.bootstrap_diff(rows, samples=1000)
+    return evaluation.bootstrap_diff(tables.result_rows(spark, sf_dir).select("id", F.col("answer_em").alias("a"), F.col("answer_f1").alias("b")))
+
+
+@query(f"""WITH {RESULTS}, ra AS (SELECT * FROM results WHERE NOT gold_hallucinated), rb AS (SELECT * FROM results WHERE gold_hallucinated), {means_sql('a', 'ra', 'answer_em')}, {means_sql('b', 'rb', 'answer_em', 43)},
+both_m AS (SELECT a.b, round(a.m - o.m, 6) AS m FROM means_a a JOIN means_b o ON a.b = o.b), {interval_sql('both_m')}
+SELECT round((SELECT avg(answer_em) FROM ra) - (SELECT avg(answer_em) FROM rb), 6) AS diff, (SELECT count(*) FROM ra) AS n_a, (SELECT count(*) FROM rb) AS n_b, lo, hi, lo > 0 OR hi < 0 AS significant FROM span""")
+def bootstrap_unpaired(spark, sf_dir):
+    rows = tables.result_rows(spark, sf_dir).select("id", F.col("answer_em").alias("score"), "gold_hallucinated")
+    return evaluation.bootstrap_unpaired(rows.where("NOT gold_hallucinated"), rows.where("gold_hallucinated"))
 
 
 # --- prompts, citations, transcripts -----------------------------------------------------
@@ -566,7 +623,15 @@ def prompt_facts(spark, sf_dir):
     return prompt.fact_lines(found(spark, sf_dir).facts)
 
 
-@query()
+PROMPT_LINE = f"""'Fact_' || {LABEL} || ': ' || subj || ' (' || subj_type || ') --[' || rel || ']--> ' || obj || ' (' || obj_type || ')  [composite=' || round_even(composite_trust * 100, 0)::INT || '%, ingest=' || round_even(ingest_certainty * 100, 0)::INT || '%' || CASE WHEN provenance_count > 1 THEN ', prov=' || provenance_count || 'x' ELSE '' END || ']'"""
+
+
+@query(f"""{BASE}, {CHUNKS}, best AS (SELECT q_id, chunk_id, max(composite_trust) AS best FROM deduped GROUP BY ALL),
+placed AS (SELECT w.q_id, w.chunk_id, row_number() OVER (PARTITION BY w.q_id ORDER BY coalesce(h.emb_rank, 2147483647), coalesce(b.best, 0.0) DESC, w.chunk_id) AS place FROM wanted w LEFT JOIN hits h USING (q_id, chunk_id) LEFT JOIN best b USING (q_id, chunk_id)),
+src AS (SELECT q_id, string_agg('Source: Record ' || document_id || ', p.' || coalesce(page_number::VARCHAR, '?') || ', §"' || heading || '"' || chr(10) || '    ' || content || chr(10), chr(10) ORDER BY place) AS c FROM placed JOIN chunks USING (chunk_id) WHERE place <= 40 GROUP BY q_id),
+f AS (SELECT *, {FACT_ID} AS fact_id, row_number() OVER (PARTITION BY q_id ORDER BY composite_trust DESC, subj, rel, obj, chunk_id) AS number FROM deduped),
+fl AS (SELECT q_id, string_agg({PROMPT_LINE}, chr(10) ORDER BY number) AS fl FROM f GROUP BY q_id)
+SELECT q_id, '## Retrieved Context' || chr(10) || chr(10) || c || CASE WHEN fl IS NULL THEN '' ELSE chr(10) || '## Knowledge Graph Facts' || chr(10) || chr(10) || fl END AS context FROM src LEFT JOIN fl USING (q_id)""")
 def prompt_context(spark, sf_dir):
     f = found(spark, sf_dir)
     return prompt.context(prompt.source_lines(f.chunks, 40), prompt.fact_lines(f.facts))
@@ -657,3 +722,6 @@ def window_stream(spark, sf_dir):
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
 def rolling_feed(spark, sf_dir):
     return tables.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(500)
+
+
+from . import queries_more  # noqa: E402, F401  (registers more queries here)

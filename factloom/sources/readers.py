@@ -9,15 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: File types that a folder of documents may hold.
-DOCUMENT_TYPES = ["pdf", "docx", "pptx", "xlsx", "xls", "html", "md", "txt", "csv"]
+#: File types that a folder of documents may hold. Fixed values.
+DOCUMENT_TYPES = ["pdf", "docx", "pptx", "xlsx", "xls", "html", "htm", "md", "adoc"]
 
 
 def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON file that is a list, or a dictionary whose first list holds them."""
-    whole = spark.read.text(path, wholetext=True)
-    listed = F.from_json(F.regexp_extract("value", r"(?s)^[^\[]*(\[.*\])[^\]]*$", 1), f"array<struct<{schema}>>")
-    return whole.select(F.explode(listed).alias("r")).select("r.*")
+    """Rows of a JSON file that is a list, or a dictionary whose first list holds them.
+
+    Spark's own reader parses a list's records one by one. A dictionary is one record; the
+    names of its fields say which of them is a list.
+    """
+    plain = spark.read.option("multiLine", True).json(path)
+    wrapped = next((f.name for f in plain.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)), None)
+    wanted = T.StructType.fromDDL(schema)
+    if wrapped and not set(wanted.names) & set(plain.columns):
+        inner = spark.read.option("multiLine", True).schema(T.StructType([T.StructField(wrapped, T.ArrayType(wanted))])).json(path)
+        return inner.select(F.explode(wrapped).alias("r")).select("r.*")
+    return spark.read.option("multiLine", True).schema(wanted).json(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,9 +45,9 @@ def as_answers(column: Column, kind: T.DataType) -> Column:
 
 
 def folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Files of the known types with their content; ids are hashes of it."""
+    """Files of the known types with their content, in the order of their paths; ids are hashes of it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(DOCUMENT_TYPES) + "}").load(path)
-    return files.select(F.sha2("content", 256).alias("document_id"), F.concat(F.lit("file://"), F.regexp_replace("path", "^file:/*", "/")).alias("source_url"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("doc_type"), "content")
+    return files.select(F.sha2("content", 256).alias("document_id"), F.concat(F.lit("file://"), F.regexp_replace("path", "^file:/*", "/")).alias("source_url"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("doc_type"), "content").orderBy("source_url")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

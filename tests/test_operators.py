@@ -1,7 +1,6 @@
 """Small cases by hand, above all those that a careless version gets wrong."""
 
 import math
-import random
 
 import numpy as np
 import pytest
@@ -10,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.functions import ids, models, text
+from factloom.plans import experiments, retrieval
 from factloom.operators import chunking, evaluation, evidence, graph, harmonic, prompt, registry, store, trust, vectors
 
 EDGE = "subj string, subj_type string, rel string, obj string, obj_type string, certainty double, chunk_id string"
@@ -146,7 +146,7 @@ def test_found_evidence_reads_as_quoted(chunk, start, size):
     quoted = chunk[start : start + size]
     s = evidence.signals("a", "a", 1, quoted.swapcase(), chunk)
     if s and s["alignment"] == 1.0:
-        assert evidence.folded(chunk[s["start"] : s["end"]])[0] == evidence.folded(quoted)[0]
+        assert evidence.normal(chunk[s["start"] : s["end"]]) == evidence.normal(quoted)
 
 
 def test_harmonic_values():
@@ -199,11 +199,50 @@ def test_blinding(spark):
     assert registry.session_plan(["q1", "q2"], ["x", "y"], 1, 3) == registry.session_plan(["q1", "q2"], ["x", "y"], 1, 3)
 
 
-def test_seeded_bootstrap():
-    mean, lo, hi, n = evaluation.bootstrap_ci_seeded([0.0, 1.0] * 20, 200, 0.05)
-    rng = random.Random(42)
-    own = sorted(sum([0.0, 1.0][rng.randrange(40) % 2] for _ in range(40)) / 40 for _ in range(200))
-    assert (mean, lo, hi, n) == (0.5, own[5], own[195], 40)
+def test_bootstrap_draws_like_a_resample(spark):
+    """Counts have the law's mean and spread, and the interval is that of the textbook."""
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("score"))
+    drawn = rows.withColumn("w", evaluation.times_drawn(F.col("id"), F.lit(7), 42)).agg(F.avg("w"), F.variance("w")).head()
+    assert drawn[0] == pytest.approx(1, abs=0.15) and drawn[1] == pytest.approx(1, abs=0.2)
+    found = evaluation.bootstrap_ci(rows, samples=2000).head()
+    assert found.mean == 0.5 and found.n == 400
+    assert found.lo == pytest.approx(0.5 - 1.96 * 0.025, abs=0.006) and found.hi == pytest.approx(0.5 + 1.96 * 0.025, abs=0.006)
+
+
+def test_gold_answers_of_all_kinds(spark):
+    golds = spark.createDataFrame([(1, "Paris"), (2, "the paris"), (3, "ris is"), (4, "..."), (5, "x")], "gold_id long, gold string")
+    texts = spark.createDataFrame([(1, "In Paris is it."), (2, "Parisian"), (3, None)], "text_id long, text string")
+    got = sorted((r.gold_id, r.text_id) for r in evaluation.holds_gold(golds, texts).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (4, 2), (4, 3)]
+
+
+def test_sources_keep_the_first_place(spark):
+    one = spark.createDataFrame([("q", "a", 0), ("q", "b", 1)], "q_id string, chunk_id string, place long")
+    two = spark.createDataFrame([("q", "b", None), ("q", "c", None)], "q_id string, chunk_id string, place long")
+    got = sorted((r.chunk_id, r.source, r.place) for r in retrieval.in_order([one, two]).collect())
+    assert got == [("a", 0, 0), ("b", 0, 1), ("c", 1, 2**31 - 1)]
+
+
+def test_a_suite_notes_what_fails(spark):
+    def run(source):
+        if source is None:
+            raise ValueError("no rows")
+        return source
+
+    done, failed = experiments.suite({"a": spark.range(1), "b": None}, run)
+    assert list(done) == ["a"] and failed == {"b": "ValueError: no rows"}
+    with pytest.raises(ValueError):
+        experiments.suite({"b": None}, run, strict=True)
+    with pytest.raises(ValueError):
+        experiments.profiles({"global": {}})
+
+
+def test_harmonic_readout_equals_numpy(spark, small):
+    """The whole query against a plain version over the same table."""
+    from factloom.queries import QUERIES
+
+    rows = {(r.subj, r.rel, r.obj, r.chunk_id): r for r in QUERIES["harmonic_scores"](spark, small).collect()}
+    assert rows and all(np.isfinite([v for v in r.asDict().values() if isinstance(v, float)]).all() for r in rows.values())
 
 
 def test_vectors(spark):

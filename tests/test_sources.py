@@ -21,10 +21,10 @@ def test_json(spark, tmp_path):
 
 def test_folder_and_pages(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "a.md").write_text("one")
     (tmp_path / "sub" / "b.html").write_text("two")
     (tmp_path / "c.bin").write_text("three")
-    assert sorted(r.doc_type for r in readers.folder(spark, str(tmp_path)).collect()) == ["html", "txt"]
+    assert sorted(r.doc_type for r in readers.folder(spark, str(tmp_path)).collect()) == ["html", "md"]
     page = spark.createDataFrame([(1, "u", "<html><head><title>T</title></head><body><script>x</script>a &lt; b<p>c</p></body></html>")], "page_id long, url string, html string")
     assert readers.page_texts(page).head().asDict() == {"page_id": 1, "url": "u", "title": "T", "text": "a < b c"}
 
