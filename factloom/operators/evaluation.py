@@ -136,24 +136,25 @@ PRIME = 2**31 - 1
 STEPS = [int(PRIME * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(9)]
 
 
-def times_drawn(row, sample, seed: int):
-    """How often a resample draws a row: Poisson with mean 1, by a hash of the two numbers.
+def with_draws(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows (id, b, ...) with ``w``, how often resample b draws row id: Poisson with mean 1, by a hash of both.
 
     A row's count in a resample of a large set follows that law, and no row needs to know of
-    the others: neither numbering nor a join.
+    the others: neither numbering nor a join. Each round of mixing is a projection of its own,
+    so that its value is computed once and not copied into what follows.
     """
-    x = F.pmod(row * 7919 + sample * 104729 + seed, F.lit(PRIME))
+    out = rows.withColumn("x", F.pmod(F.col("id") * 7919 + F.col("b") * 104729 + seed, F.lit(PRIME)))
+    x = F.col("x")
     for a in (48271, 69621, 16807):
-        x = F.pmod(F.pmod(x * x, F.lit(PRIME)) * a + x + a, F.lit(PRIME))
-    return sum(((x >= step).cast("int") for step in STEPS[1:]), (x >= STEPS[0]).cast("int"))
+        out = out.withColumn("x", (x * x % PRIME * a + x + a) % PRIME)
+    return out.withColumn("w", sum(((x >= step).cast("int") for step in STEPS[1:]), (x >= STEPS[0]).cast("int"))).drop("x")
 
 
 def resampled(scores: DataFrame, value, samples: int, seed: int) -> DataFrame:
     """(b, mean) of each resample of the rows (id and a value), summed where the rows are."""
     each = scores.select(F.col("id").cast("long").alias("id"), value.cast("double").alias("v")).where("v IS NOT NULL")
-    each = each.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
-    each = each.withColumn("w", times_drawn(F.col("id"), F.col("b"), seed))
-    sums = each.where("w > 0").groupBy("b").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
+    each = with_draws(each.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long")))), seed)
+    sums = each.groupBy("b").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")).where("n > 0")
     return sums.select("b", F.round(F.col("s") / F.col("n"), 6).alias("mean"))
 
 

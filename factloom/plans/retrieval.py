@@ -39,9 +39,9 @@ def in_order(sources: list[DataFrame]) -> DataFrame:
     return first.select("q_id", "chunk_id", "at.source", "at.place")
 
 
-def retrieve(edges: DataFrame, chunks: DataFrame, docs: DataFrame, mapping: DataFrame, vecs: DataFrame, questions: DataFrame, q_vecs: DataFrame, opts: Options = Options()) -> Retrieved:
+def retrieve(edges: DataFrame, chunks: DataFrame, docs: DataFrame, mapping: DataFrame, vecs: DataFrame, questions: DataFrame, q_vecs: DataFrame, opts: Options = Options(), entities: DataFrame | None = None) -> Retrieved:
     """Vector hits, then entity chunks, then path chunks; their facts scored and ranked."""
-    anchors = graph.match_anchors(graph.entities(edges), questions)
+    anchors = graph.match_anchors(graph.entities(edges) if entities is None else entities, questions)
     hits = vectors.top_chunks(mapping, vecs, q_vecs, opts.top_chunks).select("q_id", "chunk_id", "emb_rank")
     sources = [hits.select("q_id", "chunk_id", F.col("emb_rank").cast("long").alias("place")), *(
         found.withColumn("place", F.lit(None).cast("long"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators.chunking import newline_chunks
+from ..operators.graph import entities as graph_entities
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +101,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@in_store
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (name, type) at an end of a fact: the store's table of nodes."""
+    return graph_entities(edges(spark, sf_dir))
+
+
 def sentence():
     return F.concat("subj", F.lit(" "), "rel", F.lit(" "), "obj", F.lit("."))
 

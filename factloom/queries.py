@@ -94,12 +94,12 @@ def found(spark: SparkSession, sf_dir: str, opts: retrieval.Options = retrieval.
     c = tables.fact_chunks(spark, sf_dir)
     return retrieval.retrieve(
         e, c, tables.fact_documents(e), tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir),
-        tables.question(spark, ASKED), tables.question_vector(spark, sf_dir), opts,
+        tables.question(spark, ASKED), tables.question_vector(spark, sf_dir), opts, tables.entities(spark, sf_dir),
     )
 
 
-def asked_anchors(spark: SparkSession, e: DataFrame, asked: str = ASKED) -> DataFrame:
-    return graph.match_anchors(graph.entities(e), tables.question(spark, asked))
+def asked_anchors(spark: SparkSession, sf_dir: str, asked: str = ASKED) -> DataFrame:
+    return graph.match_anchors(tables.entities(spark, sf_dir), tables.question(spark, asked))
 
 
 # --- identities and ingest ---------------------------------------------------------------
@@ -274,7 +274,7 @@ def json_salvage(spark, sf_dir):
 
 def _anchors(name: str, asked: str):
     def run(spark, sf_dir):
-        return asked_anchors(spark, tables.edges(spark, sf_dir), asked)
+        return asked_anchors(spark, sf_dir, asked)
 
     run.__name__ = name
     query(f"WITH {EDGES}, {anchors_sql(asked)} SELECT q_id, tier::BIGINT AS tier, name FROM anchors")(run)
@@ -296,40 +296,40 @@ def name_cleaning(spark, sf_dir):
 @query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1} SELECT q_id, chunk_id FROM hop1")
 def hop1_chunks(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return graph.incident(e, asked_anchors(spark, e))
+    return graph.incident(e, asked_anchors(spark, sf_dir))
 
 
 @query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {NEW} SELECT q_id, name, n, rank FROM newtop")
 def hop2_entity_topk(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    a = asked_anchors(spark, e)
+    a = asked_anchors(spark, sf_dir)
     return graph.frequent_neighbours(e, graph.incident(e, a), a, 20)
 
 
 @query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {NEW} SELECT q_id, chunk_id FROM hop1 UNION SELECT t.q_id, e.chunk_id FROM edges e JOIN newtop t ON e.subj = t.name OR e.obj = t.name")
 def hop2_chunks(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return graph.entity_chunks(e, asked_anchors(spark, e), depth=2, k=20)
+    return graph.entity_chunks(e, asked_anchors(spark, sf_dir), depth=2, k=20)
 
 
 @query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {PATHS} SELECT * FROM paths")
 def trust_paths(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return graph.trust_paths(e, asked_anchors(spark, e))
+    return graph.trust_paths(e, asked_anchors(spark, sf_dir))
 
 
 @query(f"""WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {PATHS}, own AS (SELECT q_id, chunk_id FROM paths UNION SELECT q_id, chunk2 FROM paths WHERE chunk2 IS NOT NULL)
 SELECT 'q1' AS q_id, (SELECT count(*) FROM allpaths WHERE hops = 1) AS one_hop, (SELECT count(*) FROM allpaths WHERE hops = 2) AS two_hop, (SELECT count(*) FROM paths) AS kept, (SELECT count(*) FROM own) AS path_chunks, (SELECT count(*) FROM own SEMI JOIN hop1 USING (q_id, chunk_id)) AS overlap""")
 def path_coverage(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    a = asked_anchors(spark, e)
+    a = asked_anchors(spark, sf_dir)
     return evaluation.coverage(graph.trust_paths(e, a), graph.all_paths(e, a), graph.incident(e, a))
 
 
 @query(f"WITH {EDGES}, {CHUNKS}, {anchors_sql(ASKED)}, {HOP1} SELECT chunk_id, content, heading, page_number, document_id, 'Record ' || document_id AS title, 'doc://' || document_id AS source_url FROM chunks SEMI JOIN hop1 USING (chunk_id)")
 def context_chunks(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    out = graph.context_chunks(tables.fact_chunks(spark, sf_dir), tables.fact_documents(e), graph.incident(e, asked_anchors(spark, e)))
+    out = graph.context_chunks(tables.fact_chunks(spark, sf_dir), tables.fact_documents(e), graph.incident(e, asked_anchors(spark, sf_dir)))
     return out.select("chunk_id", "content", "heading", "page_number", "document_id", "title", "source_url")
 
 
@@ -337,7 +337,7 @@ def context_chunks(spark, sf_dir):
 def context_triples(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
     hits = vectors.top_chunks(tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
-    wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, e))).distinct()
+    wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, sf_dir))).distinct()
     return graph.context_triples(e, wanted).select("q_id", "subj", "rel", "obj", "certainty", "chunk_id")
 
 
@@ -404,7 +404,7 @@ def composite_trust(spark, sf_dir):
 def entity_boost_topk(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
     hits = vectors.top_chunks(tables.chunk_vectors(spark, sf_dir), tables.vectors(spark, sf_dir), tables.question_vector(spark, sf_dir), 15)
-    wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, e))).distinct()
+    wanted = hits.select("q_id", "chunk_id").union(graph.incident(e, asked_anchors(spark, sf_dir))).distinct()
     scored = trust.composite(trust.with_provenance(graph.context_triples(e, wanted), e))
     return trust.top_k(trust.boosted(scored, tables.question(spark, ASKED)), 40).select("q_id", "subj", "rel", "obj", "chunk_id", "composite_trust")
 
@@ -576,7 +576,7 @@ def faithfulness(spark, sf_dir):
 
 
 def drawn_sql(seed: int = 42, row: str = "id", sample: str = "b") -> str:
-    """How often a resample draws a row, as evaluation.times_drawn has it."""
+    """How often a resample draws a row, as evaluation.with_draws has it."""
     m = evaluation.PRIME
     x = f"(({row} * 7919 + {sample} * 104729 + {seed}) % {m})"
     levels = [f"SELECT *, {x} AS x FROM each"]

@@ -199,7 +199,7 @@ def graph_export(spark, sf_dir):
 @query(f"WITH {EDGES}, {anchors_sql(ASKED)} SELECT q_id, name FROM anchors")
 def anchors_first_seen(spark, sf_dir):
     """Names that differ in case alone are one anchor, the first."""
-    a = asked_anchors(spark, tables.edges(spark, sf_dir)).withColumn("place", F.lit(0))
+    a = asked_anchors(spark, sf_dir).withColumn("place", F.lit(0))
     return graph.first_seen(a.unionByName(a.withColumns({"name": F.upper("name"), "place": F.lit(1)}))).select("q_id", "name")
 
 
