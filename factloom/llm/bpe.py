@@ -10,8 +10,14 @@ the result equals that of the library on the whole text.
 Counts of words cover every document. A task hands over the words that make up at least
 ``share`` of its own words: a word with that share of all words reaches it in some task.
 
-Null and empty texts have no ids and decode to an empty string. Rows with a repeated or
-null id are encoded like any other. An empty table gives an empty result.
+What a worker has seen is kept in two dictionaries, of short words only and of a bounded number
+of them; the automaton's file is a worker's own, mapped and already unlinked, so that its pages
+can be dropped under pressure and nothing is left behind.
+
+Null and empty texts have no ids and decode to an empty string. Very long texts are encoded
+whole. Rows with a repeated or null id, and equal texts, are encoded each by itself. Words of
+equal count enter the automaton in the order of their letters; ids don't depend on that. Other
+columns, whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -141,7 +147,7 @@ class Transducer:
 class Codec:
     """Encodes and decodes whole texts; keeps what it has seen in a bounded dictionary."""
 
-    def __init__(self, path: str, lexicon: Transducer | None, most: int = 300_000):
+    def __init__(self, path: str, lexicon: Transducer | None, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -169,9 +175,11 @@ class Codec:
         ids = self.lexicon.get(word) if self.lexicon else None
         if ids is None:
             ids = array("I", self.merge(word)).tobytes()
-        if len(self.seen) >= self.most:
-            self.seen.clear()
-        out = self.seen[word] = ids, self.decode(memoryview(ids).cast("I"))
+        out = ids, self.decode(memoryview(ids).cast("I"))
+        if len(word) < 64:
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            self.seen[word] = out
         return out
 
     def _learn(self, stretch: str) -> tuple[bytes, str]:

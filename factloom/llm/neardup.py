@@ -185,7 +185,7 @@ class Bloom:
     def places(self, ids: np.ndarray) -> Iterator[np.ndarray]:
         x = ids.astype(np.int64).view(M64)
         for n in range(self.TIMES):
-            yield mixed(x + M64(0x9E3779B97F4A7C15) * M64(n + 1)) & M64(self.size - 1)
+            yield mixed(x + M64(0x9E3779B97F4A7C15 * (n + 1) % 2**64)) & M64(self.size - 1)
 
     def add(self, ids: np.ndarray) -> None:
         for at in self.places(ids):

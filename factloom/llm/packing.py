@@ -12,8 +12,10 @@ No row is shuffled: a task packs what it reads, and leaves at most a part of one
 unfilled. Ids of sequences are made of the task and a count, so a task that is run again
 makes the same ones.
 
-Null and empty texts give one piece, the end id. Rows with a repeated or null id are
-packed like any other. An empty table gives an empty result.
+Null and empty texts give one piece, the end id. Very long texts give whole windows of their
+own. Rows with a repeated or null id, and equal texts, are packed each by itself. Partial
+partitions of equal spread are merged in the order in which they came up. Other columns,
+whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
