@@ -139,6 +139,19 @@ class Versions:
         df.write.mode("overwrite").parquet(f"{self.path}/v{number}")
         return number
 
+    def reset(self) -> None:
+        """No version is left."""
+        self.fs.delete(self.hadoop(self.path), True)
+
+    def changed(self, change) -> int:
+        """change(table) becomes the newest version; where it fails, the one before stays what readers see."""
+        number = (self.numbers() or [0])[-1] + 1
+        try:
+            return self.write(change(self.read()))
+        except Exception:
+            self.fs.delete(self.hadoop(f"{self.path}/v{number}"), True)
+            raise
+
     def restore(self, number: int) -> int:
         """An older version becomes the newest."""
         return self.write(self.read(number))

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import ids, text
-from .operators import chunking, evaluation, graph, prompt, registry, store, trust
-from .plans import experiments, tables
-from .queries import ASKED, CHUNKS, EDGES, HELD, RESULTS, anchors_sql, asked_anchors, held, query
-from .sources import sinks
+from .operators import chunking, evaluation, graph, prompt, registry, store, trust, vectors
+from .plans import experiments, ingest, tables
+from .queries import ASKED, CHUNKS, DOCS, EDGES, HELD, LINES, RESULTS, anchors_sql, asked_anchors, held, query
+from .sources import catalogue, readers, sinks
+from .streaming import streams
 
 # --- store ---------------------------------------------------------------------------------
 
@@ -300,3 +301,77 @@ def evaluation_log(spark, sf_dir):
     for kind in ("error", "signup"):
         sinks.append_log(e.where(F.col("event_type") == kind), path)
     return sinks.read_log(spark, path, "session_id long, event_id long, event_type string").groupBy("session_id").agg(F.count("*").alias("lines"))
+
+
+# --- sources that arrive, and what is built from them --------------------------------------
+
+
+def scratch(spark, name: str) -> str:
+    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey AS id, p_name AS title, 'https://x/' || p_partkey || '.pdf' AS pdf_url, p_partkey AS resume_offset FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 0")
+def catalogue_stream(spark, sf_dir):
+    """Pages of 50 records arrive, some at a time; each batch is upserted, and a second run finds nothing new."""
+    n = F.col("p_partkey") - 1
+    link = F.struct(F.concat(F.lit("https://x/"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("pdf"))
+    other = F.struct(F.lit("text/html").alias("mimetype"), F.lit("n").alias("name"), F.struct(F.lit(None).cast("string").alias("pdf")).alias("links"))
+    file = F.struct(F.lit("application/pdf").alias("mimetype"), F.lit("n").alias("name"), link.alias("links"))
+    record = F.struct(n.alias("n"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 3 != 0).alias("downloadsAvailable"), F.array(other, file).alias("downloads"), F.array("p_brand").alias("subjectCategories"))
+    pages = tables.read(spark, sf_dir, "part").groupBy(F.floor(n / 50).cast("int").alias("page")).agg(F.array_sort(F.collect_list(record)).alias("results"))
+    path, table = scratch(spark, "pages"), store.Versions(spark, scratch(spark, "records"))
+    pages.select("page", F.to_json(F.struct("results")).alias("value")).write.partitionBy("page").text(path)
+    state = scratch(spark, "state")
+    for _ in range(2):
+        streams.ingest(catalogue.records(catalogue.page_stream(spark, path, 20), 50), table, "id", "resume_offset", state)
+    done = table.read()
+    return done.select("id", "title", "pdf_url", F.col("id").alias("resume_offset"))
+
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT DISTINCT chunk_id, subj, rel, obj, 0.98::DOUBLE AS certainty FROM edges JOIN chunks USING (chunk_id) WHERE extracted_at IS NULL AND heading IN ('P', 'S', 'N')")
+def extract_stream(spark, sf_dir):
+    """Waiting chunks arrive as files; each batch replaces the facts of its chunks."""
+    path, table = scratch(spark, "arriving"), store.Versions(spark, scratch(spark, "facts"))
+    own = tables.fact_chunks(spark, sf_dir).where("heading IN ('P', 'S', 'N')")
+    own.repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    facts = lambda chunks: ingest.extracted(chunks).select("chunk_id", "subj", "rel", "obj", "certainty")
+    streams.extract_incremental(stream, table, facts, scratch(spark, "state"))
+    return table.read()
+
+
+@query("SELECT vec_id::VARCHAR AS chunk_id, len(embedding) AS width FROM embeddings WHERE embedding IS NOT NULL")
+def index_stream(spark, sf_dir):
+    """Vectors arrive twice over; the index holds each once, and readers of the view see whole versions."""
+    path, index = scratch(spark, "arriving"), store.Versions(spark, scratch(spark, "index"))
+    own = tables.vectors(spark, sf_dir).where("vec IS NOT NULL").select(F.col("key").cast("string").alias("chunk_id"), "vec")
+    own.union(own).repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    streams.index_incremental(stream, index, scratch(spark, "state"))
+    view = f"index_{uuid.uuid4().hex}"
+    streams.swapped(index, view)
+    return spark.table(view).select("chunk_id", F.size("vec").alias("width"))
+
+
+@query(f"WITH {DOCS}, {LINES}, known AS (SELECT document_id FROM docs WHERE first_id % 2 = 0) SELECT d.document_id, count(DISTINCT chunk_id) AS chunks FROM docs d JOIN textchunks USING (document_id) WHERE d.document_id NOT IN (SELECT document_id FROM known) AND trim(d.text) <> '' GROUP BY ALL")
+def ingest_records(spark, sf_dir):
+    """Texts whose content or address is known are not taken again."""
+    d = tables.documents(spark, sf_dir)
+    docs, chunks = ingest.records(d.select("source_url", "doc_type", "text"), d.where("first_id % 2 = 0").select("document_id", "source_url"))
+    return store.chunk_counts(docs, chunks)
+
+
+@query(f"WITH {EDGES}, v AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings) SELECT vec_id, greatest(0.0, round(c, 6)) AS relevance FROM v")
+def relevance(spark, sf_dir):
+    """A question's cosine with each vector, nothing below 0."""
+    own = vectors.scores(tables.vectors(spark, sf_dir).select("key", vectors.normalised(F.col("vec")).alias("vec")), tables.question_vector(spark, sf_dir))
+    return own.select(F.col("key").alias("vec_id"), F.greatest(F.lit(0.0), trust.finite(F.col("score"))).alias("relevance"))
+
+
+@query("SELECT c_mktsegment AS slug, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def registry_scan(spark, sf_dir):
+    """A folder of JSON files, one for each expert; one that can't be read is skipped."""
+    path = scratch(spark, "registry")
+    own = tables.read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("slug")).agg(F.count("*").alias("n"))
+    own.select(F.to_json(F.struct("slug", "n")).alias("value")).unionByName(spark.range(1).select(F.lit('{"slug": "broken', ).alias("value"))).repartition(8).write.text(path)
+    return readers.sessions(spark, path, "slug string, n long")

@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "id long, title string, pdf_url string, categories array<string>, resume_offset long"
@@ -60,3 +62,35 @@ class Catalogue(DataSource):
 
     def reader(self, schema):
         return CatalogueReader(self.options)
+
+
+# --- the same through Spark's own readers: any file system, batch or stream ------------------
+
+FILE = "struct<mimetype:string,name:string,links:struct<pdf:string>>"
+PAGE = f"results array<struct<id:bigint,title:string,downloadsAvailable:boolean,downloads:array<{FILE}>,subjectCategories:array<string>>>"
+
+
+def pdf_column(record) -> Column:
+    """The record's PDF, as pdf_of() finds it; null where there is none."""
+    files = F.coalesce(record["downloads"], F.array().cast(f"array<{FILE}>"))
+    typed = F.filter(files, lambda f: f["mimetype"] == "application/pdf")
+    links = F.filter(F.transform(F.concat(typed, files), lambda f: f["links"]["pdf"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(record["downloadsAvailable"], F.get(links, F.lit(0)))
+
+
+def records(pages: DataFrame, size: int, offset: int = 0) -> DataFrame:
+    """Records with a PDF from pages (page, value: a page's JSON), each with the offset after it."""
+    flat = pages.select("page", F.posexplode(F.from_json("value", PAGE)["results"]).alias("i", "r"))
+    out = flat.select(
+        F.col("r.id").alias("id"), F.coalesce("r.title", F.lit("")).alias("title"), pdf_column(F.col("r")).alias("pdf_url"),
+        F.coalesce("r.subjectCategories", F.array().cast("array<string>")).alias("categories"), (F.col("page").cast("long") * size + F.col("i") + 1).alias("resume_offset"),
+    )
+    return out.where((F.col("pdf_url").isNotNull()) & (F.col("resume_offset") > offset))
+
+
+def page_stream(spark: SparkSession, path: str, each: int = 10) -> DataFrame:
+    """Pages as they arrive, a bounded number at a time; what was read is in the stream's checkpoint.
+
+    Pages lie in folders page=0, page=1 ... below path, one text file each.
+    """
+    return spark.readStream.schema("value string, page int").option("wholetext", True).option("maxFilesPerTrigger", each).text(path)

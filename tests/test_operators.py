@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.functions import ids, models, text
-from factloom.plans import experiments, retrieval
+from factloom.plans import experiments, ingest, retrieval
 from factloom.operators import chunking, evaluation, evidence, graph, harmonic, prompt, registry, store, trust, vectors
 
 EDGE = "subj string, subj_type string, rel string, obj string, obj_type string, certainty double, chunk_id string"
@@ -189,6 +189,30 @@ def test_versions(spark, tmp_path):
     assert v.read().count() == 5 and v.restore(1) == 3 and v.read().count() == 3
 
 
+def test_a_change_that_fails_leaves_the_old_version(spark, tmp_path):
+    v = store.Versions(spark, str(tmp_path / "t"))
+    v.write(spark.range(3).toDF("id"))
+    with pytest.raises(Exception, match="no"):
+        v.changed(lambda old: old.select(F.raise_error(F.lit("no")).cast("long").alias("id")))
+    assert v.numbers() == [1] and v.read().count() == 3
+    assert v.changed(lambda old: old.where("id > 0")) == 2 and v.read().count() == 2
+    v.reset()
+    assert v.numbers() == []
+
+
+class Names:
+    """Says which entities a text names."""
+
+    def chat(self, prompt, max_tokens=0):
+        return '[{"name": "s", "type": "FIRM"}, {"name": "P", "type": "PART"}]'
+
+
+def test_two_passes_keep_facts_between_named_entities(spark):
+    chunks = spark.createDataFrame([("k", "S supplies P. C ordered P.", None)], "chunk_id string, content string, extracted_at string")
+    rows = ingest.two_pass(chunks, lambda: Names(), models.TemplateExtractor).collect()
+    assert [(r.subj, r.subj_type, r.rel, r.obj, r.obj_type) for r in rows] == [("S", "FIRM", "supplies", "P", "PART")]
+
+
 def test_last_turns(spark):
     m = spark.createDataFrame([(1, i) for i in range(10)], "conv_id long, at long")
     assert registry.last_turns(m, 2).count() == 4 and registry.last_turns(m, 0).count() == 10
