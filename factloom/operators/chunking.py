@@ -95,20 +95,29 @@ def distractors(paragraphs: DataFrame, golds: DataFrame) -> tuple[DataFrame, Dat
     return kept, share
 
 
-def row_groups(rows: DataFrame, size: int = 30) -> DataFrame:
-    """Table rows (sheet, pos, cells) as texts of thirty rows, 'Sheet: n' first."""
-    line = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " | ")
-    own = rows.where(F.exists("cells", lambda c: c.isNotNull()))
-    grouped = own.withColumn("line", line).groupBy("sheet", F.floor(F.col("pos") / size).alias("part"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line)
-    return grouped.agg(F.concat(F.lit("Sheet: "), F.col("sheet"), F.lit("\n"), F.array_join(lines, "\n")).alias("content"))
-
+def sheet_chunks(rows: DataFrame, size: int = 30) -> DataFrame:
+    """Spreadsheet rows (document_id, source_url, sheet, sheet_no, pos from 1, cells) as texts of thirty rows.
 
-def header_row(rows: DataFrame) -> DataFrame:
-    """Per sheet the first row that fills a quarter of the width, one cell at least."""
+    The header is the first row that fills a quarter of its width, one cell at least; failing
+    that, the very first. Columns without a header and rows without a value are left out.
+    """
+    of_sheet = ["document_id", "sheet_no"]
     filled = F.size(F.filter("cells", lambda c: c.isNotNull()))
-    fit = rows.where(filled >= F.greatest(F.lit(1), F.floor(F.size("cells") / 4)))
-    return fit.groupBy("sheet").agg(F.min("pos").alias("header"), F.min_by("cells", "pos").alias("columns"))
+    fits = (filled >= F.greatest(F.lit(1), F.floor(F.size("cells") / 4))).alias("fits")
+    tops = rows.select(*of_sheet, "pos", "cells", fits).where("fits OR pos = 1").groupBy(of_sheet)
+    header = tops.agg(F.min_by(F.struct("pos", "cells"), F.struct(~F.col("fits"), "pos")).alias("top"))
+    named = F.filter(F.sequence(F.lit(0), F.size("top.cells") - 1), lambda i: F.get("top.cells", i).isNotNull())
+    header = header.where(F.size("top.cells") > 0).select(*of_sheet, F.col("top.pos").alias("after"), F.col("top.cells").alias("names"), named.alias("columns")).where(F.size("columns") > 0)
+    line = lambda cells: F.array_join(F.transform("columns", lambda i: F.coalesce(F.get(cells, i), F.lit(""))), " | ")
+    own = rows.join(header, of_sheet).where(F.col("pos") > F.col("after")).where(F.exists("columns", lambda i: F.get("cells", i).isNotNull()))
+    # a sheet has no more than 1,048,576 rows
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy(of_sheet).orderBy("pos")) - 1)
+    grouped = own.withColumn("names", line("names")).withColumn("line", line("cells")).groupBy(*of_sheet, F.floor(F.col("n") / size).alias("part"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line)
+    out = grouped.agg(F.first("source_url").alias("source_url"), F.first("sheet").alias("heading"), F.first("names").alias("names"), lines.alias("lines"))
+    content = F.concat(F.lit("Sheet: "), "heading", F.lit("\n"), "names", F.lit("\n"), F.array_join("lines", "\n"))
+    out = out.select("document_id", "source_url", F.col("sheet_no").alias("page"), "heading", "part", content.alias("content"))
+    return out.withColumn("chunk_id", ids.chunk_id("document_id", "content"))
 
 
 def resolve_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -123,20 +132,47 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return out.withColumn("type", F.coalesce("t1", "t2", "t3", F.lit("UNKNOWN"))).drop("bare", "tight", "t1", "t2", "t3")
 
 
-def first_title(text, least: int = 8, most_lines: int = 3):
-    """A first page's title: up to three lines, ended by a short one, a blank or the authors."""
+#: Words in a line that follows a title. Fixed values.
+AFTER_TITLE = ("university", "institute", "laborator", "department", "center", "abstract", "introduction", "received")
+#: What programs write where a title should be. Fixed values.
+NO_TITLE = r"(?i)microsoft\s+word|openoffice|libreoffice|latex|untitled|\.docx?|\.tex\b"
+
+
+def first_title(text, least: int = 8, most_lines: int = 3, after: tuple[str, ...] = AFTER_TITLE):
+    """A first page's title: up to three lines, ended by a short one, a blank or the authors.
+
+    after: whole words that tell the authors' lines.
+    """
+    authors = "(?i)@|" + "|".join(rf"\b{w}\b" for w in after)
     start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(False).alias("ended"))
 
     def step(acc, line):
-        short, author = F.length(line) < least, line.rlike(r"(?i)@|university|institute|^by\s|^abstract")
+        short, author = F.length(line) < least, line.rlike(authors)
         begun = F.size(acc.lines) > 0
-        over = acc.ended | author | (short & begun) | (F.size(acc.lines) >= most_lines)
+        over = acc.ended | (author & ~short) | (short & begun) | (F.size(acc.lines) >= most_lines)
         lines = F.when(over | short, acc.lines).otherwise(F.concat(acc.lines, F.array(line)))
         return F.struct(lines.alias("lines"), over.alias("ended"))
 
     return F.aggregate(F.transform(F.split(text, "\n"), F.trim), start, step, lambda acc: F.array_join(acc.lines, " "))
 
 
+def titled(props: DataFrame) -> DataFrame:
+    """Properties of office files with the title that fits their type.
+
+    Slides: the first slide's title, a real title of the file, the first text of eight letters
+    and more. Spreadsheets: the file's title or name. Text documents: a real title of the file,
+    or what looks like one on the first page.
+    """
+    empty = F.lit("")
+    real = F.when((F.col("title") != "") & ~F.col("title").rlike(NO_TITLE), F.col("title"))
+    text = F.get(F.filter(F.split("first_page", "\n"), lambda x: F.length(x) >= 8), F.lit(0))
+    stem = F.regexp_extract("source_url", r"([^/]*?)(\.[^./]*)?$", 1)
+    slides = F.coalesce(F.when(F.col("slide_title") != "", F.col("slide_title")), real, text, empty)
+    sheets = F.when(F.col("title") != "", F.col("title")).otherwise(stem)
+    title = F.when(F.col("doc_type") == "pptx", slides).when(F.col("doc_type") == "xlsx", sheets).otherwise(F.coalesce(real, first_title(F.col("first_page")), empty))
+    return props.withColumn("title", title).drop("slide_title")
+
+
 def best_triple(rows: DataFrame) -> DataFrame:
     """Per chunk and (s, r, o) the most certain of an extraction; the first wins ties."""
     full = rows.where(" AND ".join(f"coalesce({c}, '') <> ''" for c in ("subj", "subj_type", "rel", "obj", "obj_type")))

@@ -165,13 +165,21 @@ def sentence_split(spark, sf_dir):
     return chunking.sentence_chunks(docs.select("document_id", chunking.sentences(F.col("text")).alias("sentences")))
 
 
-@query("""SELECT 'customer-' || o_custkey AS sheet, 'Sheet: customer-' || o_custkey || chr(10) || string_agg(o_orderkey || ' | ' || o_orderpriority, chr(10) ORDER BY pos) AS content, pos // 30 AS part FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders) GROUP BY o_custkey, pos // 30""")
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT 'customer-' || o_custkey AS heading, n // 30 AS part,
+'Sheet: customer-' || o_custkey || chr(10) || 'Order | Priority' || chr(10) || string_agg(o_orderkey || ' | ' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END, chr(10) ORDER BY n) AS content
+FROM o GROUP BY o_custkey, n // 30""")
 def excel_group30(spark, sf_dir):
+    """A sheet for each customer: a line above the header, a column without one, rows without a value under it."""
     o = tables.read(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    sheet = F.concat(F.lit("customer-"), F.col("o_custkey").cast("string"))
-    rows = o.select(sheet.alias("sheet"), (F.row_number().over(w) - 1).alias("pos"), F.array(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("cells"))
-    return chunking.row_groups(rows)
+    none, of_sheet = F.lit(None).cast("string"), (F.sha2(F.col("o_custkey").cast("string"), 256).alias("document_id"), F.lit(None).cast("string").alias("source_url"))
+    row = lambda pos, *cells: (*of_sheet, F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("sheet"), F.lit(1).alias("sheet_no"), pos.cast("long").alias("pos"), F.array(*cells, *[none] * 5).alias("cells"))
+    sheets = o.select("o_custkey").distinct()
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 3
+    filled = lambda cell, but: F.when(F.expr(but), F.col(cell).cast("string"))
+    rows = sheets.select(*row(F.lit(1), F.lit("Orders"), none, none)).union(sheets.select(*row(F.lit(3), F.lit("Order"), none, F.lit("Priority"))))
+    rows = rows.union(o.select(*row(number, filled("o_orderkey", "o_orderkey % 7 <> 0"), F.lit("beside"), filled("o_orderpriority", "o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0"))))
+    return chunking.sheet_chunks(rows).select("heading", "part", "content")
 
 
 @query(f"WITH {EDGES}, m AS (SELECT subj AS name, subj_type AS type, chunk_id AS seq FROM edges UNION ALL SELECT obj, obj_type, chunk_id FROM edges) SELECT name, arg_max(type, seq || type) AS type FROM m GROUP BY name")
