@@ -115,3 +115,38 @@ def dispatched(wanted: DataFrame, bank: DataFrame, answers: dict) -> DataFrame:
     for name, column in answers.items():
         live = F.when(F.col("class") == name, column).otherwise(live)
     return bank_texts(wanted, bank).withColumn("text", F.when(F.col("text") != "", F.col("text")).otherwise(live))
+
+
+def session_payload(sessions: DataFrame, blind: bool = True) -> DataFrame:
+    """Sessions as they are shown: the question in turn, the progress, and whether all is answered.
+
+    sessions: question_blocks (an array with the field responses), current_index, evaluations
+    (by question) and columns that stay. A share rounds to the even neighbour. Blind sessions
+    don't tell who wrote a response.
+    """
+    blocks = F.col("question_blocks")
+    if blind:
+        blocks = F.transform(blocks, lambda b: b.withField("responses", F.transform(b.responses, lambda r: r.dropFields("agent_id", "agent_label", "expert_slug"))))
+    own = sessions.withColumn("question_blocks", blocks)
+    own = own.withColumns({"total_questions": F.coalesce(F.size("question_blocks"), F.lit(0)), "completed_questions": F.coalesce(F.size("evaluations"), F.lit(0))})
+    own = own.withColumn("percent_complete", F.when(F.col("total_questions") > 0, F.bround(F.col("completed_questions") / F.col("total_questions") * 100, 1)).otherwise(0.0))
+    ready = (F.col("completed_questions") >= F.col("total_questions")) & (F.col("total_questions") > 0)
+    return own.withColumns({"current_question": F.get("question_blocks", F.col("current_index")), "ready_to_submit": ready}).drop("question_blocks")
+
+
+def submitted(sessions: DataFrame, wanted: DataFrame, when) -> tuple[DataFrame, DataFrame]:
+    """Sessions after those wanted (session_id) are handed in at ``when``, and what goes to the log of evaluations.
+
+    Ids that no session has change nothing; a session that is handed in again is stamped anew.
+    """
+    mark = wanted.select("session_id", F.lit(True).alias("__in")).distinct()
+    out = sessions.join(mark, "session_id", "left")
+    stamps = {"status": F.lit("completed"), "completed_at": when, "updated_at": when}
+    out = out.withColumns({c: F.when(F.col("__in"), v).otherwise(F.col(c)) for c, v in stamps.items()})
+    return out.drop("__in"), out.where("__in").drop("__in")
+
+
+def document_urls(docs: DataFrame) -> DataFrame:
+    """Per expert the addresses of its documents; documents without one are left out."""
+    own = docs.where("coalesce(source_url, '') <> ''")
+    return own.groupBy("expert").agg(F.array_sort(F.collect_list("source_url")).alias("urls"))

@@ -157,5 +157,11 @@ class Versions:
         return self.write(self.read(number))
 
 
+def places(root: str, slug: str) -> dict[str, str]:
+    """Where an expert's tables, files and description lie: a folder of its own under ``root``."""
+    own = f"{root.rstrip('/')}/{slug}"
+    return {"folder": own, "facts": f"{own}/{slug}.facts", "vectors": f"{own}/{slug}.vectors", "downloads": f"{own}/downloads", "description": f"{own}/{slug}.meta.json"}
+
+
 def now_utc() -> str:
     return datetime.now(timezone.utc).isoformat()

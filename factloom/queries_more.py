@@ -139,6 +139,42 @@ def ratings_upsert(spark, sf_dir):
     return registry.rated(rows, changes)
 
 
+BLOCKS = "s AS (SELECT user_id AS session_id, count(*) AS total, count(*) FILTER (WHERE event_id % 3 = 0) AS done, min(event_id) AS first, list(event_id ORDER BY event_id) AS q_ids FROM events GROUP BY user_id)"
+
+
+def shown(spark, sf_dir):
+    """A session for each user: its events are the questions, and every third is answered."""
+    e = tables.read(spark, sf_dir, "events")
+    response = F.struct(F.lit("A").alias("alias"), F.col("event_type").alias("text"), F.lit("a1").alias("agent_id"), F.lit("L").alias("agent_label"), F.lit("s").alias("expert_slug"))
+    block = F.struct(F.col("event_id").alias("q_id"), F.array(response).alias("responses"))
+    answers = F.map_from_entries(F.collect_list(F.when(F.col("event_id") % 3 == 0, F.struct(F.col("event_id").cast("string"), F.lit(5)))))
+    return e.groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_list(block)).alias("question_blocks"), answers.alias("evaluations"), F.lit(1).alias("current_index"), F.lit("in_progress").alias("status"), F.lit("x").alias("updated_at"), F.lit(None).cast("string").alias("completed_at"))
+
+
+@query(f"""WITH {BLOCKS} SELECT session_id, total AS total_questions, done AS completed_questions, round_even(100.0::DOUBLE * done / total, 1) AS percent_complete,
+q_ids[2] AS q_id, CASE WHEN total > 1 THEN 'alias,text' END AS told, done >= total AS ready_to_submit FROM s""")
+def session_payload(spark, sf_dir):
+    """What participants see of their sessions: no names of agents."""
+    own = registry.session_payload(shown(spark, sf_dir))
+    told = ",".join(own.schema["current_question"].dataType["responses"].dataType.elementType.names)
+    question = F.col("current_question.q_id")
+    return own.select("session_id", F.col("total_questions").cast("long").alias("total_questions"), F.col("completed_questions").cast("long").alias("completed_questions"), "percent_complete", question.alias("q_id"), F.when(question.isNotNull(), F.lit(told)).alias("told"), "ready_to_submit")
+
+
+@query(f"WITH {BLOCKS} SELECT session_id, session_id % 2 = 0 AS logged, CASE WHEN session_id % 2 = 0 THEN 'completed' ELSE 'in_progress' END AS status, CASE WHEN session_id % 2 = 0 THEN 'now' END AS completed_at, CASE WHEN session_id % 2 = 0 THEN 'now' ELSE 'x' END AS updated_at FROM s")
+def sessions_submitted(spark, sf_dir):
+    own = shown(spark, sf_dir)
+    after, log = registry.submitted(own, own.where("session_id % 2 = 0").unionByName(own.withColumn("session_id", -F.col("session_id") - 1)), F.lit("now"))
+    logged = log.select("session_id", F.lit(True).alias("logged"))
+    return after.join(logged, "session_id", "left").select("session_id", F.coalesce("logged", F.lit(False)).alias("logged"), "status", "completed_at", "updated_at")
+
+
+@query("SELECT lang AS expert, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT lang, CASE WHEN doc_id % 2 = 0 THEN 'https://x/' || doc_id END AS url FROM documents) WHERE url IS NOT NULL GROUP BY lang")
+def expert_urls(spark, sf_dir):
+    d = tables.read(spark, sf_dir, "documents").select(F.col("lang").alias("expert"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://x/"), F.col("doc_id").cast("string"))).otherwise(F.when(F.col("doc_id") % 3 == 0, F.lit(""))).alias("source_url"))
+    return registry.document_urls(d).select("expert", F.array_join("urls", " ").alias("urls"))
+
+
 # --- prompts and answers -------------------------------------------------------------------
 
 

@@ -66,6 +66,14 @@ def sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_bad IS NULL").drop("_bad")
 
 
+def study_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A study's questions, agents or stored responses from ``name``.json; without the file, no rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return json_list(spark, at.toString(), schema)
+
+
 def settings(name: str, start: str | Path = ".") -> dict:
     """A TOML file found by walking up from ``start``; {} if there is none. Runs on the driver."""
     at = Path(start).resolve()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.operators import store
+from factloom.plans import ingest
 from factloom.sources import catalogue, readers
 from factloom.streaming import streams
 
@@ -39,6 +40,16 @@ def test_sessions_and_settings(spark, tmp_path):
     assert readers.layered(readers.settings("x.toml", tmp_path / "deep"), {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
 
 
+def test_a_study_and_its_settings(spark, tmp_path):
+    (tmp_path / "questions.json").write_text('{"questions": [{"id": "q1", "text": "Which?"}]}')
+    assert [r.id for r in readers.study_table(spark, str(tmp_path), "questions", "id string, text string").collect()] == ["q1"]
+    assert readers.study_table(spark, str(tmp_path), "agents", "id string").collect() == []
+    assert ingest.least_confidence({}) == 0.6 and ingest.least_confidence({"ingest": {"min_ingest_confidence": "0.7"}}) == 0.7
+    assert ingest.model_settings({"llm": {"model": "m"}}) == {**ingest.MODEL, "model": "m"}
+    assert ingest.model_settings({"llm": {"model": "m"}, "ingest_llm": {"workers": 4}}) == {**ingest.MODEL, "workers": 4}
+    assert store.places("/x/", "ann")["description"] == "/x/ann/ann.meta.json"
+
+
 def test_catalogue(spark, tmp_path):
     pdf = {"mimetype": "application/pdf", "links": {"pdf": "/p.pdf"}}
     for n in range(2):
