@@ -22,7 +22,8 @@ signature values bring candidates together.
 
 A pair at the threshold of 0.75 is missed by every band with a probability of 1e-10 (42 bands
 of three values), and by the comparison of signatures (``resemblance``, seven standard
-deviations below the threshold) with one of 1e-10; higher similarities far less. All that the
+deviations below the threshold) with one of 1e-10; higher similarities far less. Two that share
+several bands meet in the first of them, which whole signature values decide. All that the
 bands find is decided on the full sets, which are compared by 64-bit hashes of shingles.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. Rows that repeat
@@ -48,8 +49,9 @@ from pyspark.sql import functions as F
 from .common import discard, free_name, id_text, parallelism, shared_dir, slices, stored, task_id, texts
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
-#: Values of a signature as they are kept: 16 bits, of which a band's three tell bands apart.
-KEPT = np.dtype("<u2")
+#: Values of a signature as they are kept: whole, as bands are made of them. With fewer bits two
+#: sets may seem to share a band that they don't, and would be passed over where they do meet.
+KEPT = np.dtype("<u4")
 M64 = np.uint64
 MIX = (M64(0xBF58476D1CE4E5B9), M64(0x94D049BB133111EB))
 #: Bytes of full sets that a task holds to probe with.
@@ -150,7 +152,7 @@ class Signer:
 
 
 def signed(docs: DataFrame, signer: Signer) -> DataFrame:
-    """Per row: size and key of the set, two bytes of each signature value, and the bands."""
+    """Per row: size and key of the set, the signature, and the bands."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -160,7 +162,7 @@ def signed(docs: DataFrame, signer: Signer) -> DataFrame:
             signatures = signer.sign([sets[i] for i in full])
             bands = signer.bands(signatures)
             columns: list[list] = [[None] * len(sets) for _ in range(3)]
-            for i, sig, own in zip(full, signatures.astype(KEPT), bands.tolist()):
+            for i, sig, own in zip(full, signatures.astype(KEPT, copy=False), bands.tolist()):
                 columns[0][i], columns[1][i], columns[2][i] = key_of(sets[i]), sig.tobytes(), own
             arrays = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, t) for c, t in zip(columns, schema.types[2:]))]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -380,6 +382,11 @@ def _placed(place: tuple, role: int, rows: list[tuple[int, int]]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(values, names=[*PLACE, "role", "node", "label"])
 
 
+def met(equal: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Which pairs share one of the bands ``before``, and meet there; equal: values in which their signatures agree."""
+    return equal[:, before].all(2).any(1) if len(before) else np.zeros(len(equal), bool)
+
+
 def live_members(rows: DataFrame, signer: Signer, least: float, n: int) -> DataFrame:
     """The rows (place, role, node, label) that a row of the other role and another label resembles, by signature."""
 
@@ -406,8 +413,7 @@ def live_members(rows: DataFrame, signer: Signer, least: float, n: int) -> DataF
                 equal = sig[near] == own
                 close = equal.mean(1) >= least
                 near, equal = near[close], equal[close]
-                # two that share an earlier band meet there
-                near = near[~equal[:, before].all(2).any(1)] if len(before) else near
+                near = near[~met(equal, before)]
                 if len(near):
                     live[near] = True
                     out.append((node, label))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from factloom.llm import neardup
@@ -157,3 +158,35 @@ def test_signatures_estimate_similarity():
     a, b = signer.sign([x, y], most=100)
     assert abs((a == b).mean() - true) < 0.08
     assert (signer.sign([y, x]) == [b, a]).all() and (signer.bands(signer.sign([x])) == signer.bands(signer.sign([x, y]))[:1]).all()
+
+
+def test_a_million_pairs_at_the_threshold_meet_in_the_first_band_that_they_share():
+    signer, rng = neardup.Signer(), np.random.default_rng(0)
+    for _ in range(20):
+        n = 50_000
+        both = rng.integers(0, 2**63, (n, 8), dtype=np.uint64)  # six in common of eight
+        sets = [*both[:, :7], *np.c_[both[:, :6], both[:, 7]]]
+        signatures = signer.sign(sets)
+        bands = signer.bands(signatures)
+        kept = signatures.astype(neardup.KEPT)
+        equal, share = kept[:n] == kept[n:], bands[:n] == bands[n:]
+        assert share.any(1).all() and (equal.mean(1) >= 0.48).all()
+        first = share.argmax(1)
+        for p in range(len(signer.order)):
+            assert not neardup.met(equal[first == p], signer.order[:p]).any()
+
+
+def test_bands_that_differ_in_high_bits_alone_are_not_shared(spark):
+    """Two members that seem to share an earlier band, but don't, are compared where they do meet."""
+    signer, rng = neardup.Signer(), np.random.default_rng(1)
+    one = rng.integers(0, 2**32, 128, dtype=np.uint32)
+    two = one.copy()
+    two[signer.order[0][2]] ^= np.uint32(1 << 20)  # of the first band's values, one differs in its upper half
+    far = rng.integers(0, 2**32, 128, dtype=np.uint32)
+    rows = [(5, 0, 0, 0, 1, 1, one), (5, 0, 0, 1, 2, 2, two), (5, 0, 0, 1, 3, 3, far)]
+    rows = [(b, c, p, r, n, l, s.astype(neardup.KEPT).tobytes(), 1) for b, c, p, r, n, l, s in rows]
+    df = spark.createDataFrame(rows, "band long, chunk int, part int, role int, node long, label long, signature binary, pos int")
+    assert sorted(r.node for r in neardup.live_members(df, signer, 0.48, 1).collect()) == [1, 2]
+    # where they do share the earlier band, they meet there instead
+    same = [(*row[:6], one.astype(neardup.KEPT).tobytes() if row[4] == 2 else row[6], 1) for row in rows]
+    assert neardup.live_members(spark.createDataFrame(same, df.schema), signer, 0.48, 1).count() == 0
