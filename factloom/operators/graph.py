@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import join_split_letters, query_words, without_initials, words
+from ..shared import kept
 
 
 def entities(edges: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def entities(edges: DataFrame) -> DataFrame:
     return ends.union(edges.select("obj", "obj_type")).distinct()
 
 
-def match_anchors(names: DataFrame, questions: DataFrame, least: int = 10) -> DataFrame:
+def match_anchors(names: DataFrame, questions: DataFrame, least: int = 10, scope: tuple[str, ...] = ()) -> DataFrame:
     """(q_id, name, tier) by four passes; a later one counts only where the earlier found nothing.
 
     1: the name is a word of the question. 2: the name, with or without middle initials,
@@ -22,30 +23,32 @@ def match_anchors(names: DataFrame, questions: DataFrame, least: int = 10) -> Da
 
     Each pass is a join on equal keys, of names' keys with questions' keys: the name itself with
     the question's words and with its stretches of the lengths that names have, the name's
-    words with the question's, and beginnings of the name's words with them.
+    words with the question's, and beginnings of the name's words with them. ``scope``, if it is
+    q_id, leaves each question the names that have its number.
     """
     q = questions.select("q_id", F.lower("text").alias("low"), query_words(F.col("text")).alias("qw"))
-    own = names.select("name").distinct().withColumn("low_name", F.lower("name"))
+    own = names.select(*scope, "name").distinct().withColumn("low_name", F.lower("name"))
     long = own.where(F.length("name") >= least).withColumn("bare", F.lower(without_initials(F.col("name"))))
     asked = q.select("q_id", F.explode(F.array_distinct("qw")).alias("key"))
 
     # 1: a word of the question is the name
-    whole = own.where(F.length("name") >= 8).select("name", F.col("low_name").alias("key")).join(asked, "key").select("q_id", "name")
+    whole = own.where(F.length("name") >= 8).select(*scope, "name", F.col("low_name").alias("key")).join(asked, [*scope, "key"]).select("q_id", "name")
     # 2: a stretch of the question is the name; only lengths that names have are cut out
-    keys = long.select("name", F.explode(F.array_distinct(F.array("low_name", "bare"))).alias("key"))
-    lengths = keys.select(F.length("key").alias("size")).distinct()
+    keys = long.select(*scope, "name", F.explode(F.array_distinct(F.array("low_name", "bare"))).alias("key"))
+    lengths = keys.select(*scope, F.length("key").alias("size")).distinct()
     starts = F.explode(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1))
-    stretches = q.join(lengths, F.col("size") <= F.length("low")).select("q_id", "low", "size", starts.alias("at"))
+    fits = F.col("size") <= F.length("low")
+    stretches = (q.join(lengths, list(scope)).where(fits) if scope else q.join(lengths, fits)).select("q_id", "low", "size", starts.alias("at"))
     stretches = stretches.select("q_id", F.substring(F.col("low"), F.col("at"), F.col("size")).alias("key")).distinct()
-    inside = keys.join(stretches, "key").select("q_id", "name")
+    inside = keys.join(stretches, [*scope, "key"]).select("q_id", "name")
     # 3: a word of the name is a word of the question
-    parts = long.select("name", F.explode(F.array_distinct(words(F.col("low_name")))).alias("w"))
-    word = parts.where(F.length("w") >= 4).join(asked.withColumnRenamed("key", "w"), "w").select("q_id", "name")
+    parts = long.select(*scope, "name", F.explode(F.array_distinct(words(F.col("low_name")))).alias("w"))
+    word = parts.where(F.length("w") >= 4).join(asked.withColumnRenamed("key", "w"), [*scope, "w"]).select("q_id", "name")
     # 4: a word of the name begins with a word of the question and is longer
-    plain = parts.select("name", F.length("w").alias("size"), F.regexp_replace("w", r"(?U)[^\w]", "").alias("p"))
+    plain = parts.select(*scope, "name", F.length("w").alias("size"), F.regexp_replace("w", r"(?U)[^\w]", "").alias("p"))
     plain = plain.where((F.length("p") >= 5) & (F.col("size") > 5))
-    begin = plain.select("name", F.explode(F.sequence(F.lit(5), F.least(F.length("p"), F.col("size") - 1))).alias("n"), "p")
-    begin = begin.select("name", F.expr("left(p, n)").alias("key")).join(asked.where(F.length("key") >= 5), "key").select("q_id", "name")
+    begin = plain.select(*scope, "name", F.explode(F.sequence(F.lit(5), F.least(F.length("p"), F.col("size") - 1))).alias("n"), "p")
+    begin = begin.select(*scope, "name", F.expr("left(p, n)").alias("key")).join(asked.where(F.length("key") >= 5), [*scope, "key"]).select("q_id", "name")
 
     found = [whole.withColumn("tier", F.lit(1)), inside.withColumn("tier", F.lit(1)), word.withColumn("tier", F.lit(2)), begin.withColumn("tier", F.lit(3))]
     every = found[0]
@@ -100,16 +103,56 @@ def all_paths(edges: DataFrame, anchors: DataFrame, most_anchors: int = 5) -> Da
     return one.unionByName(two.drop("c", "c2"))
 
 
-def trust_paths(edges: DataFrame, anchors: DataFrame, most: int = 50, most_anchors: int = 5) -> DataFrame:
+def reach(edges: DataFrame) -> DataFrame:
+    """Per name the certainty of its best outgoing fact, where that goes, and the best that goes elsewhere."""
+    real = edges.where("coalesce(chunk_id, '') <> ''").groupBy("subj", "obj").agg(F.max(F.coalesce("certainty", F.lit(0.0))).alias("c"))
+    two = real.withColumn("rn", F.row_number().over(Window.partitionBy("subj").orderBy(F.desc("c"), "obj"))).where("rn <= 2")
+    at = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c)))
+    return two.groupBy("subj").agg(at(1, "obj").alias("best_obj"), at(1, "c").alias("best_c"), at(2, "c").alias("other_c"))
+
+
+def trust_paths(edges: DataFrame, anchors: DataFrame, most: int = 50, most_anchors: int = 5, reaches: DataFrame | None = None) -> DataFrame:
     """The most trusted paths.
 
     Each tier has its own half of the places; a place that one leaves open isn't filled by
-    the other.
+    the other. Paths rank by certainty, or by the product of both, then by the first fact, then
+    by the second.
+
+    A path's trust is bounded by its first fact's certainty times the best certainty that goes on
+    from there, and some path reaches that bound. So the best k paths begin with one of the k
+    first facts whose bounds are best, and for each of those go on with one of the k best facts
+    from its target: k * k paths are made for a question, however many there are. Both ranks are
+    plain limits, which tasks apply before rows meet, so that hubs are cut where they lie.
     """
-    place = Window.partitionBy("q_id", "hops").orderBy(F.desc("trust"), "anchor", "rel", "target", "chunk_id", "rel2", "target2", "chunk2")
-    ranked = all_paths(edges, anchors, most_anchors).withColumn("place", F.row_number().over(place))
-    # both caps are plain numbers, so that tasks keep no more rows than these before they meet
-    return ranked.where(((F.col("hops") == 1) & (F.col("place") <= most // 2)) | ((F.col("hops") == 2) & (F.col("place") <= most - most // 2))).where(F.col("place") <= most)
+    half = most // 2
+    w = Window.partitionBy("q_id").orderBy("name")
+    first = anchors.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most_anchors).select("q_id", "name")
+    real = edges.where("coalesce(chunk_id, '') <> ''").select("subj", "rel", "obj", F.coalesce("certainty", F.lit(0.0)).alias("c"), "chunk_id")
+    own = ["q_id", F.col("name").alias("anchor"), "rel"]
+    out = real.join(first, F.col("subj") == F.col("name")).select(*own, F.col("obj").alias("target"), "chunk_id", "c")
+    back = real.join(first, F.col("obj") == F.col("name")).select(*own, F.col("subj").alias("target"), "chunk_id", "c")
+    fact = ["anchor", "rel", "target", "chunk_id"]
+    none = F.lit(None).cast("string")
+
+    def top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
+
+    one = top(out.unionByName(back), ["q_id"], [F.desc("c"), *fact], half)
+    one = one.withColumns({"rel2": none, "target2": none, "chunk2": none, "hops": F.lit(1)}).withColumnRenamed("c", "trust")
+
+    k = most - half
+    known = (reach(edges) if reaches is None else reaches).withColumnRenamed("subj", "target")
+    onward = F.when(F.col("best_obj") != F.col("anchor"), F.col("best_c")).otherwise(F.col("other_c"))
+    begin = out.join(known, "target").withColumn("bound", F.col("c") * onward).where("bound IS NOT NULL")
+    begin = top(begin, ["q_id"], [F.desc("bound"), *fact], k).select("q_id", *fact, "c")
+    pairs = begin.select("target", "anchor").distinct()
+    second = real.select(F.col("subj").alias("target"), F.col("rel").alias("rel2"), F.col("obj").alias("target2"), F.col("c").alias("c2"), F.col("chunk_id").alias("chunk2"))
+    second = second.join(pairs, "target").where("anchor <> target2")
+    second = top(second, ["target", "anchor"], [F.desc("c2"), "rel2", "target2", "chunk2"], k).drop("place")
+    two = begin.join(second, ["target", "anchor"]).withColumn("product", F.col("c") * F.col("c2"))
+    two = top(two, ["q_id"], [F.desc("product"), *fact, F.desc("c2"), "rel2", "target2", "chunk2"], k)
+    two = two.withColumn("trust", F.round(F.sqrt("product"), 6)).withColumn("hops", F.lit(2)).drop("c", "c2", "product")
+    return one.unionByName(two)
 
 
 def second_degree(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -145,27 +188,20 @@ def context_triples(edges: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def ego(edges: DataFrame, anchors: DataFrame, radius: int = 3, most: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Nodes within ``radius`` of the anchors and the edges among them that were walked.
+    """Nodes (name, hop) within ``radius`` of the anchors, and the edges among them that were walked.
 
     One join a hop, from the frontier alone; nodes are taken by (hop, name) up to ``most``.
     Every node set holds no more than ``most`` rows, which is why it may be broadcast.
     """
     ends = edges.where("coalesce(chunk_id, '') <> ''").select("subj", "obj", "rel", "chunk_id", "certainty")
-    spark = edges.sparkSession
-    seen = anchors.select("name").distinct().withColumn("hop", F.lit(0)).orderBy("name").limit(most)
-    known = {r.name: 0 for r in seen.collect()}
+    both = ends.select("subj", "obj").unionByName(ends.select(F.col("obj").alias("subj"), F.col("subj").alias("obj"))).toDF("name", "near")
+    known = kept(anchors.select("name").distinct().withColumn("hop", F.lit(0)).orderBy("name").limit(most), "ego")
     for hop in range(1, radius + 1):
-        edge_of = [n for n, h in known.items() if h == hop - 1]
-        if not edge_of or len(known) >= most:
-            break
-        frontier = F.broadcast(spark.createDataFrame([(n,) for n in edge_of], "name string"))
-        known_df = F.broadcast(spark.createDataFrame([(n,) for n in known], "name string"))
-        near = ends.join(frontier, ends.subj == frontier.name).select(F.col("obj").alias("name"))
-        near = near.union(ends.join(frontier, ends.obj == frontier.name).select(F.col("subj").alias("name"))).distinct()
-        new = near.join(known_df, "name", "left_anti").orderBy("name").limit(most - len(known))
-        known |= {r.name: hop for r in new.collect()}
-    nodes = spark.createDataFrame(list(known.items()), "name string, hop int")
-    inside = F.broadcast(nodes)
+        frontier = F.broadcast(known.where(F.col("hop") == hop - 1).select("name"))
+        near = both.join(frontier, "name").select(F.col("near").alias("name")).where("name IS NOT NULL").distinct()
+        new = near.join(F.broadcast(known.select("name")), "name", "left_anti").withColumn("hop", F.lit(hop))
+        known = kept(known.unionByName(new).orderBy("hop", "name").limit(most), "ego")
+    inside = F.broadcast(known)
     walked = (
         ends.join(inside.select(F.col("name").alias("subj"), F.col("hop").alias("hs")), "subj")
         .join(inside.select(F.col("name").alias("obj"), F.col("hop").alias("ho")), "obj")
@@ -174,4 +210,4 @@ def ego(edges: DataFrame, anchors: DataFrame, radius: int = 3, most: int = 2000)
         .groupBy("subj", "obj", "rel", "chunk_id")
         .agg(F.max("certainty").alias("certainty"))
     )
-    return nodes, walked
+    return known, walked

@@ -8,16 +8,14 @@ executors share, and read from there by every plan.
 from __future__ import annotations
 
 import functools
-import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators.chunking import newline_chunks
-from ..operators.graph import entities as graph_entities
+from ..operators import graph
+from ..shared import scratch, shared_dir  # noqa: F401  (also for those that import them from here)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,19 +25,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _PATHS: dict[tuple[str, str, str], str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where none is set a temporary one serves, in local mode alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or _own_dir(spark.sparkContext.applicationId)
-
-
-@functools.lru_cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"factloom-{application}-")
-
-
 def in_store(derive):
     """The table that ``derive`` gives, written once for a session and an input folder."""
 
@@ -47,10 +32,8 @@ def in_store(derive):
     def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
         if key not in _PATHS:
-            path = f"{shared_dir(spark)}/store-{derive.__name__}-{uuid.uuid4().hex}"
+            path = scratch(spark, f"store-{derive.__name__}")
             derive(spark, sf_dir).write.parquet(path)
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # goes with the driver
             _PATHS[key] = path
         return spark.read.parquet(_PATHS[key])
 
@@ -104,7 +87,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @in_store
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (name, type) at an end of a fact: the store's table of nodes."""
-    return graph_entities(edges(spark, sf_dir))
+    return graph.entities(edges(spark, sf_dir))
+
+
+@in_store
+def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each name's facts go on: an index of the store."""
+    return graph.reach(edges(spark, sf_dir))
 
 
 def sentence():
@@ -132,9 +121,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
 
 
-def hashed_key(name, n: int):
+def hashed_key(name, n: int | Column):
     """A vector's number for a name: the first eight digits of its SHA-256, modulo n."""
-    return F.pmod(F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long"), F.lit(n))
+    return F.pmod(F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long"), n if isinstance(n, Column) else F.lit(n))
 
 
 @in_store

@@ -693,25 +693,58 @@ def latest_session(spark, sf_dir):
 # --- neighbourhoods ----------------------------------------------------------------------
 
 
-def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = tables.edges(spark, sf_dir).where("rel IN ('is located in', 'is part of')")
-    return e, spark.range(1).select(F.lit("q1").alias("q_id"), F.lit("NATION_3").alias("name"))
-
-
-@query(f"""WITH RECURSIVE {EDGES}, p AS (SELECT subj AS a, obj AS b FROM edges WHERE rel IN ('is located in', 'is part of') UNION SELECT obj, subj FROM edges WHERE rel IN ('is located in', 'is part of')),
-w AS (SELECT 'NATION_3' AS name, 0 AS hop UNION SELECT p.b, w.hop + 1 FROM w JOIN p ON p.a = w.name WHERE w.hop < 2) SELECT name, min(hop)::BIGINT AS hop FROM w GROUP BY name""")
+def _ego_sql(radius: int = 3, most: int = 2000) -> str:
+    """Hop by hop, each one's names behind those of the hops before, up to ``most``."""
+    hops = ["""ends AS MATERIALIZED (SELECT subj, obj, rel, chunk_id, certainty FROM edges WHERE coalesce(chunk_id, '') <> ''),
+both_ends AS MATERIALIZED (SELECT subj AS a, obj AS b FROM ends UNION SELECT obj, subj FROM ends), k0 AS (SELECT 'NATION_3' AS name, 0 AS hop)"""]
+    for h in range(1, radius + 1):
+        hops.append(f"k{h} AS MATERIALIZED (SELECT name, hop FROM (SELECT * FROM k{h - 1} UNION ALL SELECT DISTINCT b, {h} FROM both_ends JOIN k{h - 1} ON a = name AND hop = {h - 1} WHERE b NOT IN (SELECT name FROM k{h - 1})) ORDER BY hop, name LIMIT {most})")
+    return ", ".join(hops)
+
+
+def _harmonic_sql(steps: int, radius: int = 3, ridge: float = 1e-6) -> str:
+    """So many steps of conjugate gradients, scaled by the diagonal; components are rows. Centred vectors stand for their projections on all directions, which only turn them."""
+    out = [f"""walked AS MATERIALIZED (SELECT subj, obj, rel, chunk_id, max(certainty) AS c FROM ends JOIN k{radius} s ON s.name = subj JOIN k{radius} o ON o.name = obj WHERE least(s.hop, o.hop) < {radius} GROUP BY subj, obj, rel, chunk_id),
+adj AS MATERIALIZED (SELECT u, v, sum(c) AS w FROM (SELECT subj AS u, obj AS v, c FROM walked WHERE subj <> obj UNION ALL SELECT obj, subj, c FROM walked WHERE subj <> obj) GROUP BY u, v),
+own AS (SELECT name, embedding::DOUBLE[] AS vec FROM k{radius} JOIN embeddings ON vec_id = ('0x' || substr(sha256(name), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)),
+val AS MATERIALIZED (SELECT name, i, vec[i] AS x FROM own, range(1, 65) t(i)),
+base AS MATERIALIZED (SELECT name, i, x - avg(x) OVER (PARTITION BY i) AS x FROM val),
+d AS MATERIALIZED (SELECT name, coalesce(sum(w), 0) + {ridge} AS d FROM k{radius} LEFT JOIN adj ON u = name WHERE name <> 'NATION_3' GROUP BY name),
+inner_adj AS MATERIALIZED (SELECT * FROM adj WHERE u <> 'NATION_3' AND v <> 'NATION_3'),
+s0 AS MATERIALIZED (SELECT d.name, t.i, d, 0.0::DOUBLE AS x, coalesce(w * b.x, 0) AS r, 0.0::DOUBLE AS p, 0.0::DOUBLE AS s FROM d CROSS JOIN range(1, 65) t(i) LEFT JOIN adj ON u = d.name AND v = 'NATION_3' LEFT JOIN base b ON b.name = 'NATION_3' AND b.i = t.i)"""]
+    for n in range(steps):
+        before = f"(SELECT rz FROM n{n - 1})" if n else "1"
+        out.append(f"""t{n} AS MATERIALIZED (SELECT s.name, s.i, any_value(s.r) - coalesce(sum(w * z.r / z.d), 0) AS t FROM s{n} s LEFT JOIN inner_adj ON u = s.name LEFT JOIN s{n} z ON z.name = v AND z.i = s.i GROUP BY s.name, s.i),
+n{n} AS MATERIALIZED (SELECT sum(r * r / d) AS rz, sum(t * r / d) AS tz, {'0.0' if not n else f'sum(r * r / d) / {before}'} AS beta, sum(r * r / d) / ({'sum(t * r / d)' if not n else f'sum(t * r / d) - sum(r * r / d) / {before} * sum(r * r / d) / (SELECT alpha FROM n{n - 1})'}) AS alpha FROM s{n} JOIN t{n} USING (name, i)),
+s{n + 1} AS MATERIALIZED (SELECT name, i, d, x + alpha * (r / d + beta * p) AS x, r - alpha * (t + beta * s) AS r, r / d + beta * p AS p, t + beta * s AS s FROM s{n} JOIN t{n} USING (name, i), n{n})""")
+    out.append(f"""xs AS MATERIALIZED (SELECT name, i, x FROM s{steps} UNION ALL SELECT name, i, x FROM base WHERE name = 'NATION_3'),
+pairs AS MATERIALIZED (SELECT DISTINCT subj, obj FROM walked),
+e AS MATERIALIZED (SELECT subj, obj, 0.5 * sum(a.x * a.x + b.x * b.x) AS act, sum((a.x - b.x) * (a.x - b.x)) AS res FROM pairs JOIN xs a ON a.name = subj JOIN xs b ON b.name = obj AND b.i = a.i GROUP BY subj, obj),
+f AS (SELECT subj, rel, obj, chunk_id, c, act, res, exp(-4.0 * res / (act + {ridge})) AS con FROM walked JOIN e USING (subj, obj))
+SELECT subj, rel, obj, chunk_id, round(act, 6) AS activation, round(res, 6) AS residual, round(con, 6) AS consistency, round(c * act * con, 6) AS score,
+round(least(1.0, (SELECT sum(c * res) FROM f) / ((SELECT sum(x * x) FROM base WHERE name = 'NATION_3') + {ridge})), 6) AS abstain FROM f""")
+    return ", ".join(out)
+
+
+def a_nation(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit("q1").alias("q_id"), F.lit("NATION_3").alias("name"))
+
+
+@query(f"WITH {EDGES}, {_ego_sql()} SELECT name, hop::BIGINT AS hop FROM k3")
 def ego_bfs(spark, sf_dir):
-    return graph.ego(*places(spark, sf_dir), radius=2)[0]
+    """All facts, three hops, 2,000 nodes."""
+    return graph.ego(tables.edges(spark, sf_dir), a_nation(spark))[0]
 
 
-@query()
+@query(f"WITH {EDGES}, {_ego_sql()}, {_harmonic_sql(8)}")
 def harmonic_scores(spark, sf_dir):
-    e, a = places(spark, sf_dir)
-    nodes, _ = graph.ego(e, a, radius=2)
+    """Over all facts; a fixed number of steps, as SQL takes."""
     vecs = tables.vectors(spark, sf_dir)
-    own = nodes.withColumn("key", tables.hashed_key(F.col("name"), vecs.count())).join(vecs, "key")
-    known = {r.name: [float(x) for x in r.vec] for r in own.collect()}  # at most 2,000 nodes
-    return harmonic.retrieve(e, a, known, harmonic.Settings(radius=2))[0]
+    count = F.broadcast(vecs.agg(F.count("*").alias("n")))  # one row
+    named = tables.entities(spark, sf_dir).select("name").distinct().join(count, F.lit(True))
+    own = named.select("name", tables.hashed_key(F.col("name"), F.col("n")).alias("key")).join(vecs, "key").select("name", "vec")
+    scored, share = harmonic.retrieve(tables.edges(spark, sf_dir), a_nation(spark), own, harmonic.Settings(dim=64, tolerance=0.0, steps=8))
+    return scored.join(F.broadcast(share), F.lit(True))  # one row
 
 
 # --- streams -----------------------------------------------------------------------------
@@ -727,9 +760,4 @@ def window_stream(spark, sf_dir):
     return streams.hourly(spark, sf_dir).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
-def rolling_feed(spark, sf_dir):
-    return tables.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy(F.desc("event_id")).limit(500)
-
-
 from . import queries_more  # noqa: E402, F401  (registers more queries here)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from .functions import ids, text
-from .operators import chunking, evaluation, graph, prompt, registry, store, trust, vectors
-from .plans import experiments, ingest, tables
+from .functions import ids, models, text
+from .operators import chunking, components, delta, evaluation, graph, prompt, registry, resampling, store, trust, vectors
+from .plans import experiments, index, ingest, isolated, progress, tables
 from .queries import ASKED, CHUNKS, DOCS, EDGES, HELD, LINES, RESULTS, anchors_sql, asked_anchors, held, query
 from .sources import catalogue, readers, sinks
-from .streaming import streams
+from .streaming import feed, streams
 
 # --- store ---------------------------------------------------------------------------------
 
@@ -333,7 +334,7 @@ def profile_matrix(spark, sf_dir):
 def evaluation_log(spark, sf_dir):
     """An append-only log of JSON lines, written twice and read back."""
     e = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", "event_type")
-    path = f"{tables.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    path = tables.scratch(spark, "log")
     for kind in ("error", "signup"):
         sinks.append_log(e.where(F.col("event_type") == kind), path)
     return sinks.read_log(spark, path, "session_id long, event_id long, event_type string").groupBy("session_id").agg(F.count("*").alias("lines"))
@@ -342,53 +343,118 @@ def evaluation_log(spark, sf_dir):
 # --- sources that arrive, and what is built from them --------------------------------------
 
 
-def scratch(spark, name: str) -> str:
-    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@query("SELECT p_partkey AS id, p_name AS title, 'https://x/' || p_partkey || '.pdf' AS pdf_url, p_partkey AS resume_offset FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 0")
-def catalogue_stream(spark, sf_dir):
-    """Pages of 50 records arrive, some at a time; each batch is upserted, and a second run finds nothing new."""
+def part_pages(spark, sf_dir):
+    """Parts as pages of 50 publications, two thirds of which have a PDF; the folder that they lie in."""
     n = F.col("p_partkey") - 1
     link = F.struct(F.concat(F.lit("https://x/"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("pdf"))
     other = F.struct(F.lit("text/html").alias("mimetype"), F.lit("n").alias("name"), F.struct(F.lit(None).cast("string").alias("pdf")).alias("links"))
     file = F.struct(F.lit("application/pdf").alias("mimetype"), F.lit("n").alias("name"), link.alias("links"))
     record = F.struct(n.alias("n"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 3 != 0).alias("downloadsAvailable"), F.array(other, file).alias("downloads"), F.array("p_brand").alias("subjectCategories"))
-    pages = tables.read(spark, sf_dir, "part").groupBy(F.floor(n / 50).cast("int").alias("page")).agg(F.array_sort(F.collect_list(record)).alias("results"))
-    path, table = scratch(spark, "pages"), store.Versions(spark, scratch(spark, "records"))
+    pages = tables.read(spark, sf_dir, "part").where("p_partkey > 0").groupBy(F.floor(n / 50).cast("int").alias("page")).agg(F.array_sort(F.collect_list(record)).alias("results"))
+    path = tables.scratch(spark, "pages")
     pages.select("page", F.to_json(F.struct("results")).alias("value")).write.partitionBy("page").text(path)
-    state = scratch(spark, "state")
+    return path
+
+
+RECORDS = delta.Spec(("id",), "id long, title string, pdf_url string, categories array<string>, resume_offset long")
+
+
+@query("SELECT p_partkey AS id, p_name AS title, 'https://x/' || p_partkey || '.pdf' AS pdf_url, p_partkey AS resume_offset FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 0")
+def catalogue_stream(spark, sf_dir):
+    """Pages of 50 records arrive, some at a time; each batch is upserted, and a second run finds nothing new."""
+    path, lake = part_pages(spark, sf_dir), delta.Lake(spark, tables.scratch(spark, "records"), {"records": RECORDS})
+    state = tables.scratch(spark, "state")
     for _ in range(2):
-        streams.ingest(catalogue.records(catalogue.page_stream(spark, path, 20), 50), table, "id", "resume_offset", state)
-    done = table.read()
-    return done.select("id", "title", "pdf_url", F.col("id").alias("resume_offset"))
+        streams.ingest(catalogue.page_records(catalogue.page_stream(spark, path, 20), 50), lake, "records", "resume_offset", state)
+    return lake.read("records").select("id", "title", "pdf_url", "resume_offset")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_partkey AS resume_offset FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 0),
+bad AS (SELECT min(id) AS b FROM r WHERE id % 89 = 5)
+SELECT id, resume_offset, (SELECT coalesce(max(resume_offset), 0) FROM r WHERE id < coalesce((SELECT b FROM bad), id + 1)) AS stopped_at, CASE WHEN id % 89 = 5 THEN 2 ELSE 1 END AS run, (SELECT max(resume_offset) FROM r) AS next_offset FROM r""")
+def paged_ingest(spark, sf_dir):
+    """A paged source with offsets of its own: some records fail at first, which stops the stream before the first of them; the next run goes on there."""
+    specs = {"records": delta.Spec(("id",), "id long, resume_offset long, run int"), "state": streams.STATE}
+    path, lake = part_pages(spark, sf_dir), delta.Lake(spark, tables.scratch(spark, "records"), specs)
+    checkpoint = tables.scratch(spark, "state")
+
+    def attempt(n: int):
+        failing = (F.col("id") % 89 == 5) & F.lit(n == 1)
+        process = lambda rows: rows.withColumn("status", F.when(failing, "download_failed").otherwise("committed")).withColumn("run", F.lit(n))
+        stream = catalogue.catalogue(spark, path, 50, stream=True).select("id", "resume_offset", F.lit(0).alias("run"))
+        streams.ingest_in_order(stream, lake, "records", "state", "parts", process, checkpoint)
+
+    try:
+        attempt(1)
+    except StreamingQueryException as e:
+        if "RecordFailed" not in str(e):
+            raise
+    stopped = lake.manifest()["version"]
+    attempt(2)
+    offset = lambda version, name: F.broadcast(lake.read("state", version).select(F.col("next_offset").alias(name)))  # noqa: E731  (a row)
+    return lake.read("records").join(offset(stopped, "stopped_at"), F.lit(True)).join(offset(None, "next_offset"), F.lit(True))
+
 
+FACTS = delta.Spec(("chunk_id",), "chunk_id string, subj string, rel string, obj string, certainty double")
 
-@query(f"WITH {EDGES}, {CHUNKS} SELECT DISTINCT chunk_id, subj, rel, obj, 0.98::DOUBLE AS certainty FROM edges JOIN chunks USING (chunk_id) WHERE extracted_at IS NULL AND heading IN ('P', 'S', 'N')")
+
+@query(f"WITH {EDGES}, {CHUNKS} SELECT DISTINCT chunk_id, subj, rel, obj, 0.98::DOUBLE AS certainty FROM edges JOIN chunks USING (chunk_id) WHERE extracted_at IS NULL")
 def extract_stream(spark, sf_dir):
     """Waiting chunks arrive as files; each batch replaces the facts of its chunks."""
-    path, table = scratch(spark, "arriving"), store.Versions(spark, scratch(spark, "facts"))
-    own = tables.fact_chunks(spark, sf_dir).where("heading IN ('P', 'S', 'N')")
+    path, lake = tables.scratch(spark, "arriving"), delta.Lake(spark, tables.scratch(spark, "facts"), {"facts": FACTS})
+    own = tables.fact_chunks(spark, sf_dir)
     own.repartition(3).write.parquet(path)
     stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(path)
     facts = lambda chunks: ingest.extracted(chunks).select("chunk_id", "subj", "rel", "obj", "certainty")
-    streams.extract_incremental(stream, table, facts, scratch(spark, "state"))
-    return table.read()
+    streams.extract_incremental(stream, lake, "facts", facts, tables.scratch(spark, "state"))
+    return lake.read("facts")
 
 
 @query("SELECT vec_id::VARCHAR AS chunk_id, len(embedding) AS width FROM embeddings WHERE embedding IS NOT NULL")
 def index_stream(spark, sf_dir):
     """Vectors arrive twice over; the index holds each once, and readers of the view see whole versions."""
-    path, index = scratch(spark, "arriving"), store.Versions(spark, scratch(spark, "index"))
+    path, lake = tables.scratch(spark, "arriving"), delta.Lake(spark, tables.scratch(spark, "index"), {"vectors": delta.Spec(("chunk_id",), "chunk_id string, vec array<float>")})
     own = tables.vectors(spark, sf_dir).where("vec IS NOT NULL").select(F.col("key").cast("string").alias("chunk_id"), "vec")
     own.union(own).repartition(4).write.parquet(path)
     stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    streams.index_incremental(stream, index, scratch(spark, "state"))
+    streams.index_incremental(stream, lake, "vectors", tables.scratch(spark, "state"))
     view = f"index_{uuid.uuid4().hex}"
-    streams.swapped(index, view)
+    streams.swapped(lake, "vectors", view)
     return spark.table(view).select("chunk_id", F.size("vec").alias("width"))
 
 
+@query(f"""WITH {DOCS}, {LINES}, gone AS (SELECT document_id FROM docs WHERE first_id % 10 = 3)
+SELECT document_id, doc_type, CASE WHEN first_id % 2 = 0 THEN 'first' ELSE 'unknown' END AS origin, (SELECT count(DISTINCT chunk_id) FROM textchunks t WHERE t.document_id = d.document_id) AS chunks FROM docs d WHERE document_id NOT IN (SELECT document_id FROM gone)""")
+def lake_versions(spark, sf_dir):
+    """Documents and chunks in one commit, a commit that fails, a column that comes later, a deletion: what the newest version holds."""
+    where = tables.scratch(spark, "lake")
+    chunks = delta.Spec(("document_id",), "document_id string, chunk_id string")
+    old = delta.Lake(spark, where, {"docs": delta.Spec(("document_id",), "document_id string, doc_type string"), "chunks": chunks})
+    d, c = tables.documents(spark, sf_dir), store.distinct_chunks(tables.text_chunks(spark, sf_dir))
+    with old.commit() as change:
+        odd = d.where("first_id % 2 = 1")
+        change.upsert("docs", odd)
+        change.replace("chunks", c.join(odd.select("document_id"), "document_id", "left_semi"), touched=odd)
+    try:
+        with old.commit() as change:
+            change.replace("docs", d.select("document_id", F.lit("wrong").alias("doc_type")))
+            change.replace("chunks", c.select("document_id", F.raise_error(F.lit("broken")).cast("string").alias("chunk_id")))
+    except Exception as e:
+        if "broken" not in str(e):
+            raise
+    new = delta.Lake(spark, where, {"docs": delta.Spec(("document_id",), "document_id string, doc_type string, origin string", defaults={"origin": "unknown"}), "chunks": chunks})
+    with new.commit() as change:
+        even = d.where("first_id % 2 = 0")
+        change.upsert("docs", even.withColumn("origin", F.lit("first")))
+        change.replace("chunks", c.join(even.select("document_id"), "document_id", "left_semi"), touched=even)
+    with new.commit() as change:
+        gone = d.where("first_id % 10 = 3").select("document_id")
+        change.delete("docs", gone)
+        change.delete("chunks", gone)
+    counts = new.read("chunks").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return new.read("docs").join(counts, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+
+
 @query(f"WITH {DOCS}, {LINES}, known AS (SELECT document_id FROM docs WHERE first_id % 2 = 0) SELECT d.document_id, count(DISTINCT chunk_id) AS chunks FROM docs d JOIN textchunks USING (document_id) WHERE d.document_id NOT IN (SELECT document_id FROM known) AND trim(d.text) <> '' GROUP BY ALL")
 def ingest_records(spark, sf_dir):
     """Texts whose content or address is known are not taken again."""
@@ -407,7 +473,109 @@ def relevance(spark, sf_dir):
 @query("SELECT c_mktsegment AS slug, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def registry_scan(spark, sf_dir):
     """A folder of JSON files, one for each expert; one that can't be read is skipped."""
-    path = scratch(spark, "registry")
+    path = tables.scratch(spark, "registry")
     own = tables.read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("slug")).agg(F.count("*").alias("n"))
     own.select(F.to_json(F.struct("slug", "n")).alias("value")).unionByName(spark.range(1).select(F.lit('{"slug": "broken', ).alias("value"))).repartition(8).write.text(path)
     return readers.sessions(spark, path, "slug string, n long")
+
+
+# --- the feed ------------------------------------------------------------------------------
+
+
+def fed(spark, sf_dir):
+    """Events arrive in three parts. One client asks after each, another at the end: the lake, and what clients were given."""
+    lake = delta.Lake(spark, tables.scratch(spark, "feed"), {"rings": feed.RINGS, "cursors": feed.CURSORS})
+    path, state = tables.scratch(spark, "arriving"), tables.scratch(spark, "state")
+    own = tables.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    size = F.broadcast(own.agg(F.count("*").alias("n")))  # one row
+    given = []
+    for part in range(3):
+        own.join(size, F.lit(True)).where(F.floor(F.col("event_id") * 3 / F.col("n")) == part).drop("n").coalesce(1).write.mode("append").parquet(path)
+        feed.run(spark.readStream.schema(own.schema).parquet(path), lake, "event_id", state)
+        asking = ["steady"] if part < 2 else ["steady", "late"]
+        given.append(feed.poll(lake, spark.createDataFrame([(c,) for c in asking], "client string")).withColumn("part", F.lit(part)))
+    return lake, given
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
+def rolling_feed(spark, sf_dir):
+    """The newest 500 events, from the rings of a stateful stream."""
+    lake, _ = fed(spark, sf_dir)
+    return feed.newest(lake).select(F.from_json("record", "event_id long, user_id long, event_type string").alias("r")).select("r.*")
+
+
+@query("""WITH e AS (SELECT event_id, floor(event_id * 3 / (SELECT count(*) FROM events))::BIGINT AS part FROM events),
+steady AS (SELECT 'steady' AS client, part, event_id, row_number() OVER (PARTITION BY part ORDER BY event_id DESC) AS rn FROM e),
+late AS (SELECT 'late' AS client, 2 AS part, event_id, row_number() OVER (ORDER BY event_id DESC) AS rn FROM e)
+SELECT client, part, count(*) AS given, min(event_id) AS first, max(event_id) AS last FROM (SELECT * FROM steady UNION ALL SELECT * FROM late) WHERE rn <= 500 GROUP BY ALL""")
+def feed_clients(spark, sf_dir):
+    """What each client was given, long after 500 events have passed."""
+    _, given = fed(spark, sf_dir)
+    every = given[0].unionByName(given[1]).unionByName(given[2])
+    return every.groupBy("client", "part").agg(F.count("*").alias("given"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+# --- resampling, components, an index with a memory, a graph for each question ----------------
+
+
+@query("""SELECT source AS profile, count(*) AS n, count(*) AS least, count(*) AS most, round(avg(quality), 6) AS mean, true AS plausible FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY source""")
+def bootstrap_exact(spark, sf_dir):
+    """Every resample draws as many rows as there are; the interval lies where the normal law has it, but for steps of a row."""
+    rows = tables.result_rows(spark, sf_dir)
+    ci = resampling.mean_ci(rows, ["profile"], F.col("answer_em"))
+    error = F.sqrt(F.col("mean") * (1 - F.col("mean")) / F.col("n"))
+    near = lambda c, z: F.abs(F.col(c) - F.col("mean") - z * error) <= 0.75 * error + 1 / F.col("n")
+    return ci.select("profile", "n", "least", "most", F.round("mean", 6).alias("mean"), (near("lo", -1.96) & near("hi", 1.96)).alias("plausible"))
+
+
+@query("""WITH x AS (SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i) WHERE embedding IS NOT NULL), y AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM x),
+c AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / count(*) AS c FROM y a JOIN y b USING (vec_id) GROUP BY a.i, b.i)
+SELECT (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS n, round((SELECT sum(c) FROM c WHERE i = j), 8) AS total, round((SELECT sum(c * c) FROM c), 8) AS squares,
+round((SELECT sum(a.c * b.c * d.c) FROM c a JOIN c b ON b.i = a.j JOIN c d ON d.i = b.j AND d.j = a.i), 8) AS cubes""")
+def component_variances(spark, sf_dir):
+    """The variances along the principal directions, by the sums of their powers, which the covariances give, too."""
+    found = components.fit(tables.vectors(spark, sf_dir))
+    powers = [float((found.variances**p).sum()) for p in (1, 2, 3)]
+    return spark.createDataFrame([(found.n, *powers)], "n long, total double, squares double, cubes double").select("n", *(F.round(c, 8).alias(c) for c in ("total", "squares", "cubes")))
+
+
+@query(f"""WITH {DOCS}, {LINES}, first AS (SELECT DISTINCT substr(content, 1, 2200) AS c FROM textchunks JOIN docs USING (document_id) WHERE first_id % 2 = 0)
+SELECT DISTINCT chunk_id, 64 AS width, CASE WHEN substr(content, 1, 2200) IN (SELECT c FROM first) THEN 1 ELSE 2 END AS run, 0 AS again FROM textchunks""")
+def memo_index(spark, sf_dir):
+    """Half of the documents' chunks are indexed, then all, then all once more: what each run embedded."""
+    lake = delta.Lake(spark, tables.scratch(spark, "index"), index.TABLES)
+    own = tables.text_chunks(spark, sf_dir)
+    half = own.join(tables.documents(spark, sf_dir).where("first_id % 2 = 0").select("document_id"), "document_id", "left_semi")
+    for chunks in (half, own):
+        index.update(lake, chunks, models.HashingEmbedder)
+    again = index.update(lake, own, models.HashingEmbedder)
+    return index.read(lake).select("chunk_id", F.size("vec").alias("width"), "run", F.lit(again["embedded"]).alias("again"))
+
+
+@query(f"""WITH {EDGES}, {CHUNKS}, {DOCS}, {LINES}
+SELECT 'documents' AS step, unnest(['rows', 'copies']) AS counted, unnest([(SELECT count(*) FROM docs), (SELECT sum(copies)::BIGINT FROM docs)]) AS n
+UNION ALL SELECT 'chunks', unnest(['rows', 'characters']), unnest([count(*), sum(length(content))::BIGINT]) FROM (SELECT DISTINCT chunk_id, content FROM textchunks)
+UNION ALL SELECT 'facts', unnest(['rows', 'confident']), unnest([count(*), count(*) FILTER (0.98 >= 0.6)]) FROM (SELECT DISTINCT chunk_id, subj, rel, obj FROM edges JOIN chunks USING (chunk_id) WHERE extracted_at IS NULL)""")
+def run_progress(spark, sf_dir):
+    """Counts of an ingest's steps, observed while they are written."""
+    run, path = progress.Progress(), tables.scratch(spark, "ingest")
+    to = lambda name: lambda df: df.write.parquet(f"{path}/{name}")
+    run.step("documents", tables.documents(spark, sf_dir), to("documents"), copies=F.sum("copies"))
+    run.step("chunks", store.distinct_chunks(tables.text_chunks(spark, sf_dir)), to("chunks"), characters=F.sum(F.length("content")))
+    run.step("facts", ingest.extracted(tables.fact_chunks(spark, sf_dir)), to("facts"), confident=F.count_if(F.col("certainty") >= store.LEAST_CONFIDENCE))
+    return run.table(spark)
+
+
+@query(f"""WITH {EDGES}, {CHUNKS}, lines AS (SELECT DISTINCT 'O' || l_orderkey AS q_id, 'L' || l_orderkey || '-' || l_linenumber AS lc, 'P' || l_partkey AS pc FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
+own AS (SELECT DISTINCT q_id, content FROM (SELECT q_id, lc AS chunk_id FROM lines UNION SELECT q_id, pc FROM lines) JOIN chunks USING (chunk_id)),
+f AS (SELECT DISTINCT q_id, subj, rel, obj, sha256(sha256(content) || ':' || content) AS chunk_id FROM own JOIN chunks c USING (content) JOIN edges e ON e.chunk_id = c.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY subj, rel, obj, chunk_id) AS place FROM f) SELECT q_id, place, subj, rel, obj, chunk_id, 0.98::DOUBLE AS certainty FROM r WHERE place <= 40""")
+def question_graphs(spark, sf_dir):
+    """A question for each order, with passages on its lines and parts: every one answered within a graph of its own."""
+    t = lambda name: tables.read(spark, sf_dir, name)
+    asked = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    questions = asked.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("q_id"), F.concat(F.lit("What has "), "c_name", F.lit(" ordered, from whom, and of which brand?")).alias("text"))
+    lines = t("lineitem").select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("q_id"), F.concat(F.lit("L"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("lc"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("pc"))
+    lines = lines.join(questions.select("q_id"), "q_id", "left_semi")
+    passages = lines.select("q_id", F.explode(F.array("lc", "pc")).alias("chunk_id")).join(tables.fact_chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("text")), "chunk_id")
+    return isolated.answers(questions, passages.select("q_id", "text"), k=40)

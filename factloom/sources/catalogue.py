@@ -1,95 +1,49 @@
-"""A paged catalogue of publications as a data source.
-
-Pages are JSON files (page-0.json, page-1.json ...) with a list ``results``. Only records
-with a PDF that can be fetched are kept. Each page is a partition, so pages are read in
-parallel; the offset after a record lets a run go on where an earlier one ended.
-"""
+"""A catalogue of publications: records with a PDF, from pages that any source has read."""
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SCHEMA = "id long, title string, pdf_url string, categories array<string>, resume_offset long"
-
-
-def pdf_of(record: dict) -> str | None:
-    """The record's PDF: by its media type, else by its link."""
-    if not record.get("downloadsAvailable"):
-        return None
-    files = record.get("downloads") or []
-    typed = [f for f in files if f.get("mimetype") == "application/pdf"]
-    for f in [*typed, *files]:
-        link = (f.get("links") or {}).get("pdf")
-        if link:
-            return link
-    return None
-
-
-class CatalogueReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.size = options["path"], int(options.get("page_size", 100))
-        self.offset = int(options.get("offset", 0))
-
-    def partitions(self):
-        numbers = sorted(int(p.stem.split("-")[1]) for p in Path(self.path).glob("page-*.json"))
-        return [InputPartition(n) for n in numbers if (n + 1) * self.size > self.offset] or [InputPartition(-1)]
-
-    def read(self, partition):
-        n = partition.value
-        if n < 0:
-            return
-        page = json.loads((Path(self.path) / f"page-{n}.json").read_text(encoding="utf-8"))
-        for i, r in enumerate(page.get("results", [])):
-            at, url = n * self.size + i, pdf_of(r)
-            if url and at >= self.offset:
-                yield (int(r["id"]), r.get("title") or "", url, list(r.get("subjectCategories") or []), at + 1)
-
 
-class Catalogue(DataSource):
-    """spark.dataSource.register(Catalogue); spark.read.format("catalogue").options(path=..., offset=...)"""
-
-    @classmethod
-    def name(cls):
-        return "catalogue"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return CatalogueReader(self.options)
-
-
-# --- the same through Spark's own readers: any file system, batch or stream ------------------
+from .paged import Paged
 
 FILE = "struct<mimetype:string,name:string,links:struct<pdf:string>>"
-PAGE = f"results array<struct<id:bigint,title:string,downloadsAvailable:boolean,downloads:array<{FILE}>,subjectCategories:array<string>>>"
+RECORD = f"struct<id:bigint,title:string,downloadsAvailable:boolean,downloads:array<{FILE}>,subjectCategories:array<string>>"
 
 
 def pdf_column(record) -> Column:
-    """The record's PDF, as pdf_of() finds it; null where there is none."""
+    """The record's PDF, by its media type, else by its link; null where there is none that can be fetched."""
     files = F.coalesce(record["downloads"], F.array().cast(f"array<{FILE}>"))
     typed = F.filter(files, lambda f: f["mimetype"] == "application/pdf")
     links = F.filter(F.transform(F.concat(typed, files), lambda f: f["links"]["pdf"]), lambda x: F.coalesce(x, F.lit("")) != "")
     return F.when(record["downloadsAvailable"], F.get(links, F.lit(0)))
 
 
-def records(pages: DataFrame, size: int, offset: int = 0) -> DataFrame:
-    """Records with a PDF from pages (page, value: a page's JSON), each with the offset after it."""
-    flat = pages.select("page", F.posexplode(F.from_json("value", PAGE)["results"]).alias("i", "r"))
-    out = flat.select(
+def records(rows: DataFrame) -> DataFrame:
+    """Records with a PDF from rows (value: a record's JSON, resume_offset: the offset behind it)."""
+    own = rows.select(F.from_json("value", RECORD).alias("r"), "resume_offset")
+    out = own.select(
         F.col("r.id").alias("id"), F.coalesce("r.title", F.lit("")).alias("title"), pdf_column(F.col("r")).alias("pdf_url"),
-        F.coalesce("r.subjectCategories", F.array().cast("array<string>")).alias("categories"), (F.col("page").cast("long") * size + F.col("i") + 1).alias("resume_offset"),
+        F.coalesce("r.subjectCategories", F.array().cast("array<string>")).alias("categories"), "resume_offset",
     )
-    return out.where((F.col("pdf_url").isNotNull()) & (F.col("resume_offset") > offset))
+    return out.where("pdf_url IS NOT NULL")
+
+
+def catalogue(spark: SparkSession, path: str, size: int = 100, offset: int = 0, stream: bool = False) -> DataFrame:
+    """A catalogue's records from an offset on; as a stream it goes on from its checkpoint instead."""
+    spark.dataSource.register(Paged)
+    reader = spark.readStream if stream else spark.read
+    return records(reader.format("paged").options(path=path, page_size=size, offset=offset).load())
+
+
+def page_records(pages: DataFrame, size: int) -> DataFrame:
+    """Records with a PDF from whole pages (page, value: a page's JSON)."""
+    flat = pages.select("page", F.posexplode(F.from_json("value", "results array<string>")["results"]).alias("i", "value"))
+    return records(flat.select("value", (F.col("page").cast("long") * size + F.col("i") + 1).alias("resume_offset")))
 
 
 def page_stream(spark: SparkSession, path: str, each: int = 10) -> DataFrame:
-    """Pages as they arrive, a bounded number at a time; what was read is in the stream's checkpoint.
+    """Pages as they arrive, through Spark's own reader, a bounded number at a time; what was read is in the stream's checkpoint.
 
     Pages lie in folders page=0, page=1 ... below path, one text file each.
     """

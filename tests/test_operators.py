@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import ids, models, text
 from factloom.plans import experiments, ingest, retrieval
-from factloom.operators import chunking, evaluation, evidence, graph, harmonic, prompt, registry, store, trust, vectors
+from factloom.operators import chunking, components, evaluation, evidence, graph, harmonic, prompt, registry, store, trust, vectors
 
 EDGE = "subj string, subj_type string, rel string, obj string, obj_type string, certainty double, chunk_id string"
 
@@ -150,22 +150,83 @@ def test_found_evidence_reads_as_quoted(chunk, start, size):
         assert evidence.normal(chunk[s["start"] : s["end"]]) == evidence.normal(quoted)
 
 
-def test_harmonic_values():
-    x, energy = harmonic.extend(3, [(0, 1, 1.0), (1, 2, 1.0)], {0: np.array([0.0]), 2: np.array([2.0])}, 1e-9)
-    assert x[1, 0] == pytest.approx(1.0, abs=1e-6) and energy == pytest.approx(2.0, abs=1e-5)
-    x, energy = harmonic.extend(2, [(0, 1, 1.0)], {0: np.ones(1), 1: np.ones(1)}, 1e-6)
-    assert energy == 0.0
-    assert harmonic.projection(np.eye(5, 8), 32).shape == (5, 32)
-    assert harmonic.top_chunks([("a", 1.0), ("b", 0.9), ("a", 0.8), ("c", 0.1)], 2) == ["a", "b"]
+def nodes_of(spark, rows):
+    return spark.createDataFrame([(n, x is not None, x) for n, x in rows], "node string, fixed boolean, x array<double>")
+
+
+def test_harmonic_values(spark):
+    line = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 1.0)], "u string, v string, w double")
+    x = {r.node: r.x for r in harmonic.extend(nodes_of(spark, [("a", [0.0, 1.0]), ("b", None), ("c", [2.0, 1.0]), ("far", None)]), line, 2, 1e-9, 1e-8, 50).collect()}
+    assert x["b"] == pytest.approx([1.0, 1.0], abs=1e-6) and x["a"] == [0.0, 1.0] and x["far"] == [0.0, 0.0]
+    # all fixed, and none
+    x = {r.node: r.x for r in harmonic.extend(nodes_of(spark, [("a", [1.0]), ("b", [1.0])]), line, 1, 1e-6, 1e-6, 9).collect()}
+    assert x == {"a": [1.0], "b": [1.0]}
+    x = {r.node: r.x for r in harmonic.extend(nodes_of(spark, [("a", None), ("b", None)]), line, 1, 1e-6, 1e-6, 9).collect()}
+    assert x == {"a": [0.0], "b": [0.0]}
+    scored = spark.createDataFrame([("s", "r", "o", "a", 1.0), ("s", "r", "o", "b", 0.9), ("s", "r", "o", "a", 0.8), ("s", "r", "o", "c", 0.1)], "subj string, rel string, obj string, chunk_id string, score double")
+    assert [r.chunk_id for r in harmonic.top_chunks(scored, 2).orderBy("place").collect()] == ["a", "b"]
 
 
 def test_no_neighbourhood_abstains(spark):
     e = edges(spark, [("a", "r", "b", 1.0, "c")])
     a = spark.createDataFrame([("q", "nobody")], "q_id string, name string")
-    rows, abstain = harmonic.retrieve(e, a, {"a": [1.0]})
-    assert rows.count() == 0 and abstain == 1.0
+    vecs = spark.createDataFrame([("a", [1.0])], "name string, vec array<double>")
+    rows, share = harmonic.retrieve(e, a, vecs)
+    assert rows.count() == 0 and share.first().abstain == 1.0
     with pytest.raises(NotImplementedError):
-        harmonic.retrieve(e, a, {}, harmonic.Settings(restriction="typed"))
+        harmonic.retrieve(e, a, vecs, harmonic.Settings(restriction="typed"))
+
+
+def test_neighbourhood_is_capped_hop_by_hop(spark):
+    e = edges(spark, [("a", "r", f"b{i:02}", 1.0, f"c{i}") for i in range(30)] + [(f"b{i:02}", "r", f"d{i:02}", 1.0, f"e{i}") for i in range(30)] + [("x", "r", "y", 1.0, "z"), ("a", "r", None, 1.0, "n")])
+    a = spark.createDataFrame([("q", "a")], "q_id string, name string")
+    nodes, walked = graph.ego(e, a, 3, 40)
+    got = {r.name: r.hop for r in nodes.collect()}
+    assert got == {"a": 0, **{f"b{i:02}": 1 for i in range(30)}, **{f"d{i:02}": 2 for i in range(9)}}
+    assert walked.count() == 39
+    nodes, walked = graph.ego(e, a, 1, 40)
+    assert nodes.count() == 31 and walked.count() == 30
+
+
+def test_components(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 6)) * [5, 3, 1, 1, 0.5, 0.1] + 2
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, vec array<double>").repartition(7)
+    found = components.fit(rows)
+    power, turn = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert found.n == 300 and found.variances == pytest.approx(power[::-1])
+    got = {r.id: r.p for r in rows.select("id", components.projected(F.col("vec"), found, 8).alias("p")).collect()}
+    assert got[999] is None and len(got[0]) == 8 and got[0][6:] == [0.0, 0.0]
+    want = (x - x.mean(0)) @ turn[:, ::-1]
+    assert np.abs(np.array([got[i][:6] for i in range(300)])) == pytest.approx(np.abs(want))
+    assert found.explained(2) == pytest.approx(power[::-1][:2].sum() / power.sum())
+    none = components.fit(rows.where("id > 5000"))
+    assert none.n == 0 and rows.where("id = 3").select(components.projected(F.col("vec"), none, 2).alias("p")).first().p == [0.0, 0.0]
+
+
+def brute_paths(facts, anchors, most=50):
+    """Every path, ranked."""
+    real = [(s, r, o, c or 0.0, k) for s, r, o, c, k in facts if k]
+    first = sorted(anchors)[:5]
+    one = [(-c, a, r, t, k) for a in first for s, r, o, c, k in real for t in ([o] if s == a else []) + ([s] if o == a else [])]
+    two = [(-(c * c2), a, r, t, k, -c2, r2, t2, k2) for a in first for s, r, t, c, k in real if s == a for s2, r2, t2, c2, k2 in real if s2 == t and t2 != a]
+    half = most // 2
+    out = [(1, -c, *rest) for c, *rest in sorted(one)[:half]]
+    return out + [(2, round(math.sqrt(-p), 6), a, r, t, k, r2, t2, k2) for p, a, r, t, k, _, r2, t2, k2 in sorted(two)[: most - half]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounded_paths_equal_all_paths(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = [f"n{i}" for i in range(8)]
+    levels = [None, 0.0, 0.3, 0.5, 0.5, 1.0] if seed % 2 else [0.1, 0.7, 0.71, 0.9, 1.0]
+    facts = [(str(rng.choice(names)), f"r{rng.integers(3)}", str(rng.choice(names)), levels[rng.integers(len(levels))], f"c{i}" if i % 9 else "") for i in range(150)]
+    facts += facts[:10]
+    a = spark.createDataFrame([("q", n) for n in names[:6]] + [("p", "n7")], "q_id string, name string")
+    got = graph.trust_paths(edges(spark, facts), a, most=20)
+    for q, anchors in (("q", names[:6]), ("p", ["n7"])):
+        rows = [(r.hops, r.trust, r.anchor, r.rel, r.target, r.chunk_id, *((r.rel2, r.target2, r.chunk2) if r.hops == 2 else ())) for r in got.where(F.col("q_id") == q).collect()]
+        assert sorted(rows, key=repr) == sorted(brute_paths(facts, anchors, 20), key=repr)
 
 
 def test_offsets_stop_before_a_failure(spark):
@@ -263,48 +324,58 @@ def test_a_suite_notes_what_fails(spark):
 
 
 def test_harmonic_readout_equals_a_plain_version(spark, small):
-    """The whole query against dense linear algebra over the same tables."""
+    """All facts at radius 3, with the settings that are the default, against dense linear algebra over the same tables."""
     import duckdb
 
-    from factloom.queries import EDGES, QUERIES
+    from factloom.plans import tables
+    from factloom.queries import EDGES, a_nation
 
-    got = {(r.subj, r.rel, r.obj, r.chunk_id): (r.activation, r.residual, r.consistency, r.score) for r in QUERIES["harmonic_scores"](spark, small).collect()}
     c = duckdb.connect()
     for name in ("lineitem", "part", "supplier", "orders", "customer", "nation", "region", "embeddings"):
         c.execute(f"create view {name} as select * from '{small}/{name}.parquet'")
-    facts = c.execute(f"WITH {EDGES} SELECT subj, rel, obj, chunk_id, max(certainty) FROM edges WHERE rel IN ('is located in', 'is part of') GROUP BY ALL").fetchall()
+    facts = c.execute(f"WITH {EDGES} SELECT subj, rel, obj, chunk_id, max(certainty) FROM edges GROUP BY ALL").fetchall()
     hops = {"NATION_3": 0}
-    for hop in (1, 2):
+    for hop in (1, 2, 3):
         for s, _, o, _, _ in facts:
             for a, b in ((s, o), (o, s)):
                 if hops.get(a, 9) == hop - 1:
                     hops.setdefault(b, hop)
-    walked = [f for f in facts if f[0] in hops and f[2] in hops and min(hops[f[0]], hops[f[2]]) < 2]
+    assert len(hops) < 2000
+    walked = [f for f in facts if f[0] in hops and f[2] in hops and min(hops[f[0]], hops[f[2]]) < 3]
     names = sorted(hops)
+    at = {n: i for i, n in enumerate(names)}
     vecs = dict(c.execute("SELECT vec_id, embedding FROM embeddings").fetchall())
     key = lambda n: int(hashlib.sha256(n.encode()).hexdigest()[:8], 16) % len(vecs)
+    own = spark.createDataFrame([(n, [float(np.float32(v)) for v in vecs[key(n)]]) for n in names], "name string, vec array<double>")
+    rows, share = harmonic.retrieve(tables.edges(spark, small), a_nation(spark), own)
+    got = {(r.subj, r.rel, r.obj, r.chunk_id): (r.activation, r.residual, r.consistency, r.score) for r in rows.collect()}
     x = np.array([np.array(vecs[key(n)], np.float32).astype(float) for n in names])
     x = x - x.mean(0)
     u, d, _ = np.linalg.svd(x, full_matrices=False)
     base = np.zeros((len(names), 32))
     base[:, : min(32, len(d))] = (u * d)[:, :32]
     lap = np.zeros((len(names), len(names)))
-    at = {n: i for i, n in enumerate(names)}
     for s, _, o, _, w in walked:
-        e = np.zeros(len(names))
-        e[at[s]], e[at[o]] = 1, -1
-        lap += w * np.outer(e, e)
+        i, j = at[s], at[o]
+        if i != j:
+            lap[i, i] += w
+            lap[j, j] += w
+            lap[i, j] -= w
+            lap[j, i] -= w
     free = [i for i, n in enumerate(names) if n != "NATION_3"]
     fixed = at["NATION_3"]
     z = np.zeros_like(base)
     z[fixed] = base[fixed]
     z[free] = np.linalg.inv(lap[np.ix_(free, free)] + 1e-6 * np.eye(len(free))) @ (-lap[np.ix_(free, [fixed])] @ z[[fixed]])
     assert len(got) == len(walked) and len(walked) > 3
+    energy = 0.0
     for s, r, o, k, w in walked:
         a = (z[at[s]] @ z[at[s]] + z[at[o]] @ z[at[o]]) / 2
         rho = ((z[at[s]] - z[at[o]]) ** 2).sum()
         kappa = np.exp(-4 * rho / (a + 1e-6))
-        assert got[s, r, o, k] == pytest.approx((a, rho, kappa, w * a * kappa), abs=2e-5)
+        energy += w * rho
+        assert got[s, r, o, k] == pytest.approx((a, rho, kappa, w * a * kappa), abs=1e-4)
+    assert share.first().abstain == pytest.approx(min(1, energy / (z[fixed] @ z[fixed] + 1e-6)), abs=1e-4)
 
 
 def test_vectors(spark):

@@ -1,11 +1,13 @@
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.operators import store
+from factloom.operators import delta, store
 from factloom.plans import ingest
-from factloom.sources import catalogue, readers
+from factloom.sources import catalogue, paged, readers
 from factloom.streaming import streams
 
 
@@ -50,26 +52,79 @@ def test_a_study_and_its_settings(spark, tmp_path):
     assert store.places("/x/", "ann")["description"] == "/x/ann/ann.meta.json"
 
 
+def write_pages(folder, pages):
+    for n, rows in pages.items():
+        (folder / f"page-{n}.json").write_text(json.dumps({"results": rows}))
+
+
+def record(i, has=True):
+    return {"id": i, "title": f"t{i}", "downloadsAvailable": has, "downloads": [{"mimetype": "application/pdf", "links": {"pdf": f"/{i}.pdf"}}], "subjectCategories": ["c"]}
+
+
 def test_catalogue(spark, tmp_path):
-    pdf = {"mimetype": "application/pdf", "links": {"pdf": "/p.pdf"}}
-    for n in range(2):
-        rows = [{"id": n * 3 + i, "title": f"t{i}", "downloadsAvailable": i != 1, "downloads": [pdf], "subjectCategories": ["c"]} for i in range(3)]
-        (tmp_path / f"page-{n}.json").write_text(json.dumps({"results": rows}))
-    spark.dataSource.register(catalogue.Catalogue)
-    read = lambda offset: sorted(r.id for r in spark.read.format("catalogue").options(path=str(tmp_path), page_size=3, offset=offset).load().collect())
-    assert read(0) == [0, 2, 3, 5] and read(3) == [3, 5] and read(99) == []
+    write_pages(tmp_path, {n: [record(n * 3 + i, i != 1) for i in range(3)] for n in range(2)})
+    read = lambda offset: sorted(r.id for r in catalogue.catalogue(spark, str(tmp_path), 3, offset).collect())
+    assert read(0) == [0, 2, 3, 5] and read(3) == [3, 5] and read(4) == [5] and read(99) == []
+    assert catalogue.catalogue(spark, str(tmp_path / "nowhere"), 3).count() == 0
+
+
+def test_offsets_of_pages(tmp_path):
+    write_pages(tmp_path, {0: [record(i) for i in range(3)], 1: [record(3)]})
+    source = paged.PagedStreamReader({"path": str(tmp_path), "page_size": 3, "offset": 1})
+    assert source.initialOffset() == {"page": 0, "record": 1} and source.latestOffset() == {"page": 1, "record": 1}
+    parts = source.partitions(source.initialOffset(), source.latestOffset())
+    assert [p.value for p in parts] == [(0, 1, 3), (1, 0, 1)]
+    assert [(r[0], r[1], json.loads(r[2])["id"], r[3]) for p in parts for r in source.read(p)] == [(0, 1, 1, 2), (0, 2, 2, 3), (1, 0, 3, 4)]
+    write_pages(tmp_path, {1: [record(i) for i in range(3, 6)], 2: []})  # a page that has grown, and an empty one
+    assert source.latestOffset() == {"page": 2, "record": 0}
+    assert [p.value for p in source.partitions({"page": 1, "record": 1}, {"page": 2, "record": 0})] == [(1, 1, 3)]
+    assert source.partitions({"page": 2, "record": 0}, {"page": 2, "record": 0}) == []
+
+
+def test_a_failed_record_blocks_the_offset(spark, tmp_path):
+    pages, failing, asked = tmp_path / "pages", set(), []
+    pages.mkdir()
+    write_pages(pages, {0: [record(i) for i in range(4)], 1: [record(i) for i in range(4, 7)]})
+    lake = delta.Lake(spark, str(tmp_path / "lake"), {"records": delta.Spec(("id",), "id long, title string, resume_offset long"), "state": streams.STATE})
+
+    def process(rows):
+        asked.append(sorted(r.id for r in rows.collect()))
+        return rows.withColumn("status", F.when(F.col("id").isin(list(failing)) if failing else F.lit(False), "download_failed").otherwise("committed"))
+
+    def run():
+        stream = catalogue.catalogue(spark, str(pages), 4, stream=True).select("id", "title", "resume_offset")
+        streams.ingest_in_order(stream, lake, "records", "state", "q", process, str(tmp_path / "checkpoint"))
+
+    offset = lambda: [r.next_offset for r in lake.read("state").collect()]
+    held = lambda: sorted(r.id for r in lake.read("records").collect())
+    failing |= {2, 5}
+    for _ in range(2):  # it fails again: nothing moves
+        with pytest.raises(StreamingQueryException, match="RecordFailed"):
+            run()
+        assert offset() == [2] and held() == [0, 1, 3, 4, 6]
+    assert asked == [[0, 1, 2, 3, 4, 5, 6], [2, 5]]  # what is in the table isn't processed again
+    failing.remove(2)
+    with pytest.raises(StreamingQueryException, match="RecordFailed"):
+        run()
+    assert offset() == [5] and held() == [0, 1, 2, 3, 4, 6]
+    failing.clear()
+    run()
+    assert offset() == [7] and held() == list(range(7))
+    write_pages(pages, {1: [record(i) for i in range(4, 8)], 2: [record(8)]})
+    run()
+    assert offset() == [9] and held() == list(range(9)) and asked[-1] == [7, 8]
 
 
 def test_streamed_upserts_go_on_where_they_ended(spark, tmp_path):
     kind = "id string, v long, seq long"
-    target = store.Versions(spark, str(tmp_path / "table"))
+    lake = delta.Lake(spark, str(tmp_path / "table"), {"t": delta.Spec(("id",), "id string, v long")})
 
     def arrive(rows, n):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-        streams.ingest(source, target, "id", "seq", str(tmp_path / "state"))
-        assert len(target.numbers()) == n
+        streams.ingest(source, lake, "t", "seq", str(tmp_path / "state"))
+        assert lake.manifest()["version"] == n
 
     arrive([("a", 1, 1), ("b", 1, 1), ("a", 2, 2)], 1)
     arrive([("b", 3, 3)], 2)
-    assert {r.id: r.v for r in target.read().collect()} == {"a": 2, "b": 3}
+    assert {r.id: r.v for r in lake.read("t").collect()} == {"a": 2, "b": 3}
