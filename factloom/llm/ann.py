@@ -150,7 +150,7 @@ def search(
     k: int = 20,
     every: int = 20,
     projections: int = 24,
-    sure: float = 0.87,
+    sure: float = 0.95,
     leaf: int = 32,
     block_rows: int = 100_000,
     seeds: int = 128,

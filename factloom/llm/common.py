@@ -80,9 +80,9 @@ BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by bytes, so that long texts don't pile up in the JVM or in Python."""
+    """Arrow batches are cut by bytes, so that long texts don't pile up in the JVM or in Python. The session keeps that setting."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(name))) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 

@@ -10,7 +10,8 @@ The model is trained here, on pages that a generator lays out at random from the
 parts of web pages (``layouts``), with the label that each part has by its making. No
 page of the input is looked at for that, so a model doesn't depend on the table.
 
-Scripts, styles, comments and the fields of forms are not text. Character references are
+Scripts, styles, comments, drawings and the fields of forms are not text; formulas are, and so is
+what stands in for an object, a film or a script where those don't run. Character references are
 decoded, white space in a block becomes one space, blocks are trimmed and joined by one
 space in page order. A silent element that is never closed (a button, say) ends with the
 element around it; only a script, style, title, textarea or iframe runs to the page's end.
@@ -23,6 +24,7 @@ columns, whatever their names, are not looked at. An empty table gives an empty
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bounded_batches, slices, texts
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
@@ -50,9 +52,10 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\
 #: Elements without an end tag, those that don't break a line, those whose content isn't text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym annotation audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover noscript object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var video wbr".split()
 )
-SILENT = frozenset("script style noscript template title textarea select button svg math iframe object canvas audio video".split())
+SILENT = frozenset("script style template title textarea select button svg iframe".split())
 #: Of the silent ones, those whose content is text up to their own end tag, whatever stands there.
 RAW = frozenset("script style title textarea iframe".split())
 #: An element of the first kind ends an open one of the second.
@@ -97,6 +100,48 @@ def slot(kind: str, name: str, size: int) -> int:
     return _slot(kind, name, size) if len(name) < 64 else _slot.__wrapped__(kind, name, size)
 
 
+#: The beginning of a tag, or a whole comment or declaration.
+BEGINNING = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+NEXT = re.compile(r"[>\"']")
+UNCLOSED = re.compile(r"<!--|<!\[CDATA\[")
+
+
+class Loose:
+    """Finds the ends of tags on a page with quotes that are never closed, in time that grows with its length.
+
+    A way from a tag on, quote by quote, that reaches the page's end without a ">" is kept: a
+    later tag that stands on it, outside of its quotes, goes the same way. No more than three
+    ways can differ, as at each place a way is outside of quotes or within one of two kinds.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.ways = page, []
+
+    def end(self, at: int) -> tuple[int, int]:
+        """Where a tag's attributes, from ``at``, end, and where the text goes on."""
+        first, starts, ends = at, [], []
+        while True:
+            for lefts, rights in self.ways:
+                i = bisect.bisect_right(lefts, at) - 1
+                if i >= 0 and at <= rights[i]:
+                    break
+            else:
+                found = NEXT.search(self.page, at)
+                if found and found[0] == ">":
+                    return found.start(), found.end()
+                starts.append(at)
+                ends.append(found.start() if found else len(self.page))
+                closes = self.page.find(found[0], found.end()) if found else -1
+                if closes >= 0:
+                    at = closes + 1
+                    continue
+            break
+        if starts:
+            self.ways.append((starts, ends))
+        ends_at = self.page.find(">", first)  # quotes don't count, then
+        return ends_at, ends_at + 1
+
+
 class Parser:
     """Cuts a page's text into blocks; time and memory grow with the page's length."""
 
@@ -175,25 +220,45 @@ class Parser:
         self.push(name, attributes)
 
     def read(self, page: str) -> list[Block]:
-        at = 0
-        while True:
-            found = MARKUP.search(page, at)
+        at, last = 0, page.rfind(">") + 1  # no tag ends behind ``last``
+        loose = None
+        while at < last:
+            found = (MARKUP if loose is None else BEGINNING).search(page, at, last)
             if not found:
-                self.say(page[at:])
                 break
             self.say(page[at : found.start()])
             at = found.end()
-            name = (found[2] or found[5] or "").lower()
+            if found[0].startswith("<!--"):
+                if not found[0].endswith("-->"):
+                    at = len(page)
+                continue
+            if found[0].startswith("<![CDATA["):
+                self.say(found[0][9:-3] if found[0].endswith("]]>") else page[found.start() + 9 :])
+                at = at if found[0].endswith("]]>") else len(page)
+                continue
+            if loose is None:
+                name, ends, attributes, whole = found[2] or found[5], found[1] or found[4], found[3] or found[6] or "", found[0]
+                if found[5]:  # a quote that is never closed: it costs a look at the whole page, once
+                    loose = Loose(page)
+            elif found[2]:
+                stop, behind = loose.end(at)
+                name, ends, attributes, whole, at = found[2], found[1], page[at:stop], page[stop - 1 : behind], behind
+            else:
+                continue
+            name = (name or "").lower()
             if not name:
-                if found[0].startswith("<![CDATA["):
-                    self.say(found[0][9:].removesuffix("]]>"))
-            elif found[1] or found[4]:
+                continue
+            if ends:
                 self.end(name)
             elif name in RAW:
                 end = RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
             else:
-                self.start(name, found[3] or found[6] or "", found[0].endswith("/>"))
+                self.start(name, attributes, whole.endswith("/>"))
+        rest = UNCLOSED.search(page, at)
+        self.say(page[at : rest.start()] if rest else page[at:])
+        if rest and rest[0] != "<!--":
+            self.say(page[rest.end() :])
         self.flush()
         return self.out
 
@@ -479,6 +544,7 @@ def main_texts(model: Labeller, pages: list[str], threshold: float = 0.5) -> lis
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pages: int = 1000, epochs: int = 36) -> DataFrame:
     """page_id, url, text, n_chars. pages and epochs: how long the labeller learns, on the driver."""
     sent = df.sparkSession.sparkContext.broadcast(trained(pages, epochs))
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches):

@@ -32,13 +32,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes
     """(text, label) of at most ``rows`` labelled documents of each class, outside the held-out fold.
 
     Documents are taken by a hash of their id, whatever the size of the tables, as long as a
-    class has no more than ``rows`` of them and ``most_bytes`` of text; texts are whole. Both
-    bounds make the sample fit for the driver, and that of ids for a broadcast.
+    class has no more than ``rows`` of them and ``most_bytes`` of text; texts are whole, and one
+    that is longer than that by itself is passed over. Both bounds make the sample fit for the
+    driver, and that of ids for a broadcast.
     """
     known = labelled(labels, label, folds, fold)
     order = (F.xxhash64("doc_id"), "doc_id")
     some = known.where("y = 0").orderBy(*order).limit(rows).unionByName(known.where("y = 1").orderBy(*order).limit(rows))
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL")
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.octet_length("text") <= most_bytes)
     by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     found = found.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= rows)  # ids may repeat
     size = F.sum(F.octet_length("text").cast("long")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))

@@ -80,12 +80,14 @@ def indexed(rows: list[tuple[frozenset, int]]) -> tuple[list[str], list[np.ndarr
     return list(number), sets, kinds
 
 
-def evidence(names: list[str], sets: list[np.ndarray], kinds: np.ndarray, unlike: float = 0.35) -> dict[str, float]:
+def evidence(names: list[str], sets: list[np.ndarray], kinds: np.ndarray, unlike: float = 0.35, looked_at: int = 32) -> dict[str, float]:
     """The units that mark documents of label 1, most telling first, each with its own log lift.
 
     Among so many some stand in toxic documents alone by chance; a unit's divergence from
     the sample's share of toxic documents must exceed what chance gives the best of them.
     Nothing else parts them: a word that is rare, or of a rare language, weighs by its lift.
+    A unit whose documents are much alike (copies of one text) is left out: their variety is
+    compared with that of as many others, of ``looked_at`` documents at most.
     """
     toxic, other = ([s for s, y in zip(sets, kinds) if y == k] for k in (1, 0))
     if not toxic or not other:
@@ -106,7 +108,7 @@ def evidence(names: list[str], sets: list[np.ndarray], kinds: np.ndarray, unlike
         # a beginning that weighs as much says all that this one says
         if any(chosen.get(names[u][:n], 0.0) >= lift[u] for n in range(1, len(names[u]))):
             continue
-        holders = [s for s in toxic if u in s][:32]
+        holders = [s for s in toxic if u in s][:looked_at]
         n = len(holders)
         # as varied, nearly, as other toxic documents in the same number
         if variety(holders) >= unlike * variety(toxic[:: max(1, len(toxic) // n)][:n]):

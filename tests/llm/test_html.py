@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -117,3 +118,19 @@ def test_messy_pages(spark):
     got = html.extract(pages).collect()
     assert len(got) == 5 and {r.text for r in got if r.page_id in (1, 2)} == {""}
     assert html.extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page", ['<a x="' * 200_000, '<a x="' * 200_000 + ">t", "> " + '<a x="' * 100_000, '<a x=">" ' * 100_000, "<a x='>\" " * 100_000, "<a " * 200_000, "<!--" * 100_000, '<a "' * 100_001 + "'>x", "<" * 300_000 + ">"])
+def test_quotes_that_are_never_closed_take_time_in_proportion(page):
+    began = time.process_time()
+    html.blocks(page)
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("page,said", [
+    ("Let <math><mi>x</mi></math> be <object>fallback</object> here", ["Let x be fallback here"]), ("<p>a <noscript>b</noscript> c</p><video>d</video>", ["a b c", "d"]),
+    ("<p>a<!-- x > y", ["a"]), ("<p>a<![CDATA[b]]>c<![CDATA[d", ["abcd"]), ('<p class="x>one</p><p>two</p>', ["one", "two"]), ("<p>1 < 2 and 3 > 2</p>", ["1 < 2 and 3 > 2"]),
+    ("<p title='a>b'>t</p>", ["t"]), ('<p a="1" b=\'2">x</p><i>y</i>', ["x", "y"]), ("<p a=\">x</p><p b='c>d'>y</p><!-- z --><p>w</p>", ["x", "y", "w"]), ("a <svg><text>no</text></svg> b", ["a b"]),
+])
+def test_odd_markup(page, said):
+    assert [b.text for b in html.blocks(page)] == said
