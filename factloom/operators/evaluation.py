@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import normal_answer
+from ..shared import arrow_files, kept, scratch
 
 MODES = ["context_gap", "retrieval", "reasoning"]
 
@@ -22,27 +24,37 @@ AUTOMATON_CHARS = 16 << 20
 def holds_gold(golds: DataFrame, texts: DataFrame) -> DataFrame:
     """(gold_id, text_id) where the normalised gold answer stands in the normalised text.
 
-    The answers make an automaton that finds all of them in one pass over a text, however
-    many there are. It is broadcast; a question set with more characters than
-    AUTOMATON_CHARS makes several, and the texts are read once for each.
+    The answers make an automaton that finds all of them in one pass over a text, however many
+    there are. They are written to the shared folder, where each task reads them; a question set
+    of more than AUTOMATON_CHARS characters is cut into parts by hash, each an automaton of its
+    own, and the texts are read once for each. No answer passes the driver.
     """
-    own = golds.select("gold_id", normal_answer(F.col("gold")).alias("g")).where("gold_id IS NOT NULL")
-    sizes = own.withColumn("part", F.floor(F.sum(F.length("g").cast("long") + 1).over(Window.orderBy("gold_id", "g")) / AUTOMATON_CHARS))
-    plain = texts.select("text_id", normal_answer(F.col("text")).alias("t"))
+    spark = golds.sparkSession
+    own = golds.select("gold_id", normal_answer(F.col("gold")).alias("g")).where("gold_id IS NOT NULL AND g IS NOT NULL")
+    own = kept(own, "golds")
+    chars = own.agg(F.sum(F.length("g").cast("long") + 1)).first()[0] or 0
+    parts = -(-chars // AUTOMATON_CHARS)
+    path = scratch(spark, "golds")
+    own.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(max(parts, 1))).cast("int")).repartition(max(parts, 1), "part").write.partitionBy("part").parquet(path)
+    plain = texts.select("text_id", normal_answer(F.col("text")).alias("t")).where("t IS NOT NULL")
     kind = f"gold_id {golds.schema['gold_id'].dataType.simpleString()}, text_id {texts.schema['text_id'].dataType.simpleString()}"
     schema = to_arrow_schema(StructType.fromDDL(kind))
-    parts: dict[int, dict[str, list]] = {}
-    for r in sizes.toLocalIterator():
-        parts.setdefault(r.part, {}).setdefault(r.g, []).append(r.gold_id)
-    out = None
-    for answers in parts.values():
-        sent = golds.sparkSession.sparkContext.broadcast(answers)
-
-        def run(batches, sent=sent):
-            import ahocorasick
+    out = plain.select(F.lit(None).cast(golds.schema["gold_id"].dataType).alias("gold_id"), "text_id").where("false")
+    for part in range(parts):
 
-            automaton, always = ahocorasick.Automaton(), sent.value.get("", [])
-            for answer, ids in sent.value.items():
+        def run(batches, part=part):
+            import ahocorasick
+            import pyarrow.parquet as pq
+
+            system, root = arrow_files(f"{path}/part={part}")
+            held: dict[str, list] = {}
+            for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    rows = pq.read_table(info.path, filesystem=system, columns=["gold_id", "g"], partitioning=None)
+                    for gold_id, g in zip(rows["gold_id"].to_pylist(), rows["g"].to_pylist()):
+                        held.setdefault(g, []).append(gold_id)
+            automaton, always = ahocorasick.Automaton(), held.get("", [])
+            for answer, ids in held.items():
                 if answer:
                     automaton.add_word(answer, ids)
             automaton.make_automaton()
@@ -55,9 +67,8 @@ def holds_gold(golds: DataFrame, texts: DataFrame) -> DataFrame:
                         found[1].append(text_id)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, schema.types)], schema=schema)
 
-        some = plain.mapInArrow(run, kind)
-        out = some if out is None else out.unionByName(some)
-    return out if out is not None else plain.select(F.lit(None).cast(golds.schema["gold_id"].dataType).alias("gold_id"), "text_id").where("false")
+        out = out.unionByName(plain.mapInArrow(run, kind))
+    return out
 
 
 def failure_mode(in_context, in_retrieved):

@@ -461,39 +461,51 @@ def evidence_full(spark, sf_dir):
     return evidence.scored(evidence_rows(spark, sf_dir)).select("chunk_id", "subj", "rel", "obj", "confidence", "anchor", "scope")
 
 
-#: Facts of one chunk that reach every branch: (name, subj, obj, raw, evidence, text), and by hand
-#: what the rules give for each: alignment, anchor, scope, raw, start, end (no row: rejected).
-BRANCHES = [
-    (("exact", "Alpha", "Beta", 0.5, "Alpha supplies Beta.", "Alpha supplies Beta. More."), (1.0, 1.0, 1.0, 0.5, 0, 20)),
-    (("twice", "Alpha", "Beta", 1.0, "supplies Beta", "It supplies Beta. Alpha supplies Beta."), (1.0, 0.75, 1.0, 1.0, 24, 37)),
-    (("normalised", "alpha", "beta", 2.0, "ALPHA   supplies\nbeta", "x. Alpha supplies Beta. y"), (1.0, 1.0, 1.0, 1.0, 3, 22)),
-    (("fallback", "Gamma", "Delta", None, "gamma uses delta now", "One here. Gamma uses Delta. Two."), (0.8, 1.0, 1.0, 0.0, 10, 27)),
-    (("hedged", "Gamma", "Delta", 1.0, "Gamma may use Delta.", "Gamma may use Delta."), (1.0, 1.0, 0.85, 1.0, 0, 20)),
-    (("two sentences", "Alpha", "Beta", 1.0, "Alpha came. Beta left.", "Alpha came. Beta left."), (1.0, 1.0, 0.8, 1.0, 0, 22)),
-    (("two, hedged", "Alpha", "Beta", 1.0, "Alpha came. Beta might leave.", "Alpha came. Beta might leave."), (1.0, 1.0, 0.68, 1.0, 0, 29)),
-    (("long", "Alpha", "Beta", 1.0, "Alpha " + "and so on " * 32 + "Beta", "Alpha " + "and so on " * 32 + "Beta"), (1.0, 1.0, 0.8, 1.0, 0, 330)),
-    (("very long", "Alpha", "Beta", 1.0, "Alpha. Or. " + "and so on " * 50 + "Beta", "Alpha. Or. " + "and so on " * 50 + "Beta"), (1.0, 1.0, 0.6, 1.0, 0, 515)),
-    (("one end", "Alpha", "Beta", 1.0, "supplies Beta", "Alpha supplies Beta."), (1.0, 0.75, 1.0, 1.0, 6, 19)),
-    (("initial", "J. Doe", "Beta", 1.0, "Mr J. Doe met Beta.", "Mr J. Doe met Beta."), (1.0, 1.0, 1.0, 1.0, 0, 19)),
-    (("no evidence", "Alpha", "Beta", 1.0, " ", "Alpha supplies Beta."), None),
-    (("nobody", "Alpha", "Nobody", 1.0, "Alpha supplies Beta.", "Alpha supplies Beta."), None),
-    (("nowhere", "Alpha", "Beta", 1.0, "something else", "Alpha came. X went. Beta left."), None),
+#: What a fact's chunk and its evidence are, so that every rule of evidence meets facts of the tables. Each
+#: kind: the fact's subject and object (s and o are the names), its evidence and its chunk, as SQL that both engines read.
+KINDS = [
+    ("s", "o", "concat(s, ' supplies ', o, '.')", "concat(s, ' supplies ', o, '. More.')"),
+    ("s", "o", "concat('supplies ', o)", "concat('It supplies ', o, '. ', s, ' supplies ', o, '.')"),
+    ("lower(s)", "lower(o)", "concat(upper(s), '   supplies', chr(10), lower(o))", "concat('x. ', s, ' supplies ', o, '. y')"),
+    ("s", "o", "concat(lower(s), ' uses ', lower(o), ' now')", "concat('One here. ', s, ' uses ', o, '. Two.')"),
+    ("s", "o", "concat(s, ' may use ', o, '.')", "concat(s, ' may use ', o, '.')"),
+    ("s", "o", "concat(s, ' came. ', o, ' left.')", "concat(s, ' came. ', o, ' left.')"),
+    ("s", "o", "concat(s, ' came. ', o, ' might leave.')", "concat(s, ' came. ', o, ' might leave.')"),
+    ("s", "o", "concat(s, ' ', repeat('and so on ', 32), o)", "concat(s, ' ', repeat('and so on ', 32), o)"),
+    ("s", "o", "concat(s, '. Or. ', repeat('and so on ', 50), o)", "concat(s, '. Or. ', repeat('and so on ', 50), o)"),
+    ("s", "o", "concat('supplies ', o)", "concat(s, ' supplies ', o, '.')"),
+    ("concat('J. ', s)", "o", "concat('Mr J. ', s, ' met ', o, '.')", "concat('Mr J. ', s, ' met ', o, '.')"),
+    ("s", "o", "' '", "concat(s, ' supplies ', o, '.')"),
+    ("s", "'Nobody'", "concat(s, ' supplies ', o, '.')", "concat(s, ' supplies ', o, '.')"),
+    ("s", "o", "'something else'", "concat(s, ' came. X went. ', o, ' left.')"),
 ]
+#: What the rules give for the kinds that are kept, by name: alignment, anchor, scope, and where the meant span starts and ends.
+MEANT = {
+    0: (1, 1, 1, "0", "length(evidence)"), 1: (1, 0.75, 1, "length(concat('It supplies ', o, '. ', s, ' '))", "length(content) - 1"), 2: (1, 1, 1, "3", "length(content) - 3"),
+    3: (0.8, 1, 1, "10", "length(content) - 5"), 4: (1, 1, 0.85, "0", "length(content)"), 5: (1, 1, 0.8, "0", "length(content)"), 6: (1, 1, 0.68, "0", "length(content)"),
+    7: (1, 1, 0.8, "0", "length(content)"), 8: (1, 1, 0.6, "0", "length(content)"), 9: (1, 0.75, 1, "length(s) + 1", "length(content) - 1"), 10: (1, 1, 1, "0", "length(content)"),
+}
 
 
-def branches_sql() -> str:
-    rows = []
-    for (name, *_), want in BRANCHES:
-        if want:
-            alignment, anchor, scope, raw, start, end = want
-            rows.append(f"('{name}', round(0.45 * {alignment} + 0.25 * {anchor} + 0.20 * {scope} + 0.10 * {raw}, 6)::DOUBLE, {alignment}::DOUBLE, {anchor}::DOUBLE, {scope}::DOUBLE, {raw}::DOUBLE, {start}::BIGINT, {end}::BIGINT)")
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(name, confidence, alignment, anchor, scope, raw, \"start\", \"end\")"
+def by_kind(column: int) -> str:
+    return "CASE kind " + " ".join(f"WHEN {k} THEN {row[column]}" for k, row in enumerate(KINDS)) + " END"
 
 
-@query(branches_sql())
+def meant(column: int, kind: str) -> str:
+    return "CASE kind " + " ".join(f"WHEN {k} THEN {row[column]}" for k, row in MEANT.items()) + f" END::{kind}"
+
+
+@query(f"""WITH {EDGES}, f AS (SELECT DISTINCT chunk_id, subj AS s, rel, obj AS o, raw_certainty, ('0x' || substr(sha256(chunk_id || subj || obj), 1, 4))::BIGINT % 14 AS kind FROM edges),
+g AS (SELECT *, {by_kind(2)} AS evidence, {by_kind(3)} AS content, CASE kind WHEN 3 THEN 0 ELSE greatest(0.0, least(1.0, raw_certainty)) END::DOUBLE AS raw FROM f WHERE kind < 11),
+h AS (SELECT *, {meant(0, 'DOUBLE')} AS alignment, {meant(1, 'DOUBLE')} AS anchor, {meant(2, 'DOUBLE')} AS scope, {meant(3, 'BIGINT')} AS "start", {meant(4, 'BIGINT')} AS "end" FROM g)
+SELECT chunk_id, s, rel, o, kind, round(0.45 * alignment + 0.25 * anchor + 0.20 * scope + 0.10 * raw, 6) AS confidence, alignment, anchor, scope, raw, "start", "end" FROM h""")
 def evidence_branches(spark, sf_dir):
-    rows = spark.createDataFrame([r for r, _ in BRANCHES], "name string, subj string, obj string, raw_certainty double, evidence_text string, content string")
-    return evidence.scored(rows).select("name", "confidence", "alignment", "anchor", "scope", "raw", "start", "end")
+    """Every fact, with a chunk and evidence of one of fourteen kinds: found word for word, or not; naming both ends, or one; hedged, long, or nowhere."""
+    f = tables.edges(spark, sf_dir).select("chunk_id", F.col("subj").alias("s"), "rel", F.col("obj").alias("o"), "raw_certainty").distinct()
+    rows = f.withColumn("kind", F.pmod(F.conv(F.substring(F.sha2(F.concat("chunk_id", "s", "o"), 256), 1, 4), 16, 10).cast("long"), F.lit(14)))
+    rows = rows.withColumn("raw_certainty", F.when(F.col("kind") != 3, F.col("raw_certainty")))
+    rows = rows.select("*", *(F.expr(by_kind(n)).alias(name) for n, name in enumerate(("subj", "obj", "evidence_text", "content"))))
+    return evidence.scored(rows).select("chunk_id", "s", "rel", "o", "kind", "confidence", "alignment", "anchor", "scope", "raw", "start", "end")
 
 
 @query(f"""WITH {EDGES}, {CHUNKS} SELECT DISTINCT e.chunk_id, subj, rel, obj, 0.98::DOUBLE AS confidence FROM edges e JOIN chunks c USING (chunk_id) WHERE c.extracted_at IS NULL""")

@@ -38,3 +38,10 @@ def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def arrow_files(path: str):
+    """(file system, path) through which Arrow, in a task, reads what Spark has written there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
