@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import ids, text
 from .operators import chunking, evaluation, evidence, graph, harmonic, prompt, registry, store, trust, vectors
 from .plans import ingest, retrieval, tables
+from .shared import kept
 from .sources import readers
 from .streaming import streams
 
@@ -99,7 +100,8 @@ def found(spark: SparkSession, sf_dir: str, opts: retrieval.Options = retrieval.
 
 
 def asked_anchors(spark: SparkSession, sf_dir: str, asked: str = ASKED) -> DataFrame:
-    return graph.match_anchors(tables.entities(spark, sf_dir), tables.question(spark, asked))
+    """Written once: a few rows, whose size the joins that follow know."""
+    return kept(graph.match_anchors(tables.entities(spark, sf_dir), tables.question(spark, asked)), "anchors")
 
 
 # --- identities and ingest ---------------------------------------------------------------
@@ -323,7 +325,7 @@ def hop2_chunks(spark, sf_dir):
 @query(f"WITH {EDGES}, {anchors_sql(ASKED)}, {PATHS} SELECT * FROM paths")
 def trust_paths(spark, sf_dir):
     e = tables.edges(spark, sf_dir)
-    return graph.trust_paths(e, asked_anchors(spark, sf_dir))
+    return graph.trust_paths(e, asked_anchors(spark, sf_dir), reaches=tables.reach(spark, sf_dir))
 
 
 @query(f"""WITH {EDGES}, {anchors_sql(ASKED)}, {HOP1}, {PATHS}, own AS (SELECT q_id, chunk_id FROM paths UNION SELECT q_id, chunk2 FROM paths WHERE chunk2 IS NOT NULL)
@@ -404,7 +406,7 @@ def composite_trust(spark, sf_dir):
     vecs = tables.vectors(spark, sf_dir).select("key", vectors.normalised(F.col("vec")).alias("vec"))
     scores = vectors.scores(vecs, tables.question_vector(spark, sf_dir))
     rel = own.join(scores, "key").withColumn("relevance_score", F.greatest(F.lit(0.0), F.col("score")))
-    out = trust.composite(trust.with_provenance(rel, e))
+    out = trust.composite(trust.with_provenance(rel, e, few=False))
     return out.select("chunk_id", "subj", "rel", "obj", "relevance_score", F.round("composite_trust", 6).alias("composite_trust"))
 
 
@@ -435,6 +437,12 @@ def fused_retrieval(spark, sf_dir):
     return top.select("q_id", "place", "subj", "subj_type", "rel", "obj", "obj_type", "chunk_id", "certainty", "provenance_count", "composite_trust", "fact_id")
 
 
+@query(f"{BASE} SELECT w.q_id, w.chunk_id, CASE WHEN h.emb_rank IS NULL THEN 1 ELSE 0 END AS source, coalesce(h.emb_rank, 2147483647) AS place FROM wanted w LEFT JOIN hits h USING (q_id, chunk_id)")
+def retrieval_order(spark, sf_dir):
+    """Where each chunk was found first, and at which place."""
+    return found(spark, sf_dir).order
+
+
 @query(f"{BASE} SELECT count(*) AS facts, count(*) FILTER (WHERE emb_rank IS NOT NULL) AS from_hits, round(avg(composite_trust), 4) AS mean_trust FROM deduped WHERE composite_trust >= 0.8")
 def min_trust_filter(spark, sf_dir):
     facts = found(spark, sf_dir, retrieval.Options(least_trust=0.8)).facts
