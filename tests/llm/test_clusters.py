@@ -45,7 +45,7 @@ def many():
     return rows
 
 
-@pytest.mark.parametrize("k,rounds", [(16, 3), (7, 6), (1, 2), (2, 1), (40, 4), (2000, 1)])
+@pytest.mark.parametrize("k,rounds", [(16, 3), (7, 5), (1, 1), (2000, 1)])
 def test_equals_brute_force(spark, many, k, rounds):
     got = rows_of(clusters.cluster(frame(spark, many), k=k, rounds=rounds, width=6))
     assert got == brute(many, k, rounds, 6) and got
