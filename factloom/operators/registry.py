@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .delta import Lake, Spec
+
 
 def conversations(messages: DataFrame, owner: str | None = None) -> DataFrame:
     """An owner's conversations, the last active first."""
@@ -150,3 +152,39 @@ def document_urls(docs: DataFrame) -> DataFrame:
     """Per expert the addresses of its documents; documents without one are left out."""
     own = docs.where("coalesce(source_url, '') <> ''")
     return own.groupBy("expert").agg(F.array_sort(F.collect_list("source_url")).alias("urls"))
+
+
+# --- registries that change, as tables of a lake ----------------------------------------------
+
+EXPERT = Spec(("slug",), "slug string, id long, name string, personality string, allowed_users array<string>")
+CONVERSATION = Spec(("conv_id",), "conv_id long, owner string, title string")
+#: A session is created for a participant, and saved as a whole.
+SESSION = Spec(("session_id",), "session_id string, participant string, status string, state string, updated_at string")
+
+
+def create(lake: Lake, table: str, rows: DataFrame) -> None:
+    """New rows; those whose key is there already are left as they are."""
+    key = list(lake.specs[table].key)
+    with lake.commit() as change_:
+        change_.replace(table, rows.dropDuplicates(key).join(lake.read(table).select(*key), key, "left_anti"))
+
+
+def change(lake: Lake, table: str, rows: DataFrame) -> None:
+    """The given columns of rows that are there; unknown keys change nothing, a null leaves a column as it is."""
+    key = list(lake.specs[table].key)
+    given = [c for c in rows.columns if c not in key and c in lake.specs[table].fields()]
+    fresh = rows.select(*key, *(F.col(c).alias(f"__{c}") for c in given)).dropDuplicates(key)
+    out = lake.read(table).join(fresh, key).withColumns({c: F.coalesce(f"__{c}", c) for c in given})
+    with lake.commit() as change_:
+        change_.replace(table, out)
+
+
+def delete(lake: Lake, table: str, keys: DataFrame) -> None:
+    with lake.commit() as change_:
+        change_.delete(table, keys)
+
+
+def loaded(lake: Lake, participants: DataFrame) -> DataFrame:
+    """Each participant's session in progress that changed last; a participant without one has none."""
+    last = latest_session(lake.read("sessions")).join(participants.select("participant").distinct(), "participant", "left_semi")
+    return lake.read("sessions").join(last.select("session_id"), "session_id", "left_semi")

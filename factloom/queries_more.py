@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, models, text
 from .operators import chunking, components, delta, evaluation, graph, prompt, registry, resampling, store, trust, vectors
-from .plans import experiments, index, ingest, isolated, progress, tables
+from .plans import experiments, index, ingest, isolated, local, progress, tables
 from .queries import ASKED, CHUNKS, DOCS, EDGES, HELD, LINES, RESULTS, anchors_sql, asked_anchors, held, query
 from .sources import catalogue, readers, sinks
 from .streaming import feed, streams
@@ -23,12 +23,10 @@ def lookup_chunk(spark, sf_dir):
     return tables.fact_chunks(spark, sf_dir).where("chunk_id = 'C7'").select("chunk_id", "content", F.lit("C7").alias("wanted"))
 
 
-@query("SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text = (SELECT text FROM documents WHERE doc_id = 5)")
+@query(f"WITH {DOCS} SELECT document_id, doc_type, first_id, copies FROM docs WHERE 'doc://' || first_id = 'doc://0'")
 def lookup_url(spark, sf_dir):
-    """By the address of one of a document's rows."""
-    rows = tables.read(spark, sf_dir, "documents")
-    own = rows.where("doc_id = 5").select("text")
-    return rows.join(own, "text", "left_semi").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    """By address: an equality that reaches the scan."""
+    return tables.documents(spark, sf_dir).where("source_url = 'doc://0'").select("document_id", "doc_type", "first_id", "copies")
 
 
 @query("SELECT coalesce(max(event_id + 1), 0) AS next_offset FROM events WHERE event_type <> 'error' AND user_id = 3")
@@ -271,6 +269,22 @@ def trust_without_scorers(spark, sf_dir):
     return trust.composite(trust.without_signals(e)).select("subj", "rel", "obj", "chunk_id", "composite_trust")
 
 
+@query(f"""WITH {EDGES}, prov AS (SELECT subj, rel, obj, count(*) AS n FROM edges GROUP BY ALL)
+SELECT DISTINCT subj, rel, obj, chunk_id, certainty, round((0.4::DOUBLE * certainty + 0.4::DOUBLE * (length(subj) % 10) / 10.0::DOUBLE + 0.2::DOUBLE * least(n - 1, 4) / 4.0::DOUBLE) / 1.0::DOUBLE, 6) AS composite_trust, 'grounding_score' AS failed FROM edges JOIN prov USING (subj, rel, obj)""")
+def one_scorer_fails(spark, sf_dir):
+    """Of three scorers the judge of grounding breaks off; the other two count as ever."""
+    e = tables.edges(spark, sf_dir).select("subj", "rel", "obj", "chunk_id", "certainty").distinct()
+    key = ["subj", "rel", "obj", "chunk_id"]
+    scorers = {
+        "relevance_score": lambda rows: rows.select(*key, (F.length("subj") % 10 / 10.0).alias("relevance_score")),
+        "grounding_score": lambda rows: rows.select(*key, F.raise_error(F.lit("the judge is away")).cast("double").alias("grounding_score")),
+        "provenance_count": lambda rows: trust.with_provenance(rows, tables.edges(spark, sf_dir), few=False).select(*key, "provenance_count"),
+    }
+    rows, failed = trust.with_signals(e, scorers)
+    out = trust.composite(rows, trust.Weights(grounded=True, grounding=0.3))
+    return out.select(*key, "certainty", F.round("composite_trust", 6).alias("composite_trust"), F.lit(",".join(sorted(failed))).alias("failed"))
+
+
 # --- runs and their analysis ---------------------------------------------------------------
 
 
@@ -579,3 +593,33 @@ def question_graphs(spark, sf_dir):
     lines = lines.join(questions.select("q_id"), "q_id", "left_semi")
     passages = lines.select("q_id", F.explode(F.array("lc", "pc")).alias("chunk_id")).join(tables.fact_chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("text")), "chunk_id")
     return isolated.answers(questions, passages.select("q_id", "text"), k=40)
+
+
+# --- whole ingests, and a registry that changes ------------------------------------------------
+
+
+@query(f"""WITH {EDGES}, {CHUNKS}, f AS (SELECT DISTINCT subj, rel, obj, chunk_id FROM edges WHERE rel IN ('has brand', 'is part of', 'is located in'))
+SELECT 'facts' AS what, count(*) AS n, count(DISTINCT subj) AS names FROM (SELECT DISTINCT subj, rel, obj FROM f) UNION ALL SELECT 'again', 0, 0 UNION ALL SELECT 'documents', count(DISTINCT left(chunk_id, 1)), 0 FROM f""")
+def folder_ingest(spark, sf_dir):
+    """Text files in a folder become documents, chunks, facts and vectors, in one commit; the same folder again changes nothing."""
+    path = tables.scratch(spark, "files")
+    own = tables.fact_chunks(spark, sf_dir).where("heading <> 'L'").select("heading", F.concat("content", F.lit("\n")).alias("value"))
+    own.repartition("heading").write.partitionBy("heading").text(path)
+    lake = delta.Lake(spark, tables.scratch(spark, "lake"), local.TABLES)
+    files = lambda: local.texts(readers.folder(spark, path, types=["txt"]))
+    first, again = (local.ingest(lake, files(), models.TemplateExtractor, models.HashingEmbedder) for _ in range(2))
+    facts = lake.read("facts").select("subj", "rel", "obj").distinct().agg(F.lit("facts").alias("what"), F.count("*").alias("n"), F.count_distinct("subj").alias("names"))
+    rows = [("again", again["documents"] + again["indexed"], 0), ("documents", first["documents"], 0)]
+    return facts.unionByName(spark.createDataFrame(rows, "what string, n long, names long"))
+
+
+@query(f"WITH {EXPERTS} SELECT slug, CASE WHEN id % 4 = 1 THEN 'Renamed ' || id ELSE name END AS name, personality FROM experts WHERE id % 4 <> 0 UNION ALL SELECT 'new-one', 'New One', 'kind'")
+def registry_changes(spark, sf_dir):
+    """Experts are created, some are renamed, some deleted; an expert that is there already isn't created again."""
+    lake = delta.Lake(spark, tables.scratch(spark, "registry"), {"experts": registry.EXPERT})
+    e = experts(spark, sf_dir)
+    registry.create(lake, "experts", e)
+    registry.create(lake, "experts", e.where("id % 2 = 0").withColumn("name", F.lit("taken")).unionByName(spark.createDataFrame([(-1, "new-one", "New One", "kind", [])], e.schema)))
+    registry.change(lake, "experts", e.where("id % 4 = 1").select("slug", F.concat(F.lit("Renamed "), F.col("id").cast("string")).alias("name")))
+    registry.delete(lake, "experts", e.where("id % 4 = 0"))
+    return lake.read("experts").select("slug", "name", "personality")

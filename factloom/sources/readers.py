@@ -44,10 +44,10 @@ def as_answers(column: Column, kind: T.DataType) -> Column:
     return F.filter(F.coalesce(own.cast("array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
 
 
-def folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Files of the known types with their content, in the order of their paths; ids are hashes of it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(DOCUMENT_TYPES) + "}").load(path)
-    return files.select(F.sha2("content", 256).alias("document_id"), F.concat(F.lit("file://"), F.regexp_replace("path", "^file:/*", "/")).alias("source_url"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("doc_type"), "content").orderBy("source_url")
+def folder(spark: SparkSession, path: str, recursive: bool = True, types: list[str] = DOCUMENT_TYPES) -> DataFrame:
+    """Files of these types with their content; ids are hashes of it. Contents aren't shuffled: rows come in no order."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(types) + "}").load(path)
+    return files.select(F.sha2("content", 256).alias("document_id"), F.concat(F.lit("file://"), F.regexp_replace("path", "^file:/*", "/")).alias("source_url"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("doc_type"), "content")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

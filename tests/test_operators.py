@@ -404,3 +404,13 @@ def test_prompts(spark):
     tiers = [value(spark, prompt.persona_tier(F.col("x")), x=x) for x in (0.0, 0.3, 0.6, 0.9, 1.0)]
     assert tiers == [0, 1, 2, 3, 4]
     assert value(spark, prompt.warned(F.col("x"), F.lit(0)), x="a").startswith("⚠️")
+
+
+@pytest.mark.parametrize("page,title", [
+    ("1\n\n  A Study of Long Things  \r\nand of Short Ones\nDepartment of Studies", "A Study of Long Things and of Short Ones"),
+    ("One long line here\nTwo long lines here\nThree long lines here\nFour long lines here", "One long line here Two long lines here Three long lines here"),
+    ("someone@example.org\nA title that comes too late", ""), ("short\nlines\n\n", ""), ("", ""), ("A title of its own\nshort\nmore text of it", "A title of its own"),
+    ("The Universities of the North\nbody text follows", "The Universities of the North body text follows"),
+])
+def test_first_titles(spark, page, title):
+    assert value(spark, chunking.first_title(F.col("x")), x=page) == title
