@@ -123,15 +123,16 @@ def session_payload(sessions: DataFrame, blind: bool = True) -> DataFrame:
     """Sessions as they are shown: the question in turn, the progress, and whether all is answered.
 
     sessions: question_blocks (an array with the field responses), current_index, evaluations
-    (by question) and columns that stay. A share rounds to the even neighbour. Blind sessions
-    don't tell who wrote a response.
+    (by question) and columns that stay. A share rounds to the even neighbour; it is multiplied
+    before it is divided, so that one that lies halfway is exactly there. Blind sessions don't
+    tell who wrote a response.
     """
     blocks = F.col("question_blocks")
     if blind:
         blocks = F.transform(blocks, lambda b: b.withField("responses", F.transform(b.responses, lambda r: r.dropFields("agent_id", "agent_label", "expert_slug"))))
     own = sessions.withColumn("question_blocks", blocks)
     own = own.withColumns({"total_questions": F.coalesce(F.size("question_blocks"), F.lit(0)), "completed_questions": F.coalesce(F.size("evaluations"), F.lit(0))})
-    own = own.withColumn("percent_complete", F.when(F.col("total_questions") > 0, F.bround(F.col("completed_questions") / F.col("total_questions") * 100, 1)).otherwise(0.0))
+    own = own.withColumn("percent_complete", F.when(F.col("total_questions") > 0, F.bround(100.0 * F.col("completed_questions") / F.col("total_questions"), 1)).otherwise(0.0))
     ready = (F.col("completed_questions") >= F.col("total_questions")) & (F.col("total_questions") > 0)
     return own.withColumns({"current_question": F.get("question_blocks", F.col("current_index")), "ready_to_submit": ready}).drop("question_blocks")
 

@@ -123,3 +123,10 @@ def test_registries(spark, tmp_path):
     registry.change(lake, "conversations", spark.createDataFrame([(2, "renamed")], "conv_id long, title string"))
     registry.delete(lake, "conversations", spark.createDataFrame([(1,)], "conv_id long"))
     assert [tuple(r) for r in lake.read("conversations").collect()] == [(2, "u", "renamed")]
+
+
+def test_a_share_that_lies_halfway(spark):
+    blocks = "array(named_struct('q_id', 1L, 'responses', array(named_struct('alias', 'A', 'agent_id', 'a', 'agent_label', 'l', 'expert_slug', 's'))))"
+    rows = spark.sql(f"SELECT done, flatten(array_repeat({blocks}, 80)) AS question_blocks, 0 AS current_index, map_from_arrays(sequence(1, done), sequence(1, done)) AS evaluations FROM VALUES (23), (49), (51), (22) AS t(done)")
+    # 28.75, 61.25, 63.75 and 27.5: shares by division alone lie beside the middle
+    assert {r.done: r.percent_complete for r in registry.session_payload(rows).collect()} == {23: 28.8, 49: 61.2, 51: 63.8, 22: 27.5}
