@@ -6,8 +6,8 @@ a folder ``page=3``) on any file system that Arrow opens, or are asked of a web
 reply's count of records). A record comes as it is, as JSON text, with the offset behind it.
 
 The stream's offset is (page, record). A batch is what has come since the last one,
-with a task for each page; the last page may
-still grow. What an offset means doesn't depend on what was filtered later, so that a run may
+with a task for each page, or for a run of pages where there are many; a task opens its pages by
+name and holds one at a time. The last page may still grow. What an offset means doesn't depend on what was filtered later, so that a run may
 also begin at the offset that another one has kept (option ``offset``).
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "page int, place int, value string, resume_offset long"
 _PAGE = re.compile(r"page[-=](\d+)(\.json)?$")
+#: Pages of a batch are dealt to no more tasks than this. A fixed value.
+MOST_TASKS = 256
 
 
 class Pages:
@@ -38,7 +40,13 @@ class Pages:
         system, root = fs.FileSystem.from_uri(where)
         return system, fs.FileSelector(root, allow_not_found=True)
 
-    def _reply(self, n: int) -> dict:
+    def _folder(self) -> dict[int, str]:
+        """Where each page lies, by one listing."""
+        system, folder = self._files()
+        return {int(m[1]): i.path for i in reversed(system.get_file_info(folder)) if (m := _PAGE.search(i.path))}
+
+    def _reply(self, n: int, listed: dict[int, str] | None = None) -> dict:
+        """listed: filled by a listing the first time that a page has a name of another form, with zeros in front."""
         if self.web:
             mark = "&" if "?" in self.path else "?"
             with urllib.request.urlopen(f"{self.path}{mark}page.from={n * self.size}&page.size={self.size}", timeout=60) as reply:
@@ -46,16 +54,21 @@ class Pages:
         from pyarrow import fs
 
         system, folder = self._files()
-        for info in system.get_file_info(folder):
-            found = _PAGE.search(info.path)
-            if found and int(found[1]) == n:
-                files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(info.path)) if f.is_file and f.base_name[0] not in "._"]
-                text = b"".join(system.open_input_stream(f.path).read() for f in sorted(files, key=lambda f: f.path))
-                return json.loads(text or b"{}")
-        return {}
-
-    def records(self, n: int) -> list[dict]:
-        return self._reply(n).get("results") or []
+        names = [f"{folder.base_dir.rstrip('/')}/page{sign}{n}{end}" for sign in "-=" for end in ("", ".json")]
+        info = next((i for i in system.get_file_info(names) if i.type != fs.FileType.NotFound), None)
+        if info is None:
+            listed = {} if listed is None else listed
+            if not listed:
+                listed.update(self._folder())
+            info = system.get_file_info(listed[n]) if n in listed else None
+        if info is None:
+            return {}
+        files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(info.path)) if f.is_file and f.base_name[0] not in "._"]
+        text = b"".join(system.open_input_stream(f.path).read() for f in sorted(files, key=lambda f: f.path))
+        return json.loads(text or b"{}")
+
+    def records(self, n: int, listed: dict[int, str] | None = None) -> list[dict]:
+        return self._reply(n, listed).get("results") or []
 
     def end(self) -> dict:
         """The offset behind the last record there is."""
@@ -64,26 +77,30 @@ class Pages:
             for part in self.total.split("."):
                 count = count[part]
             return {"page": count // self.size, "record": count % self.size}
-        system, folder = self._files()
-        numbers = [int(m[1]) for m in (_PAGE.search(i.path) for i in system.get_file_info(folder)) if m]
+        numbers = self._folder()
         if not numbers:
             return {"page": 0, "record": 0}
         held = len(self.records(max(numbers)))
         return {"page": max(numbers), "record": held} if held < self.size else {"page": max(numbers) + 1, "record": 0}
 
     def parts(self, start: dict, end: dict) -> list[InputPartition]:
-        """(page, first record, record behind the last) for each page between two offsets."""
+        """(page, first record, record behind the last) for each page between two offsets; lists of them where there are many."""
         last = end["page"] + (end["record"] > 0)
         pages = ((p, start["record"] if p == start["page"] else 0, end["record"] if p == end["page"] else self.size) for p in range(start["page"], last))
-        return [InputPartition(p) for p in pages if p[1] < p[2]]
+        held = [p for p in pages if p[1] < p[2]]
+        if len(held) <= MOST_TASKS:
+            return [InputPartition(p) for p in held]
+        run = -(-len(held) // MOST_TASKS)
+        return [InputPartition(held[i : i + run]) for i in range(0, len(held), run)]
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         if part.value is None:
             return
-        page, first, behind = part.value
-        for i, record in enumerate(self.records(page)[:behind]):
-            if i >= first:
-                yield page, i, json.dumps(record, ensure_ascii=False), page * self.size + i + 1
+        listed: dict[int, str] = {}
+        for page, first, behind in part.value if isinstance(part.value, list) else [part.value]:
+            for i, record in enumerate(self.records(page, listed)[:behind]):
+                if i >= first:
+                    yield page, i, json.dumps(record, ensure_ascii=False), page * self.size + i + 1
 
 
 def place_of(offset: int, size: int) -> dict:

@@ -1,11 +1,12 @@
 import json
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.operators import delta, store
+from factloom.operators import chunking, delta, store
 from factloom.plans import ingest
 from factloom.sources import catalogue, paged, readers
 from factloom.streaming import streams
@@ -128,3 +129,34 @@ def test_streamed_upserts_go_on_where_they_ended(spark, tmp_path):
     arrive([("a", 1, 1), ("b", 1, 1), ("a", 2, 2)], 1)
     arrive([("b", 3, 3)], 2)
     assert {r.id: r.v for r in lake.read("t").collect()} == {"a": 2, "b": 3}
+
+
+def test_many_pages_are_dealt_to_few_tasks(spark, tmp_path, monkeypatch):
+    write_pages(tmp_path, {n: [record(n)] for n in range(600)})
+    source = paged.PagedStreamReader({"path": str(tmp_path), "page_size": 1})
+    parts = source.partitions({"page": 0, "record": 0}, {"page": 600, "record": 0})
+    assert len(parts) <= paged.MOST_TASKS
+    asked = []
+    listing = paged.Pages._folder
+    monkeypatch.setattr(paged.Pages, "_folder", lambda self: asked.append(1) or listing(self))
+    assert [json.loads(row[2])["id"] for p in parts for row in source.read(p)] == list(range(600))
+    assert not asked  # a page is opened by its name, not looked for among all
+    (tmp_path / "page-7.json").rename(tmp_path / "page-007.json")
+    assert [json.loads(row[2])["id"] for row in source.read(parts[2])] == [6, 7, 8] and len(asked) == 1
+
+
+def test_a_batch_of_pages_is_bounded_by_bytes(spark, tmp_path):
+    """Forty files of one page each are one batch, not two of twenty files or four of ten."""
+    for n in range(40):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"page": n, "results": [record(n)]}) + "\n")
+    lake = delta.Lake(spark, str(tmp_path / "lake"), {"t": delta.Spec(("id",), "id long, resume_offset long")})
+    streams.ingest(catalogue.page_records(catalogue.page_stream(spark, str(tmp_path / "*.json")), 1), lake, "t", "resume_offset", str(tmp_path / "state"))
+    assert lake.manifest()["version"] == 1 and sorted(r.id for r in lake.read("t").collect()) == list(range(40))
+
+
+def test_a_document_of_many_lines_is_chunked_in_linear_time(spark):
+    docs = spark.createDataFrame([("d", "\n".join(f" line {i} " for i in range(40_000)))], "document_id string, text string")
+    began = time.time()
+    rows = chunking.newline_chunks(docs).where("pos % 5000 = 0").collect()
+    assert [r.content for r in sorted(rows)] == ["line 0 line 1 line 2 line 3", "line 20000 line 20001 line 20002 line 20003"]
+    assert time.time() - began < 60
