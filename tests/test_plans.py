@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import models
-from factloom.operators import delta, registry, resampling, trust
-from factloom.plans import index, isolated, progress
+from factloom.operators import delta, registry, resampling, store, trust
+from factloom.plans import index, isolated, progress, tables
 from factloom.streaming import feed
 
 
@@ -130,3 +130,27 @@ def test_a_share_that_lies_halfway(spark):
     rows = spark.sql(f"SELECT done, flatten(array_repeat({blocks}, 80)) AS question_blocks, 0 AS current_index, map_from_arrays(sequence(1, done), sequence(1, done)) AS evaluations FROM VALUES (23), (49), (51), (22) AS t(done)")
     # 28.75, 61.25, 63.75 and 27.5: shares by division alone lie beside the middle
     assert {r.done: r.percent_complete for r in registry.session_payload(rows).collect()} == {23: 28.8, 49: 61.2, 51: 63.8, 22: 27.5}
+
+
+def test_only_names_of_several_types_are_sorted_for_the_last(spark):
+    rows = [("a", "X", "1"), ("a", "X", "9"), ("b", "X", "2"), ("b", "Y", "1"), (None, "X", "1"), (None, "Y", "2"), ("c", "X", None), ("d", "X", None), ("d", "Y", "1"), ("e", None, "1")]
+    out = store.last_types(spark.createDataFrame(rows, "name string, type string, seq string"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("a", "X"), ("b", "X"), (None, "Y"), ("c", None), ("d", "Y"), ("e", None)], key=repr)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_that_stand_twice_multiply_only_their_own_facts(spark, small, tmp_path):
+    """A line's facts are made in one pass; who supplies it and who buys it don't multiply each other."""
+    for name in ("region", "nation", "part", "customer"):
+        tables.read(spark, small, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("supplier", "orders"):
+        own = tables.read(spark, small, name)
+        (own.union(own) if name == "supplier" else own).write.parquet(f"{tmp_path}/{name}.parquet")
+    items = tables.read(spark, small, "lineitem").limit(50)
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    read = [p for p in tables.edges(spark, str(tmp_path)).groupBy("rel").count().collect()]
+    counts = {r.rel: r["count"] for r in read}
+    assert counts["supplies"] == 100 and counts["ordered"] == 50
+    # chunks are grouped where their facts meet: one exchange of plain rows
+    plan = tables.fact_chunks.__wrapped__(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
