@@ -19,3 +19,8 @@ def test_answers_are_made_normal_once(spark):
     times = lambda c: plan(own.select(c), "analyzed").count(r"\p{Punct}")
     once = times(text.normal_answer(F.col("p")))
     assert times(text.token_f1(F.col("p"), F.col("g"))) == times(text.exact_match(F.col("p"), F.col("g"))) == 2 * once  # the prediction and, in their lambda, the answers
+
+
+def test_known_entities_come_from_the_store(spark, small):
+    files = QUERIES["entity_resolution"](spark, small).inputFiles()
+    assert any("store-entities" in f for f in files) and not any("store-edges" in f for f in files)
