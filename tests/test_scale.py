@@ -24,3 +24,7 @@ def test_answers_are_made_normal_once(spark):
 def test_known_entities_come_from_the_store(spark, small):
     files = QUERIES["entity_resolution"](spark, small).inputFiles()
     assert any("store-entities" in f for f in files) and not any("store-edges" in f for f in files)
+
+
+def test_edges_meet_relevance_and_provenance_in_one_join(spark, small):
+    assert plan(QUERIES["composite_trust"](spark, small)).count("Join ") == 2  # the other one is of distinct facts
