@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -40,7 +42,7 @@ def top_chunks(mapping: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     counts = mapping.groupBy("key").agg(F.count("*").alias("chunks"))
     w = Window.partitionBy("q_id").orderBy(F.desc("score"))
     # rank() leaves a vector out once k chunks stand strictly before it; k vectors bound that
-    near = own.join(counts, "key").withColumn("r", F.rank().over(w)).where(F.col("r") <= k)
+    near = kept(own.join(counts, "key").withColumn("r", F.rank().over(w)).where(F.col("r") <= k).select("q_id", "key", "score"), "near")
     place = Window.partitionBy("q_id").orderBy(F.desc("score"), "chunk_id")
     out = near.join(mapping, "key").withColumn("emb_rank", F.row_number().over(place) - 1)
     return out.where(F.col("emb_rank") < k).select("q_id", "chunk_id", "score", "emb_rank")

@@ -28,3 +28,9 @@ def test_known_entities_come_from_the_store(spark, small):
 
 def test_edges_meet_relevance_and_provenance_in_one_join(spark, small):
     assert plan(QUERIES["composite_trust"](spark, small)).count("Join ") == 2  # the other one is of distinct facts
+
+
+def test_names_are_set_right_in_found_facts_alone(spark):
+    edges = spark.createDataFrame([("c", "A nn", "met", "Bob"), ("c", "Bob", "is", "bob"), ("d", "x", "y", "z")], "chunk_id string, subj string, rel string, obj string")
+    out = graph.context_triples(edges, spark.createDataFrame([("q", "c")], "q_id string, chunk_id string"))
+    assert "Join " not in plan(out) and [(r.q_id, r.subj) for r in out.collect()] == [("q", "Ann")]
