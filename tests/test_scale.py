@@ -30,6 +30,12 @@ def test_edges_meet_relevance_and_provenance_in_one_join(spark, small):
     assert plan(QUERIES["composite_trust"](spark, small)).count("Join ") == 2  # the other one is of distinct facts
 
 
+def test_best_triples_are_sorted_once(spark):
+    rows = spark.range(9).select(*((F.col("id") % 1).cast("string").alias(c) for c in ("chunk_id", "subj", "subj_type", "rel", "obj", "obj_type")), F.col("id").cast("double").alias("certainty"), F.col("id").alias("pos"))
+    best = chunking.best_triple(rows)
+    assert plan(best, "executedPlan").count("Sort ") == 1 and [r.pos for r in best.collect()] == [8]
+
+
 def test_names_are_set_right_in_found_facts_alone(spark):
     edges = spark.createDataFrame([("c", "A nn", "met", "Bob"), ("c", "Bob", "is", "bob"), ("d", "x", "y", "z")], "chunk_id string, subj string, rel string, obj string")
     out = graph.context_triples(edges, spark.createDataFrame([("q", "c")], "q_id string, chunk_id string"))
