@@ -14,6 +14,31 @@ def plan(df, kind="optimizedPlan"):
     return getattr(df._jdf.queryExecution(), kind)().toString()
 
 
+def test_plain_evidence_is_not_gone_through_in_python(spark, monkeypatch):
+    import pandas as pd
+
+    seen = []
+    monkeypatch.setattr(evidence, "signals", lambda *r, f=evidence.signals: seen.append(r) or f(*r))
+    none = pd.Series([None, None, None], dtype=object)
+    out = evidence._signals(none, none, pd.Series([0.0] * 3), none, none)
+    assert not seen and len(out) == 3 and out["confidence"].isna().all()
+    some = lambda x: pd.Series([None, x, None], dtype=object)
+    out = evidence._signals(some("Ann"), some("Bob"), pd.Series([0.0] * 3), some("ANN met  bob."), some("Then Ann met Bob. Ok."))
+    assert len(seen) == 1 and list(out["start"].isna()) == [True, False, True] and out["evidence"][1] == "Ann met Bob."
+
+
+@pytest.mark.parametrize("own", ["", " ", "Ab  C\t\nd ", "\x1cA\x1f B", "x" * 9, "\x0bQ\x0cR\x85"])
+def test_ascii_is_normal_in_one_go(own):
+    assert evidence.normal(own) == evidence.with_origins(own)[0]
+
+
+def test_sentences_are_looked_for_where_spans_need_them(monkeypatch):
+    seen = []
+    monkeypatch.setattr(evidence, "trimmed_sentences", lambda t, f=evidence.trimmed_sentences: seen.append(t) or f(t))
+    content = "Ann met Bob. More."
+    assert evidence.signals("Ann", "Bob", 1.0, "Ann met Bob.", content)["anchor"] == 1.0 and content not in seen
+
+
 def test_answers_are_made_normal_once(spark):
     own = spark.createDataFrame([("a b", ["b", "c"])], "p string, g array<string>")
     times = lambda c: plan(own.select(c), "analyzed").count(r"\p{Punct}")
