@@ -65,3 +65,12 @@ def test_names_are_set_right_in_found_facts_alone(spark):
     edges = spark.createDataFrame([("c", "A nn", "met", "Bob"), ("c", "Bob", "is", "bob"), ("d", "x", "y", "z")], "chunk_id string, subj string, rel string, obj string")
     out = graph.context_triples(edges, spark.createDataFrame([("q", "c")], "q_id string, chunk_id string"))
     assert "Join " not in plan(out) and [(r.q_id, r.subj) for r in out.collect()] == [("q", "Ann")]
+
+
+def test_waiting_chunks_arrive_in_files_that_their_number_does_not_bound(spark, small, monkeypatch):
+    from factloom import queries_more
+
+    dealt = []
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *a, f=type(spark.range(0)).repartition: dealt.append(a) or f(self, *a))
+    assert queries_more.extract_stream(spark, small).count() > 0
+    assert not any(isinstance(a[0], int) and len(a) == 1 for a in dealt)
