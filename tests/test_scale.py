@@ -74,3 +74,14 @@ def test_waiting_chunks_arrive_in_files_that_their_number_does_not_bound(spark,
     monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *a, f=type(spark.range(0)).repartition: dealt.append(a) or f(self, *a))
     assert queries_more.extract_stream(spark, small).count() > 0
     assert not any(isinstance(a[0], int) and len(a) == 1 for a in dealt)
+
+
+def test_scorers_meet_the_facts_in_one_join(spark):
+    e = spark.createDataFrame([("s", "r", "o", "c", 0.5), ("s", "r", "o", "d", 0.5), ("t", "r", "o", "c", 0.5)], "subj string, rel string, obj string, chunk_id string, certainty double")
+    key, runs = ["subj", "rel", "obj", "chunk_id"], spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: (runs.add(1), x)[1], "double").asNondeterministic()
+    scorers = {n: (lambda rows, n=n: rows.where("subj = 's'").select(*key, F.lit(2).alias(n))) for n in ("relevance_score", "provenance_count")}
+    out, failed = trust.with_signals(kept(e).withColumn("certainty", counted("certainty")), scorers)
+    got = sorted((r.subj, r.chunk_id, r.relevance_score, r.grounding_score, r.provenance_count) for r in out.collect())
+    assert got == [("s", "c", 2.0, None, 2), ("s", "d", 2.0, None, 2), ("t", "c", None, None, 1)] and not failed
+    assert runs.value == 3 and plan(out).count("Join ") == 1
