@@ -85,3 +85,16 @@ def test_scorers_meet_the_facts_in_one_join(spark):
     got = sorted((r.subj, r.chunk_id, r.relevance_score, r.grounding_score, r.provenance_count) for r in out.collect())
     assert got == [("s", "c", 2.0, None, 2), ("s", "d", 2.0, None, 2), ("t", "c", None, None, 1)] and not failed
     assert runs.value == 3 and plan(out).count("Join ") == 1
+
+
+def test_vectors_are_written_where_the_memo_is(spark, tmp_path, monkeypatch):
+    from factloom.functions.models import HashingEmbedder
+    from factloom.operators.delta import Lake
+
+    names = []
+    monkeypatch.setattr(index, "kept", lambda df, name: names.append((name, df.columns)) or kept(df, name))
+    lake = Lake(spark, str(tmp_path / "lake"), index.TABLES)
+    chunks = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "chunk_id string, content string")
+    assert index.update(lake, chunks, HashingEmbedder) == {"indexed": 3, "embedded": 2}
+    assert index.update(lake, chunks, HashingEmbedder) == {"indexed": 0, "embedded": 0}
+    assert lake.read("memo").count() == 2 and not any("vec" in cols for _, cols in names)
