@@ -98,3 +98,13 @@ def test_vectors_are_written_where_the_memo_is(spark, tmp_path, monkeypatch):
     assert index.update(lake, chunks, HashingEmbedder) == {"indexed": 3, "embedded": 2}
     assert index.update(lake, chunks, HashingEmbedder) == {"indexed": 0, "embedded": 0}
     assert lake.read("memo").count() == 2 and not any("vec" in cols for _, cols in names)
+
+
+def test_a_question_looks_its_own_names_up(spark):
+    questions = spark.createDataFrame([("1", "what did supplier#7 sell to Ann B. Miller?"), ("2", "Assembly plans of Hot Bolt Makers"), ("3", "nothing")], "q_id string, text string")
+    names = ["supplier#7", "Ann Miller", "Ann B. Miller", "Assemblyline works", "hot bolt makers", "Hot Bolt Makers", "Bolt", "Millers Corp", None, "plans", "suppliers are", "nothing"]
+    own = spark.createDataFrame([(q, n) for q in "123" for n in names], "q_id string, name string")
+    found = graph.match_anchors(own, questions, scope=("q_id",))
+    want = {tuple(r) for q in "123" for r in graph.match_anchors(own.where(F.col("q_id") == q).select("name"), questions.where(F.col("q_id") == q)).collect()}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 3
+    assert "Generate" not in plan(found)  # no stretches, no beginnings
