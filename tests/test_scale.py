@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import chunking, evidence, graph, trust
-from factloom.plans import index, tables
+from factloom.plans import index, ingest, tables
 from factloom.queries import QUERIES
 from factloom.shared import kept
 
@@ -108,3 +108,44 @@ def test_a_question_looks_its_own_names_up(spark):
     want = {tuple(r) for q in "123" for r in graph.match_anchors(own.where(F.col("q_id") == q).select("name"), questions.where(F.col("q_id") == q)).collect()}
     assert {tuple(r) for r in found.collect()} == want and len(want) > 3
     assert "Generate" not in plan(found)  # no stretches, no beginnings
+
+
+def test_the_best_of_a_list_is_the_best_triple(spark):
+    full = ("s", "S", "r", "o", "O")
+    fact = lambda names, certainty, said: dict(zip(("subject", "subject_type", "relation", "object", "object_type"), names)) | {"certainty": certainty, "evidence_text": said}
+    nan = float("nan")
+    lists = {
+        "again": [fact(full, 0.5, "a"), fact(("t", *full[1:]), 0.1, "b"), fact(full, 0.9, "c"), fact(full, 0.9, "d"), fact(("s", "X", "r", "o", "O"), 0.7, "e")],
+        "odd": [fact(full, None, "a"), fact(full, -1.0, "b"), None, fact(full, nan, "c"), fact(full, nan, "d"), fact(full, 2.0, "e")],
+        "null": [fact(full, None, "a"), fact(full, None, "b"), fact(("sr", "S", "", "o", "O"), 1.0, "c"), fact(("s", "S", "r", None, "O"), 1.0, "d"), fact(("s", None, "r", "o", "O"), 1.0, "e")],
+        "zero": [fact(full, -0.0, "a"), fact(full, 0.0, "b"), fact(("S", "S", "r", "o", "O"), 0.0, "c"), fact(("s", "S", "ro", "o", "O"), 0.0, "d")],
+        "none": [], "no": None,
+    }
+    rows = spark.createDataFrame(list(lists.items()), f"chunk_id string, said {ingest.TRIPLES}")
+    apart = rows.select("chunk_id", F.posexplode("said").alias("pos", "t"))
+    names = [F.col(f"t.{b}").alias(a) for a, b in chunking.FULL.items()]
+    want = chunking.best_triple(apart.select("chunk_id", "pos", *names, "t.certainty", "t.evidence_text"))
+    got = chunking.best_of_list(rows, "said").select(want.columns)
+    told = lambda df: sorted(map(repr, df.collect()))
+    assert told(got) == told(want) and got.count() == 7
+    assert plan(got).count("sort_array") == 1  # a list isn't sorted again for each of its facts
+
+
+def test_extraction_shuffles_nothing(spark):
+    text = "Ann supplies bolt. Ann supplies bolt. Bob ordered bolt."
+    rows = [("a", text, None), ("a", text, None), ("b", None, None), ("c", text, "then"), (None, text, None)]
+    found = ingest.extracted(spark.createDataFrame(rows, "chunk_id string, content string, extracted_at string"))
+    assert "Exchange" not in plan(found, "executedPlan") and "Join " not in plan(found)
+    assert plan(found, "executedPlan").count("ArrowEvalPython") == 1
+    got = sorted((r.chunk_id, r.subj, r.pos, r.raw_certainty, r.confidence, r.start) for r in found.collect())
+    assert got == sorted([("a", "Ann", 0, 0.8, 0.98, 0), ("a", "Bob", 2, 0.8, 0.98, 38)] * 2)
+
+
+def test_chunks_are_made_of_parts_that_fit_in_memory(spark, small, monkeypatch):
+    want = tables.fact_chunks(spark, small).collect()
+    few = tables.fact_chunks.__wrapped__(spark, small)
+    monkeypatch.setattr(tables, "FACTS_AT_ONCE", 2000)
+    n = -(-tables.edges(spark, small).count() // 2000)
+    many = tables.fact_chunks.__wrapped__(spark, small)
+    assert n > 4 and f", {n}), REPARTITION_BY_NUM" in plan(many, "executedPlan") and "REPARTITION_BY_NUM" not in plan(few, "executedPlan")
+    assert sorted(many.collect()) == sorted(want)
