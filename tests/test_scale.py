@@ -149,3 +149,17 @@ def test_chunks_are_made_of_parts_that_fit_in_memory(spark, small, monkeypatch):
     many = tables.fact_chunks.__wrapped__(spark, small)
     assert n > 4 and f", {n}), REPARTITION_BY_NUM" in plan(many, "executedPlan") and "REPARTITION_BY_NUM" not in plan(few, "executedPlan")
     assert sorted(many.collect()) == sorted(want)
+
+
+def test_each_expert_has_a_file_however_rows_are_dealt(spark, small):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.slug: r.n for r in QUERIES["registry_scan"](spark, small).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = spark.read.parquet(f"{small}/customer.parquet").groupBy("c_mktsegment").count().collect()
+    assert got == {r.c_mktsegment: r["count"] for r in rows}
