@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import chunking, evidence, graph, trust
+from factloom.operators import chunking, evidence, graph, harmonic, trust
 from factloom.plans import index, ingest, tables
-from factloom.queries import QUERIES
+from factloom.queries import ORACLES, QUERIES
 from factloom.shared import kept
 
 
@@ -163,3 +163,23 @@ def test_each_expert_has_a_file_however_rows_are_dealt(spark, small):
             spark.conf.set(k, v)
     rows = spark.read.parquet(f"{small}/customer.parquet").groupBy("c_mktsegment").count().collect()
     assert got == {r.c_mktsegment: r["count"] for r in rows}
+
+
+def test_a_neighbourhood_without_a_cap_is_whole(spark):
+    hub = spark.range(3000).select(F.lit("a").alias("subj"), F.lit("r").alias("rel"), F.format_string("b%04d", "id").alias("obj"), F.lit(0.5).alias("certainty"), F.col("id").cast("string").alias("chunk_id"))
+    again = hub.limit(1).withColumn("certainty", F.lit(0.9))
+    rim = hub.select(F.col("obj").alias("subj"), "rel", F.concat(F.lit("c"), "obj").alias("obj"), "certainty", "chunk_id")
+    e = hub.unionByName(again).unionByName(rim)
+    a = spark.createDataFrame([("q", "a")], "q_id string, name string")
+    nodes, walked = graph.ego(e, a, 2, None)
+    assert {r.hop: r["count"] for r in nodes.groupBy("hop").count().collect()} == {0: 1, 1: 3000, 2: 3000}
+    assert walked.count() == 6000 and walked.agg(F.sum("certainty")).first()[0] == pytest.approx(3000.4)
+    some = [sorted(map(tuple, rows.collect())) for most in (2000, None) for rows in graph.ego(hub.limit(9), a, 1, most)]
+    assert some[:2] == some[2:]
+
+
+def test_harmonic_scores_takes_all_nodes(spark, small, monkeypatch):
+    asked = []
+    monkeypatch.setattr(harmonic, "ego", lambda *r, f=graph.ego: asked.append(r[3]) or f(*r))
+    QUERIES["harmonic_scores"](spark, small)
+    assert asked == [None] and "LIMIT" not in ORACLES["harmonic_scores"]
