@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import chunking, evidence, graph, harmonic, trust
-from factloom.plans import index, ingest, tables
+from factloom.plans import index, ingest, isolated, tables
 from factloom.queries import ORACLES, QUERIES
 from factloom.shared import kept
 
@@ -183,3 +183,12 @@ def test_harmonic_scores_takes_all_nodes(spark, small, monkeypatch):
     monkeypatch.setattr(harmonic, "ego", lambda *r, f=graph.ego: asked.append(r[3]) or f(*r))
     QUERIES["harmonic_scores"](spark, small)
     assert asked == [None] and "LIMIT" not in ORACLES["harmonic_scores"]
+
+
+def test_a_question_s_graph_is_dealt_out_once(spark):
+    questions = spark.createDataFrame([("q1", "What has Acme Widgets Ltd supplied?")], "q_id string, text string")
+    passages = spark.createDataFrame([("q1", "Acme Widgets Ltd supplies hot bolt.\n\nhot bolt has brand Brand#7.")], "q_id string, text string")
+    own = isolated.answers(questions, passages)
+    # texts, who has them, both sides of what is said of them, facts, and questions: seven windows move nothing
+    assert plan(own, "executedPlan").count("Exchange hashpartitioning") <= 6
+    assert [(r.place, r.subj, r.obj) for r in own.orderBy("place").collect()] == [(1, "Acme Widgets Ltd", "hot bolt"), (2, "hot bolt", "Brand#7")]
