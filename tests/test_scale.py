@@ -192,3 +192,45 @@ def test_a_question_s_graph_is_dealt_out_once(spark):
     # texts, who has them, both sides of what is said of them, facts, and questions: seven windows move nothing
     assert plan(own, "executedPlan").count("Exchange hashpartitioning") <= 6
     assert [(r.place, r.subj, r.obj) for r in own.orderBy("place").collect()] == [(1, "Acme Widgets Ltd", "hot bolt"), (2, "hot bolt", "Brand#7")]
+
+
+def test_scorers_may_speak_of_facts_by_number(spark, tmp_path):
+    key = ["subj", "rel", "obj", "chunk_id"]
+    facts = spark.createDataFrame([("s", "r", "o", "c1", 0.9), ("t", "r", "o", "c2", 0.5)], "subj string, rel string, obj string, chunk_id string, certainty double")
+    by_number = lambda rows: rows.where("subj = 's'").select("fact", F.lit(0.25).alias("relevance_score"))
+    by_key = lambda rows: rows.select(*key, F.lit(0.5).alias("grounding_score"))
+    rows, failed = trust.with_signals(facts, {"relevance_score": by_number, "grounding_score": by_key, "provenance_count": lambda rows: rows.select("fact", F.lit(3).alias("provenance_count"))})
+    assert not failed and "fact" not in rows.columns
+    assert {r.subj: (r.relevance_score, r.grounding_score, r.provenance_count) for r in rows.collect()} == {"s": (0.25, 0.5, 3), "t": (None, 0.5, 3)}
+
+
+def test_what_scorers_say_goes_along_by_number(spark, small):
+    said = plan(QUERIES["one_scorer_fails"](spark, small)).split("Aggregate [")[1].splitlines()[0]
+    assert said.startswith("fact#") and "subj" not in said
+
+
+def test_sentences_are_made_behind_the_shuffle(spark, small):
+    above = plan(QUERIES["evidence_exact"](spark, small)).split("Join ")
+    assert len(above) == 2 and "concat(" not in above[1]
+
+
+def test_found_facts_leave_their_chunk_s_text(spark):
+    rows = [("c", "Ann supplies bolt.", None)]
+    assert "content" not in ingest.extracted(spark.createDataFrame(rows, "chunk_id string, content string, extracted_at string")).columns
+
+
+def test_the_store_is_written_small(spark):
+    import pyarrow.parquet as pq
+
+    path = kept(spark.range(9)).inputFiles()[0].removeprefix("file:")
+    assert pq.ParquetFile(path).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_evidence_that_comes_again_is_looked_for_once(monkeypatch):
+    import pandas as pd
+
+    seen = []
+    monkeypatch.setattr(evidence, "candidates", lambda *r, f=evidence.candidates: seen.append(r) or f(*r))
+    some = lambda x: pd.Series([x] * 5, dtype=object)
+    out = evidence._signals(some("Ann"), some("Bob"), pd.Series([0.0, 0.5, 1.0, 0.2, 0.0]), some("ANN met  bob."), some("Then Ann met Bob. Ok."))
+    assert len(seen) == 1 and list(out["raw"]) == [0.0, 0.5, 1.0, 0.2, 0.0] and list(out["confidence"]) == [0.9, 0.95, 1.0, 0.92, 0.9]
