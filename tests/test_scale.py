@@ -234,3 +234,12 @@ def test_evidence_that_comes_again_is_looked_for_once(monkeypatch):
     some = lambda x: pd.Series([x] * 5, dtype=object)
     out = evidence._signals(some("Ann"), some("Bob"), pd.Series([0.0, 0.5, 1.0, 0.2, 0.0]), some("ANN met  bob."), some("Then Ann met Bob. Ok."))
     assert len(seen) == 1 and list(out["raw"]) == [0.0, 0.5, 1.0, 0.2, 0.0] and list(out["confidence"]) == [0.9, 0.95, 1.0, 0.92, 0.9]
+
+
+def test_waiting_chunks_are_picked_where_the_stream_reads(spark, small, monkeypatch):
+    from factloom.streaming import streams
+
+    seen = []
+    monkeypatch.setattr(streams, "run_to_end", lambda stream, *rest: seen.append(stream))
+    QUERIES["extract_stream"](spark, small)
+    assert seen[0].columns == ["chunk_id", "content", "extracted_at"] and "isnull(extracted_at" in plan(seen[0], "analyzed")
